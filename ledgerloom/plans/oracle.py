@@ -80,8 +80,8 @@ VIEWS: dict[str, str] = {
 }
 
 # Derived views used by several statements.
-VIEWS["stock"] = """SELECT product_id, SUM(CASE WHEN movement_type = 'IN' THEN quantity_changed
-                                                ELSE -quantity_changed END) AS current_stock
+VIEWS["stock"] = """SELECT product_id, CAST(SUM(CASE WHEN movement_type = 'IN' THEN quantity_changed
+                                                ELSE -quantity_changed END) AS BIGINT) AS current_stock
         FROM movements GROUP BY product_id"""
 VIEWS["products_stock"] = """SELECT p.*, COALESCE(s.current_stock, 0) AS current_stock,
         COALESCE(s.current_stock, 0) <= p.minimum_stock_alert_quantity AS is_low_stock

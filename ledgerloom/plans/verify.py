@@ -46,6 +46,18 @@ def _norm(v):
     return str(v)
 
 
+_TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+             "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+             "timestamp": "TIMESTAMP WITH TIME ZONE", "boolean": "BOOLEAN", "double": "DOUBLE",
+             "float": "FLOAT"}
+
+
+def _duck_type(spark_type: str) -> str:
+    if spark_type.startswith("decimal"):
+        return spark_type.upper()
+    return _TYPE_MAP.get(spark_type, spark_type.upper())
+
+
 def digest(columns, rows) -> tuple[list[str], int, str]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     cols = [columns[i] for i in order]
@@ -69,9 +81,15 @@ def compare(spark, sf_dir: str, keys=None, verbose=True) -> dict:
             s_cols, s_n, s_h = digest(df.columns, rows)
             rec.update(rows=s_n)
             if key in sqls:
-                res = con.execute(sqls[key])
-                d_cols_raw = [c[0] for c in res.description]
-                d_rows = res.fetchall()
+                rel = con.sql(sqls[key])
+                d_cols_raw = list(rel.columns)
+                d_types = dict(zip(d_cols_raw, [str(t) for t in rel.types]))
+                d_rows = rel.fetchall()
+                s_types = {f.name: _duck_type(f.dataType.simpleString()) for f in df.schema.fields}
+                bad_types = {c: (s_types.get(c), d_types.get(c)) for c in d_types
+                             if s_types.get(c) != d_types.get(c)}
+                if bad_types:
+                    rec["type_diff"] = bad_types
                 d_cols, d_n, d_h = digest(d_cols_raw, d_rows)
                 rec.update(oracle_rows=d_n, cols_match=s_cols == d_cols, match=(s_cols == d_cols and s_h == d_h))
                 if not rec["match"]:
