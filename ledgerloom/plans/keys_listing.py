@@ -10,7 +10,7 @@ from ledgerloom.sources.fixtures import Fixture
 
 # Fixed request parameters of the registered list keys.
 CHALLAN_TERM = "  building "      # trimmed, case-insensitive; hits the business name
-PRODUCT_TERM = "brass"
+PRODUCT_TERM = "Gear"
 CUSTOMER_TERM = "Machinery"
 PAGE_NO, PAGE_SIZE = 3, 20
 LOOKUP_ID = 42
