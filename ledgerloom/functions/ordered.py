@@ -63,6 +63,28 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName
     return joined.withColumn(out, F.col("_off") + inner).drop("_bkt", "_off")
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
+                 values: dict[str, Column], bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
+    """Several cumulative sums (rows frame) over the same key and order in one pass."""
+    keys = list(keys)
+    order = [_c(o) for o in order]
+    end = Window.currentRow if inclusive else -1
+    tmp = {out: f"_v_{out}" for out in values}
+    b = df.select("*", *[col.alias(tmp[out]) for out, col in values.items()])
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return b.select(*df.columns, *[F.coalesce(F.sum(tmp[o]).over(w), F.lit(0)).alias(o) for o in values])
+    b = b.withColumn("_bkt", bucket)
+    totals = b.groupBy(*keys, "_bkt").agg(*[F.sum(tmp[o]).alias(f"_t_{o}") for o in values])
+    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_bkt", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
+                                             for o in values])
+    joined = b.join(offsets, [*keys, "_bkt"], "inner")
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    return joined.select(*df.columns, *[(F.col(f"_o_{o}") + F.coalesce(F.sum(tmp[o]).over(w), F.lit(0))).alias(o)
+                                        for o in values])
+
+
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName], out: str = "pos",
               bucket: Column | None = None) -> DataFrame:
     """1-based position of each row inside its key, in ``order`` (ties as ordered)."""

@@ -74,8 +74,9 @@ def first_negative_balance(balances: DataFrame) -> DataFrame:
             .agg(F.min("created_at").alias("first_negative_at"), F.min("balance").alias("lowest_balance")))
 
 
-_MOVE_ORDER = [F.desc("created_at"), F.asc("reason"), F.asc("movement_type"), F.asc("quantity_changed"),
-               F.asc("created_by"), F.asc("reference_type"), F.asc_nulls_first("reference_id")]
+def _move_order() -> list[Column]:
+    return [F.desc("created_at"), F.asc("reason"), F.asc("movement_type"), F.asc("quantity_changed"),
+            F.asc("created_by"), F.asc("reference_type"), F.asc_nulls_first("reference_id")]
 
 
 def latest_movements_per_product(movements: DataFrame, users: DataFrame, n: int = PAGE_DEFAULT) -> DataFrame:
@@ -85,7 +86,7 @@ def latest_movements_per_product(movements: DataFrame, users: DataFrame, n: int
     the shuffle (WindowGroupLimit), so a hot product ships at most n rows per
     map task. Users are joined after the limit.
     """
-    w = Window.partitionBy("product_id").orderBy(*_MOVE_ORDER)
+    w = Window.partitionBy("product_id").orderBy(*_move_order())
     top = movements.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     u = users.select(F.col("id").alias("created_by"), F.col("name").alias("created_by_name"))
     return top.join(u, "created_by", "inner").select(
@@ -106,7 +107,7 @@ def stock_movement_history(movements: DataFrame, users: DataFrame, product_id: i
         "product_id", "created_at", "movement_type", "quantity_changed", "reason", "reference_type",
         "reference_id", "created_by_name", "total")
     if limit is not None:
-        out = out.orderBy(*_MOVE_ORDER).offset(offset).limit(limit)
+        out = out.orderBy(*_move_order()).offset(offset).limit(limit)
     return out
 
 

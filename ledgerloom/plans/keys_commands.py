@@ -1 +1,261 @@
-"""Registered keys."""
+"""Registered command-job keys.
+
+Command batches are derived from the given tables (for example: cancel every
+challan of an inactive customer; replay conversation turns as reply/resolve
+commands), so their size grows with the data.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ledgerloom.config import AS_OF
+from ledgerloom.functions.ordered import positions
+from ledgerloom.operators import allocation as alloc
+from ledgerloom.operators import commands as cm
+from ledgerloom.operators import inventory as inv
+from ledgerloom.plans.oracle import with_views
+from ledgerloom.plans.registry import register
+from ledgerloom.sources.fixtures import Fixture
+
+NOW = dt.datetime.combine(AS_OF, dt.time())
+NOW_SQL = "TIMESTAMP '2001-08-01 00:00:00'"
+REVIEWER = 2                     # a WAREHOUSE user
+ADJUST_FROM = NOW + dt.timedelta(days=1)
+
+_LINES = ("SELECT l_orderkey AS challan_id, l_linenumber AS line_no, l_partkey AS product_id, "
+          "CAST(l_quantity AS INTEGER) AS quantity FROM lineitem")
+
+
+# -- W4 / J17 ---------------------------------------------------------------------
+@register("challan_item_snapshot", with_views("""
+SELECT li.challan_id, h.customer_id, li.line_no, li.product_id, li.quantity, h.outcome,
+       CASE WHEN h.outcome = 'applied' THEN per.total_quantity END AS total_quantity,
+       CASE WHEN h.outcome = 'applied' THEN li.product_name END AS product_name_snapshot,
+       CASE WHEN h.outcome = 'applied' THEN li.sku END AS sku_snapshot,
+       CASE WHEN h.outcome = 'applied' THEN li.unit_price END AS unit_price_snapshot
+FROM li JOIN head h ON h.challan_id = li.challan_id LEFT JOIN per ON per.challan_id = li.challan_id""",
+    "challans", "customers", "products", extra=[
+        ("lines", _LINES),
+        ("req", "SELECT id AS challan_id, customer_id FROM challans WHERE status = 'DRAFT'"),
+        ("li", """SELECT l.*, p.product_name, p.sku, p.unit_price FROM lines l
+                  JOIN req r ON r.challan_id = l.challan_id LEFT JOIN products p ON p.id = l.product_id"""),
+        ("per", """SELECT challan_id, COUNT(*) AS n_items, COUNT(DISTINCT product_id) AS n_products,
+                  MAX(CASE WHEN product_name IS NULL THEN 1 ELSE 0 END) AS missing, MIN(quantity) AS min_qty,
+                  CAST(SUM(quantity) AS BIGINT) AS total_quantity FROM li GROUP BY challan_id"""),
+        ("head", """SELECT r.challan_id, r.customer_id,
+                  CASE WHEN c.id IS NULL OR per.missing = 1 THEN 'not_found'
+                       WHEN COALESCE(per.n_items, 0) = 0 THEN 'invalid'
+                       WHEN per.min_qty <= 0 OR per.n_products < per.n_items THEN 'invalid'
+                       ELSE 'applied' END AS outcome
+                  FROM req r LEFT JOIN customers c ON c.id = r.customer_id
+                  LEFT JOIN per ON per.challan_id = r.challan_id""")]))
+def q_item_snapshot(spark, d):
+    fx = Fixture(spark, d)
+    req = fx.challans().where(F.col("status") == "DRAFT").select(F.col("id").alias("challan_id"), "customer_id")
+    return cm.draft_challans(req, fx.raw_lines(), fx.customers(), fx.products())
+
+
+# -- W6 --------------------------------------------------------------------------------
+@register("challan_numbers", with_views("""
+SELECT id, created_at, sequence, printf('CH-%d-%05d', year(created_at), sequence) AS challan_number
+FROM (SELECT id, created_at, CAST((SELECT MAX(id) FROM challans WHERE status <> 'DRAFT')
+                                  + ROW_NUMBER() OVER (ORDER BY created_at, id) AS BIGINT) AS sequence
+      FROM challans WHERE status = 'DRAFT')""", "challans"))
+def q_numbers(spark, d):
+    ch = Fixture(spark, d).challans()
+    last = ch.where(F.col("status") != "DRAFT").select(F.max("id")).scalar()
+    return cm.challan_numbers(ch.where(F.col("status") == "DRAFT").select("id", "created_at"), last)
+
+
+# -- W7 ----------------------------------------------------------------------------------
+@register("challan_transitions", with_views(f"""
+SELECT c.id AS command_id, c.id AS challan_id,
+       CASE WHEN c.status = 'DRAFT' THEN 'applied' ELSE 'conflict' END AS outcome,
+       CASE WHEN c.status = 'DRAFT' THEN 'CANCELLED' ELSE c.status END AS new_status,
+       CASE WHEN c.status = 'DRAFT' THEN {NOW_SQL} END AS cancelled_at
+FROM challans c JOIN customers cu ON cu.id = c.customer_id WHERE cu.status = 'INACTIVE'""",
+                                              "challans", "customers"))
+def q_transitions(spark, d):
+    fx = Fixture(spark, d)
+    inactive = fx.customers().where(F.col("status") == "INACTIVE").select(F.col("id").alias("customer_id"))
+    cmds = fx.challans().join(inactive, "customer_id", "left_semi").select(
+        F.col("id").alias("command_id"), F.col("id").alias("challan_id"))
+    return cm.challan_transitions(fx.challans(), cmds, NOW)
+
+
+# -- W11 ---------------------------------------------------------------------------------
+@register("query_transitions", with_views(f"""
+SELECT command_id, query_id, action,
+       CASE WHEN initial IS NULL THEN 'not_found'
+            WHEN (initial = 'RESOLVED' OR rb > 0) AND action = 'reply' THEN 'conflict'
+            WHEN (initial = 'RESOLVED' OR rb > 0) THEN 'not_found'
+            WHEN action IN ('reply', 'resolve') THEN 'applied' ELSE 'invalid' END AS outcome,
+       CASE WHEN initial IS NULL THEN NULL
+            WHEN initial = 'RESOLVED' OR rb > 0 OR action = 'resolve' THEN 'RESOLVED'
+            WHEN action = 'reply' THEN 'IN_PROGRESS' ELSE initial END AS status_after,
+       CASE WHEN initial IS NOT NULL AND NOT (initial = 'RESOLVED' OR rb > 0) AND action = 'resolve'
+            THEN {NOW_SQL} END AS resolved_at
+FROM (SELECT c.*, q.status AS initial,
+             COALESCE(SUM(CASE WHEN action = 'resolve' THEN 1 ELSE 0 END) OVER (
+                 PARTITION BY c.query_id ORDER BY c.command_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rb
+      FROM cmds c LEFT JOIN queries q ON q.id = c.query_id)""", "queries", extra=[
+    ("cmds", """SELECT conv_id * 1000 + turn AS command_id, conv_id AS query_id,
+                CASE WHEN role = 'assistant' THEN 'reply' ELSE 'resolve' END AS action
+                FROM conversations WHERE role IN ('assistant', 'system')""")]))
+def q_query_transitions(spark, d):
+    fx = Fixture(spark, d)
+    cv = fx.table("conversations").where(F.col("role").isin("assistant", "system"))
+    cmds = cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("command_id"),
+                     F.col("conv_id").alias("query_id"),
+                     F.when(F.col("role") == "assistant", "reply").otherwise("resolve").alias("action"))
+    return cm.query_transitions(fx.queries(), cmds, NOW)
+
+
+# -- W9 / W10 ------------------------------------------------------------------------------
+def _review_sql(urgency: str, target: str) -> str:
+    return with_views(f"""
+SELECT id AS command_id, id AS request_id, product_id, quantity,
+       CASE WHEN status = 'PENDING' THEN 'applied' ELSE 'conflict' END AS outcome,
+       CASE WHEN status = 'PENDING' THEN '{target}' ELSE status END AS new_status,
+       CASE WHEN status = 'PENDING' THEN CAST({REVIEWER} AS BIGINT) END AS reviewed_by,
+       CASE WHEN status = 'PENDING' THEN {NOW_SQL} END AS reviewed_at,
+       CASE WHEN status = 'PENDING' THEN '' END AS review_note
+FROM stock_requests WHERE urgency = '{urgency}'""", "stock_requests")
+
+
+def _review(spark, d, urgency: str, decision: str):
+    rq = Fixture(spark, d).stock_requests()
+    cmds = rq.where(F.col("urgency") == urgency).select(F.col("id").alias("command_id"),
+                                                        F.col("id").alias("request_id"))
+    return cm.review_requests(rq, cmds, REVIEWER, NOW, decision)
+
+
+@register("approve_requests", _review_sql("HIGH", "APPROVED"))
+def q_approve(spark, d):
+    return _review(spark, d, "HIGH", "approve")
+
+
+@register("reject_requests", _review_sql("LOW", "REJECTED"))
+def q_reject(spark, d):
+    return _review(spark, d, "LOW", "reject")
+
+
+# -- W3 ------------------------------------------------------------------------------------
+@register("update_products", with_views("""
+SELECT COALESCE(p.id, u.id) AS id, COALESCE(u.product_name, p.product_name) AS product_name,
+       COALESCE(u.sku, p.sku) AS sku, COALESCE(u.category, p.category) AS category,
+       COALESCE(u.unit_price, p.unit_price) AS unit_price,
+       COALESCE(u.minimum_stock_alert_quantity, p.minimum_stock_alert_quantity) AS minimum_stock_alert_quantity,
+       COALESCE(u.warehouse_location, p.warehouse_location) AS warehouse_location,
+       CASE WHEN p.id IS NULL THEN 'not_found' WHEN u.id IS NOT NULL THEN 'applied' ELSE 'unchanged' END AS outcome
+FROM products p FULL OUTER JOIN upd u ON u.id = p.id""", "products", extra=[
+    ("upd", """SELECT id, CAST(ROUND(unit_price * 1.10, 2) AS DECIMAL(12,2)) AS unit_price,
+               'W-' || warehouse_location AS warehouse_location, NULL AS product_name, NULL AS sku,
+               NULL AS category, NULL AS minimum_stock_alert_quantity
+               FROM products WHERE warehouse_location = 'Brand#1'""")]))
+def q_update_products(spark, d):
+    p = Fixture(spark, d).products()
+    upd = p.where(F.col("warehouse_location") == "Brand#1").select(
+        "id", F.round(F.col("unit_price") * F.lit(1.10).cast("decimal(3,2)"), 2).cast("decimal(12,2)").alias("unit_price"),
+        F.concat(F.lit("W-"), F.col("warehouse_location")).alias("warehouse_location"))
+    return cm.update_products(p, upd)
+
+
+# -- W1 ------------------------------------------------------------------------------------
+_CUST_RULES = """
+SELECT id, 'customer_name_length' AS rule FROM inc WHERE customer_name IS NULL OR length(trim(customer_name)) < 2 OR length(trim(customer_name)) > 160
+UNION ALL SELECT id, 'mobile_length' FROM inc WHERE mobile IS NULL OR length(trim(mobile)) < 6 OR length(trim(mobile)) > 30
+UNION ALL SELECT id, 'business_name_length' FROM inc WHERE business_name IS NULL OR length(trim(business_name)) < 2 OR length(trim(business_name)) > 180
+UNION ALL SELECT id, 'gst_number_length' FROM inc WHERE COALESCE(length(trim(gst_number)) > 30, FALSE)
+UNION ALL SELECT id, 'address_length' FROM inc WHERE address IS NULL OR length(trim(address)) < 5 OR length(trim(address)) > 1000
+UNION ALL SELECT id, 'email_format' FROM inc WHERE email IS NOT NULL AND NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')
+UNION ALL SELECT id, 'customer_type_enum' FROM inc WHERE NOT COALESCE(customer_type IN ('RETAIL', 'WHOLESALE', 'DISTRIBUTOR'), FALSE)
+UNION ALL SELECT id, 'status_enum' FROM inc WHERE NOT COALESCE(status IN ('LEAD', 'ACTIVE', 'INACTIVE'), FALSE)"""
+
+
+@register("ingest_customers", with_views("""
+SELECT i.id, i.customer_name, i.business_name, i.mobile, i.email, i.gst_number, i.customer_type,
+       i.follow_up_date, i.address, COALESCE(i.status, 'LEAD') AS status,
+       CASE WHEN b.rules IS NOT NULL THEN 'invalid' WHEN s.customer_name IS NOT NULL THEN 'duplicate'
+            ELSE 'applied' END AS outcome,
+       COALESCE(b.rules, '') AS broken_rules
+FROM inc i LEFT JOIN (SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM bad GROUP BY id) b
+  ON b.id = i.id
+LEFT JOIN (SELECT DISTINCT customer_name, mobile FROM existing) s
+  ON s.customer_name = i.customer_name AND s.mobile = i.mobile""", "customers", extra=[
+    ("inc", """SELECT c.id, c.customer_name, c.business_name, c.mobile, c.email, c.gst_number, c.customer_type,
+               c.status, c.follow_up_date, n.n_name AS address
+               FROM customers c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"""),
+    ("bad", _CUST_RULES),
+    ("existing", "SELECT * FROM customers WHERE id IN (SELECT o_custkey FROM orders)")]))
+def q_ingest(spark, d):
+    fx = Fixture(spark, d)
+    existing = fx.customers().join(fx.table("orders").select(F.col("o_custkey").alias("id")), "id", "left_semi")
+    incoming = fx.customers(with_address=True)
+    return cm.ingest_customers(existing, incoming)
+
+
+# -- W16 -----------------------------------------------------------------------------------
+@register("cascade_delete_customers", with_views("""
+SELECT g.customer_id, g.outcome,
+       CAST(COALESCE(f.n, 0) AS BIGINT) AS follow_ups_removed, CAST(COALESCE(q.n, 0) AS BIGINT) AS queries_removed,
+       CAST(COALESCE(r.n, 0) AS BIGINT) AS replies_removed, CAST(COALESCE(v.n, 0) AS BIGINT) AS reviews_removed
+FROM dec g
+LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM follow_ups GROUP BY customer_id) f
+  ON f.customer_id = g.customer_id AND g.outcome = 'applied'
+LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM queries GROUP BY customer_id) q
+  ON q.customer_id = g.customer_id AND g.outcome = 'applied'
+LEFT JOIN (SELECT q.customer_id, COUNT(*) AS n FROM replies r JOIN queries q ON q.id = r.query_id
+           GROUP BY q.customer_id) r ON r.customer_id = g.customer_id AND g.outcome = 'applied'
+LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM reviews GROUP BY customer_id) v
+  ON v.customer_id = g.customer_id AND g.outcome = 'applied'""",
+    "customers", "challans", "follow_ups", "queries", "replies", "reviews", extra=[
+        ("dec", """SELECT id AS customer_id,
+                   CASE WHEN id IN (SELECT customer_id FROM challans) THEN 'conflict' ELSE 'applied' END AS outcome
+                   FROM customers WHERE status = 'INACTIVE'""")]))
+def q_cascade(spark, d):
+    fx = Fixture(spark, d)
+    cmds = fx.customers().where(F.col("status") == "INACTIVE").select(F.col("id").alias("customer_id"))
+    return cm.cascade_delete_customers(fx.customers(), cmds, fx.challans(), fx.follow_ups(), fx.queries(),
+                                       fx.replies(), fx.reviews())
+
+
+# -- W5 and W8 (sequential semantics: checked against a one-at-a-time loop in tests) ---------
+def confirm_drafts_fixture(spark, d):
+    fx = Fixture(spark, d)
+    lv = inv.stock_levels(fx.movements(opening=False)).select(
+        "product_id", F.greatest(F.col("current_stock"), F.lit(0)).alias("available"))
+    ch = fx.challans()
+    batch = ch.where(F.col("status") == "DRAFT").select(F.col("id").alias("challan_id"),
+                                                        F.col("created_at").alias("requested_at"))
+    return alloc.confirm_drafts(ch, fx.raw_lines(), lv, fx.products(), batch, NOW)
+
+
+@register("confirm_drafts")
+def q_confirm(spark, d):
+    return confirm_drafts_fixture(spark, d)["decisions"]
+
+
+def adjustments_fixture(spark, d):
+    """Stock = ledger lines before ADJUST_FROM (no opening rows, floored at 0); commands = later lines."""
+    fx = Fixture(spark, d)
+    lines = fx.movements(opening=False)
+    until = F.lit(ADJUST_FROM).cast("timestamp_ntz")
+    stock = inv.stock_levels(lines.where(F.col("created_at") < until)).select(
+        "product_id", F.greatest(F.col("current_stock"), F.lit(0)).alias("available"))
+    later = lines.where(F.col("created_at") >= until)
+    cmds = positions(later, [], ["created_at", "reason", "movement_type", "quantity_changed", "created_by"],
+                     "command_id", bucket=F.to_date("created_at")).select(
+        F.col("command_id").cast("bigint").alias("command_id"), "product_id", "movement_type",
+        F.col("quantity_changed").alias("quantity"), F.col("created_at").alias("requested_at"))
+    return cmds, stock
+
+
+@register("apply_adjustments")
+def q_adjust(spark, d):
+    cmds, stock = adjustments_fixture(spark, d)
+    return alloc.apply_adjustments(cmds, stock)

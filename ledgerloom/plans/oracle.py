@@ -20,7 +20,7 @@ VIEWS: dict[str, str] = {
         CASE s_suppkey % 4 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'SALES' WHEN 2 THEN 'WAREHOUSE' ELSE 'ACCOUNTS' END AS role
         FROM supplier""",
     "customers": f"""SELECT c_custkey AS id, c_name AS customer_name, c_name || ' ' || c_mktsegment AS business_name,
-        CAST(c_custkey AS VARCHAR) AS mobile, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS gst_number,
+        '+91' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS mobile, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS gst_number,
         CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'WHOLESALE'
              WHEN c_mktsegment = 'HOUSEHOLD' THEN 'RETAIL' ELSE 'DISTRIBUTOR' END AS customer_type,
         CASE WHEN c_acctbal < 0 THEN 'INACTIVE' WHEN c_acctbal < 1000 THEN 'LEAD' ELSE 'ACTIVE' END AS status,

@@ -69,8 +69,8 @@ class Fixture:
         cols = [
             key.alias("id"),
             F.col("c_name").alias("customer_name"),
-            F.concat_ws(" ", F.col("c_name"), F.col("c_mktsegment")).alias("business_name"),
-            key.cast("string").alias("mobile"),
+            F.concat(F.col("c_name"), F.lit(" "), F.col("c_mktsegment")).alias("business_name"),
+            F.concat(F.lit("+91"), F.lpad(key.cast("string"), 10, "0")).alias("mobile"),
             F.lit(None).cast("string").alias("email"),
             F.lit(None).cast("string").alias("gst_number"),
             F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "WHOLESALE")
