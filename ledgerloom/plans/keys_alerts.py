@@ -120,7 +120,10 @@ def q_live(spark, d):
     return _State(spark, d).live
 
 
-@register("alerts_merge", _sql("SELECT * FROM merged"))
+ORACLE_MERGED = _sql("SELECT * FROM merged")
+
+
+@register("alerts_merge", ORACLE_MERGED)
 def q_merge(spark, d):
     return _State(spark, d).merged
 

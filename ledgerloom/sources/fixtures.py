@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.config import AS_OF, OPENING_STOCK_REASON
-from ledgerloom.sources.tables import load
+from ledgerloom.sources.tables import load, load_stream
 
 OPENING_AT = "1995-01-01 00:00:00"
 
@@ -30,11 +30,17 @@ def _case(value: Column, mapping: list[tuple[object, str]], default=None) -> Col
 class Fixture:
     """Lazily built domain tables for one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, streams: set[str] | None = None,
+                 max_files_per_trigger: int | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.streams = set(streams or ())
+        self.max_files = max_files_per_trigger
 
     def table(self, name: str) -> DataFrame:
+        """A given table; names listed in ``streams`` are read as file streams."""
+        if name in self.streams:
+            return load_stream(self.spark, self.sf_dir, name, self.max_files)
         return load(self.spark, self.sf_dir, name)
 
     # -- counts used by the mapping, as scalar subqueries --------------------

@@ -47,3 +47,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = SOURCE_SCHEMAS.get(name)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(table_path(sf_dir, name))
+
+
+def load_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a file stream.
+
+    A folder that holds ``<name>.parquet`` as a file is filtered to that file;
+    a folder ``<name>/`` (part files, e.g. landing in batches) is read whole.
+    """
+    import os
+    reader = spark.readStream.schema(SOURCE_SCHEMAS[name])
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    folder = f"{sf_dir.rstrip('/')}/{name}"
+    if os.path.isdir(folder):
+        return reader.parquet(folder)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
