@@ -48,16 +48,21 @@ def _run(df, handler, root, mode, processing_time):
 
 
 # -- ST1 -------------------------------------------------------------------------------
-def stock_level_updates(movements: DataFrame, watermark: str = "7 days",
+def stock_level_updates(movements: DataFrame, replay_window: str = "1 hour",
                         dedupe: bool = True) -> DataFrame:
     """ST1: running stock per product from the movement stream; replays dropped.
 
-    A movement delivered twice (same values) inside the watermark is counted
-    once. The state is one row per product plus the dedupe window.
+    A ledger row must never be dropped for arriving late, so deduplication
+    is bounded by *arrival* time, not by the movement's own timestamp: an
+    identical row delivered again within ``replay_window`` of the first copy
+    is counted once. State: one row per product plus the replay window.
     """
-    m = movements.withColumn("_event_time", event_time("created_at")).withWatermark("_event_time", watermark)
+    m = movements
     if dedupe:
-        m = m.dropDuplicatesWithinWatermark()
+        cols = list(movements.columns)
+        m = (movements.withColumn("_arrival", F.current_timestamp())
+             .withWatermark("_arrival", replay_window)
+             .dropDuplicatesWithinWatermark(cols))
     return m.groupBy("product_id").agg(F.sum(inv.signed_quantity()).cast("bigint").alias("current_stock"))
 
 
