@@ -33,7 +33,7 @@ from ledgerloom.session import require_checkpoint_dir
 UNDECIDED, ACCEPTED, REJECTED = "U", "A", "R"
 
 
-def allocate(demands: DataFrame, stock: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, int]:
+def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
     """Decide a batch.
 
     ``demands``: request_id, seq_ts (timestamp), seq_id (tie-break), product_id,
@@ -55,10 +55,8 @@ def allocate(demands: DataFrame, stock: DataFrame, max_rounds: int = 200) -> tup
 
     order = ["seq_ts", "seq_id", "request_id", "line_no"]
     rounds = 0
-    while True:
-        undecided = status.where(F.col("status") == UNDECIDED).limit(1).count()
-        if undecided == 0 or rounds >= max_rounds:
-            break
+    undecided = status.where(F.col("status") == UNDECIDED).count()
+    while undecided > 0:
         rounds += 1
         r = rows.join(status, "request_id", "inner")
         hi_q = F.when(F.col("status") != REJECTED, F.col("qty")).otherwise(F.lit(0))
@@ -79,6 +77,10 @@ def allocate(demands: DataFrame, stock: DataFrame, max_rounds: int = 200) -> tup
              .when(F.col("all_ok") == 1, F.lit(ACCEPTED))
              .when(F.col("any_short") == 1, F.lit(REJECTED))
              .otherwise(F.lit(UNDECIDED)).alias("status")).checkpoint(eager=True)
+        left = status.where(F.col("status") == UNDECIDED).count()
+        if left >= undecided:   # cannot happen: the earliest undecided request is always decided
+            raise RuntimeError(f"allocation made no progress in round {rounds} ({left} undecided)")
+        undecided = left
 
     # The first short item of each rejected request (all earlier requests are decided: hi = lo).
     r = rows.join(status, "request_id", "inner")

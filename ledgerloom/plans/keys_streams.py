@@ -31,9 +31,10 @@ def q_stream_sales(spark, d):
 
 @register("stream_alerts", keys_alerts.ORACLE_MERGED)
 def q_stream_alerts(spark, d):
+    fx = Fixture(spark, d)
     state = keys_alerts._State(spark, d)
-    return jobs.stream_alerts(spark, jobs.fixture_streams(spark, d).movements(), lambda: state.live,
-                              state.stored, keys_alerts.NOW)
+    return jobs.stream_alerts(spark, jobs.fixture_streams(spark, d).movements(), fx.products(), fx.customers(),
+                              fx.queries(), state.stored, AS_OF, keys_alerts.NOW)
 
 
 @register("rate_violations", f"""

@@ -105,24 +105,31 @@ def stream_sales_daily(spark: SparkSession, events: DataFrame, processing_time:
 
 
 # -- ST3 -------------------------------------------------------------------------------
-def stream_alerts(spark: SparkSession, trigger_source: DataFrame, live_alerts, stored: DataFrame,
-                  now: dt.datetime, processing_time: str | None = None, root: str | None = None) -> DataFrame:
-    """ST3: reconcile alerts once per micro-batch of ledger activity.
-
-    ``live_alerts`` is a function returning the current live alerts (U1);
-    each batch merges them into the snapshot (W13 + W14). The batch id makes
-    a replay rewrite the same version; one query means one reconciliation in
-    flight at a time.
+def stream_alerts(spark: SparkSession, movements: DataFrame, products: DataFrame, customers: DataFrame,
+                  queries: DataFrame, stored: DataFrame, as_of: dt.date, now: dt.datetime,
+                  processing_time: str | None = None, root: str | None = None) -> DataFrame:
+    """ST3: reconcile alerts once per micro-batch of ledger activity, incrementally.
+
+    Each batch folds its movements into a per-product stock snapshot (an
+    additive upsert of one row per touched product), derives the live alerts
+    from per-entity tables only (products ⋈ stock, customers, questions —
+    never a ledger rescan) and merges them into the alert snapshot (W13 +
+    W14). Batch ids make replays rewrite the same versions; one query means
+    one reconciliation in flight at a time.
     """
     root = root or stream_root(spark, "alerts")
+    stock = KeyedSnapshot(spark, f"{root}/stock", ["product_id"])
     snap = KeyedSnapshot(spark, f"{root}/data", ["id"])
     snap.write(stored, -1)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prev = snap.latest(before=batch_id)
-        snap.write(al.alerts_merge(prev, live_alerts(), now), batch_id)
+        deltas = batch.groupBy("product_id").agg(F.sum(inv.signed_quantity()).cast("bigint").alias("current_stock"))
+        stock.accumulate(deltas, batch_id)
+        levels = stock.latest(before=batch_id + 1)
+        live = al.alerts_live(inv.products_with_stock(products, levels), customers, queries, as_of)
+        snap.write(al.alerts_merge(snap.latest(before=batch_id), live, now), batch_id)
 
-    _run(trigger_source.select("created_at"), run, root, "append", processing_time)
+    _run(movements, run, root, "append", processing_time)
     return snap.result() if processing_time is None else None
 
 

@@ -32,7 +32,7 @@ class KeyedSnapshot:
         self.spark = spark
         self.root = root
         self.keys = list(keys)
-        self.schema = None
+        self.written: set[int] = set()   # versions written by this driver (avoids re-listing)
 
     def _versions(self) -> DataFrame | None:
         try:
@@ -41,7 +41,10 @@ class KeyedSnapshot:
             return None
 
     def latest(self, before: int | None = None) -> DataFrame | None:
-        all_v = self._versions()
+        known = [v for v in self.written if before is None or v < before]
+        if known:
+            return self.spark.read.parquet(f"{self.root}/version={max(known)}")
+        all_v = self._versions()   # after a driver restart: find versions on storage
         if all_v is None:
             return None
         cand = all_v if before is None else all_v.where(F.col("version") < before)
@@ -50,6 +53,20 @@ class KeyedSnapshot:
 
     def write(self, rows: DataFrame, version: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/version={version}")
+        self.written.add(version)
+
+    def accumulate(self, deltas: DataFrame, batch_id: int) -> None:
+        """Additive upsert: value columns of ``deltas`` are added to the previous version's."""
+        prev = self.latest(before=batch_id)
+        if prev is None:
+            merged = deltas
+        else:
+            vals = [c for c in deltas.columns if c not in self.keys]
+            d = deltas.select(*self.keys, *[F.col(c).alias(f"_d_{c}") for c in vals])
+            j = prev.join(d, self.keys, "full_outer")
+            merged = j.select(*self.keys, *[(F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_d_{c}"), F.lit(0)))
+                                            .cast(deltas.schema[c].dataType).alias(c) for c in vals])
+        self.write(merged, batch_id)
 
     def upsert(self, updates: DataFrame, batch_id: int) -> None:
         prev = self.latest(before=batch_id)
