@@ -58,22 +58,25 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
     undecided = status.where(F.col("status") == UNDECIDED).count()
     while undecided > 0:
         rounds += 1
-        r = rows.join(status, "request_id", "inner")
+        # Only products touched by an undecided request can change anything;
+        # the others' rows drop out of the round (later rounds shrink fast).
+        open_req = status.where(F.col("status") == UNDECIDED).select("request_id")
+        active = rows.join(open_req, "request_id", "left_semi").select("product_id").distinct()
+        r = rows.join(active, "product_id", "left_semi").join(status, "request_id", "inner")
         hi_q = F.when(F.col("status") != REJECTED, F.col("qty")).otherwise(F.lit(0))
         lo_q = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
         sums = running_sums(r, ["product_id"], order, {"hi": hi_q, "lo": lo_q},
                             bucket=F.to_date("seq_ts"), inclusive=False)
-        item = sums.select(
-            "request_id", "status",
+        item = sums.where(F.col("status") == UNDECIDED).select(
+            "request_id",
             (F.col("is_supply") | (F.col("available") - F.col("hi") >= F.col("qty"))).alias("sure_ok"),
             (~F.col("is_supply") & (F.col("available") - F.col("lo") < F.col("qty"))).alias("sure_short"))
-        status = item.groupBy("request_id").agg(
-            F.first("status").alias("old"),
+        decided = item.groupBy("request_id").agg(
             F.min(F.col("sure_ok").cast("int")).alias("all_ok"),
-            F.max(F.col("sure_short").cast("int")).alias("any_short"),
-        ).select(
+            F.max(F.col("sure_short").cast("int")).alias("any_short"))
+        status = status.join(decided, "request_id", "left").select(
             "request_id",
-            F.when(F.col("old") != UNDECIDED, F.col("old"))
+            F.when(F.col("status") != UNDECIDED, F.col("status"))
              .when(F.col("all_ok") == 1, F.lit(ACCEPTED))
              .when(F.col("any_short") == 1, F.lit(REJECTED))
              .otherwise(F.lit(UNDECIDED)).alias("status")).checkpoint(eager=True)
