@@ -118,7 +118,7 @@ def stream_alerts(spark: SparkSession, movements: DataFrame, products: DataFrame
     one reconciliation in flight at a time.
     """
     root = root or stream_root(spark, "alerts")
-    stock = KeyedSnapshot(spark, f"{root}/stock", ["product_id"])
+    stock = KeyedSnapshot(spark, f"{root}/stock", ["product_id"], mode="add")
     snap = KeyedSnapshot(spark, f"{root}/data", ["id"])
     snap.write(stored, -1)
 

@@ -1,10 +1,16 @@
 """Structured Streaming sinks for plain Parquet (no MERGE available).
 
-``KeyedSnapshot`` keeps a versioned table ``<root>/version=<batch_id>``. Each
-micro-batch's updated rows are upserted into the latest earlier version by a
-full outer join on the key and written as the batch's own version, so a
-replayed batch id rewrites the same folder (idempotent, exactly-once with the
-query checkpoint). Readers take the highest version.
+``KeyedSnapshot`` is a log-structured keyed table under one root:
+
+* ``deltas/version=<batch_id>`` — the rows a micro-batch changed (only those);
+* ``bases/version=<batch_id>`` — a compacted full table, written every
+  ``compact_every`` batches (and for tables that are replaced whole).
+
+Reading resolves the newest base plus the later deltas: per key the row of
+the highest version (``mode='replace'``) or the sum of the values
+(``mode='add'``, for running deltas). A micro-batch therefore writes work
+proportional to what it changed, not to the table. Replaying a batch id
+rewrites the same folder (idempotent with the query checkpoint).
 
 ``AppendLog`` writes each micro-batch to ``<root>/batch=<id>`` (overwrite), so
 replays do not duplicate rows.
@@ -28,58 +34,72 @@ def stream_root(spark: SparkSession, job: str) -> str:
 
 
 class KeyedSnapshot:
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]):
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], mode: str = "replace",
+                 compact_every: int = 64):
+        if mode not in ("replace", "add"):
+            raise ValueError(mode)
         self.spark = spark
         self.root = root
         self.keys = list(keys)
-        self.written: set[int] = set()   # versions written by this driver (avoids re-listing)
-
-    def _versions(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.root)
-        except Exception:  # noqa: BLE001 — no version written yet
+        self.mode = mode
+        self.compact_every = compact_every
+        self.deltas: set[int] = set()   # versions written by this driver (avoids listing storage)
+        self.bases: set[int] = set()
+
+    # -- storage --------------------------------------------------------------------------
+    def _path(self, kind: str, version: int) -> str:
+        return f"{self.root}/{kind}/version={version}"
+
+    def _known(self, kind: str) -> set[int]:
+        mine = self.deltas if kind == "deltas" else self.bases
+        if mine:
+            return mine
+        try:   # after a driver restart: the versions present on storage
+            found = self.spark.read.parquet(f"{self.root}/{kind}").select("version").distinct()
+            return {r.version for r in found.toLocalIterator()}
+        except Exception:  # noqa: BLE001 — nothing written yet
+            return set()
+
+    def _resolve(self, frames: list[tuple[int, DataFrame]]) -> DataFrame | None:
+        if not frames:
             return None
+        if len(frames) == 1:
+            return frames[0][1]
+        tagged = None
+        for v, df in frames:
+            t = df.withColumn("_v", F.lit(v))
+            tagged = t if tagged is None else tagged.unionByName(t)
+        vals = [c for c in frames[0][1].columns if c not in self.keys]
+        if self.mode == "add":
+            return tagged.groupBy(*self.keys).agg(
+                *[F.sum(c).cast(frames[0][1].schema[c].dataType).alias(c) for c in vals])
+        newest = tagged.groupBy(*self.keys).agg(F.max_by(F.struct(*vals), F.col("_v")).alias("_row"))
+        return newest.select(*self.keys, *[F.col(f"_row.{c}").alias(c) for c in vals])
+
+    # -- API ----------------------------------------------------------------------------------
+    def write(self, rows: DataFrame, version: int) -> None:
+        """Replace the whole table as of ``version`` (a base)."""
+        rows.write.mode("overwrite").parquet(self._path("bases", version))
+        self.bases.add(version)
 
     def latest(self, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self.written if before is None or v < before]
-        if known:
-            return self.spark.read.parquet(f"{self.root}/version={max(known)}")
-        all_v = self._versions()   # after a driver restart: find versions on storage
-        if all_v is None:
-            return None
-        cand = all_v if before is None else all_v.where(F.col("version") < before)
-        top = cand.select(F.max("version")).scalar()
-        return cand.where(F.col("version") == top).drop("version")
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/version={version}")
-        self.written.add(version)
-
-    def accumulate(self, deltas: DataFrame, batch_id: int) -> None:
-        """Additive upsert: value columns of ``deltas`` are added to the previous version's."""
-        prev = self.latest(before=batch_id)
-        if prev is None:
-            merged = deltas
-        else:
-            vals = [c for c in deltas.columns if c not in self.keys]
-            d = deltas.select(*self.keys, *[F.col(c).alias(f"_d_{c}") for c in vals])
-            j = prev.join(d, self.keys, "full_outer")
-            merged = j.select(*self.keys, *[(F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_d_{c}"), F.lit(0)))
-                                            .cast(deltas.schema[c].dataType).alias(c) for c in vals])
-        self.write(merged, batch_id)
+        """The table as of the newest version below ``before`` (all versions if None)."""
+        lim = float("inf") if before is None else before
+        bases = [v for v in self._known("bases") if v < lim]
+        b = max(bases) if bases else None
+        frames = [] if b is None else [(b, self.spark.read.parquet(self._path("bases", b)))]
+        for v in sorted(v for v in self._known("deltas") if v < lim and (b is None or v > b)):
+            frames.append((v, self.spark.read.parquet(self._path("deltas", v))))
+        return self._resolve(frames)
 
     def upsert(self, updates: DataFrame, batch_id: int) -> None:
-        prev = self.latest(before=batch_id)
-        if prev is None:
-            merged = updates
-        else:
-            vals = [c for c in updates.columns if c not in self.keys]
-            u = updates.select(*self.keys, *[F.col(c).alias(f"_new_{c}") for c in vals],
-                               F.lit(True).alias("_hit"))
-            j = prev.join(u, self.keys, "full_outer")
-            merged = j.select(*self.keys, *[
-                F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in vals])
-        self.write(merged, batch_id)
+        """Record the batch's changed rows; compact every ``compact_every`` batches."""
+        updates.write.mode("overwrite").parquet(self._path("deltas", batch_id))
+        self.deltas.add(batch_id)
+        if self.compact_every and batch_id > 0 and batch_id % self.compact_every == 0:
+            self.write(self.latest(before=batch_id + 1), batch_id)
+
+    accumulate = upsert   # with mode='add' the deltas are summed on read
 
     def handler(self, prepare: Callable[[DataFrame], DataFrame] | None = None):
         def run(batch: DataFrame, batch_id: int) -> None:
