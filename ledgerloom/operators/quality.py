@@ -136,14 +136,24 @@ def dq_orphans(links: Sequence[tuple[str, str, DataFrame, DataFrame]]) -> DataFr
     """V9: child rows whose (non-null) link has no parent; one row per distinct dangling value.
 
     ``links``: (table, column, child frame, parent frame with an ``id`` column).
-    The dangling values are found with an anti join against the parent keys.
+    Links that point at the same parent frame are unioned first, so each
+    parent is anti-joined once; child values are pre-aggregated per
+    (table, column, value) before the shuffle.
     """
-    out = None
+    by_parent: dict[int, tuple[DataFrame, list[DataFrame]]] = {}
     for table, col, child, parent in links:
-        vals = child.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("rows"))
-        d = (vals.join(parent.select(F.col("id").alias(col)), col, "left_anti")
-                 .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                         F.col(col).cast("bigint").alias("missing_id"), "rows"))
+        vals = (child.where(F.col(col).isNotNull())
+                .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
+                        F.col(col).cast("bigint").alias("missing_id"))
+                .groupBy("table_name", "column_name", "missing_id").agg(F.count(F.lit(1)).alias("rows")))
+        by_parent.setdefault(id(parent), (parent, []))[1].append(vals)
+    out = None
+    for parent, parts in by_parent.values():
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+        d = u.join(parent.select(F.col("id").cast("bigint").alias("missing_id")), "missing_id", "left_anti") \
+             .select("table_name", "column_name", "missing_id", "rows")
         out = d if out is None else out.unionByName(d)
     return out
 

@@ -207,3 +207,29 @@ def test_adjustments_refusal_does_not_count(spark):
                  "command_id bigint, product_id bigint, movement_type string, quantity int, requested_at timestamp_ntz")
     got = {r.command_id: r.outcome for r in alloc.apply_adjustments(cmds, stock).collect()}
     assert got == {1: "applied", 2: "insufficient_stock", 3: "applied", 4: "applied", 5: "applied"}
+
+
+def test_orphans_and_unique(spark):
+    from ledgerloom.operators import quality as dq
+    customers = frame(spark, [(1,), (2,)], "id bigint")
+    users = frame(spark, [(7,)], "id bigint")
+    follow = frame(spark, [(10, 1, 7), (11, 3, 7), (12, 3, 8), (13, None, 7)],
+                   "id bigint, customer_id bigint, created_by bigint")
+    reviews = frame(spark, [(20, 4)], "id bigint, customer_id bigint")
+    got = sorted(tuple(r) for r in dq.dq_orphans([
+        ("customer_follow_ups", "customer_id", follow, customers),
+        ("customer_follow_ups", "created_by", follow, users),
+        ("customer_reviews", "customer_id", reviews, customers)]).collect())
+    assert got == [("customer_follow_ups", "created_by", 8, 1), ("customer_follow_ups", "customer_id", 3, 2),
+                   ("customer_reviews", "customer_id", 4, 1)]
+    skus = frame(spark, [("A",), ("A",), ("B",), (None,), (None,)], "sku string")
+    assert [tuple(r) for r in dq.dq_unique([("products", skus, ["sku"])]).collect()] == [("products", "A", 2)]
+
+
+def test_customer_rules(spark):
+    from ledgerloom.operators import quality as dq
+    cu = frame(spark, [(1, "A", "Biz", "12345", "bad-mail", "G" * 31, "RETAIL", "LEAD", None),
+                       (2, "Asha", "Biz", "+910000000001", "a@b.co", None, "VIP", "LEAD", None)], CUSTOMERS)
+    got = sorted((r.record_id, r.rule) for r in dq.dq_customers(cu).collect())
+    assert got == [(1, "customer_name_length"), (1, "email_format"), (1, "gst_number_length"), (1, "mobile_length"),
+                   (2, "customer_type_enum")]
