@@ -14,6 +14,18 @@ from ledgerloom.config import (CHALLAN_STATUSES, DAYS_MAX, DAYS_MIN, PAGE_MAX,
 SEARCH_COLLATION = "UNICODE_CI_AI"
 
 
+def wall_time(value) -> Column:
+    """A ``timestamp_ntz`` literal for a naive datetime (or its ISO text).
+
+    Built from text, so the value never passes through a time zone (a Python
+    datetime literal would be read in the session zone).
+    """
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
+    text = value if isinstance(value, str) else value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def search_predicate(columns: Sequence[str], term: str | None) -> Column | None:
     """Substring match over several columns; empty term -> no filter.
 

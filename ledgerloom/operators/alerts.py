@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import ALERT_DETAIL_CHARS, FOLLOW_UP_HORIZON_DAYS, INBOX_SIZE
-from ledgerloom.functions.text import month_day
+from ledgerloom.functions.text import month_day, wall_time
 
 KEY = ["type", "related_type", "related_id"]
 COLUMNS = ["id", "type", "title", "detail", "priority", "related_type", "related_id", "created_at"]
@@ -74,7 +74,7 @@ def as_snapshot(live: DataFrame, created_at: dt.datetime) -> DataFrame:
     """Live alerts as stored rows (id from the key, creation time given)."""
     return live.select(alert_id(F.col("type"), F.col("related_type"), F.col("related_id")).alias("id"),
                        "type", "title", "detail", "priority", "related_type", "related_id",
-                       F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
+                       wall_time(created_at).alias("created_at"))
 
 
 def alerts_merge(stored: DataFrame, live: DataFrame, now: dt.datetime) -> DataFrame:
@@ -89,7 +89,7 @@ def alerts_merge(stored: DataFrame, live: DataFrame, now: dt.datetime) -> DataFr
     return j.select(
         F.coalesce(F.col("s_id"), alert_id(F.col("type"), F.col("related_type"), F.col("related_id"))).alias("id"),
         "type", "title", "detail", "priority", "related_type", "related_id",
-        F.coalesce(F.col("s_created_at"), F.lit(now).cast("timestamp_ntz")).alias("created_at"))
+        F.coalesce(F.col("s_created_at"), wall_time(now)).alias("created_at"))
 
 
 def stale_alerts(stored: DataFrame, live: DataFrame) -> DataFrame:
@@ -129,5 +129,5 @@ def mark_read(snapshot: DataFrame, reads: DataFrame, user_id, at: dt.datetime,
     mine = reads.where(F.col("user_id") == F.lit(user_id)).select("notification_id")
     new = targets.join(mine, "notification_id", "left_anti").select(
         "notification_id", F.lit(user_id).cast("bigint").alias("user_id"),
-        F.lit(at).cast("timestamp_ntz").alias("read_at"))
+        wall_time(at).alias("read_at"))
     return reads.select("notification_id", "user_id", "read_at").unionByName(new)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.ordered import running_sums
 from ledgerloom.session import require_checkpoint_dir
+from ledgerloom.functions.text import wall_time
 
 UNDECIDED, ACCEPTED, REJECTED = "U", "A", "R"
 
@@ -141,7 +142,7 @@ def confirm_drafts(challans: DataFrame, lines: DataFrame, stock: DataFrame, prod
                      F.lit("OUT").alias("movement_type"),
                      F.concat(F.lit("Confirmed sales challan "), F.col("challan_number")).alias("reason"),
                      F.lit("CHALLAN").alias("reference_type"), F.col("challan_id").alias("reference_id"),
-                     F.lit(at).cast("timestamp_ntz").alias("created_at")))
+                     wall_time(at).alias("created_at")))
     used = moves.groupBy("product_id").agg(F.sum("quantity_changed").alias("used"))
     new_stock = (stock.join(used, "product_id", "left")
                  .select("product_id", (F.col("available") - F.coalesce(F.col("used"), F.lit(0))).alias("available")))

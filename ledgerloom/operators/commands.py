@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.ordered import positions, running_sums
-from ledgerloom.functions.text import challan_number
+from ledgerloom.functions.text import challan_number, wall_time
 from ledgerloom.operators import quality as dq
 
 
 def _ts(at: dt.datetime) -> Column:
-    return F.lit(at).cast("timestamp_ntz")
+    return wall_time(at)
 
 
 def _first_command(commands: DataFrame, key: str, seq: str = "command_id") -> DataFrame:

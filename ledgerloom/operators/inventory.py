@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import DASHBOARD_LIST, OPENING_STOCK_REASON, PAGE_DEFAULT
 from ledgerloom.functions.ordered import running_sum
+from ledgerloom.functions.text import wall_time
 
 
 def signed_quantity() -> Column:
@@ -22,7 +23,7 @@ def signed_quantity() -> Column:
 
 def stock_levels(movements: DataFrame, until: dt.datetime | None = None) -> DataFrame:
     """Current stock per product from the ledger (optionally up to ``until``, exclusive)."""
-    m = movements if until is None else movements.where(F.col("created_at") < F.lit(until).cast("timestamp_ntz"))
+    m = movements if until is None else movements.where(F.col("created_at") < wall_time(until))
     return m.groupBy("product_id").agg(F.sum(signed_quantity()).cast("bigint").alias("current_stock"))
 
 
@@ -128,7 +129,7 @@ def opening_movements(new_products: DataFrame, created_by: Column | int = 0,
     """A product created with stock > 0 also yields one OPENING_STOCK IN movement."""
     by = created_by if isinstance(created_by, Column) else F.lit(created_by).cast("bigint")
     at = (created_at if isinstance(created_at, Column)
-          else F.lit(created_at).cast("timestamp_ntz") if created_at is not None else F.col("created_at"))
+          else wall_time(created_at) if created_at is not None else F.col("created_at"))
     return new_products.where(F.col("current_stock") > 0).select(
         F.col("id").alias("product_id"),
         F.col("current_stock").cast("int").alias("quantity_changed"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import DASHBOARD_LIST
 from ledgerloom.functions.text import (check_challan_status, check_page, csv_safe,
-                                       search_predicate)
+                                       search_predicate, wall_time)
 
 CHALLAN_SEARCH = ["challan_number", "customer_name", "business_name"]
 PRODUCT_SEARCH = ["product_name", "sku", "category"]
@@ -65,7 +65,7 @@ def keyset_page(rows: DataFrame, after: tuple[dt.datetime, int] | None, limit: i
     """Seek paging: rows strictly after the last (time, key) of the previous page."""
     if after is not None:
         t, k = after
-        tl = F.lit(t).cast("timestamp_ntz")
+        tl = wall_time(t)
         rows = rows.where((F.col(time_col) < tl) | ((F.col(time_col) == tl) & (F.col(key) < F.lit(k))))
     return newest_first(rows, time_col, key).limit(check_page(1, limit)[1])
 

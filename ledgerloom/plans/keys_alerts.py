@@ -18,6 +18,7 @@ from ledgerloom.operators import inventory as inv
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.fixtures import Fixture
+from ledgerloom.functions.text import wall_time
 
 PREV = AS_OF - dt.timedelta(days=7)
 PREV_AT = dt.datetime.combine(PREV, dt.time())
@@ -86,7 +87,7 @@ class _State:
         self.stored = al.as_snapshot(al.alerts_live(self.products_prev, customers, queries, PREV), PREV_AT)
         self.reads = self.stored.where(F.col("related_id") % 3 == 0).select(
             F.col("id").alias("notification_id"), F.lit(READER).cast("bigint").alias("user_id"),
-            F.lit(PREV_UNTIL).cast("timestamp_ntz").alias("read_at"))
+            wall_time(PREV_UNTIL).alias("read_at"))
         self.merged = al.alerts_merge(self.stored, self.live, NOW)
         self.reads_after = al.surviving_reads(self.reads, self.merged)
 

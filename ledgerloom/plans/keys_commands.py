@@ -19,6 +19,7 @@ from ledgerloom.operators import inventory as inv
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.fixtures import Fixture
+from ledgerloom.functions.text import wall_time
 
 NOW = dt.datetime.combine(AS_OF, dt.time())
 NOW_SQL = "TIMESTAMP '2001-08-01 00:00:00'"
@@ -244,7 +245,7 @@ def adjustments_fixture(spark, d):
     """Stock = ledger lines before ADJUST_FROM (no opening rows, floored at 0); commands = later lines."""
     fx = Fixture(spark, d)
     lines = fx.movements(opening=False)
-    until = F.lit(ADJUST_FROM).cast("timestamp_ntz")
+    until = wall_time(ADJUST_FROM)
     stock = inv.stock_levels(lines.where(F.col("created_at") < until)).select(
         "product_id", F.greatest(F.col("current_stock"), F.lit(0)).alias("available"))
     later = lines.where(F.col("created_at") >= until)

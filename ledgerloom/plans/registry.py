@@ -7,10 +7,13 @@ page 1 of 20, …), never row caps chosen to make a check cheap.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.session import prepare_for_fixtures
+
 Job = Callable[[SparkSession, str], DataFrame]
 
 JOBS: dict[str, Job] = {}
@@ -21,7 +24,12 @@ def register(key: str, sql: str | None = None) -> Callable[[Job], Job]:
     def deco(fn: Job) -> Job:
         if key in JOBS:
             raise KeyError(f"duplicate key {key}")
-        JOBS[key] = fn
+
+        @functools.wraps(fn)
+        def job(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(prepare_for_fixtures(spark), sf_dir)
+
+        JOBS[key] = job
         if sql is not None:
             ORACLE[key] = sql
         return fn

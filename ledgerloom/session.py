@@ -68,3 +68,17 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; iterative jobs cut lineage with "
             "checkpoint() into the cluster's shared checkpoint folder")
     return found
+
+
+def prepare_for_fixtures(spark: SparkSession) -> SparkSession:
+    """What the fixture jobs assume of a session they did not create.
+
+    The fixture times are wall-clock UTC, so the session zone is pinned to
+    UTC; a checkpoint folder is set only when the session names none (local
+    checks), never replacing the cluster's.
+    """
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if not checkpoint_dir(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-", dir="/tmp"))
+    return spark
