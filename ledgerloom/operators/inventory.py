@@ -27,6 +27,20 @@ def stock_levels(movements: DataFrame, until: dt.datetime | None = None) -> Data
     return m.groupBy("product_id").agg(F.sum(signed_quantity()).cast("bigint").alias("current_stock"))
 
 
+def stock_levels_at(movements: DataFrame, cuts: dict[str, dt.datetime | None]) -> DataFrame:
+    """Stock per product at several cut-offs in one pass over the ledger.
+
+    ``cuts`` maps an output column to an exclusive upper bound on
+    ``created_at`` (None = everything). One scan and one shuffle, however many
+    cut-offs are asked for.
+    """
+    signed = signed_quantity()
+    return movements.groupBy("product_id").agg(*[
+        F.coalesce(F.sum(signed if until is None else
+                         F.when(F.col("created_at") < wall_time(until), signed)), F.lit(0))
+        .cast("bigint").alias(name) for name, until in cuts.items()])
+
+
 def products_with_stock(products: DataFrame, levels: DataFrame) -> DataFrame:
     """P2 + P17: products with ledger stock, the inclusive low-stock flag and its label."""
     lv = levels.select(F.col("product_id").alias("id"), "current_stock")

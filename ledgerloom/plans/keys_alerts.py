@@ -79,9 +79,11 @@ class _State:
         fx = Fixture(spark, d)
         self.fx = fx
         products = fx.products()
-        moves = fx.movements()
-        self.products_now = inv.products_with_stock(products, inv.stock_levels(moves))
-        self.products_prev = inv.products_with_stock(products, inv.stock_levels(moves, until=PREV_UNTIL))
+        both = inv.stock_levels_at(fx.movements(), {"now": None, "prev": PREV_UNTIL})   # one ledger pass
+        self.products_now = inv.products_with_stock(
+            products, both.select("product_id", F.col("now").alias("current_stock")))
+        self.products_prev = inv.products_with_stock(
+            products, both.select("product_id", F.col("prev").alias("current_stock")))
         customers, queries = fx.customers(), fx.queries()
         self.live = al.alerts_live(self.products_now, customers, queries, AS_OF)
         self.stored = al.as_snapshot(al.alerts_live(self.products_prev, customers, queries, PREV), PREV_AT)
