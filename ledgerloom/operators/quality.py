@@ -80,8 +80,10 @@ def duplicate_challan_products(lines: DataFrame) -> DataFrame:
 
 def dq_challans(challans: DataFrame, lines: DataFrame) -> DataFrame:
     """V4: no items; quantity not positive; product twice in one challan."""
+    # Distinct line keys first (map-side combine): a challan with a huge number of
+    # lines is one row on the anti join's build side, not a skewed partition.
     no_items = challans.select(F.col("id").alias("challan_id")).join(
-        lines.select("challan_id"), "challan_id", "left_anti").select(
+        lines.select("challan_id").distinct(), "challan_id", "left_anti").select(
         "challan_id", F.lit("no_items").alias("rule"))
     bad_qty = lines.where(F.col("quantity").isNull() | (F.col("quantity") <= 0)).select(
         "challan_id", F.lit("quantity_not_positive").alias("rule"))

@@ -195,7 +195,8 @@ LEFT JOIN (SELECT DISTINCT customer_name, mobile FROM existing) s
     ("existing", "SELECT * FROM customers WHERE id IN (SELECT o_custkey FROM orders)")]))
 def q_ingest(spark, d):
     fx = Fixture(spark, d)
-    existing = fx.customers().join(fx.table("orders").select(F.col("o_custkey").alias("id")), "id", "left_semi")
+    buyers = fx.table("orders").select(F.col("o_custkey").alias("id")).distinct()
+    existing = fx.customers().join(buyers, "id", "left_semi")
     incoming = fx.customers(with_address=True)
     return cm.ingest_customers(existing, incoming)
 
