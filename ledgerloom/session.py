@@ -42,7 +42,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not checkpoint_dir(spark):
+    if not checkpoint_dir(spark) and _is_local(spark):
         # Tests and local runs only: a fresh scratch folder per session.
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-", dir="/tmp"))
     return spark
@@ -79,6 +79,11 @@ def prepare_for_fixtures(spark: SparkSession) -> SparkSession:
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if not checkpoint_dir(spark):
+    if not checkpoint_dir(spark) and _is_local(spark):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-", dir="/tmp"))
     return spark
+
+
+def _is_local(spark: SparkSession) -> bool:
+    """A scratch folder on this machine is only shared by all tasks in local mode."""
+    return spark.sparkContext.master.startswith("local")
