@@ -29,7 +29,12 @@ def window_start(as_of: dt.date, days: int) -> Column:
 
 
 def confirmed_in_window(challans: DataFrame, as_of: dt.date, days: int) -> DataFrame:
-    return challans.where((F.col("status") == "CONFIRMED") & (F.col("confirmed_at") >= window_start(as_of, days)))
+    pred = (F.col("status") == "CONFIRMED") & (F.col("confirmed_at") >= window_start(as_of, days))
+    if "confirmed_month" in challans.columns:
+        # Stored layout (sources/domain.py): the month partition column prunes whole folders.
+        first_month = F.date_format(F.date_sub(F.lit(as_of), days), "yyyy-MM")
+        pred = pred & (F.col("confirmed_month") >= first_month)
+    return challans.where(pred)
 
 
 def sales_lines(challans: DataFrame, items: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
