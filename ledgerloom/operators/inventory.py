@@ -23,7 +23,11 @@ def signed_quantity() -> Column:
 
 def stock_levels(movements: DataFrame, until: dt.datetime | None = None) -> DataFrame:
     """Current stock per product from the ledger (optionally up to ``until``, exclusive)."""
-    m = movements if until is None else movements.where(F.col("created_at") < wall_time(until))
+    m = movements
+    if until is not None:
+        m = m.where(F.col("created_at") < wall_time(until))
+        if "created_month" in m.columns:   # stored layout: prune later month folders
+            m = m.where(F.col("created_month") <= F.lit(until.strftime("%Y-%m")))
     return m.groupBy("product_id").agg(F.sum(signed_quantity()).cast("bigint").alias("current_stock"))
 
 
