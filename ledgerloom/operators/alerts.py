@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import ALERT_DETAIL_CHARS, FOLLOW_UP_HORIZON_DAYS, INBOX_SIZE
-from ledgerloom.functions.text import month_day, wall_time
+from ledgerloom.functions.text import month_day, type_label, wall_time
 
 KEY = ["type", "related_type", "related_id"]
 COLUMNS = ["id", "type", "title", "detail", "priority", "related_type", "related_id", "created_at"]
@@ -108,7 +108,8 @@ def inbox(snapshot: DataFrame, reads: DataFrame, user_id, n: int = INBOX_SIZE) -
         F.col("notification_id").alias("id"), "read_at")
     j = snapshot.join(mine, "id", "left")
     return (j.orderBy(F.col("read_at").isNull().desc(), F.desc("created_at"), F.asc("id")).limit(n)
-             .select("id", "type", "title", "detail", "priority", "read_at", "created_at"))
+             .select("id", "type", type_label(F.col("type")).alias("type_label"), "title", "detail", "priority",
+                     "read_at", "created_at"))
 
 
 def unread_count(snapshot: DataFrame, reads: DataFrame, user_id) -> DataFrame:

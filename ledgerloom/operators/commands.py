@@ -78,14 +78,19 @@ def approval_movements(decisions: DataFrame, reviewer, at: dt.datetime) -> DataF
 def query_transitions(queries: DataFrame, commands: DataFrame, at: dt.datetime) -> DataFrame:
     """Commands (command_id, query_id, action in reply/resolve) in command order.
 
-    A question is closed for a command when it started RESOLVED or an earlier
+    When commands carry ``customer_id``, a question of another customer is
+    ``not_found`` (P15). A question is closed for a command when it started RESOLVED or an earlier
     command in the batch resolved it. A reply to a closed question conflicts;
     a resolve of a closed one finds no open question (``not_found``). A reply
     moves OPEN to IN_PROGRESS. Closed-before is a running count, split by
     command-id blocks so one busy question is spread over many tasks.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("status").alias("initial"))
+    q = queries.select(F.col("id").alias("query_id"), F.col("customer_id").alias("_owner"),
+                       F.col("status").alias("initial"))
     j = commands.join(q, "query_id", "left")
+    if "customer_id" in commands.columns:
+        # The question must belong to the customer named in the command.
+        j = j.withColumn("initial", F.when(F.col("_owner") == F.col("customer_id"), F.col("initial")))
     is_resolve = (F.col("action") == "resolve").cast("int")
     s = running_sums(j, ["query_id"], ["command_id"], {"resolves_before": is_resolve},
                      bucket=F.floor(F.col("command_id") / 4096), inclusive=False)

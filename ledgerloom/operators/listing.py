@@ -95,6 +95,11 @@ def search_customers(customers: DataFrame, term: str | None = None) -> DataFrame
     return customers if pred is None else customers.where(pred)
 
 
+def user_by_email(users: DataFrame, email: str) -> DataFrame:
+    """Case-insensitive e-mail equality (the sign-in lookup)."""
+    return users.where(F.lower(F.col("email")) == F.lower(F.lit(email)))
+
+
 def by_id(rows: DataFrame, key_value, key: str = "id") -> DataFrame:
     """S3: point lookup (a pushed-down equality filter)."""
     return rows.where(F.col(key) == F.lit(key_value))

@@ -160,7 +160,8 @@ def q_stale(spark, d):
 
 
 @register("inbox", _sql(f"""
-SELECT m.id, m.type, m.title, m.detail, m.priority, r.read_at, m.created_at
+SELECT m.id, m.type, lower(regexp_replace(m.type, '_', ' ')) AS type_label, m.title, m.detail, m.priority,
+       r.read_at, m.created_at
 FROM merged m LEFT JOIN (SELECT * FROM surviving WHERE user_id = {READER}) r ON r.notification_id = m.id
 ORDER BY (r.read_at IS NULL) DESC, m.created_at DESC, m.id ASC LIMIT 30"""))
 def q_inbox(spark, d):

@@ -233,3 +233,17 @@ def test_customer_rules(spark):
     got = sorted((r.record_id, r.rule) for r in dq.dq_customers(cu).collect())
     assert got == [(1, "customer_name_length"), (1, "email_format"), (1, "gst_number_length"), (1, "mobile_length"),
                    (2, "customer_type_enum")]
+
+
+def test_question_must_belong_to_customer_and_email_lookup(spark, scratch):
+    q = frame(spark, [(1, 5, "s", "m", "OPEN", "LOW", 1)], QUERIES)
+    cmds = frame(spark, [(10, 1, "reply", 5), (11, 1, "reply", 6)],
+                 "command_id bigint, query_id bigint, action string, customer_id bigint")
+    got = {r.command_id: r.outcome for r in cm.query_transitions(q, cmds, ts(AS_OF)).collect()}
+    assert got == {10: "applied", 11: "not_found"}
+    users = _users(spark)
+    assert [r.id for r in listing.user_by_email(users, "B@X.TEST").collect()] == [2]
+    from ledgerloom.sources.sinks import write_json_documents
+    doc = spark.createDataFrame([(1, [(1, "x")])], "id bigint, items array<struct<pos:int, name:string>>")
+    write_json_documents(doc, scratch + "/docs")
+    assert spark.read.json(scratch + "/docs").collect()[0].items[0].name == "x"
