@@ -56,31 +56,42 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
 
     order = ["seq_ts", "seq_id", "request_id", "line_no"]
     rounds = 0
+    total = status.count()
     undecided = status.where(F.col("status") == UNDECIDED).count()
     while undecided > 0:
         rounds += 1
-        # Only products touched by an undecided request can change anything;
-        # the others' rows drop out of the round (later rounds shrink fast).
-        open_req = status.where(F.col("status") == UNDECIDED).select("request_id")
-        active = rows.join(open_req, "request_id", "left_semi").select("product_id").distinct()
-        r = rows.join(active, "product_id", "left_semi").join(status, "request_id", "inner")
+        if undecided * 4 > total:
+            # Most requests still open: evaluate every row, one grouping gives every status.
+            r = rows.join(status, "request_id", "inner")
+        else:
+            # Few open: only products touched by an undecided request can change
+            # anything; the other products' rows drop out of the round.
+            open_req = status.where(F.col("status") == UNDECIDED).select("request_id")
+            active = rows.join(open_req, "request_id", "left_semi").select("product_id").distinct()
+            r = rows.join(active, "product_id", "left_semi").join(status, "request_id", "inner")
         hi_q = F.when(F.col("status") != REJECTED, F.col("qty")).otherwise(F.lit(0))
         lo_q = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
         sums = running_sums(r, ["product_id"], order, {"hi": hi_q, "lo": lo_q},
                             bucket=F.to_date("seq_ts"), inclusive=False)
-        item = sums.where(F.col("status") == UNDECIDED).select(
-            "request_id",
+        item = sums.select(
+            "request_id", "status",
             (F.col("is_supply") | (F.col("available") - F.col("hi") >= F.col("qty"))).alias("sure_ok"),
             (~F.col("is_supply") & (F.col("available") - F.col("lo") < F.col("qty"))).alias("sure_short"))
         decided = item.groupBy("request_id").agg(
+            F.first("status").alias("old"),
             F.min(F.col("sure_ok").cast("int")).alias("all_ok"),
             F.max(F.col("sure_short").cast("int")).alias("any_short"))
-        status = status.join(decided, "request_id", "left").select(
-            "request_id",
-            F.when(F.col("status") != UNDECIDED, F.col("status"))
-             .when(F.col("all_ok") == 1, F.lit(ACCEPTED))
-             .when(F.col("any_short") == 1, F.lit(REJECTED))
-             .otherwise(F.lit(UNDECIDED)).alias("status")).checkpoint(eager=True)
+        new_status = (F.when(F.col("old") != UNDECIDED, F.col("old"))
+                      .when(F.col("all_ok") == 1, F.lit(ACCEPTED))
+                      .when(F.col("any_short") == 1, F.lit(REJECTED))
+                      .otherwise(F.lit(UNDECIDED)))
+        if undecided * 4 > total:
+            status = decided.select("request_id", new_status.alias("status")).checkpoint(eager=True)
+        else:
+            upd = decided.select("request_id", new_status.alias("new"))
+            status = (status.join(upd, "request_id", "left")
+                      .select("request_id", F.coalesce(F.col("new"), F.col("status")).alias("status"))
+                      .checkpoint(eager=True))
         left = status.where(F.col("status") == UNDECIDED).count()
         if left >= undecided:   # cannot happen: the earliest undecided request is always decided
             raise RuntimeError(f"allocation made no progress in round {rounds} ({left} undecided)")
