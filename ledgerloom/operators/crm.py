@@ -1,8 +1,8 @@
 """CRM views: N1, N2, A16, J7-J9, P9, P11, T4, A2-A3.
 
 Nested results (customer -> follow-ups, question -> replies) are built from
-pre-aggregated, bounded chunks (``nest_ordered``) and attached with a left
-join, so a parent without children keeps one row with an empty array.
+pre-aggregated, bounded chunks (``nest_ordered``) and attached to their
+parents; a parent without children keeps one row with an empty array.
 """
 
 from __future__ import annotations
@@ -22,12 +22,18 @@ def _authors(users: DataFrame, key: str = "created_by", name: str = "created_by_
 
 
 def _attach(parents: DataFrame, parent_key: str, nested: DataFrame, child_key: str, arr: str) -> DataFrame:
-    """Left-join bounded child chunks; parents without children get chunk 0 and []."""
+    """Parents with their bounded child chunks; parents without children get chunk 0 and [].
+
+    Written as an inner join (AQE can split a skewed side of an inner join,
+    not the outer side of a left join) plus the childless parents found by an
+    anti join against the distinct child keys.
+    """
     n = nested.withColumnRenamed(child_key, parent_key)
-    j = parents.join(n, parent_key, "left")
+    with_children = parents.join(n, parent_key, "inner")
     empty = F.array().cast(nested.schema[arr].dataType)
-    return (j.withColumn("chunk_no", F.coalesce(F.col("chunk_no"), F.lit(0)))
-             .withColumn(arr, F.coalesce(F.col(arr), empty)))
+    childless = (parents.join(n.select(parent_key).distinct(), parent_key, "left_anti")
+                 .withColumn("chunk_no", F.lit(0)).withColumn(arr, empty))
+    return with_children.unionByName(childless)
 
 
 def _newest_first_bucket(col: str):

@@ -135,3 +135,19 @@ def test_ledger_sum_is_last_running_balance(spark):
     bal = inv.stock_running_balance(mv)
     last = bal.groupBy("product_id").agg(F.max_by("balance", "created_at").alias("current_stock"))
     assert sorted(last.collect()) == sorted(inv.stock_levels(mv).collect())
+
+
+def test_bounded_chunks_reassemble(spark):
+    from ledgerloom.functions.ordered import nest_ordered
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i, rng.randint(0, 9)) for i in range(60)]
+    df = frame(spark, rows, "k bigint, i bigint, v bigint")
+    nested = nest_ordered(df, ["k"], ["v", "i"], ["i", "v"], "xs", chunk_size=4, bucket=F.col("v"))
+    got = defaultdict(list)
+    for r in sorted(nested.collect(), key=lambda r: (r.k, r.chunk_no)):
+        assert len(r.xs) <= 4
+        got[r.k].extend((x.i, x.v) for x in r.xs)
+    want = defaultdict(list)
+    for k, i, v in sorted(rows, key=lambda t: (t[0], t[2], t[1])):
+        want[k].append((i, v))
+    assert dict(got) == dict(want)
