@@ -14,7 +14,7 @@ import math
 import sys
 import time
 
-from ledgerloom.sources.tables import SOURCE_SCHEMAS, table_path
+from ledgerloom.sources.tables import table_path
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -118,4 +118,3 @@ def main(argv):
 
 if __name__ == "__main__":
     main(sys.argv)
-    _ = SOURCE_SCHEMAS

@@ -8,8 +8,6 @@ travels through the driver.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,7 +238,3 @@ class Fixture:
 
     def request_log(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("client_id"), F.col("ts"))
-
-    @cached_property
-    def as_of(self):
-        return AS_OF
