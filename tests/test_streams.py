@@ -13,13 +13,13 @@ from ledgerloom.streaming import jobs
 from .conftest import SF_SMALL
 
 
-def _land(spark, scratch, name, order_col, parts, extra=None):
+def _land(spark, scratch, name, order_col, parts, extra=None, reverse=False):
     """Land a table as ``parts`` files, appended one after another in ``order_col`` order."""
     df = load(spark, SF_SMALL, name)
     if extra is not None:
         df = df.unionByName(extra)
     ranked = df.withColumn("_part", F.ntile(parts).over(Window.orderBy(order_col)))   # test data only
-    for k in range(1, parts + 1):
+    for k in (range(parts, 0, -1) if reverse else range(1, parts + 1)):
         ranked.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{scratch}/{name}")
 
 
@@ -34,6 +34,15 @@ def test_stock_levels_stream_equals_batch_with_replays(spark, scratch):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_stock_levels_stream_late_arrivals_are_kept(spark, scratch):
+    _land(spark, scratch, "lineitem", "l_shipdate", 4, reverse=True)    # newest movements land first
+    _land(spark, scratch, "part", "p_partkey", 1)
+    fs = Fixture(spark, scratch, streams={"lineitem", "part"}, max_files_per_trigger=1)
+    got = jobs.stream_stock_levels(spark, fs.movements())
+    want = inv.stock_levels(Fixture(spark, SF_SMALL).movements())
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_rate_violations_stream_equals_batch(spark, scratch):
     _land(spark, scratch, "events", "ts", 3)
     fs = Fixture(spark, scratch, streams={"events"}, max_files_per_trigger=1)
