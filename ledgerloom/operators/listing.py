@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DASHBOARD_LIST
@@ -60,13 +60,19 @@ def page(rows: DataFrame, page_no: int = 1, limit: int = 20, time_col: str = "cr
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
-def keyset_page(rows: DataFrame, after: tuple[dt.datetime, int] | None, limit: int = 20,
+def keyset_page(rows: DataFrame, after: tuple | None, limit: int = 20,
                 time_col: str = "created_at", key: str = "id") -> DataFrame:
-    """Seek paging: rows strictly after the last (time, key) of the previous page."""
+    """Seek paging: the rows strictly after (time, key) of the previous page's last row.
+
+    ``after`` holds Python values or Columns (e.g. scalar subqueries). Unlike
+    ``offset``, the cost does not grow with the page number: the predicate
+    filters before the top-k.
+    """
     if after is not None:
         t, k = after
-        tl = wall_time(t)
-        rows = rows.where((F.col(time_col) < tl) | ((F.col(time_col) == tl) & (F.col(key) < F.lit(k))))
+        tl = t if isinstance(t, Column) else wall_time(t)
+        kl = k if isinstance(k, Column) else F.lit(k)
+        rows = rows.where((F.col(time_col) < tl) | ((F.col(time_col) == tl) & (F.col(key) < kl)))
     return newest_first(rows, time_col, key).limit(check_page(1, limit)[1])
 
 

@@ -119,3 +119,16 @@ SELECT {_safe('challan_number')} AS challan, {_safe('customer_name')} AS custome
 FROM ({_LIST_SQL}) ORDER BY created_at DESC NULLS LAST, id DESC""", "challans", "customers", "users"))
 def q_challan_export(spark, d):
     return ls.challan_export(challan_rows(Fixture(spark, d)))
+
+
+@register("challan_page_keyset", with_views(f"""
+SELECT * FROM ({_LIST_SQL}) l
+WHERE (l.created_at, l.id) < (SELECT (created_at, id) FROM ({_LIST_SQL}) ORDER BY created_at DESC NULLS LAST, id DESC
+                              LIMIT 1 OFFSET {(PAGE_NO - 1) * PAGE_SIZE - 1})
+ORDER BY created_at DESC NULLS LAST, id DESC LIMIT {PAGE_SIZE}""", "challans", "customers", "users"))
+def q_challan_page_keyset(spark, d):
+    # The same page as ``challan_page``, reached by seeking past the last row of the previous page.
+    rows = challan_rows(Fixture(spark, d))
+    last = ls.newest_first(rows).offset((PAGE_NO - 1) * PAGE_SIZE - 1).limit(1)
+    after = (last.select("created_at").scalar(), last.select("id").scalar())
+    return ls.keyset_page(rows, after, PAGE_SIZE)
