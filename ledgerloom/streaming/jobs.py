@@ -12,13 +12,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ledgerloom.config import RATE_WINDOW
+from ledgerloom.functions.ordered import running_sum
 from ledgerloom.operators import alerts as al
 from ledgerloom.operators import inventory as inv
 from ledgerloom.operators import sales
@@ -155,49 +154,62 @@ def rate_violations(spark: SparkSession, requests: DataFrame, limit: int, proces
 LOW_STOCK_EVENT_SCHEMA = T.StructType([
     T.StructField("product_id", T.LongType()), T.StructField("changed_at", T.TimestampNTZType()),
     T.StructField("event", T.StringType()), T.StructField("current_stock", T.LongType())])
-_STATE_SCHEMA = T.StructType([T.StructField("stock", T.LongType()), T.StructField("low", T.BooleanType())])
 
 
-def _low_stock_transitions(key, pdfs, state):
-    """Per product: fold this batch's movements (in time order) into (stock, low); emit flips.
+def low_stock_transitions(movements: DataFrame, products: DataFrame, state: DataFrame | None) -> tuple:
+    """ST5 for one micro-batch: (events, new state) from the batch and the previous state.
 
-    Movements at one instant are applied together. The first observation of
-    a product emits ``entered_low`` when it starts low.
+    Movements at one instant are one step. The balance after each step is the
+    previous state's stock plus a running sum of the batch's steps (split by
+    day, so a hot product is spread over tasks); a step flips the flag when
+    ``balance - delta`` and ``balance`` fall on different sides of the
+    minimum, so no ordered ``lag`` is needed. A product never seen before
+    emits ``entered_low`` on its first step when it starts low.
     """
-    (product_id,) = key
-    stock, low = (state.get if state.exists else (0, None))
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    minimum = int(pdf["minimum_stock_alert_quantity"].iloc[0])
-    steps = pdf.groupby("created_at", sort=True)["signed"].sum()
-    out = []
-    for at, delta in steps.items():
-        stock += int(delta)
-        now_low = stock <= minimum
-        if (low is None and now_low) or (low is not None and now_low != low):
-            out.append((product_id, at, "entered_low" if now_low else "left_low", stock))
-        low = now_low
-    state.update((stock, low))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in LOW_STOCK_EVENT_SCHEMA.fields])
-
-
-def low_stock_changes(movements: DataFrame, products: DataFrame) -> DataFrame:
-    """ST5: keyed state per product (``applyInPandasWithState``)."""
-    m = movements.join(products.select(F.col("id").alias("product_id"), "minimum_stock_alert_quantity"),
-                       "product_id", "inner").select(
-        "product_id", "created_at", inv.signed_quantity().cast("bigint").alias("signed"),
-        "minimum_stock_alert_quantity")
-    return m.groupBy("product_id").applyInPandasWithState(
-        _low_stock_transitions, LOW_STOCK_EVENT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    steps = movements.groupBy("product_id", "created_at").agg(
+        F.sum(inv.signed_quantity()).cast("bigint").alias("delta"))
+    mins = products.select(F.col("id").alias("product_id"), "minimum_stock_alert_quantity")
+    prev = (state if state is not None else
+            movements.sparkSession.createDataFrame([], "product_id bigint, stock bigint, low boolean"))
+    first = steps.groupBy("product_id").agg(F.min("created_at").alias("_first_at"))
+    s = (steps.join(mins, "product_id", "inner").join(first, "product_id", "inner")
+         .join(prev.select("product_id", F.col("stock").alias("_prev_stock")), "product_id", "left"))
+    run = running_sum(s, ["product_id"], ["created_at"], "delta", "_cum", bucket=F.to_date("created_at"))
+    after = F.coalesce(F.col("_prev_stock"), F.lit(0)) + F.col("_cum")
+    rows = run.select("product_id", "created_at", "delta", "minimum_stock_alert_quantity", "_prev_stock",
+                      "_first_at", after.alias("stock"))
+    low_after = F.col("stock") <= F.col("minimum_stock_alert_quantity")
+    low_before = (F.col("stock") - F.col("delta")) <= F.col("minimum_stock_alert_quantity")
+    unseen_first = F.col("_prev_stock").isNull() & (F.col("created_at") == F.col("_first_at"))
+    flip = F.when(unseen_first, low_after).otherwise(low_after != low_before)
+    events = rows.where(flip).select(
+        "product_id", F.col("created_at").alias("changed_at"),
+        F.when(low_after, "entered_low").otherwise("left_low").alias("event"),
+        F.col("stock").alias("current_stock"))
+    last = rows.groupBy("product_id").agg(
+        F.max_by(F.struct(F.col("stock"), low_after.alias("low")), F.col("created_at")).alias("_s"))
+    new_state = last.select("product_id", F.col("_s.stock").alias("stock"), F.col("_s.low").alias("low"))
+    return events, new_state
 
 
 def stream_low_stock_changes(spark: SparkSession, movements: DataFrame, products: DataFrame,
                              processing_time: str | None = None, root: str | None = None) -> DataFrame:
+    """ST5: emit a row when a product enters or leaves low stock.
+
+    The per-product state (stock, low) is a keyed snapshot versioned by batch
+    id; each micro-batch only touches the products it moved.
+    """
     root = root or stream_root(spark, "low_stock")
+    state = KeyedSnapshot(spark, f"{root}/state", ["product_id"])
     log = AppendLog(spark, f"{root}/data")
-    _run(low_stock_changes(movements, products), log.handler(), root, "append", processing_time)
+    write_events = log.handler()
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        events, new_state = low_stock_transitions(batch, products, state.latest(before=batch_id))
+        write_events(events, batch_id)
+        state.upsert(new_state, batch_id)
+
+    _run(movements, run, root, "append", processing_time)
     return log.result(LOW_STOCK_EVENT_SCHEMA) if processing_time is None else None
 
 
