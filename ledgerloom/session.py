@@ -28,6 +28,35 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (~1000 executors, ~100 TB of input), applied as
+# runtime SQL settings with ``apply_cluster_settings``. Sizing: the largest
+# shuffles are line-level (challan ⋈ items, ledger windows, allocation
+# rounds); after projection that is on the order of 15-20 TB, i.e. ~65k
+# partitions of ~256 MB, which AQE coalesces for smaller stages. Scans use
+# 512 MB splits (~200k scan tasks, ~50 waves on 4,000 cores).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "65536",
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def apply_cluster_settings(spark: SparkSession, overrides: dict | None = None) -> SparkSession:
+    """Apply ``CLUSTER_CONF`` (and overrides) to a running session's SQL settings."""
+    for key, value in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "ledgerloom", extra: dict | None = None) -> SparkSession:
     """Local/test session. Sets a checkpoint folder only when none is configured."""
