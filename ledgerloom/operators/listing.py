@@ -7,7 +7,6 @@ deterministic (Q12). ``keyset_page`` offers the seek form for deep pages.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
