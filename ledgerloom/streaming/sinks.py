@@ -43,22 +43,22 @@ class KeyedSnapshot:
         self.keys = list(keys)
         self.mode = mode
         self.compact_every = compact_every
-        self.deltas: set[int] = set()   # versions written by this driver (avoids listing storage)
-        self.bases: set[int] = set()
+        # Versions known to this driver: listed from storage once (a restarted
+        # driver continues the table), then kept up to date by our own writes.
+        self._versions_of: dict[str, set[int] | None] = {"deltas": None, "bases": None}
 
     # -- storage --------------------------------------------------------------------------
     def _path(self, kind: str, version: int) -> str:
         return f"{self.root}/{kind}/version={version}"
 
     def _known(self, kind: str) -> set[int]:
-        mine = self.deltas if kind == "deltas" else self.bases
-        if mine:
-            return mine
-        try:   # after a driver restart: the versions present on storage
-            found = self.spark.read.parquet(f"{self.root}/{kind}").select("version").distinct()
-            return {r.version for r in found.toLocalIterator()}
-        except Exception:  # noqa: BLE001 — nothing written yet
-            return set()
+        if self._versions_of[kind] is None:
+            try:
+                found = self.spark.read.parquet(f"{self.root}/{kind}").select("version").distinct()
+                self._versions_of[kind] = {r.version for r in found.toLocalIterator()}
+            except Exception:  # noqa: BLE001 — nothing written yet
+                self._versions_of[kind] = set()
+        return self._versions_of[kind]
 
     def _resolve(self, frames: list[tuple[int, DataFrame]]) -> DataFrame | None:
         if not frames:
@@ -80,12 +80,17 @@ class KeyedSnapshot:
     def write(self, rows: DataFrame, version: int) -> None:
         """Replace the whole table as of ``version`` (a base)."""
         rows.write.mode("overwrite").parquet(self._path("bases", version))
-        self.bases.add(version)
+        self._known("bases").add(version)
 
-    def latest(self, before: int | None = None) -> DataFrame | None:
-        """The table as of the newest version below ``before`` (all versions if None)."""
+    def latest(self, before: int | None = None, base_before: int | None = None) -> DataFrame | None:
+        """The table as of the newest version below ``before`` (all versions if None).
+
+        ``base_before`` limits which compacted bases may be used (compaction of
+        a replayed batch must not start from that batch's own earlier base).
+        """
         lim = float("inf") if before is None else before
-        bases = [v for v in self._known("bases") if v < lim]
+        blim = lim if base_before is None else min(lim, base_before)
+        bases = [v for v in self._known("bases") if v < blim]
         b = max(bases) if bases else None
         frames = [] if b is None else [(b, self.spark.read.parquet(self._path("bases", b)))]
         for v in sorted(v for v in self._known("deltas") if v < lim and (b is None or v > b)):
@@ -95,9 +100,9 @@ class KeyedSnapshot:
     def upsert(self, updates: DataFrame, batch_id: int) -> None:
         """Record the batch's changed rows; compact every ``compact_every`` batches."""
         updates.write.mode("overwrite").parquet(self._path("deltas", batch_id))
-        self.deltas.add(batch_id)
+        self._known("deltas").add(batch_id)
         if self.compact_every and batch_id > 0 and batch_id % self.compact_every == 0:
-            self.write(self.latest(before=batch_id + 1), batch_id)
+            self.write(self.latest(before=batch_id + 1, base_before=batch_id), batch_id)
 
     accumulate = upsert   # with mode='add' the deltas are summed on read
 

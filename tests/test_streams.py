@@ -74,13 +74,17 @@ def test_keyed_snapshot_deltas_compaction_and_replay(spark, scratch):
     snap = KeyedSnapshot(spark, scratch + "/replace", ["k"], compact_every=2)
     snap.upsert(spark.createDataFrame([("a", 1), ("b", 2)], schema), 0)
     snap.upsert(spark.createDataFrame([("b", 3)], schema), 1)
-    snap.upsert(spark.createDataFrame([("c", 5)], schema), 2)          # compacts into a base
+    snap.upsert(spark.createDataFrame([("c", 4)], schema), 2)          # compacts into a base
+    snap.upsert(spark.createDataFrame([("c", 5)], schema), 2)          # replay of the compacting batch
     snap.upsert(spark.createDataFrame([("a", 9)], schema), 3)
     snap.upsert(spark.createDataFrame([("a", 7)], schema), 3)          # replayed batch: same result
     assert sorted(snap.result().collect()) == [("a", 7), ("b", 3), ("c", 5)]
     assert sorted(snap.latest(before=2).collect()) == [("a", 1), ("b", 3)]
     restarted = KeyedSnapshot(spark, scratch + "/replace", ["k"], compact_every=2)   # new driver
     assert sorted(restarted.result().collect()) == [("a", 7), ("b", 3), ("c", 5)]
+    again = KeyedSnapshot(spark, scratch + "/replace", ["k"], compact_every=2)       # writes first
+    again.upsert(spark.createDataFrame([("d", 1)], schema), 5)
+    assert sorted(again.result().collect()) == [("a", 7), ("b", 3), ("c", 5), ("d", 1)]
     add = KeyedSnapshot(spark, scratch + "/add", ["k"], mode="add")
     add.accumulate(spark.createDataFrame([("a", 1), ("b", 2)], schema), 0)
     add.accumulate(spark.createDataFrame([("a", 5)], schema), 1)
