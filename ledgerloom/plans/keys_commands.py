@@ -226,7 +226,85 @@ def q_cascade(spark, d):
                                        fx.replies(), fx.reviews())
 
 
-# -- W5 and W8 (sequential semantics: checked against a one-at-a-time loop in tests) ---------
+# One-at-a-time oracles (recursive SQL: one step per draft / command, in arrival order).
+# The stock is carried as a list indexed by product key, which relies on the
+# fixture's dense part keys 0..n-1 (an oracle-only shortcut for O(1) lookups).
+SQL_CONFIRM_DRAFTS = """
+WITH RECURSIVE
+stock0 AS (
+  SELECT l_partkey AS product_id,
+         GREATEST(SUM(CASE WHEN l_returnflag = 'N' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END), 0) AS available
+  FROM lineitem GROUP BY l_partkey),
+batch AS (SELECT o_orderkey AS challan_id, o_orderdate AS requested_at FROM orders WHERE o_orderstatus = 'O'),
+items AS (
+  SELECT l_orderkey AS challan_id, l_partkey AS product_id, CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS qty,
+         MIN(l_linenumber) AS line_no
+  FROM lineitem WHERE l_orderkey IN (SELECT challan_id FROM batch) GROUP BY l_orderkey, l_partkey),
+flags AS (
+  SELECT i.challan_id, COUNT(*) AS n_items, MAX(CASE WHEN p.p_partkey IS NULL THEN 1 ELSE 0 END) AS missing
+  FROM items i LEFT JOIN part p ON p.p_partkey = i.product_id GROUP BY i.challan_id),
+pre AS (
+  SELECT b.challan_id, b.requested_at,
+         CASE WHEN COALESCE(f.n_items, 0) = 0 THEN 'invalid' WHEN f.missing = 1 THEN 'product_missing' END AS pre_outcome
+  FROM batch b LEFT JOIN flags f ON f.challan_id = b.challan_id),
+elig AS (
+  SELECT p.challan_id, ROW_NUMBER() OVER (ORDER BY p.requested_at, p.challan_id) AS rn,
+         (SELECT list(struct_pack(product_id := i.product_id, qty := i.qty) ORDER BY i.line_no, i.product_id)
+          FROM items i WHERE i.challan_id = p.challan_id) AS its
+  FROM pre p WHERE p.pre_outcome IS NULL),
+stock_list AS (
+  SELECT list(COALESCE(s.available, 0) ORDER BY p.p_partkey) AS stock
+  FROM part p LEFT JOIN stock0 s ON s.product_id = p.p_partkey),
+r(rn, stock, challan_id, ok, short_product_id, short_available) AS (
+  SELECT 0, (SELECT stock FROM stock_list), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT),
+         CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT e.rn,
+         CASE WHEN list_bool_and(list_transform(e.its, lambda x: r.stock[x.product_id + 1] >= x.qty))
+              THEN list_transform(r.stock, lambda v, i: v - COALESCE(list_sum(list_transform(
+                       list_filter(e.its, lambda x: x.product_id + 1 = i), lambda x: x.qty)), 0))
+              ELSE r.stock END,
+         e.challan_id,
+         list_bool_and(list_transform(e.its, lambda x: r.stock[x.product_id + 1] >= x.qty)),
+         list_filter(e.its, lambda x: r.stock[x.product_id + 1] < x.qty)[1].product_id,
+         r.stock[list_filter(e.its, lambda x: r.stock[x.product_id + 1] < x.qty)[1].product_id + 1]
+  FROM r JOIN elig e ON e.rn = r.rn + 1)
+SELECT p.challan_id,
+       COALESCE(p.pre_outcome, CASE WHEN r.ok THEN 'applied' ELSE 'insufficient_stock' END) AS outcome,
+       CASE WHEN r.ok THEN NULL ELSE r.short_product_id END AS short_product_id,
+       CASE WHEN r.ok THEN NULL ELSE r.short_available END AS short_available
+FROM pre p LEFT JOIN r ON r.challan_id = p.challan_id
+"""
+
+_ADJ_CTES = [
+    ("lines", "SELECT * FROM movements WHERE reference_type <> 'OPENING_STOCK'"),
+    ("stock0", """SELECT product_id, GREATEST(SUM(CASE WHEN movement_type = 'IN' THEN quantity_changed
+                                                    ELSE -quantity_changed END), 0) AS available
+                  FROM lines WHERE created_at < TIMESTAMP '2001-08-02 00:00:00' GROUP BY product_id"""),
+    ("cmds", """SELECT ROW_NUMBER() OVER (ORDER BY created_at, reason, movement_type, quantity_changed, created_by)
+                       AS command_id, product_id, movement_type, quantity_changed AS quantity,
+                       created_at AS requested_at
+                FROM lines WHERE created_at >= TIMESTAMP '2001-08-02 00:00:00'"""),
+    ("stock_list", """SELECT list(CAST(COALESCE(s.available, 0) AS BIGINT) ORDER BY p.p_partkey) AS stock
+                      FROM part p LEFT JOIN stock0 s ON s.product_id = p.p_partkey"""),
+    ("r(command_id, stock, ok)", """
+  SELECT CAST(0 AS BIGINT), (SELECT stock FROM stock_list), CAST(NULL AS BOOLEAN)
+  UNION ALL
+  SELECT c.command_id,
+         CASE WHEN c.movement_type = 'IN' OR r.stock[c.product_id + 1] >= c.quantity
+              THEN list_transform(r.stock, lambda v, i: CASE WHEN i = c.product_id + 1 THEN
+                       v + CASE WHEN c.movement_type = 'IN' THEN c.quantity ELSE -c.quantity END ELSE v END)
+              ELSE r.stock END,
+         c.movement_type = 'IN' OR r.stock[c.product_id + 1] >= c.quantity
+  FROM r JOIN cmds c ON c.command_id = r.command_id + 1"""),
+]
+SQL_APPLY_ADJUSTMENTS = with_views("""
+SELECT c.command_id, c.product_id, c.movement_type, c.quantity, c.requested_at,
+       CASE WHEN r.ok THEN 'applied' ELSE 'insufficient_stock' END AS outcome
+FROM cmds c JOIN r ON r.command_id = c.command_id""", "movements", extra=_ADJ_CTES).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# -- W5 and W8 (sequential semantics: checked against one-at-a-time processing) ---------------
 def confirm_drafts_fixture(spark, d):
     fx = Fixture(spark, d)
     lv = inv.stock_levels(fx.movements(opening=False)).select(
@@ -237,7 +315,7 @@ def confirm_drafts_fixture(spark, d):
     return alloc.confirm_drafts(ch, fx.raw_lines(), lv, fx.products(), batch, NOW)
 
 
-@register("confirm_drafts")
+@register("confirm_drafts", SQL_CONFIRM_DRAFTS)
 def q_confirm(spark, d):
     return confirm_drafts_fixture(spark, d)["decisions"]
 
@@ -257,7 +335,7 @@ def adjustments_fixture(spark, d):
     return cmds, stock
 
 
-@register("apply_adjustments")
+@register("apply_adjustments", SQL_APPLY_ADJUSTMENTS)
 def q_adjust(spark, d):
     cmds, stock = adjustments_fixture(spark, d)
     return alloc.apply_adjustments(cmds, stock)
