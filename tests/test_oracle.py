@@ -9,6 +9,7 @@ from ledgerloom.plans.verify import compare
 
 from .conftest import SF_SMALL
 
+
 def test_every_key_has_an_oracle():
     # The sequential jobs (confirm_drafts, apply_adjustments) have one-at-a-time recursive SQL.
     assert set(queries()) == set(oracle_sql())
