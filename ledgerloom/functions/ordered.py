@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. When
 one product, date or document holds a large share of all rows, that task does
 the work of the whole job. The helpers here split each key into *buckets*
-that are monotone in the sort order (for example the day of a timestamp):
+that are monotone in the sort order (for example the hour of a timestamp):
 
 1. per (key, bucket) totals by a partial/final aggregate (map-side combine);
 2. a window over those totals only (a few rows per key) gives each bucket the

@@ -72,7 +72,7 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
         hi_q = F.when(F.col("status") != REJECTED, F.col("qty")).otherwise(F.lit(0))
         lo_q = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
         sums = running_sums(r, ["product_id"], order, {"hi": hi_q, "lo": lo_q},
-                            bucket=F.to_date("seq_ts"), inclusive=False)
+                            bucket=F.date_trunc("hour", F.col("seq_ts")), inclusive=False)
         item = sums.select(
             "request_id", "status",
             (F.col("is_supply") | (F.col("available") - F.col("hi") >= F.col("qty"))).alias("sure_ok"),
@@ -100,7 +100,7 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
     # The first short item of each rejected request (all earlier requests are decided: hi = lo).
     r = rows.join(status, "request_id", "inner")
     lo_q = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
-    final = running_sums(r, ["product_id"], order, {"lo": lo_q}, bucket=F.to_date("seq_ts"), inclusive=False)
+    final = running_sums(r, ["product_id"], order, {"lo": lo_q}, bucket=F.date_trunc("hour", F.col("seq_ts")), inclusive=False)
     short = (final.where((F.col("status") == REJECTED) & ~F.col("is_supply")
                          & (F.col("available") - F.col("lo") < F.col("qty")))
              .groupBy("request_id").agg(F.min_by("product_id", F.struct("line_no", "product_id"))

@@ -231,7 +231,7 @@ def challan_numbers(new_challans: DataFrame, last_sequence: Column) -> DataFrame
     single task sorts all rows. ``last_sequence`` is the stored counter (a
     scalar column, e.g. a scalar subquery).
     """
-    pos = positions(new_challans, [], ["created_at", "id"], "pos", bucket=F.to_date("created_at"))
+    pos = positions(new_challans, [], ["created_at", "id"], "pos", bucket=F.date_trunc("hour", F.col("created_at")))
     seq = (last_sequence + F.col("pos")).cast("bigint")
     return pos.select("id", "created_at", seq.alias("sequence"),
                       challan_number(F.year("created_at"), seq).alias("challan_number"))

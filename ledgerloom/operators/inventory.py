@@ -82,7 +82,7 @@ def stock_running_balance(movements: DataFrame) -> DataFrame:
     """
     m = movements.withColumn("signed", signed_quantity())
     out = running_sum(m, ["product_id"], ["created_at"], "signed", "balance",
-                      bucket=F.to_date("created_at"), frame="range")
+                      bucket=F.date_trunc("hour", F.col("created_at")), frame="range")
     return out.select("product_id", "created_at", "movement_type", "quantity_changed", "reference_type",
                       "reference_id", F.col("balance").cast("bigint").alias("balance"))
 

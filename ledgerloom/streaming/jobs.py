@@ -174,7 +174,7 @@ def low_stock_transitions(movements: DataFrame, products: DataFrame, state: Data
     first = steps.groupBy("product_id").agg(F.min("created_at").alias("_first_at"))
     s = (steps.join(mins, "product_id", "inner").join(first, "product_id", "inner")
          .join(prev.select("product_id", F.col("stock").alias("_prev_stock")), "product_id", "left"))
-    run = running_sum(s, ["product_id"], ["created_at"], "delta", "_cum", bucket=F.to_date("created_at"))
+    run = running_sum(s, ["product_id"], ["created_at"], "delta", "_cum", bucket=F.date_trunc("hour", F.col("created_at")))
     after = F.coalesce(F.col("_prev_stock"), F.lit(0)) + F.col("_cum")
     rows = run.select("product_id", "created_at", "delta", "minimum_stock_alert_quantity", "_prev_stock",
                       "_first_at", after.alias("stock"))
