@@ -28,3 +28,23 @@ def test_stored_tables_prune_and_match(spark, scratch):
     mv = read_domain_table(spark, scratch, "stock_movements")
     assert sorted(inv.stock_levels(mv).collect()) == sorted(inv.stock_levels(fx.movements()).collect())
     assert set(read_domain_table(spark, scratch, "users").columns) == {f.name for f in DOMAIN_SCHEMAS["users"].fields}
+
+
+def test_window_filter_reaches_the_items_scan_at_scale(spark, scratch):
+    # At scale neither side can be broadcast and the items scan is large: Spark then
+    # injects a bloom filter built from the filtered challans into the items scan.
+    fx = Fixture(spark, SF_SMALL)
+    materialize_fixture(fx, scratch)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1KB"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ch = read_domain_table(spark, scratch, "challans")
+        it = read_domain_table(spark, scratch, "challan_items")
+        plan = plan_text(sales.sales_daily(ch, it, AS_OF, 30))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert re.search(r"might_contain\(.*xxhash64\(challan_id", plan)
