@@ -48,3 +48,14 @@ def test_window_filter_reaches_the_items_scan_at_scale(spark, scratch):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert re.search(r"might_contain\(.*xxhash64\(challan_id", plan)
+
+
+def test_stock_as_of_a_date_prunes_ledger_months(spark, scratch):
+    import datetime as dt
+    fx = Fixture(spark, SF_SMALL)
+    materialize_fixture(fx, scratch)
+    mv = read_domain_table(spark, scratch, "stock_movements")
+    until = dt.datetime(1998, 1, 1)
+    stored = inv.stock_levels(mv, until=until)
+    assert re.search(r"PartitionFilters: \[.*created_month#\d+ <= 1998-01", plan_text(stored))
+    assert sorted(stored.collect()) == sorted(inv.stock_levels(fx.movements(), until=until).collect())
