@@ -67,8 +67,8 @@ def stock_level_updates(movements: DataFrame, replay_window: str = "1 hour",
 
 def stream_stock_levels(spark: SparkSession, movements: DataFrame, processing_time: str | None = None,
                         root: str | None = None) -> DataFrame:
-    root = root or stream_root(spark, "stock_levels")
-    sink = KeyedSnapshot(spark, f"{root}/data", ["product_id"])
+    fresh, root = root is None, root or stream_root(spark, "stock_levels")
+    sink = KeyedSnapshot(spark, f"{root}/data", ["product_id"], fresh=fresh)
     _run(stock_level_updates(movements), sink.handler(), root, "update", processing_time)
     return sink.result() if processing_time is None else None
 
@@ -97,8 +97,8 @@ def daily_sales_updates(events: DataFrame, watermark: str = "2 days") -> DataFra
 
 def stream_sales_daily(spark: SparkSession, events: DataFrame, processing_time: str | None = None,
                        root: str | None = None) -> DataFrame:
-    root = root or stream_root(spark, "sales_daily")
-    sink = KeyedSnapshot(spark, f"{root}/data", ["sale_date"])
+    fresh, root = root is None, root or stream_root(spark, "sales_daily")
+    sink = KeyedSnapshot(spark, f"{root}/data", ["sale_date"], fresh=fresh)
     _run(daily_sales_updates(events), sink.handler(), root, "update", processing_time)
     return sink.result() if processing_time is None else None
 
@@ -116,9 +116,9 @@ def stream_alerts(spark: SparkSession, movements: DataFrame, products: DataFrame
     W14). Batch ids make replays rewrite the same versions; one query means
     one reconciliation in flight at a time.
     """
-    root = root or stream_root(spark, "alerts")
-    stock = KeyedSnapshot(spark, f"{root}/stock", ["product_id"], mode="add")
-    snap = KeyedSnapshot(spark, f"{root}/data", ["id"])
+    fresh, root = root is None, root or stream_root(spark, "alerts")
+    stock = KeyedSnapshot(spark, f"{root}/stock", ["product_id"], mode="add", fresh=fresh)
+    snap = KeyedSnapshot(spark, f"{root}/data", ["id"], fresh=fresh)
     snap.write(stored, -1)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -144,8 +144,8 @@ def rate_window_counts(requests: DataFrame, limit: int, window: str = RATE_WINDO
 
 def rate_violations(spark: SparkSession, requests: DataFrame, limit: int, processing_time: str | None = None,
                     root: str | None = None) -> DataFrame:
-    root = root or stream_root(spark, "rate")
-    sink = KeyedSnapshot(spark, f"{root}/data", ["client_id", "window_start"])
+    fresh, root = root is None, root or stream_root(spark, "rate")
+    sink = KeyedSnapshot(spark, f"{root}/data", ["client_id", "window_start"], fresh=fresh)
     _run(rate_window_counts(requests, limit), sink.handler(), root, "update", processing_time)
     return sink.result() if processing_time is None else None
 
@@ -199,8 +199,8 @@ def stream_low_stock_changes(spark: SparkSession, movements: DataFrame, products
     The per-product state (stock, low) is a keyed snapshot versioned by batch
     id; each micro-batch only touches the products it moved.
     """
-    root = root or stream_root(spark, "low_stock")
-    state = KeyedSnapshot(spark, f"{root}/state", ["product_id"])
+    fresh, root = root is None, root or stream_root(spark, "low_stock")
+    state = KeyedSnapshot(spark, f"{root}/state", ["product_id"], fresh=fresh)
     log = AppendLog(spark, f"{root}/data")
     write_events = log.handler()
 

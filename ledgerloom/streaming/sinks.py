@@ -35,7 +35,7 @@ def stream_root(spark: SparkSession, job: str) -> str:
 
 class KeyedSnapshot:
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], mode: str = "replace",
-                 compact_every: int = 64):
+                 compact_every: int = 64, fresh: bool = False):
         if mode not in ("replace", "add"):
             raise ValueError(mode)
         self.spark = spark
@@ -45,7 +45,9 @@ class KeyedSnapshot:
         self.compact_every = compact_every
         # Versions known to this driver: listed from storage once (a restarted
         # driver continues the table), then kept up to date by our own writes.
-        self._versions_of: dict[str, set[int] | None] = {"deltas": None, "bases": None}
+        # ``fresh``: the caller just created ``root``, so there is nothing to list.
+        self._versions_of: dict[str, set[int] | None] = (
+            {"deltas": set(), "bases": set()} if fresh else {"deltas": None, "bases": None})
 
     # -- storage --------------------------------------------------------------------------
     def _path(self, kind: str, version: int) -> str:

@@ -247,3 +247,16 @@ def test_question_must_belong_to_customer_and_email_lookup(spark, scratch):
     doc = spark.createDataFrame([(1, [(1, "x")])], "id bigint, items array<struct<pos:int, name:string>>")
     write_json_documents(doc, scratch + "/docs")
     assert spark.read.json(scratch + "/docs").collect()[0].items[0].name == "x"
+
+
+def test_export_of_the_fixture_writes_quoted_part_files(spark, scratch):
+    from ledgerloom.plans.keys_listing import challan_rows
+    from ledgerloom.sources.fixtures import Fixture
+    from .conftest import SF_SMALL
+    export = listing.challan_export(challan_rows(Fixture(spark, SF_SMALL)))
+    listing.write_export(export, scratch + "/export")
+    back = spark.read.option("header", True).csv(scratch + "/export")
+    assert back.columns == listing.EXPORT_HEADER
+    assert back.count() == export.count() == 1500
+    first = open(sorted(glob.glob(scratch + "/export/*.csv"))[0], encoding="utf-8").readline()
+    assert first.strip() == ",".join(f'"{h}"' for h in listing.EXPORT_HEADER)
