@@ -128,12 +128,13 @@ def confirm_drafts(challans: DataFrame, lines: DataFrame, stock: DataFrame, prod
     checked = items.join(pids, "product_id", "left")
     flags = checked.groupBy("challan_id").agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.max(F.when(F.col("_exists").isNull(), 1).otherwise(0)).alias("missing"))
+        F.max(F.when(F.col("_exists").isNull(), 1).otherwise(0)).alias("missing"),
+        F.max(F.when(F.col("qty").isNull() | (F.col("qty") <= 0), 1).otherwise(0)).alias("bad_qty"))
     pre = known.join(flags, "challan_id", "left").select(
         "challan_id", "requested_at", "challan_number",
         F.when(F.col("status").isNull(), "not_found")
          .when(F.col("status") != "DRAFT", "conflict")
-         .when(F.coalesce(F.col("n_items"), F.lit(0)) == 0, "invalid")
+         .when((F.coalesce(F.col("n_items"), F.lit(0)) == 0) | (F.col("bad_qty") == 1), "invalid")
          .when(F.col("missing") == 1, "product_missing").alias("pre_outcome"))
     eligible = pre.where(F.col("pre_outcome").isNull())
     demands = (items.join(eligible.select("challan_id", "requested_at"), "challan_id", "inner")
@@ -165,15 +166,20 @@ def apply_adjustments(commands: DataFrame, stock: DataFrame) -> DataFrame:
 
     ``commands``: command_id, product_id, movement_type, quantity, requested_at.
     A refused OUT does not count, so later OUTs may pass: the same exact
-    allocation as W5 with one-item requests and INs as supplies.
+    allocation as W5 with one-item requests and INs as supplies. A command
+    whose quantity is not a positive whole number or whose type is not IN/OUT
+    is ``invalid`` and takes no part.
     """
-    dem = commands.select(
+    qty = F.col("quantity").try_cast("int")          # F23: coerce landed text to a number
+    valid = (qty > 0) & F.col("movement_type").isin("IN", "OUT") & F.col("requested_at").isNotNull()
+    commands = commands.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    dem = commands.where(F.col("_valid")).select(
         F.col("command_id").alias("request_id"), F.col("requested_at").alias("seq_ts"),
         F.col("command_id").alias("seq_id"), "product_id",
-        F.when(F.col("movement_type") == "IN", -F.col("quantity")).otherwise(F.col("quantity"))
-         .cast("bigint").alias("qty"),
+        F.when(F.col("movement_type") == "IN", -qty).otherwise(qty).cast("bigint").alias("qty"),
         F.lit(0).alias("line_no"))
     decisions, _ = allocate(dem, stock)
     return commands.join(decisions.select(F.col("request_id").alias("command_id"), "status"), "command_id", "left") \
         .select("command_id", "product_id", "movement_type", "quantity", "requested_at",
-                F.when(F.col("status") == ACCEPTED, "applied").otherwise("insufficient_stock").alias("outcome"))
+                F.when(~F.col("_valid"), "invalid").when(F.col("status") == ACCEPTED, "applied")
+                 .otherwise("insufficient_stock").alias("outcome"))

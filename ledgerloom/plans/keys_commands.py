@@ -241,11 +241,13 @@ items AS (
          MIN(l_linenumber) AS line_no
   FROM lineitem WHERE l_orderkey IN (SELECT challan_id FROM batch) GROUP BY l_orderkey, l_partkey),
 flags AS (
-  SELECT i.challan_id, COUNT(*) AS n_items, MAX(CASE WHEN p.p_partkey IS NULL THEN 1 ELSE 0 END) AS missing
+  SELECT i.challan_id, COUNT(*) AS n_items, MAX(CASE WHEN p.p_partkey IS NULL THEN 1 ELSE 0 END) AS missing,
+         MAX(CASE WHEN i.qty IS NULL OR i.qty <= 0 THEN 1 ELSE 0 END) AS bad_qty
   FROM items i LEFT JOIN part p ON p.p_partkey = i.product_id GROUP BY i.challan_id),
 pre AS (
   SELECT b.challan_id, b.requested_at,
-         CASE WHEN COALESCE(f.n_items, 0) = 0 THEN 'invalid' WHEN f.missing = 1 THEN 'product_missing' END AS pre_outcome
+         CASE WHEN COALESCE(f.n_items, 0) = 0 OR f.bad_qty = 1 THEN 'invalid'
+              WHEN f.missing = 1 THEN 'product_missing' END AS pre_outcome
   FROM batch b LEFT JOIN flags f ON f.challan_id = b.challan_id),
 elig AS (
   SELECT p.challan_id, ROW_NUMBER() OVER (ORDER BY p.requested_at, p.challan_id) AS rn,
