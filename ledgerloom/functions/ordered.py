@@ -29,6 +29,17 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Inner equi-join on ``cols`` where NULL matches NULL, so no row is lost to a NULL key."""
+    r = right.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(cols)],
+                     *[c for c in right.columns if c not in cols])
+    cond = None
+    for i, c in enumerate(cols):
+        eq = left[c].eqNullSafe(r[f"_r{i}"])
+        cond = eq if cond is None else cond & eq
+    return left.join(r, cond, "inner").drop(*[f"_r{i}" for i in range(len(cols))])
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
                 value: ColumnOrName, out: str, bucket: Column | None = None,
                 frame: str = "rows", inclusive: bool = True) -> DataFrame:
@@ -58,7 +69,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName
     totals = b.groupBy(*keys, "_bkt").agg(F.sum(val).alias("_bsum"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bkt", F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_off"))
-    joined = b.join(offsets, [*keys, "_bkt"], "inner")
+    joined = _join_null_safe(b, offsets, [*keys, "_bkt"])
     inner = F.coalesce(F.sum(val).over(inner_window([*keys, "_bkt"])), F.lit(0))
     return joined.withColumn(out, F.col("_off") + inner).drop("_bkt", "_off")
 
@@ -79,7 +90,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrNam
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bkt", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
                                              for o in values])
-    joined = b.join(offsets, [*keys, "_bkt"], "inner")
+    joined = _join_null_safe(b, offsets, [*keys, "_bkt"])
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     return joined.select(*df.columns, *[(F.col(f"_o_{o}") + F.coalesce(F.sum(tmp[o]).over(w), F.lit(0))).alias(o)
                                         for o in values])
@@ -96,7 +107,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = b.join(offsets, [*keys, "_bkt"], "inner")
+    joined = _join_null_safe(b, offsets, [*keys, "_bkt"])
     rn = F.row_number().over(Window.partitionBy(*keys, "_bkt").orderBy(*order))
     return joined.withColumn(out, F.col("_off") + rn).drop("_bkt", "_off")
 

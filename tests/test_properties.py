@@ -151,3 +151,14 @@ def test_bounded_chunks_reassemble(spark):
     for k, i, v in sorted(rows, key=lambda t: (t[0], t[2], t[1])):
         want[k].append((i, v))
     assert dict(got) == dict(want)
+
+
+def test_split_helpers_keep_rows_with_null_keys(spark):
+    rows = [(None, ts(BASE, 1), 1, 2), (None, ts(BASE, 2), 2, 3), (1, None, 3, 4), (1, ts(BASE, 3), 4, 5)]
+    df = frame(spark, rows, "k bigint, t timestamp_ntz, i bigint, v bigint")
+    out = running_sum(df, ["k"], ["t", "i"], "v", "s", bucket=F.date_trunc("hour", F.col("t")))
+    plain = df.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("t", "i")
+                                              .rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(out.collect(), key=str) == sorted(plain.collect(), key=str)
+    pos = positions(df, ["k"], ["t", "i"], "pos", bucket=F.date_trunc("hour", F.col("t")))
+    assert pos.count() == 4
