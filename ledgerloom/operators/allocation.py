@@ -167,11 +167,12 @@ def apply_adjustments(commands: DataFrame, stock: DataFrame) -> DataFrame:
     ``commands``: command_id, product_id, movement_type, quantity, requested_at.
     A refused OUT does not count, so later OUTs may pass: the same exact
     allocation as W5 with one-item requests and INs as supplies. A command
-    whose quantity is not a positive whole number or whose type is not IN/OUT
-    is ``invalid`` and takes no part.
+    whose quantity is not a positive whole number, whose type is not IN/OUT or
+    that names no product is ``invalid`` and takes no part.
     """
     qty = F.col("quantity").try_cast("int")          # F23: coerce landed text to a number
-    valid = (qty > 0) & F.col("movement_type").isin("IN", "OUT") & F.col("requested_at").isNotNull()
+    valid = ((qty > 0) & F.col("movement_type").isin("IN", "OUT") & F.col("requested_at").isNotNull()
+             & F.col("product_id").isNotNull())
     commands = commands.withColumn("_valid", F.coalesce(valid, F.lit(False)))
     dem = commands.where(F.col("_valid")).select(
         F.col("command_id").alias("request_id"), F.col("requested_at").alias("seq_ts"),

@@ -266,9 +266,9 @@ def test_invalid_quantities_are_rejected_before_allocation(spark):
     stock = frame(spark, [(1, 5)], "product_id bigint, available bigint")
     cmds = frame(spark, [(1, 1, "OUT", "2", ts(AS_OF, 1)), (2, 1, "OUT", "x", ts(AS_OF, 2)),
                          (3, 1, "OUT", "-1", ts(AS_OF, 3)), (4, 1, "MOVE", "1", ts(AS_OF, 4)),
-                         (5, 1, "OUT", "3", ts(AS_OF, 5))],
+                         (5, 1, "OUT", "3", ts(AS_OF, 5)), (6, None, "IN", "1", ts(AS_OF, 6))],
                  "command_id bigint, product_id bigint, movement_type string, quantity string, requested_at timestamp_ntz")
     got = {r.command_id: r.outcome for r in alloc.apply_adjustments(cmds, stock).collect()}
-    assert got == {1: "applied", 2: "invalid", 3: "invalid", 4: "invalid", 5: "applied"}
+    assert got == {1: "applied", 2: "invalid", 3: "invalid", 4: "invalid", 5: "applied", 6: "invalid"}
     res = _confirm(spark, [(1, 10)], [_draft(1), _draft(2)], [(1, 1, 1, 0), (2, 1, 1, 3)], [1, 2])
     assert {r.challan_id: r.outcome for r in res["decisions"].collect()} == {1: "invalid", 2: "applied"}
