@@ -114,12 +114,15 @@ def confirm_drafts(challans: DataFrame, lines: DataFrame, stock: DataFrame, prod
                    batch: DataFrame, at: dt.datetime) -> dict[str, DataFrame]:
     """Confirm a batch of challans in arrival order, all-or-nothing per challan.
 
-    ``batch``: challan_id, requested_at (arrival order; ties by challan_id).
+    ``batch``: challan_id, requested_at (arrival order; ties by challan_id). A
+    challan listed more than once is decided once, at its first request.
     Outcomes: ``applied``, ``insufficient_stock`` (with the first short
     product), ``product_missing`` (Q17), ``conflict`` (not DRAFT), ``not_found``,
     ``invalid`` (no items). Returns decisions, OUT movements and the new stock.
     """
-    b = batch.select("challan_id", "requested_at")
+    # A challan requested twice counts once, at its first request (the repeat
+    # would find it no longer a draft).
+    b = batch.groupBy("challan_id").agg(F.min("requested_at").alias("requested_at"))
     head = challans.select(F.col("id").alias("challan_id"), "status", "challan_number")
     known = b.join(head, "challan_id", "left")
     items = lines.groupBy("challan_id", "product_id").agg(

@@ -132,16 +132,23 @@ def update_products(products: DataFrame, updates: DataFrame) -> DataFrame:
 
 # -- W1 append with validation and defaults --------------------------------------------
 def ingest_customers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Validate (V1), default status LEAD, skip (name, mobile) already present."""
+    """Default status LEAD, validate (V1), skip (name, mobile) already present.
+
+    Defaults are applied before the rules, as the input parser does: a request
+    without a status is a LEAD, not an invalid request.
+    """
+    incoming = incoming.withColumn("status", F.coalesce(F.col("status"), F.lit("LEAD")))
     bad = dq.dq_customers(incoming).groupBy("record_id").agg(
         F.array_sort(F.collect_set("rule")).alias("broken_rules"))
     seen = existing.select("customer_name", "mobile").distinct().withColumn("_dup", F.lit(True))
+    # Inside one batch the first request (lowest id) of a (name, mobile) wins.
+    first = incoming.groupBy("customer_name", "mobile").agg(F.min("id").alias("_first_id"))
     j = (incoming.join(bad, incoming.id == bad.record_id, "left").drop("record_id")
-         .join(seen, ["customer_name", "mobile"], "left"))
+         .join(seen, ["customer_name", "mobile"], "left")
+         .join(first, ["customer_name", "mobile"], "left"))
     outcome = (F.when(F.col("broken_rules").isNotNull(), "invalid")
-               .when(F.col("_dup"), "duplicate").otherwise("applied"))
-    return j.select(*[c for c in incoming.columns if c != "status"],
-                    F.coalesce(F.col("status"), F.lit("LEAD")).alias("status"),
+               .when(F.col("_dup") | (F.col("id") != F.col("_first_id")), "duplicate").otherwise("applied"))
+    return j.select(*[c for c in incoming.columns if c != "status"], "status",
                     outcome.alias("outcome"),
                     F.coalesce(F.array_join("broken_rules", ","), F.lit("")).alias("broken_rules"))
 

@@ -181,7 +181,9 @@ UNION ALL SELECT id, 'status_enum' FROM inc WHERE NOT COALESCE(status IN ('LEAD'
 @register("ingest_customers", with_views("""
 SELECT i.id, i.customer_name, i.business_name, i.mobile, i.email, i.gst_number, i.customer_type,
        i.follow_up_date, i.address, COALESCE(i.status, 'LEAD') AS status,
-       CASE WHEN b.rules IS NOT NULL THEN 'invalid' WHEN s.customer_name IS NOT NULL THEN 'duplicate'
+       CASE WHEN b.rules IS NOT NULL THEN 'invalid'
+            WHEN s.customer_name IS NOT NULL OR i.id <> (SELECT MIN(i2.id) FROM inc i2
+                 WHERE i2.customer_name = i.customer_name AND i2.mobile = i.mobile) THEN 'duplicate'
             ELSE 'applied' END AS outcome,
        COALESCE(b.rules, '') AS broken_rules
 FROM inc i LEFT JOIN (SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM bad GROUP BY id) b
@@ -189,7 +191,7 @@ FROM inc i LEFT JOIN (SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS
 LEFT JOIN (SELECT DISTINCT customer_name, mobile FROM existing) s
   ON s.customer_name = i.customer_name AND s.mobile = i.mobile""", "customers", extra=[
     ("inc", """SELECT c.id, c.customer_name, c.business_name, c.mobile, c.email, c.gst_number, c.customer_type,
-               c.status, c.follow_up_date, n.n_name AS address
+               COALESCE(c.status, 'LEAD') AS status, c.follow_up_date, n.n_name AS address
                FROM customers c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"""),
     ("bad", _CUST_RULES),
     ("existing", "SELECT * FROM customers WHERE id IN (SELECT o_custkey FROM orders)")]))

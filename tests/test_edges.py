@@ -272,3 +272,13 @@ def test_invalid_quantities_are_rejected_before_allocation(spark):
     assert got == {1: "applied", 2: "invalid", 3: "invalid", 4: "invalid", 5: "applied", 6: "invalid"}
     res = _confirm(spark, [(1, 10)], [_draft(1), _draft(2)], [(1, 1, 1, 0), (2, 1, 1, 3)], [1, 2])
     assert {r.challan_id: r.outcome for r in res["decisions"].collect()} == {1: "invalid", 2: "applied"}
+
+
+def test_repeats_inside_one_batch(spark):
+    res = _confirm(spark, [(1, 10)], [_draft(1)], [(1, 1, 1, 6)], [1, 1])      # same draft twice
+    assert [(r.challan_id, r.outcome) for r in res["decisions"].collect()] == [(1, "applied")]
+    assert [r.available for r in res["stock"].collect()] == [4]
+    inc = frame(spark, [(1, "Asha", "Biz", "+910000000001", None, None, "RETAIL", "LEAD", None),
+                        (2, "Asha", "Biz", "+910000000001", None, None, "RETAIL", None, None)], CUSTOMERS)
+    got = {r.id: (r.outcome, r.status) for r in cm.ingest_customers(inc.limit(0), inc).collect()}
+    assert got == {1: ("applied", "LEAD"), 2: ("duplicate", "LEAD")}
