@@ -119,9 +119,15 @@ def update_products(products: DataFrame, updates: DataFrame) -> DataFrame:
 
     Returns the product snapshot after the update with an ``outcome`` column
     (``applied`` / ``unchanged``), plus one ``not_found`` row per unknown id.
+    With a ``command_id`` column, the last update of a product wins; without
+    it, ``updates`` must hold at most one row per product.
     """
-    u = updates.select(F.col("id"), *[F.col(c).alias(f"new_{c}") for c in PRODUCT_UPDATABLE if c in updates.columns],
-                       F.lit(True).alias("_cmd"))
+    cols = [c for c in PRODUCT_UPDATABLE if c in updates.columns]
+    if "command_id" in updates.columns:
+        # Several updates of one product in a batch: the last one wins (full-row replace).
+        last = updates.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("command_id")).alias("_u"))
+        updates = last.select("id", *[F.col(f"_u.{c}").alias(c) for c in cols])
+    u = updates.select(F.col("id"), *[F.col(c).alias(f"new_{c}") for c in cols], F.lit(True).alias("_cmd"))
     j = products.join(u, "id", "full_outer")
     cols = [F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if f"new_{c}" in u.columns else F.col(c)
             for c in products.columns if c != "id"]

@@ -282,3 +282,11 @@ def test_repeats_inside_one_batch(spark):
                         (2, "Asha", "Biz", "+910000000001", None, None, "RETAIL", None, None)], CUSTOMERS)
     got = {r.id: (r.outcome, r.status) for r in cm.ingest_customers(inc.limit(0), inc).collect()}
     assert got == {1: ("applied", "LEAD"), 2: ("duplicate", "LEAD")}
+
+
+def test_last_product_update_wins(spark):
+    p = frame(spark, [(1, "a", "A", "c", money(1), 5, "L")], PRODUCTS)
+    upd = frame(spark, [(1, 10, "first"), (1, 11, "second"), (9, 12, "nowhere")],
+                "id bigint, command_id bigint, warehouse_location string")
+    got = {r.id: (r.warehouse_location, r.outcome) for r in cm.update_products(p, upd).collect()}
+    assert got == {1: ("second", "applied"), 9: ("nowhere", "not_found")}
