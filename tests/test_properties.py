@@ -162,3 +162,27 @@ def test_split_helpers_keep_rows_with_null_keys(spark):
     assert sorted(out.collect(), key=str) == sorted(plain.collect(), key=str)
     pos = positions(df, ["k"], ["t", "i"], "pos", bucket=F.date_trunc("hour", F.col("t")))
     assert pos.count() == 4
+
+
+def test_question_transitions_equal_sequential(spark):
+    from ledgerloom.operators import commands as cm
+    rng = random.Random(17)
+    queries = [(q, 1, "s", "m", rng.choice(["OPEN", "IN_PROGRESS", "RESOLVED"]), "LOW", 1) for q in range(40)]
+    cmds = [(i, rng.randrange(42), rng.choice(["reply", "reply", "resolve"])) for i in range(300)]  # 40, 41 unknown
+    got = {r.command_id: (r.outcome, r.status_after) for r in cm.query_transitions(
+        frame(spark, queries, "id bigint, customer_id bigint, subject string, message string, status string, "
+                              "priority string, created_by bigint"),
+        frame(spark, cmds, "command_id bigint, query_id bigint, action string"), ts(BASE)).collect()}
+    state = {q: st for q, _, _, _, st, _, _ in queries}
+    for i, q, action in cmds:
+        if q not in state:
+            want = ("not_found", None)
+        elif state[q] == "RESOLVED":
+            want = ("conflict" if action == "reply" else "not_found", "RESOLVED")
+        elif action == "reply":
+            state[q] = "IN_PROGRESS"
+            want = ("applied", "IN_PROGRESS")
+        else:
+            state[q] = "RESOLVED"
+            want = ("applied", "RESOLVED")
+        assert got[i] == want, (i, q, action)
