@@ -186,3 +186,24 @@ def test_question_transitions_equal_sequential(spark):
             state[q] = "RESOLVED"
             want = ("applied", "RESOLVED")
         assert got[i] == want, (i, q, action)
+
+
+def test_one_shot_transitions_equal_sequential(spark):
+    from ledgerloom.operators import commands as cm
+    rng = random.Random(23)
+    reqs = [(r, 1, 1, 5, "LOW", "m", rng.choice(["PENDING", "APPROVED", "REJECTED"]), None, ts(BASE))
+            for r in range(30)]
+    cmds = [(i, rng.randrange(33)) for i in range(120)]
+    got = {r.command_id: r.outcome for r in cm.review_requests(
+        frame(spark, reqs, "id bigint, product_id bigint, requested_by bigint, quantity int, urgency string, "
+                           "message string, status string, reviewed_by bigint, created_at timestamp_ntz"),
+        frame(spark, cmds, "command_id bigint, request_id bigint"), 2, ts(BASE), "reject").collect()}
+    state = {r[0]: r[6] for r in reqs}
+    for i, rid in cmds:
+        if rid not in state:
+            want = "not_found"
+        elif state[rid] == "PENDING":
+            state[rid], want = "REJECTED", "applied"
+        else:
+            want = "conflict"
+        assert got[i] == want, (i, rid)
