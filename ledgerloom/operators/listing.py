@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DASHBOARD_LIST
-from ledgerloom.functions.text import (check_challan_status, check_page, csv_safe,
+from ledgerloom.functions.text import (check_challan_status, check_page, csv_safe, date_or_not_set,
                                        search_predicate, wall_time)
 
 CHALLAN_SEARCH = ["challan_number", "customer_name", "business_name"]
@@ -95,9 +95,10 @@ def search_products(products_stock: DataFrame, term: str | None = None, low_only
 
 
 def search_customers(customers: DataFrame, term: str | None = None) -> DataFrame:
-    """P5."""
+    """P5 (+ F21: the follow-up date as text, or "Not set")."""
     pred = search_predicate(CUSTOMER_SEARCH, term)
-    return customers if pred is None else customers.where(pred)
+    rows = customers if pred is None else customers.where(pred)
+    return rows.withColumn("follow_up_label", date_or_not_set(F.col("follow_up_date")))
 
 
 def user_by_email(users: DataFrame, email: str) -> DataFrame:

@@ -130,3 +130,13 @@ def q_warehouse_queue(spark, d):
     fx = Fixture(spark, d)
     ps = inv.products_with_stock(fx.products(), inv.stock_levels(fx.movements()))
     return rq.warehouse_queue(fx.stock_requests(), ps)
+
+
+@register("pending_requests_top5", with_views(_REQ_LIST + """
+WHERE r.status = 'PENDING' ORDER BY r.created_at DESC, r.id DESC LIMIT 5""",
+                                             "stock_requests", "products_stock", "users"))
+def q_pending_top5(spark, d):
+    # The warehouse view's first five pending requests, newest first.
+    fx = Fixture(spark, d)
+    ps = inv.products_with_stock(fx.products(), inv.stock_levels(fx.movements()))
+    return rq.pending_top(rq.stock_requests_list(fx.stock_requests(), ps, fx.users(), status="PENDING"), 5)

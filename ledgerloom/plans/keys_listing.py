@@ -86,7 +86,8 @@ _CUSTOMER_COLS = ("id, customer_name, business_name, mobile, email, gst_number,
 
 
 @register("customer_search", with_views(f"""
-SELECT {_CUSTOMER_COLS} FROM customers
+SELECT {_CUSTOMER_COLS}, COALESCE(strftime(follow_up_date, '%Y-%m-%d'), 'Not set') AS follow_up_label
+FROM customers
 WHERE {' OR '.join(_ci(c, CUSTOMER_TERM) for c in ls.CUSTOMER_SEARCH)}""", "customers"))
 def q_customer_search(spark, d):
     return ls.search_customers(Fixture(spark, d).customers(), CUSTOMER_TERM)
