@@ -56,8 +56,9 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
 
     order = ["seq_ts", "seq_id", "request_id", "line_no"]
     rounds = 0
-    total = status.count()
-    undecided = status.where(F.col("status") == UNDECIDED).count()
+    counts = status.agg(F.count(F.lit(1)).alias("total"),
+                        F.sum(F.when(F.col("status") == UNDECIDED, 1).otherwise(0)).alias("open")).first()
+    total, undecided = counts["total"], counts["open"] or 0
     while undecided > 0:
         rounds += 1
         if undecided * 4 > total:
