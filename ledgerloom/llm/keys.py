@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import simhash, url_filters
+from ledgerloom.llm import simhash, substring_dedup, url_filters
 from ledgerloom.llm.shared import read
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Job] = {
     "op5_url_filters": op5_url_filters,
     "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
