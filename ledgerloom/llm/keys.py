@@ -8,12 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import simhash, substring_dedup, url_filters
-from ledgerloom.llm.shared import read
+from ledgerloom.llm import langid, nbsvm, simhash, substring_dedup, url_filters
+from ledgerloom.llm.shared import read, remainder
 
 Job = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder(5) == 0
+    model = nbsvm.fit(docs, read(spark, sf_dir, "labels"), ~held_out, "quality")
+    return _judged(nbsvm.score(docs, model), held_out)
+
+
+def _judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"), url_filters.RULES)
 
@@ -28,10 +39,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder(3) == 1
+    labelled = langid.label(docs, langid.fit(docs, ~held_out))
+    return labelled.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Job] = {
+    "op1_nbsvm_quality": op1_nbsvm_quality,
     "op5_url_filters": op5_url_filters,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE: dict[str, str] = {
