@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, nbsvm, simhash, substring_dedup, url_filters
+from ledgerloom.llm import langid, nbsvm, piece_fst, simhash, substring_dedup, url_filters, vptree
 from ledgerloom.llm.shared import read, remainder
 
+#: SentencePiece model of the registered query (installed with the public tokenizers).
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 Job = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,6 +28,11 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_vantage_point_search(spark: SparkSession, sf_dir: str, factor: float = 1.05) -> DataFrame:
+    found = vptree.nearest(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, factor=factor)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"), url_filters.RULES)
 
@@ -45,12 +53,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    out = piece_fst.round_trip(read(spark, sf_dir, "documents"), piece_fst.compile_model(model))
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                      F.col("same").alias("round_trip"))
+
+
 QUERIES: dict[str, Job] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
+    "op2_vantage_point_search": op2_vantage_point_search,
     "op5_url_filters": op5_url_filters,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_language_id": op9_language_id,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
