@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, nbsvm, piece_fst, simhash, substring_dedup, url_filters, vptree
+from ledgerloom.llm import kneser_ney, langid, nbsvm, piece_fst, simhash, substring_dedup, url_filters, vptree
 from ledgerloom.llm.shared import read, remainder
 
 #: SentencePiece model of the registered query (installed with the public tokenizers).
@@ -33,6 +33,12 @@ def op2_vantage_point_search(spark: SparkSession, sf_dir: str, factor: float = 1
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder(4) == 2
+    model = kneser_ney.fit(docs, read(spark, sf_dir, "labels"), ~held_out, "toxic")
+    return _judged(kneser_ney.score(docs, model), held_out)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"), url_filters.RULES)
 
@@ -62,6 +68,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
 QUERIES: dict[str, Job] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_vantage_point_search": op2_vantage_point_search,
+    "op3_kneser_ney_toxicity": op3_kneser_ney_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,

@@ -20,10 +20,8 @@ nothing to learn from: ``und`` everywhere.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import vectext as vt
+from ledgerloom.llm.charwords import NAMES, letter_words
 
 BUCKETS = 1 << 17
 GRAM = 4
@@ -42,35 +41,6 @@ MAX_LANGUAGES = 512
 #: Score of a word for a language that does not write its script.
 _OUT = -1e4
 
-#: Script ranges (first code point; a script lasts to the next entry). Fixed values.
-SCRIPTS = [
-    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
-    (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "other"),
-    (0x0B80, "tamil"), (0x0C00, "other"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"),
-    (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"),
-    (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"),
-    (0x3190, "han"), (0xA000, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"),
-    (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x31350, "other"),
-]
-NAMES = sorted({name for _, name in SCRIPTS})
-
-
-@cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every code point: is it a letter, its lower-case form, its script."""
-    n = 0x110000
-    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(n)), bool, n)
-    lower = np.arange(n, dtype=np.uint32)
-    for c in np.flatnonzero(letter[:0x1F000]).tolist():
-        low = chr(c).lower()
-        if len(low) == 1:
-            lower[c] = ord(low)
-    script = np.zeros(n, np.uint8)
-    for (first, name), (last, _) in zip(SCRIPTS, [*SCRIPTS[1:], (n, "")], strict=True):
-        script[first:last] = NAMES.index(name)
-    return letter, lower, script
-
-
 @dataclass
 class _Batch:
     """Words of some texts: letters with their gram slots, words, texts."""
@@ -83,23 +53,8 @@ class _Batch:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> _Batch:
-    letter, lower, script = _tables()
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    at = heads[offsets]  # in code points
-    is_letter = letter[points]
-    change = np.ones(len(points) + 1, bool)
-    if len(points):
-        np.not_equal(is_letter[1:], is_letter[:-1], out=change[1:-1])
-        change[at] = True
-    cut = np.flatnonzero(change)
-    starts, ends = cut[:-1], cut[1:]
-    keep = is_letter[starts]
-    starts, ends = starts[keep], ends[keep]
-    low = lower[points[is_letter]].astype(np.uint64)
-    lens = ends - starts
-    first = np.cumsum(lens) - lens
-    inside = np.arange(len(low)) - np.repeat(first, lens)
+    w = letter_words(data, offsets)
+    low, first, inside = w.letters.astype(np.uint64), w.first, w.inside
     gram = low.copy()
     for back in range(1, GRAM):  # letters before the word's first count as the boundary, 0
         before = np.zeros_like(low)
@@ -107,9 +62,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> _Batch:
         before[inside < back] = 0
         gram = (gram << np.uint64(21)) * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(back)
     slots = (vt.mix(gram) % np.uint64(BUCKETS)).astype(np.int64)
-    text_first = np.searchsorted(starts, at)
-    origin = np.repeat(at[:-1], np.diff(text_first))
-    return _Batch(slots, first, lens, starts - origin, script[points[starts]], text_first)
+    return _Batch(slots, first, w.lens, w.starts, w.scripts, w.text_first)
 
 
 @dataclass

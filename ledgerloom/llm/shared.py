@@ -26,3 +26,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remainder(n: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo n (the folds of the learned operators)."""
     return F.crc32(F.col(column).cast("string")) % n
+
+
+def label_sample(labels: DataFrame, learn, label: str, n: int, key: str = "doc_id") -> DataFrame:
+    """(key, label, place): the ``n`` labelled learning ids with the smallest digests,
+    all of them if fewer. A bounded table made on the driver, small enough to be
+    broadcast; of repeated labels the largest counts."""
+    spark = labels.sparkSession
+    known = (labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn)
+             .groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("label")))
+    picked = known.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(n)
+    rows = [(r.key, r.label, place) for place, r in enumerate(picked.collect())]
+    return spark.createDataFrame(rows, known.schema.add("place", "integer"))
