@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import kneser_ney, langid, nbsvm, piece_fst, simhash, substring_dedup, url_filters, vptree
+from ledgerloom.llm import kneser_ney, langid, nbsvm, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
 from ledgerloom.llm.shared import read, remainder
 
 #: SentencePiece model of the registered query (installed with the public tokenizers).
@@ -53,6 +53,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), remainder(3) == 1
     labelled = langid.label(docs, langid.fit(docs, ~held_out))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Job] = {
     "op5_url_filters": op5_url_filters,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_string_tiling": op8_string_tiling,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
 }
