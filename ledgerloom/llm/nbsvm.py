@@ -5,12 +5,14 @@ characters; a token equal to the one before it is the marker *again*, so a
 repeated word looks the same whatever the word. Features are indicators of
 token unigrams and bigrams, hashed into ``BUCKETS`` slots.
 
-* Class document counts of every slot come from *all* labelled learning rows:
-  each task adds up its own rows with numpy, Spark sums the slots.
+* The model learns from at most ``LEARN_ROWS`` labelled learning rows (those
+  with the smallest digests of their id). Their ids are the only thing that is
+  broadcast, so no text is shuffled: each task adds up the class document counts
+  of its own rows with numpy, and Spark sums the slots.
 * Indicators are scaled by the log-count ratio of their slot, rows to unit
   length, and a linear hinge-loss model is fitted by dual coordinate descent
-  on at most ``FIT_ROWS`` learning rows (those with the smallest digests of
-  their id) and a logistic link on at most ``LINK_ROWS`` others.
+  on the first ``FIT_ROWS`` of the rows and a logistic link on the next
+  ``LINK_ROWS``.
 * Scoring is one map over the whole texts with the weight array (1 MB), no
   shuffle.
 
@@ -32,8 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import vectext as vt
+from ledgerloom.llm.shared import label_sample
 
 BUCKETS = 1 << 18
+LEARN_ROWS = 40_000
 FIT_ROWS = 6000
 LINK_ROWS = 2000
 ALPHA = 1.0
@@ -172,20 +176,21 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str = "doc_id", text: str = "text") -> Model:
     """Model of ``labels.label`` (0/1) from the rows of ``docs`` where ``learn`` holds."""
-    known = (labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
-             .groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("label")))
-    rows = docs.where(learn).select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key")
-    counts, docs_by_class = slot_counts(rows)
+    sample = label_sample(labels, learn, label, LEARN_ROWS, key)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        return texts.join(F.broadcast(part), "key")
+
+    counts, docs_by_class = slot_counts(rows_of(sample))
     scale = np.log((ALPHA + counts[1]) / (2 * ALPHA + docs_by_class[1])) - np.log((ALPHA + counts[0]) / (2 * ALPHA + docs_by_class[0]))
     if not docs_by_class.all():
         share = docs_by_class[1] / docs_by_class.sum() if docs_by_class.any() else 0.5
         return Model(scale, np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    # an even, repeatable sample: ids in the order of a digest, cut where the expected number is reached
-    n = int(docs_by_class.sum())
-    place = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    fit_share, link_share = min(0.75, FIT_ROWS / n), min(0.25, LINK_ROWS / n)
-    part = sample_features(rows.where(place < fit_share))
-    rest = sample_features(rows.where((place >= fit_share) & (place < fit_share + link_share)))
+    part = sample_features(rows_of(sample.where(F.col("place") < FIT_ROWS)))
+    rest = sample_features(rows_of(sample.where((F.col("place") >= FIT_ROWS) & (F.col("place") < FIT_ROWS + LINK_ROWS))))
+    if len({y for y, _ in part}) < 2:
+        part = rest = sample_features(rows_of(sample))
     weights = dual_descent(part, scale)
     model = Model(scale, weights[:-1], float(weights[-1]), 1.0, 0.0)
     rest = rest if len({y for y, _ in rest}) == 2 else part
