@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import kneser_ney, langid, nbsvm, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
+from ledgerloom.llm import fuzzy_lines, kneser_ney, langid, nbsvm, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
 from ledgerloom.llm.shared import read, remainder
 
 #: SentencePiece model of the registered query (installed with the public tokenizers).
@@ -39,6 +39,13 @@ def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(kneser_ney.score(docs, model), held_out)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fuzzy_lines.drop_lines(read(spark, sf_dir, "documents"))
+    n_removed = F.coalesce(F.size("_removed"), F.lit(0))
+    return out.select("doc_id", n_removed.alias("n_removed"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed_lines"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"), url_filters.RULES)
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Job] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_vantage_point_search": op2_vantage_point_search,
     "op3_kneser_ney_toxicity": op3_kneser_ney_toxicity,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_url_filters": op5_url_filters,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,

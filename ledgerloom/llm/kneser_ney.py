@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +87,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return gram, text, w.lens + 1
 
 
-def _slot(gram: np.ndarray, order: int) -> np.ndarray:
-    return (vt.mix(gram + np.uint64(order)) % np.uint64(SLOTS)).astype(np.int64)
+def _slot(gram: np.ndarray, order: int, slots: int) -> np.ndarray:
+    return (vt.mix(gram + np.uint64(order)) & np.uint64(slots - 1)).astype(np.int64)
 
 
 def gram_table(rows: DataFrame) -> DataFrame:
@@ -124,16 +125,19 @@ def gram_table(rows: DataFrame) -> DataFrame:
 
 
 def _slots(table: DataFrame, value_columns: list[str], order: int) -> np.ndarray:
-    """Slot sums of ``value_columns`` by the column ``gram``; SLOTS rows at most."""
+    """Slot sums of ``value_columns`` by the column ``gram``: four slots a gram
+    or more, up to SLOTS."""
+    slots = min(SLOTS, 1 << (4 * table.agg(F.approx_count_distinct("gram")).first()[0]).bit_length())
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slot = _slot(b.column(0).to_numpy().view(np.uint64), order)
+            slot = _slot(b.column(0).to_numpy().view(np.uint64), order, slots)
             yield pa.RecordBatch.from_arrays([pa.array(slot), *b.columns[1:]], ["slot", *value_columns])
 
     ddl = ", ".join(["slot long", *(f"{c} long" for c in value_columns)])
     found = (table.select("gram", *value_columns).mapInArrow(fold, ddl).groupBy("slot")
              .agg(*(F.sum(c).alias(c) for c in value_columns)).toArrow())
-    out = np.zeros((SLOTS, len(value_columns)), np.float32)
+    out = np.zeros((slots, len(value_columns)), np.float32)
     slot = found["slot"].to_numpy()
     for k, c in enumerate(value_columns):
         out[slot, k] = found[c].to_numpy()
@@ -146,22 +150,23 @@ class Model:
     top_context: np.ndarray       # slot of context -> total 0, 1, followers 0, 1
     lower: list[np.ndarray]       # by order (1 first): slot of gram -> contexts it continues
     contexts: list[np.ndarray]    # by order: slot of context -> total, followers
-    slope: float = 1.0
-    intercept: float = 0.0
 
     def word_ratios(self, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Toxic over ordinary log-likelihood of each word."""
         if not len(size):
             return np.zeros(0)
+        def look_up(table: np.ndarray, grams: np.ndarray, order: int) -> np.ndarray:
+            return table[_slot(grams, order, len(table))]
+
         p = np.full(len(gram), 1.0 / (1 << BITS), np.float32)
         for order in range(1, ORDER):
             g = gram & _MASK[order]
-            total, followers = self.contexts[order - 1][_slot(g >> np.uint64(BITS), order + 100)].T
-            seen = np.maximum(self.lower[order - 1][_slot(g, order), 0] - DISCOUNT, 0)
+            total, followers = look_up(self.contexts[order - 1], g >> np.uint64(BITS), order + 100).T
+            seen = np.maximum(look_up(self.lower[order - 1], g, order)[:, 0] - DISCOUNT, 0)
             safe = np.maximum(total, 1)
             p = np.where(total > 0, seen / safe + DISCOUNT * np.minimum(followers, total) / safe * p, p)
-        counts = self.top[_slot(gram, ORDER)]
-        context = self.top_context[_slot(gram >> np.uint64(BITS), ORDER + 100)]
+        counts = look_up(self.top, gram, ORDER)
+        context = look_up(self.top_context, gram >> np.uint64(BITS), ORDER + 100)
         logs = []
         for c in (0, 1):
             total, followers = context[:, c], context[:, 2 + c]
@@ -176,27 +181,33 @@ class Model:
         word = np.maximum(self.word_ratios(gram, size) - MARGIN, 0)
         return np.bincount(text, word, n) / np.maximum(np.bincount(text, minlength=n), 1)
 
-    def scores(self, ratio: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.intercept, -35, 35)))
+
+@dataclass
+class Fitted:
+    """The tables, broadcast once, and the link from ratio to probability."""
+    tables: Broadcast
+    slope: float
+    intercept: float
 
 
-def _ratios(rows: DataFrame, model: Model, carry: str, kind: str, finish: str | None = None) -> DataFrame:
-    """(carry, value) of each row; ``finish`` names a method applied to the ratios."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # ten tables of SLOTS entries at most
+def _ratios(rows: DataFrame, fitted: Fitted, carry: str, kind: str) -> DataFrame:
+    """(carry, ratio, score) of each row."""
+    tables, slope, intercept = fitted.tables, fitted.slope, fitted.intercept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = vt.column_bytes(b.column(1))
             for lo, hi in vt.pieces(offsets):
                 found = grams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                value = shared.value.ratios(*found, hi - lo)
-                value = getattr(shared.value, finish)(value) if finish else value
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(value)], [carry, "value"])
+                ratio = tables.value.ratios(*found, hi - lo)
+                score = 1 / (1 + np.exp(-np.clip(slope * ratio + intercept, -35, 35)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ratio), pa.array(score)],
+                                                 [carry, "ratio", "score"])
 
-    return rows.select(carry, F.col("text").cast("binary")).mapInArrow(run, f"`{carry}` {kind}, value double")
+    return rows.select(carry, F.col("text").cast("binary")).mapInArrow(run, f"`{carry}` {kind}, ratio double, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str = "doc_id", text: str = "text") -> Fitted:
     """Model of ``labels.label`` (0/1): class counts from a bounded sample of
     the rows where ``learn`` holds, backoff counts from all of ``docs``."""
     sample = label_sample(labels, learn, label, LEARN_ROWS, key).withColumn(
@@ -219,21 +230,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str
     by_class = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = by_class.get(0, 0), by_class.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.5
-    model.slope, model.intercept = 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ten tables of SLOTS entries at most
+    fitted = Fitted(shared, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     if n0 and n1:
         held = rows.join(F.broadcast(sample.where("link")), "key")
-        got = _ratios(held.select("label", "text"), model, "label", "int").toArrow()  # LEARN_ROWS rows at most
-        x, y = got["value"].to_numpy(), got["label"].to_numpy().astype(float)
+        got = _ratios(held.select("label", "text"), fitted, "label", "int").toArrow()  # LEARN_ROWS rows at most
+        x, y = got["ratio"].to_numpy(), got["label"].to_numpy().astype(float)
         if 0 < y.sum() < len(y):
             spread = x.std() or 1.0
             slope, intercept = logistic_link((x - x.mean()) / spread, y)
-            model.slope, model.intercept = slope / spread, intercept - slope * x.mean() / spread
-    return model
+            fitted.slope, fitted.intercept = slope / spread, intercept - slope * x.mean() / spread
+    return fitted
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row of ``docs``."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = _ratios(rows, model, "key", kind, "scores")
-    return out.withColumnsRenamed({"key": key, "value": "score"})
+    return _ratios(rows, fitted, "key", kind).select(F.col("key").alias(key), "score")
