@@ -31,6 +31,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import compress
 
 import numpy as np
@@ -136,7 +137,9 @@ def _messages(grp: int, kind: int, shards: np.ndarray, payloads: list[bytes]) ->
 
 def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shards with entries and the range of each, in an array sorted by shard."""
-    lo = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+    if not len(shard):
+        return shard, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lo = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     return shard[lo], lo, np.append(lo[1:], len(shard))
 
 
@@ -153,10 +156,12 @@ def _answers(inbox: pa.Table, kind: int, shard: np.ndarray) -> np.ndarray:
 
 def _searched(texts: pa.Table, inbox: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Masks over the group's rows: those searched, and the copies of another row's text."""
-    ids = texts["id"].combine_chunks()
-    known = np.asarray(ids.is_valid())
-    copies = inbox.filter(pa.compute.equal(inbox["kind"], COPY))["id"]
-    copy = known & np.isin(ids.fill_null(0).to_numpy(), copies.to_numpy())
+    known = np.asarray(texts["id"].combine_chunks().is_valid())
+    rows = inbox.filter(pa.compute.equal(inbox["kind"], COPY))
+    copies = set(zip(rows["id"].to_pylist(), rows["payload"].to_pylist(), strict=True))
+    of_copy = {i for i, _ in copies}
+    copy = np.array([i in of_copy and (i, md5(texts["text"][k].as_py()).digest()) in copies
+                     for k, i in enumerate(texts["id"].to_pylist())], bool)
     return known & ~copy, copy
 
 
@@ -182,10 +187,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
 
     known = sizes.where("id is not null")
     least = known.groupBy("digest").agg(F.min("id").alias("least"), F.count("id").alias("n")).where("n > 1")
-    copies = written(known.join(least, "digest").where("id <> least").select("id").distinct(), "substring-copies")
+    least = written(least, "substring-least")  # a table of its own, so that a hot digest's rows can be split in the join
+    copies = written(known.join(least, "digest").where("id <> least").select("id", "digest").distinct(), "substring-copies")
     null = F.lit(None)
     copies = copies.select(group(copies).alias("grp"), F.lit(COPY).alias("kind"), null.cast("int").alias("shard"),
-                           "id", null.cast("binary").alias("payload"))
+                           "id", F.unhex("digest").alias("payload"))
     texts = rows.select(group(rows).alias("grp"), "id", "text")
 
     def probe(texts: pa.Table, inbox: pa.Table) -> pa.Table:
