@@ -103,12 +103,18 @@ class Search:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the squares
+    v = _scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows by a power of two, exactly, so that their squares stay in range."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; equal rows give equal scores."""
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
