@@ -40,9 +40,8 @@ def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fuzzy_lines.drop_lines(read(spark, sf_dir, "documents"))
-    n_removed = F.coalesce(F.size("_removed"), F.lit(0))
-    return out.select("doc_id", n_removed.alias("n_removed"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed_lines"),
+    out = fuzzy_lines.drop_lines(read(spark, sf_dir, "documents"), removed="removed_lines")
+    return out.select("doc_id", F.size("removed_lines").alias("n_removed"), "removed_lines",
                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import vectext as vt
 from ledgerloom.llm.charwords import NAMES, letter_words
+from ledgerloom.llm.shared import filter_texts
 
 BUCKETS = 1 << 17
 GRAM = 4
@@ -222,6 +223,21 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, ddl).withColumnRenamed("key", key)
 
 
+def keep_identified(docs: DataFrame, model: Model, least_share: float = 0.5, text: str = "text",
+                    switch: float = SWITCH) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has letters and one
+    language with at least ``least_share`` of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if not shared.value.languages:
+            return np.zeros(len(offsets) - 1, bool)
+        lang, score, _ = shared.value.predict(words(data, offsets), switch)
+        return (lang >= 0) & (score >= least_share)
+
+    return filter_texts(docs, text, keep)
+
+
 def _spans(w: _Batch, path: np.ndarray | None, i: int, languages: list[str]) -> list[dict]:
     a, b = int(w.text_first[i]), int(w.text_first[i + 1])
     if a == b or path is None:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import vectext as vt
 from ledgerloom.session import prepare_for_fixtures, require_checkpoint_dir
 
 
@@ -38,3 +42,21 @@ def label_sample(labels: DataFrame, learn, label: str, n: int, key: str = "doc_i
     picked = known.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(n)
     rows = [(r.key, r.label, place) for place, r in enumerate(picked.collect())]
     return spark.createDataFrame(rows, known.schema.add("place", "integer"))
+
+
+def filter_texts(docs: DataFrame, text: str, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text ``keep`` keeps:
+    a function of the bytes and offsets of a piece of the texts, to a mask.
+    Rows travel as one struct, so no column name can clash."""
+    packed = docs.select(F.struct("*").alias("row"))
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(0)
+            data, offsets = vt.column_bytes(rows.field(place))
+            masks = [keep(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]) for lo, hi in vt.pieces(offsets)]
+            mask = pa.array(np.concatenate(masks) if masks else np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([rows.filter(mask)], ["row"])
+
+    return packed.mapInArrow(run, packed.schema).select("row.*")

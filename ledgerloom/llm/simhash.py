@@ -21,9 +21,9 @@ Linking all pairs at ``max_bits`` or fewer differing bits:
    distributed union-find joins the forests into components.
 
 Defined results: null text is the empty text; rows with a null id are not
-linked and keep a null component; repeated ids are one document each row, in
-the component of its fingerprint; an empty table gives an empty result; other
-columns are carried through untouched (clashing names raise).
+linked and keep a null component; of repeated ids each row is a document of its
+own, in the component of its fingerprint; an empty table gives an empty result;
+other columns are not read, and pass through ``keep_first`` whatever their names.
 """
 
 from __future__ import annotations
@@ -71,17 +71,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long): one row per row of ``docs``."""
+    """(key, version, fp long): one row per row of ``docs``; version is a hash of the text."""
     kind = docs.schema[key].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py() or b"", shingle) for t in b.column(1)]
+            fps = [fingerprint(t.as_py() or b"", shingle) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "fp"])
+                [*b.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "version", "fp"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(scan, f"key {kind}, fp long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(scan, f"key {kind}, version long, fp long").withColumnRenamed("key", key)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """(key, fp long, component_id): the smallest id reachable over links."""
+    """(key, version, fp long, component_id): the smallest id reachable over links."""
     fps = written(fingerprints(docs, shingle, key, text), "simhash-fps")
     least = fps.groupBy("fp").agg(F.min(key).alias("least"))
     found = written(links(least.where(F.col("least").isNotNull()).select("fp"), max_bits), "simhash-links")
@@ -228,12 +228,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, key: s
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     member = named.join(smallest, "component").select("fp", "component_id")
     return fps.join(member, "fp").select(
-        key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+        key, "version", "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose id is its component's smallest (one per group);
     rows without an id are kept."""
     groups = near_duplicates(docs, shingle, max_bits, key, text)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("id"), "version").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("version"))
+    return rows.join(gone, ["id", "version"], "left_anti").select("row.*")

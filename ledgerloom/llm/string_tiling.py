@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import vectext as vt
+from ledgerloom.llm.shared import filter_texts
 
 BLOCK_BYTES = 16 << 20
 MIN_MATCH = 5
@@ -190,16 +191,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     for seeds in seed_blocks(benchmark, min_match, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                data, offsets = vt.column_bytes(b.column(1))
-                clean = np.ones(b.num_rows, bool)
-                for lo, hi in vt.pieces(offsets):
-                    for d, *_ in leaks(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], shared.value,
-                                       min_match, threshold):
-                        clean[lo + d] = False
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(clean))], ["row"])
+        def clean(data: np.ndarray, offsets: np.ndarray, shared=shared) -> np.ndarray:
+            out = np.ones(len(offsets) - 1, bool)
+            for d, *_ in leaks(data, offsets, shared.value, min_match, threshold):
+                out[d] = False
+            return out
 
-        packed = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("text"))
-        docs = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}").select("row.*")
+        docs = filter_texts(docs, text, clean)
     return docs
