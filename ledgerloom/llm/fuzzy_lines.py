@@ -8,10 +8,10 @@ shingles are its runs of ``SHINGLE`` characters (a shorter line is one shingle).
    one hash under ``ROWS * BANDS`` bit flips, which are permutations.
 2. Banding: ``BANDS`` bands of ``ROWS`` minima. A pair of similarity 0.8 shares
    a band with probability 1 - (1 - 0.8^3)^6 = 0.987, one of 0.9 with 0.9996.
-   Four bits of 16 minima travel along; a pair that agrees in fewer than
-   ``AGREE`` of them is given up (a pair of 0.8 does with probability 0.001).
-3. In a band's bucket every line meets the bucket's pivot, by an equi-join with
-   an aggregate. Pairs are verified by the exact Jaccard of all their shingles.
+   Four bits of ``SKETCH`` minima travel along; a pair that agrees in fewer than
+   ``AGREE`` of them is given up (a pair of 0.8 with probability 0.003).
+3. In a band's bucket every line meets the bucket's pivot, the line with most
+   copies (variants are near their original), by an equi-join with an aggregate. Pairs are verified by the exact Jaccard of all their shingles.
    Lines of one bucket that are still in different components then meet each
    other, so no link between different lines of a bucket is lost, and lines
    that are linked already are never paired.
@@ -40,7 +40,8 @@ SHINGLE = 10
 SIMILARITY = 0.8
 #: Minima of a band, and bands. Three minima: unrelated lines seldom share a band.
 ROWS, BANDS = 3, 6
-AGREE = 8
+#: Minima of the sketch, and how many of them a pair must agree in.
+SKETCH, AGREE = 32, 20
 #: A line with more characters a word than this takes all its shingles.
 LONG_WORDS = 24
 _WORDS = 1 << 16
@@ -61,11 +62,12 @@ def _units(line: Column) -> Column:
 
 def _flips() -> list[int]:
     """Bit flips of the permutations: multiples of an odd constant."""
-    return [(k * 0x9E3779B1 + 0x7F4A7C15) & 0x7FFFFFFF for k in range(ROWS * BANDS)]
+    return [(k * 0x9E3779B1 + 0x7F4A7C15) & 0x7FFFFFFF for k in range(max(SKETCH, ROWS * BANDS))]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(a, b, sketch, band keys k0...) of every distinct line."""
+    """(a, b, weight, s1, s2, band keys k0...) of every distinct line; weight
+    grows with its copies, s1 and s2 are its sketch."""
     words = lines.select("a", "b", "line", F.split("line", " ").alias("words"))
     dense = F.char_length("line") > LONG_WORDS * F.size("words")
     dense = dense | (F.octet_length("line") > 2 * F.char_length("line"))  # scripts without spaces
@@ -74,25 +76,30 @@ def signatures(lines: DataFrame) -> DataFrame:
     near = [F.get("parts", F.col("i") + k) for k in range(SHINGLE)]
     shingle = F.when(F.col("dense"), F.concat_ws("", *near)).otherwise(
         F.substring(F.concat_ws(" ", *near[:SHINGLE // 2]), 1, SHINGLE))
-    least = at.select("a", "b", F.hash(shingle).alias("h")).groupBy("a", "b").agg(
-        *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_flips())))
-    sketch = F.lit(0).cast("long")
-    for k in range(16):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.hash(f"m{k}").bitwiseAND(F.lit(15)).cast("long"), 4 * k))
-    return least.select("a", "b", sketch.alias("sketch"), *(
+    least = at.select("a", "b", "i", F.hash(shingle).alias("h")).groupBy("a", "b").agg(
+        F.count_if(F.col("i") == 0).alias("copies"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_flips())))
+    half = SKETCH // 2
+    sketch = [F.lit(0).cast("long")] * 2
+    for k in range(SKETCH):
+        sketch[k // half] = sketch[k // half].bitwiseOR(F.shiftleft(F.hash(f"m{k}").bitwiseAND(F.lit(15)).cast("long"), 4 * (k % half)))
+    weight = F.shiftleft(F.least("copies", F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return least.select("a", "b", weight.alias("weight"), sketch[0].alias("s1"), sketch[1].alias("s2"), *(
         F.xxhash64(F.lit(k), *(f"m{j}" for j in range(ROWS * k, ROWS * k + ROWS))).alias(f"k{k}") for k in range(BANDS)))
 
 
-def _agree(one: str, two: str) -> Column:
-    """Do two sketches agree in at least ``AGREE`` of their 16 places?"""
-    differ = F.col(one).bitwiseXOR(F.col(two))
-    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
-    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    return 16 - F.bit_count(differ) >= AGREE
+def _differing(one: str, two: str) -> Column:
+    """In how many of their 16 places two halves of a sketch differ."""
+    x = F.col(one).bitwiseXOR(F.col(two))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _agree() -> Column:
+    return SKETCH - _differing("s1", "ps1") - _differing("s2", "ps2") >= AGREE
 
 
 def _bands(signed: DataFrame) -> DataFrame:
-    return signed.select("a", "b", "sketch", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
+    return signed.select("a", "b", "weight", "s1", "s2", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
 
 
 def _shingles(line: str) -> str:
@@ -130,28 +137,45 @@ def _texts(lines: DataFrame, concerned: DataFrame) -> DataFrame:
     return few.join(concerned, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
 
 
+def _sized(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` that can have a link in these buckets, with the size of their
+    shingle set and how many of it any other member has too: an edit makes
+    shingles that are nowhere else, and a line with too many of them is alone."""
+    lines = members.select("a", "b").distinct()
+    sets = texts.join(lines, ["a", "b"], "left_semi").select("a", "b", F.expr(_shingles("units")).alias("s"))
+    single = sets.select(F.explode("s").alias("h"), F.col("a").bitwiseXOR(F.col("b")).alias("of")).groupBy("h").agg(
+        F.count("*").alias("n"), F.min("of").alias("of")).where("n = 1").groupBy("of").agg(F.count("*").alias("own"))
+    sizes = sets.select("a", "b", F.col("a").bitwiseXOR(F.col("b")).alias("of"), F.size("s").alias("size")).join(single, "of", "left")
+    sizes = sizes.select("a", "b", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+    sizes = written(sizes.where(F.col("shared") >= SIMILARITY * F.col("size")), "lines-sizes")
+    return written(members.join(sizes, ["a", "b"]), "lines-sized")
+
+
 def similar_lines(lines: DataFrame) -> DataFrame:
     """(node, component) of the names of lines that are linked to another line."""
     bands = _bands(written(signatures(lines), "lines-signed"))
-    pivots = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("pa"), F.min_by("b", "a").alias("pb"),
-                                              F.min_by("sketch", "a").alias("psketch")).where("n > 1"), "lines-pivots")
-    met = written(bands.join(pivots, "key"), "lines-met")
+    pivots = bands.groupBy("key").agg(F.count("*").alias("n"), *(F.max_by(c, "weight").alias(f"p{c}") for c in ("a", "b", "s1", "s2")))
+    pivots = written(pivots.where("n > 1"), "lines-pivots")
+    met = written(bands.join(pivots, "key").drop("weight"), "lines-met")
     texts = written(_texts(lines, met.select("a", "b").distinct()), "lines-texts")
-    star = met.where("a <> pa OR b <> pb").where(_agree("sketch", "psketch")).select("a", "b", "pa", "pb").distinct()
+    star = met.where("a <> pa OR b <> pb").where(_agree()).select("a", "b", "pa", "pb").distinct()
     star = written(star, "lines-star")
     edges = written(verified(star, texts), "lines-edges")
     label = written(components(edges, "x", "y"), "lines-components")
     # buckets that hold several components still
-    member = met.where("n > 2").select("key", "a", "b", "sketch", _name("a", "b").alias("node")).join(label, "node", "left").select(
-        "key", "a", "b", "sketch", "node", F.coalesce("component", "node").alias("component"))
+    member = met.where("n > 2").select("key", "a", "b", "s1", "s2", _name("a", "b").alias("node")).join(label, "node", "left").select(
+        "key", "a", "b", "s1", "s2", "node", F.coalesce("component", "node").alias("component"))
     member = written(member, "lines-members")
     mixed = written(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                     .where("lo <> hi").select("key"), "lines-mixed")
-    left = member.join(mixed, "key", "left_semi")
-    right = left.withColumnsRenamed({c: f"p{c}" for c in ("a", "b", "sketch", "node", "component")})
+    left = _sized(member.join(mixed, "key", "left_semi"), texts)
+    right = left.withColumnsRenamed({c: f"p{c}" for c in ("a", "b", "s1", "s2", "node", "component", "size", "shared")})
+    most = F.least("shared", "pshared")  # shingles that the two can have in common
     cross = left.join(right, "key").where((F.col("node") < F.col("pnode")) & (F.col("component") != F.col("pcomponent"))
-                                          & _agree("sketch", "psketch")).select("a", "b", "pa", "pb").distinct()
-    more = written(verified(cross.join(star, ["a", "b", "pa", "pb"], "left_anti"), texts), "lines-edges")
+                                          & (most >= SIMILARITY * (F.col("size") + F.col("psize") - most)) & _agree())
+    cross = cross.select("a", "b", "pa", "pb").distinct()
+    cross = written(cross.join(star, ["a", "b", "pa", "pb"], "left_anti"), "lines-cross")
+    more = written(verified(cross, texts), "lines-edges")
     if more.isEmpty():
         return label
     return components(edges.unionByName(more), "x", "y")
@@ -170,12 +194,18 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return placed.join(first, "component").where("id <> id1 OR version <> version1 OR pos <> pos1").select("id", "version", "pos").distinct()
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without their removed lines, plus ``_removed``: the
-    numbers of those lines (null if none)."""
-    gone = removed_lines(docs, key, text).groupBy("id", "version").agg(F.sort_array(F.collect_list("pos")).alias("_removed"))
-    gone = gone.select(F.struct("id", "version").alias("_of"), "_removed")
-    rows = docs.withColumn("_of", F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("version"))))
-    rows = rows.join(gone, "_of", "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return rows.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns, "_removed")
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
+    """The rows of ``docs`` without their removed lines; with ``removed``, the
+    numbers of those lines as a further column of that name. Rows travel as one
+    struct, so no column name can clash."""
+    gone = removed_lines(docs, key, text).groupBy("id", "version").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    gone = gone.select(F.struct("id", "version").alias("of"), "gone")
+    of = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("version")))
+    rows = docs.select(F.struct("*").alias("row"), of.alias("of")).join(gone, "of", "left")
+    before = F.col("row").getField(text)
+    kept = F.array_join(F.filter(F.split(before, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    rows = rows.withColumn("row", F.col("row").withField(text, F.when(F.col("gone").isNull(), before).otherwise(kept)))
+    out = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    if removed:
+        out.append(F.coalesce("gone", F.array().cast("array<int>")).alias(removed))
+    return rows.select(*out)
