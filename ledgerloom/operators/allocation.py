@@ -165,20 +165,22 @@ def confirm_drafts(challans: DataFrame, lines: DataFrame, stock: DataFrame, prod
     return {"decisions": out, "movements": moves, "stock": new_stock}
 
 
-def apply_adjustments(commands: DataFrame, stock: DataFrame) -> DataFrame:
+def apply_adjustments(commands: DataFrame, stock: DataFrame, products: DataFrame) -> DataFrame:
     """Manual IN/OUT adjustments in order; an OUT larger than the stock is refused.
 
     ``commands``: command_id, product_id, movement_type, quantity, requested_at.
     A refused OUT does not count, so later OUTs may pass: the same exact
     allocation as W5 with one-item requests and INs as supplies. A command
     whose quantity is not a positive whole number, whose type is not IN/OUT or
-    that names no product is ``invalid`` and takes no part.
+    that names no product is ``invalid``; a product that is not in ``products``
+    is ``not_found``; neither takes part.
     """
     qty = F.col("quantity").try_cast("int")          # F23: coerce landed text to a number
     valid = ((qty > 0) & F.col("movement_type").isin("IN", "OUT") & F.col("requested_at").isNotNull()
              & F.col("product_id").isNotNull())
-    commands = commands.withColumn("_valid", F.coalesce(valid, F.lit(False)))
-    dem = commands.where(F.col("_valid")).select(
+    known = products.select(F.col("id").alias("product_id")).distinct().withColumn("_known", F.lit(True))
+    commands = commands.withColumn("_valid", F.coalesce(valid, F.lit(False))).join(known, "product_id", "left")
+    dem = commands.where(F.col("_valid") & F.col("_known")).select(
         F.col("command_id").alias("request_id"), F.col("requested_at").alias("seq_ts"),
         F.col("command_id").alias("seq_id"), "product_id",
         F.when(F.col("movement_type") == "IN", -qty).otherwise(qty).cast("bigint").alias("qty"),
@@ -186,5 +188,19 @@ def apply_adjustments(commands: DataFrame, stock: DataFrame) -> DataFrame:
     decisions, _ = allocate(dem, stock)
     return commands.join(decisions.select(F.col("request_id").alias("command_id"), "status"), "command_id", "left") \
         .select("command_id", "product_id", "movement_type", "quantity", "requested_at",
-                F.when(~F.col("_valid"), "invalid").when(F.col("status") == ACCEPTED, "applied")
+                F.when(~F.col("_valid"), "invalid").when(F.col("_known").isNull(), "not_found")
+                 .when(F.col("status") == ACCEPTED, "applied")
                  .otherwise("insufficient_stock").alias("outcome"))
+
+
+def adjustment_effects(decisions: DataFrame, stock: DataFrame, created_by) -> dict[str, DataFrame]:
+    """The ledger rows of the applied adjustments, and the stock after them."""
+    done = decisions.where(F.col("outcome") == "applied").withColumn("_qty", F.col("quantity").try_cast("int"))
+    moves = done.select("product_id", F.col("_qty").alias("quantity_changed"), "movement_type",
+                        F.lit("MANUAL_ADJUSTMENT").alias("reference_type"), F.col("command_id").alias("reference_id"),
+                        F.lit(created_by).cast("bigint").alias("created_by"), F.col("requested_at").alias("created_at"))
+    change = moves.groupBy("product_id").agg(F.sum(
+        F.when(F.col("movement_type") == "IN", F.col("quantity_changed")).otherwise(-F.col("quantity_changed"))).alias("_change"))
+    after = stock.join(change, "product_id", "full_outer").select(
+        "product_id", (F.coalesce("available", F.lit(0)) + F.coalesce("_change", F.lit(0))).cast("bigint").alias("available"))
+    return {"movements": moves, "stock": after}

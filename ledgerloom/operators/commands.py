@@ -79,11 +79,13 @@ def query_transitions(queries: DataFrame, commands: DataFrame, at: dt.datetime)
     """Commands (command_id, query_id, action in reply/resolve) in command order.
 
     When commands carry ``customer_id``, a question of another customer is
-    ``not_found`` (P15). A question is closed for a command when it started RESOLVED or an earlier
-    command in the batch resolved it. A reply to a closed question conflicts;
-    a resolve of a closed one finds no open question (``not_found``). A reply
-    moves OPEN to IN_PROGRESS. Closed-before is a running count, split by
-    command-id blocks so one busy question is spread over many tasks.
+    ``not_found`` (P15) and has no effect on the question. A question is closed
+    for a command when it started RESOLVED or an earlier command that found it
+    resolved it. A reply to a closed question conflicts; a resolve of a closed
+    one finds no open question (``not_found``). A reply moves OPEN to
+    IN_PROGRESS, where it stays for later commands. What came before is a
+    running count, split by command-id blocks so one busy question is spread
+    over many tasks.
     """
     q = queries.select(F.col("id").alias("query_id"), F.col("customer_id").alias("_owner"),
                        F.col("status").alias("initial"))
@@ -91,8 +93,11 @@ def query_transitions(queries: DataFrame, commands: DataFrame, at: dt.datetime)
     if "customer_id" in commands.columns:
         # The question must belong to the customer named in the command.
         j = j.withColumn("initial", F.when(F.col("_owner") == F.col("customer_id"), F.col("initial")))
-    is_resolve = (F.col("action") == "resolve").cast("int")
-    s = running_sums(j, ["query_id"], ["command_id"], {"resolves_before": is_resolve},
+    def effective(action: str) -> Column:
+        return F.when(F.col("initial").isNotNull() & (F.col("action") == action), 1).otherwise(0)
+
+    s = running_sums(j, ["query_id"], ["command_id"],
+                     {"resolves_before": effective("resolve"), "replies_before": effective("reply")},
                      bucket=F.floor(F.col("command_id") / 4096), inclusive=False)
     closed = (F.col("initial") == "RESOLVED") | (F.col("resolves_before") > 0)
     outcome = (F.when(F.col("initial").isNull(), "not_found")
@@ -101,9 +106,8 @@ def query_transitions(queries: DataFrame, commands: DataFrame, at: dt.datetime)
                .when(F.col("action").isin("reply", "resolve"), "applied").otherwise("invalid"))
     status_after = (F.when(F.col("initial").isNull(), F.lit(None))
                     .when(closed | (F.col("action") == "resolve"), F.lit("RESOLVED"))
-                    .when(F.col("action") == "reply", F.lit("IN_PROGRESS"))
+                    .when((F.col("action") == "reply") | (F.col("replies_before") > 0), F.lit("IN_PROGRESS"))
                     .otherwise(F.col("initial")))
-    # A reply to an IN_PROGRESS or OPEN question leaves it IN_PROGRESS; an earlier reply persists.
     return s.select("command_id", "query_id", "action", outcome.alias("outcome"),
                     status_after.alias("status_after"),
                     F.when((outcome == "applied") & (F.col("action") == "resolve"), _ts(at)).alias("resolved_at"))
@@ -137,23 +141,27 @@ def update_products(products: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 # -- W1 append with validation and defaults --------------------------------------------
-def ingest_customers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def ingest_customers(existing: DataFrame, incoming: DataFrame, skip_duplicates: bool = True) -> DataFrame:
     """Default status LEAD, validate (V1), skip (name, mobile) already present.
 
     Defaults are applied before the rules, as the input parser does: a request
-    without a status is a LEAD, not an invalid request.
+    without a status is a LEAD, not an invalid request. Of the valid requests
+    of one batch the one with the lowest id wins a (name, mobile); an invalid
+    request takes nothing from a later one. With ``skip_duplicates=False``
+    every valid request is stored, as a plain insert would.
     """
     incoming = incoming.withColumn("status", F.coalesce(F.col("status"), F.lit("LEAD")))
     bad = dq.dq_customers(incoming).groupBy("record_id").agg(
         F.array_sort(F.collect_set("rule")).alias("broken_rules"))
     seen = existing.select("customer_name", "mobile").distinct().withColumn("_dup", F.lit(True))
-    # Inside one batch the first request (lowest id) of a (name, mobile) wins.
-    first = incoming.groupBy("customer_name", "mobile").agg(F.min("id").alias("_first_id"))
-    j = (incoming.join(bad, incoming.id == bad.record_id, "left").drop("record_id")
-         .join(seen, ["customer_name", "mobile"], "left")
+    judged = incoming.join(bad, incoming.id == bad.record_id, "left").drop("record_id")
+    first = (judged.where(F.col("broken_rules").isNull()).groupBy("customer_name", "mobile")
+             .agg(F.min("id").alias("_first_id")))
+    j = (judged.join(seen, ["customer_name", "mobile"], "left")
          .join(first, ["customer_name", "mobile"], "left"))
     outcome = (F.when(F.col("broken_rules").isNotNull(), "invalid")
-               .when(F.col("_dup") | (F.col("id") != F.col("_first_id")), "duplicate").otherwise("applied"))
+               .when(F.lit(skip_duplicates) & (F.col("_dup") | (F.col("id") != F.col("_first_id"))), "duplicate")
+               .otherwise("applied"))
     return j.select(*[c for c in incoming.columns if c != "status"], "status",
                     outcome.alias("outcome"),
                     F.coalesce(F.array_join("broken_rules", ","), F.lit("")).alias("broken_rules"))
@@ -210,7 +218,9 @@ def draft_challans(requests: DataFrame, lines: DataFrame, customers: DataFrame,
     ``requests``: challan_id, customer_id. ``lines``: challan_id, product_id,
     quantity, line_no. Outcome per challan: ``not_found`` (customer or any
     product missing), ``invalid`` (no items, a quantity <= 0, a product twice),
-    else ``applied``. One row per requested line with its snapshot.
+    else ``applied``. One row per requested line with its snapshot, and one row
+    with null line columns for a request without lines, so that every request
+    has an outcome.
     """
     cust = customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_cust"))
     lines = lines.join(requests.select("challan_id"), "challan_id", "left_semi")
@@ -229,7 +239,7 @@ def draft_challans(requests: DataFrame, lines: DataFrame, customers: DataFrame,
                .otherwise("applied"))
     h = head.select("challan_id", "customer_id", outcome.alias("outcome"),
                     F.when(outcome == "applied", F.col("total_quantity")).alias("total_quantity"))
-    return li.join(h, "challan_id", "inner").select(
+    return h.join(li, "challan_id", "left").select(
         "challan_id", "customer_id", "line_no", "product_id", "quantity", "outcome", "total_quantity",
         F.when(F.col("outcome") == "applied", F.col("product_name")).alias("product_name_snapshot"),
         F.when(F.col("outcome") == "applied", F.col("sku")).alias("sku_snapshot"),

@@ -161,17 +161,21 @@ def challan_header(challans: DataFrame, customers: DataFrame, users: DataFrame)
     return challans.join(cu, "customer_id", "inner").join(u, "created_by", "inner")
 
 
-def challan_document_totals(items: DataFrame) -> DataFrame:
-    """A10: per challan — lines, total units, total value (decimal, Q11)."""
-    return items.groupBy("challan_id").agg(
+def challan_document_totals(challans: DataFrame, items: DataFrame) -> DataFrame:
+    """A10: per challan — lines, total units, total value (decimal, Q11); zeros without items."""
+    per = items.groupBy("challan_id").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum("quantity").cast("bigint").alias("total_units"),
         F.sum(F.col("quantity") * F.col("unit_price_snapshot")).cast(MONEY).alias("total_value"))
+    return challans.select(F.col("id").alias("challan_id")).join(per, "challan_id", "left").select(
+        "challan_id", *(F.coalesce(c, F.lit(0)).cast(per.schema[c].dataType).alias(c)
+                        for c in ("lines", "total_units", "total_value")))
 
 
 def challan_document(challans: DataFrame, items: DataFrame, customers: DataFrame, users: DataFrame,
                      chunk_size: int = 1000) -> DataFrame:
-    """Challan header with its items ordered by product name (bounded chunks).
+    """Challan header with its items ordered by product name (bounded chunks);
+    a challan without items has one chunk with an empty array.
 
     Each item carries both the unit price and the line total (Q10).
     """
@@ -183,4 +187,6 @@ def challan_document(challans: DataFrame, items: DataFrame, customers: DataFrame
     head = challan_header(challans, customers, users).select(
         F.col("id").alias("challan_id"), "challan_number", "status", "created_at", "confirmed_at",
         "customer_id", "customer_name", "business_name", "created_by_name")
-    return head.join(nested, "challan_id", "inner")
+    return head.join(nested, "challan_id", "left").withColumns({
+        "chunk_no": F.coalesce("chunk_no", F.lit(0)),
+        "items": F.coalesce("items", F.array().cast(nested.schema["items"].dataType))})

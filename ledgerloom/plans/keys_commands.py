@@ -32,12 +32,12 @@ _LINES = ("SELECT l_orderkey AS challan_id, l_linenumber AS line_no, l_partkey A
 
 # -- W4 / J17 ---------------------------------------------------------------------
 @register("challan_item_snapshot", with_views("""
-SELECT li.challan_id, h.customer_id, li.line_no, li.product_id, li.quantity, h.outcome,
+SELECT h.challan_id, h.customer_id, li.line_no, li.product_id, li.quantity, h.outcome,
        CASE WHEN h.outcome = 'applied' THEN per.total_quantity END AS total_quantity,
        CASE WHEN h.outcome = 'applied' THEN li.product_name END AS product_name_snapshot,
        CASE WHEN h.outcome = 'applied' THEN li.sku END AS sku_snapshot,
        CASE WHEN h.outcome = 'applied' THEN li.unit_price END AS unit_price_snapshot
-FROM li JOIN head h ON h.challan_id = li.challan_id LEFT JOIN per ON per.challan_id = li.challan_id""",
+FROM head h LEFT JOIN li ON h.challan_id = li.challan_id LEFT JOIN per ON per.challan_id = h.challan_id""",
     "challans", "customers", "products", extra=[
         ("lines", _LINES),
         ("req", "SELECT id AS challan_id, customer_id FROM challans WHERE status = 'DRAFT'"),
@@ -88,32 +88,35 @@ def q_transitions(spark, d):
 
 
 # -- W11 ---------------------------------------------------------------------------------
+# Oracle: a question is closed from its first effective resolve on, and in progress from its first effective reply on.
 @register("query_transitions", with_views(f"""
-SELECT command_id, query_id, action,
-       CASE WHEN initial IS NULL THEN 'not_found'
-            WHEN (initial = 'RESOLVED' OR rb > 0) AND action = 'reply' THEN 'conflict'
-            WHEN (initial = 'RESOLVED' OR rb > 0) THEN 'not_found'
-            WHEN action IN ('reply', 'resolve') THEN 'applied' ELSE 'invalid' END AS outcome,
-       CASE WHEN initial IS NULL THEN NULL
-            WHEN initial = 'RESOLVED' OR rb > 0 OR action = 'resolve' THEN 'RESOLVED'
-            WHEN action = 'reply' THEN 'IN_PROGRESS' ELSE initial END AS status_after,
-       CASE WHEN initial IS NOT NULL AND NOT (initial = 'RESOLVED' OR rb > 0) AND action = 'resolve'
-            THEN {NOW_SQL} END AS resolved_at
-FROM (SELECT c.*, q.status AS initial,
-             COALESCE(SUM(CASE WHEN action = 'resolve' THEN 1 ELSE 0 END) OVER (
-                 PARTITION BY c.query_id ORDER BY c.command_id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rb
-      FROM cmds c LEFT JOIN queries q ON q.id = c.query_id)""", "queries", extra=[
+SELECT f.command_id, f.query_id, f.action,
+       CASE WHEN f.initial IS NULL THEN 'not_found'
+            WHEN f.closed THEN CASE f.action WHEN 'reply' THEN 'conflict' ELSE 'not_found' END
+            WHEN f.action IN ('reply', 'resolve') THEN 'applied' ELSE 'invalid' END AS outcome,
+       CASE WHEN f.initial IS NULL THEN NULL WHEN f.closed OR f.action = 'resolve' THEN 'RESOLVED'
+            WHEN p.at <= f.command_id THEN 'IN_PROGRESS' ELSE f.initial END AS status_after,
+       CASE WHEN NOT f.closed AND f.action = 'resolve' THEN {NOW_SQL} END AS resolved_at
+FROM (SELECT n.*, n.initial = 'RESOLVED' OR COALESCE(x.at < n.command_id, FALSE) AS closed
+      FROM named n LEFT JOIN firsts x ON x.query_id = n.query_id AND x.action = 'resolve') f
+LEFT JOIN firsts p ON p.query_id = f.query_id AND p.action = 'reply'""", "queries", extra=[
     ("cmds", """SELECT conv_id * 1000 + turn AS command_id, conv_id AS query_id,
-                CASE WHEN role = 'assistant' THEN 'reply' ELSE 'resolve' END AS action
-                FROM conversations WHERE role IN ('assistant', 'system')""")]))
+                conv_id + CASE WHEN (conv_id + turn) % 4 = 0 THEN 1 ELSE 0 END AS customer_id,
+                CASE role WHEN 'assistant' THEN 'reply' WHEN 'system' THEN 'resolve' ELSE
+                     CASE WHEN turn % 3 = 0 THEN 'resolve' ELSE 'note' END END AS action FROM conversations"""),
+    ("named", """SELECT c.command_id, c.query_id, c.action, q.status AS initial FROM cmds c
+                 LEFT JOIN queries q ON q.id = c.query_id AND q.customer_id = c.customer_id"""),
+    ("firsts", """SELECT query_id, action, MIN(command_id) AS at FROM named WHERE initial IS NOT NULL
+                  GROUP BY query_id, action""")]))
 def q_query_transitions(spark, d):
-    fx = Fixture(spark, d)
-    cv = fx.table("conversations").where(F.col("role").isin("assistant", "system"))
-    cmds = cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("command_id"),
-                     F.col("conv_id").alias("query_id"),
-                     F.when(F.col("role") == "assistant", "reply").otherwise("resolve").alias("action"))
-    return cm.query_transitions(fx.queries(), cmds, NOW)
+    """Every turn is a command; some name another customer, some an unknown action."""
+    cv = Fixture(spark, d).table("conversations")
+    foreign = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, 1).otherwise(0)
+    action = (F.when(F.col("role") == "assistant", "reply").when(F.col("role") == "system", "resolve")
+              .when(F.col("turn") % 3 == 0, "resolve").otherwise("note"))
+    cmds = cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("command_id"), F.col("conv_id").alias("query_id"),
+                     (F.col("conv_id") + foreign).alias("customer_id"), action.alias("action"))
+    return cm.query_transitions(Fixture(spark, d).queries(), cmds, NOW)
 
 
 # -- W9 / W10 ------------------------------------------------------------------------------
@@ -182,8 +185,8 @@ UNION ALL SELECT id, 'status_enum' FROM inc WHERE NOT COALESCE(status IN ('LEAD'
 SELECT i.id, i.customer_name, i.business_name, i.mobile, i.email, i.gst_number, i.customer_type,
        i.follow_up_date, i.address, COALESCE(i.status, 'LEAD') AS status,
        CASE WHEN b.rules IS NOT NULL THEN 'invalid'
-            WHEN s.customer_name IS NOT NULL OR i.id <> (SELECT MIN(i2.id) FROM inc i2
-                 WHERE i2.customer_name = i.customer_name AND i2.mobile = i.mobile) THEN 'duplicate'
+            WHEN s.customer_name IS NOT NULL OR EXISTS (SELECT 1 FROM inc e WHERE e.id < i.id AND e.customer_name = i.customer_name
+                 AND e.mobile = i.mobile AND e.id NOT IN (SELECT id FROM bad)) THEN 'duplicate'
             ELSE 'applied' END AS outcome,
        COALESCE(b.rules, '') AS broken_rules
 FROM inc i LEFT JOIN (SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM bad GROUP BY id) b
@@ -191,15 +194,21 @@ FROM inc i LEFT JOIN (SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS
 LEFT JOIN (SELECT DISTINCT customer_name, mobile FROM existing) s
   ON s.customer_name = i.customer_name AND s.mobile = i.mobile""", "customers", extra=[
     ("inc", """SELECT c.id, c.customer_name, c.business_name, c.mobile, c.email, c.gst_number, c.customer_type,
-               COALESCE(c.status, 'LEAD') AS status, c.follow_up_date, n.n_name AS address
-               FROM customers c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"""),
+               CASE WHEN c.id % 5 = 0 AND again = 0 THEN 'GONE' ELSE COALESCE(c.status, 'LEAD') END AS status,
+               c.follow_up_date, n.n_name AS address
+               FROM (SELECT *, 0 AS again FROM customers UNION ALL
+                     SELECT c.* REPLACE (id + 1000000000 AS id), 1 FROM customers c WHERE id % 5 < 2) c
+               LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"""),
     ("bad", _CUST_RULES),
     ("existing", "SELECT * FROM customers WHERE id IN (SELECT o_custkey FROM orders)")]))
 def q_ingest(spark, d):
     fx = Fixture(spark, d)
     buyers = fx.table("orders").select(F.col("o_custkey").alias("id")).distinct()
     existing = fx.customers().join(buyers, "id", "left_semi")
-    incoming = fx.customers(with_address=True)
+    # Some first requests are invalid, and some requests come a second time.
+    asked = fx.customers(with_address=True)
+    again = asked.where(F.col("id") % 5 < 2).withColumn("id", F.col("id") + 1_000_000_000)
+    incoming = asked.withColumn("status", F.when(F.col("id") % 5 == 0, "GONE").otherwise(F.col("status"))).unionByName(again)
     return cm.ingest_customers(existing, incoming)
 
 
@@ -286,26 +295,29 @@ _ADJ_CTES = [
                                                     ELSE -quantity_changed END), 0) AS available
                   FROM lines WHERE created_at < TIMESTAMP '2001-08-02 00:00:00' GROUP BY product_id"""),
     ("cmds", """SELECT ROW_NUMBER() OVER (ORDER BY created_at, reason, movement_type, quantity_changed, created_by)
-                       AS command_id, product_id, movement_type, quantity_changed AS quantity,
+                       AS command_id, product_id AS named, movement_type, quantity_changed AS quantity,
                        created_at AS requested_at
                 FROM lines WHERE created_at >= TIMESTAMP '2001-08-02 00:00:00'"""),
+    ("known", """SELECT *, ROW_NUMBER() OVER (ORDER BY command_id) AS step, named AS product_id FROM cmds
+                 WHERE command_id % 13 <> 0"""),
     ("stock_list", """SELECT list(CAST(COALESCE(s.available, 0) AS BIGINT) ORDER BY p.p_partkey) AS stock
                       FROM part p LEFT JOIN stock0 s ON s.product_id = p.p_partkey"""),
     ("r(command_id, stock, ok)", """
   SELECT CAST(0 AS BIGINT), (SELECT stock FROM stock_list), CAST(NULL AS BOOLEAN)
   UNION ALL
-  SELECT c.command_id,
+  SELECT c.step,
          CASE WHEN c.movement_type = 'IN' OR r.stock[c.product_id + 1] >= c.quantity
               THEN list_transform(r.stock, lambda v, i: CASE WHEN i = c.product_id + 1 THEN
                        v + CASE WHEN c.movement_type = 'IN' THEN c.quantity ELSE -c.quantity END ELSE v END)
               ELSE r.stock END,
          c.movement_type = 'IN' OR r.stock[c.product_id + 1] >= c.quantity
-  FROM r JOIN cmds c ON c.command_id = r.command_id + 1"""),
+  FROM r JOIN known c ON c.step = r.command_id + 1"""),
 ]
 SQL_APPLY_ADJUSTMENTS = with_views("""
-SELECT c.command_id, c.product_id, c.movement_type, c.quantity, c.requested_at,
-       CASE WHEN r.ok THEN 'applied' ELSE 'insufficient_stock' END AS outcome
-FROM cmds c JOIN r ON r.command_id = c.command_id""", "movements", extra=_ADJ_CTES).replace("WITH ", "WITH RECURSIVE ", 1)
+SELECT c.command_id, CASE WHEN k.step IS NULL THEN c.named + 1000000000 ELSE c.named END AS product_id, c.movement_type,
+       c.quantity, c.requested_at,
+       CASE WHEN k.step IS NULL THEN 'not_found' WHEN r.ok THEN 'applied' ELSE 'insufficient_stock' END AS outcome
+FROM cmds c LEFT JOIN known k ON k.command_id = c.command_id LEFT JOIN r ON r.command_id = k.step""", "movements", extra=_ADJ_CTES).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # -- W5 and W8 (sequential semantics: checked against one-at-a-time processing) ---------------
@@ -325,7 +337,8 @@ def q_confirm(spark, d):
 
 
 def adjustments_fixture(spark, d):
-    """Stock = ledger lines before ADJUST_FROM (no opening rows, floored at 0); commands = later lines."""
+    """Stock = ledger lines before ADJUST_FROM (no opening rows, floored at 0); commands = later
+    lines, every thirteenth of them for a product that does not exist."""
     fx = Fixture(spark, d)
     lines = fx.movements(opening=False)
     until = wall_time(ADJUST_FROM)
@@ -334,12 +347,13 @@ def adjustments_fixture(spark, d):
     later = lines.where(F.col("created_at") >= until)
     cmds = positions(later, [], ["created_at", "reason", "movement_type", "quantity_changed", "created_by"],
                      "command_id", bucket=F.date_trunc("hour", F.col("created_at"))).select(
-        F.col("command_id").cast("bigint").alias("command_id"), "product_id", "movement_type",
-        F.col("quantity_changed").alias("quantity"), F.col("created_at").alias("requested_at"))
+        F.col("command_id").cast("bigint").alias("command_id"),
+        F.when(F.col("command_id") % 13 == 0, F.col("product_id") + 1_000_000_000).otherwise(F.col("product_id")).alias("product_id"),
+        "movement_type", F.col("quantity_changed").alias("quantity"), F.col("created_at").alias("requested_at"))
     return cmds, stock
 
 
 @register("apply_adjustments", SQL_APPLY_ADJUSTMENTS)
 def q_adjust(spark, d):
     cmds, stock = adjustments_fixture(spark, d)
-    return alloc.apply_adjustments(cmds, stock)
+    return alloc.apply_adjustments(cmds, stock, Fixture(spark, d).products())

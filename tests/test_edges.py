@@ -205,7 +205,7 @@ def test_adjustments_refusal_does_not_count(spark):
                          (3, 1, "IN", 10, ts(AS_OF, 3)), (4, 1, "OUT", 3, ts(AS_OF, 4)),
                          (5, 1, "OUT", 1, ts(AS_OF, 5))],
                  "command_id bigint, product_id bigint, movement_type string, quantity int, requested_at timestamp_ntz")
-    got = {r.command_id: r.outcome for r in alloc.apply_adjustments(cmds, stock).collect()}
+    got = {r.command_id: r.outcome for r in alloc.apply_adjustments(cmds, stock, stock.select(F.col("product_id").alias("id"))).collect()}
     assert got == {1: "applied", 2: "insufficient_stock", 3: "applied", 4: "applied", 5: "applied"}
 
 
@@ -268,7 +268,7 @@ def test_invalid_quantities_are_rejected_before_allocation(spark):
                          (3, 1, "OUT", "-1", ts(AS_OF, 3)), (4, 1, "MOVE", "1", ts(AS_OF, 4)),
                          (5, 1, "OUT", "3", ts(AS_OF, 5)), (6, None, "IN", "1", ts(AS_OF, 6))],
                  "command_id bigint, product_id bigint, movement_type string, quantity string, requested_at timestamp_ntz")
-    got = {r.command_id: r.outcome for r in alloc.apply_adjustments(cmds, stock).collect()}
+    got = {r.command_id: r.outcome for r in alloc.apply_adjustments(cmds, stock, stock.select(F.col("product_id").alias("id"))).collect()}
     assert got == {1: "applied", 2: "invalid", 3: "invalid", 4: "invalid", 5: "applied", 6: "invalid"}
     res = _confirm(spark, [(1, 10)], [_draft(1), _draft(2)], [(1, 1, 1, 0), (2, 1, 1, 3)], [1, 2])
     assert {r.challan_id: r.outcome for r in res["decisions"].collect()} == {1: "invalid", 2: "applied"}
@@ -290,3 +290,45 @@ def test_last_product_update_wins(spark):
                 "id bigint, command_id bigint, warehouse_location string")
     got = {r.id: (r.warehouse_location, r.outcome) for r in cm.update_products(p, upd).collect()}
     assert got == {1: ("second", "applied"), 9: ("nowhere", "not_found")}
+
+
+def test_foreign_customers_do_not_resolve_a_question(spark):
+    q = frame(spark, [(1, 10, "OPEN")], "id bigint, customer_id bigint, status string")
+    cmds = frame(spark, [(1, 1, 99, "resolve"), (2, 1, 10, "reply"), (3, 1, 10, "note"), (4, 1, 10, "resolve"), (5, 1, 10, "reply")],
+                 "command_id bigint, query_id bigint, customer_id bigint, action string")
+    got = {r.command_id: (r.outcome, r.status_after) for r in cm.query_transitions(q, cmds, ts(AS_OF)).collect()}
+    assert got == {1: ("not_found", None), 2: ("applied", "IN_PROGRESS"), 3: ("invalid", "IN_PROGRESS"),
+                   4: ("applied", "RESOLVED"), 5: ("conflict", "RESOLVED")}
+
+
+def test_adjustments_of_unknown_products(spark):
+    stock = frame(spark, [(1, 5)], "product_id bigint, available bigint")
+    products = frame(spark, [(1,), (2,)], "id bigint")
+    cmds = frame(spark, [(1, 777, "IN", 4, ts(AS_OF, 1)), (2, 777, "OUT", 3, ts(AS_OF, 2)), (3, 2, "IN", 3, ts(AS_OF, 3)),
+                         (4, 1, "OUT", 2, ts(AS_OF, 4))],
+                 "command_id bigint, product_id bigint, movement_type string, quantity int, requested_at timestamp_ntz")
+    done = alloc.apply_adjustments(cmds, stock, products)
+    assert {r.command_id: r.outcome for r in done.collect()} == {1: "not_found", 2: "not_found", 3: "applied", 4: "applied"}
+    effects = alloc.adjustment_effects(done, stock, 3)
+    assert sorted((r.product_id, r.movement_type, r.quantity_changed) for r in effects["movements"].collect()) == [(1, "OUT", 2), (2, "IN", 3)]
+    assert sorted(map(tuple, effects["stock"].collect())) == [(1, 3), (2, 3)]
+
+
+def test_an_invalid_first_request_takes_nothing_from_a_later_one(spark):
+    schema = ("id bigint, customer_name string, business_name string, mobile string, email string, gst_number string, "
+              "customer_type string, status string, follow_up_date date, address string")
+    row = lambda i, kind: (i, "Anna", "Anna Ltd", "1234567", None, None, kind, None, None, "Street 1")
+    inc = frame(spark, [row(1, "WRONG"), row(2, "RETAIL"), row(3, "RETAIL")], schema)
+    got = {r.id: r.outcome for r in cm.ingest_customers(inc.limit(0), inc).collect()}
+    assert got == {1: "invalid", 2: "applied", 3: "duplicate"}
+    got = {r.id: r.outcome for r in cm.ingest_customers(inc.limit(0), inc, skip_duplicates=False).collect()}
+    assert got == {1: "invalid", 2: "applied", 3: "applied"}
+
+
+def test_every_draft_request_has_an_outcome(spark):
+    requests = frame(spark, [(1, 1), (2, 1)], "challan_id bigint, customer_id bigint")
+    lines = frame(spark, [(1, 1, 5, 2)], "challan_id bigint, line_no int, product_id bigint, quantity int")
+    customers = frame(spark, [(1,)], "id bigint")
+    products = frame(spark, [(5, "p", "s", 1.0)], "id bigint, product_name string, sku string, unit_price double")
+    got = {r.challan_id: (r.outcome, r.line_no) for r in cm.draft_challans(requests, lines, customers, products).collect()}
+    assert got == {1: ("applied", 1), 2: ("invalid", None)}

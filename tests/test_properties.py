@@ -80,7 +80,8 @@ def test_adjustments_equal_sequential(spark):
     df = frame(spark, cmds, "command_id bigint, product_id bigint, movement_type string, quantity int, "
                             "requested_at timestamp_ntz")
     got = {r.command_id: r.outcome for r in
-           alloc.apply_adjustments(df, frame(spark, stock, "product_id bigint, available bigint")).collect()}
+           alloc.apply_adjustments(df, frame(spark, stock, "product_id bigint, available bigint"),
+                                   frame(spark, [(p,) for p in range(30)], "id bigint")).collect()}
     level = dict(stock)
     for i, p, kind, q, _ in sorted(cmds, key=lambda c: (c[4], c[0])):
         if kind == "IN":
