@@ -19,21 +19,20 @@ RATE_LIMIT_FIXTURE = 1   # requests per client per 15 minutes (fixture: 13 / 104
 
 @register("stream_stock_levels", with_views("SELECT * FROM stock", "stock"))
 def q_stream_stock(spark, d):
-    return jobs.stream_stock_levels(spark, jobs.fixture_streams(spark, d).movements())
+    return jobs.stream_stock_levels(spark, jobs.fixture_streams(spark, d).movements(ids=True))
 
 
 @register("stream_sales_daily", keys_sales.SQL_DAILY)
 def q_stream_sales(spark, d):
     fs, fx = jobs.fixture_streams(spark, d), Fixture(spark, d)
-    events = jobs.confirmed_events(fs.challans(), fx.items(), AS_OF, keys_sales.DAYS)
-    return jobs.stream_sales_daily(spark, events)
+    return jobs.stream_sales_daily(spark, fs.challans(), fx.items(), AS_OF, keys_sales.DAYS)
 
 
 @register("stream_alerts", keys_alerts.ORACLE_MERGED)
 def q_stream_alerts(spark, d):
     fx = Fixture(spark, d)
     state = keys_alerts._State(spark, d)
-    return jobs.stream_alerts(spark, jobs.fixture_streams(spark, d).movements(), fx.products(), fx.customers(),
+    return jobs.stream_alerts(spark, jobs.fixture_streams(spark, d).movements(ids=True), fx.products(), fx.customers(),
                               fx.queries(), state.stored, AS_OF, keys_alerts.NOW)
 
 
@@ -59,5 +58,5 @@ FROM (SELECT f.*, LAG(low) OVER (PARTITION BY product_id ORDER BY created_at) AS
             JOIN products p ON p.id = b.product_id) f)
 WHERE (prev_low IS NULL AND low) OR (prev_low IS NOT NULL AND low <> prev_low)""", "movements", "products"))
 def q_low_changes(spark, d):
-    return jobs.stream_low_stock_changes(spark, jobs.fixture_streams(spark, d).movements(),
+    return jobs.stream_low_stock_changes(spark, jobs.fixture_streams(spark, d).movements(ids=True),
                                          Fixture(spark, d).products())

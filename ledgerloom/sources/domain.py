@@ -38,7 +38,7 @@ DOMAIN_SCHEMAS: dict[str, T.StructType] = {
                                    ("created_by", _L), ("created_at", _TS)),
     "products": _struct(("id", _L), ("product_name", _S), ("sku", _S), ("category", _S), ("unit_price", _MONEY),
                         ("minimum_stock_alert_quantity", _I), ("warehouse_location", _S)),
-    "stock_movements": _struct(("product_id", _L), ("quantity_changed", _I), ("movement_type", _S),
+    "stock_movements": _struct(("id", _S), ("product_id", _L), ("quantity_changed", _I), ("movement_type", _S),
                                ("reason", _S), ("reference_type", _S), ("reference_id", _L),
                                ("created_by", _L), ("created_at", _TS)),
     "challans": _struct(("id", _L), ("challan_number", _S), ("customer_id", _L), ("created_by", _L),
@@ -79,7 +79,9 @@ def write_domain_table(df: DataFrame, root: str, name: str, mode: str = "overwri
     part, expr, sort = LAYOUT.get(name, (None, None, []))
     writer_df = out
     if part:
-        writer_df = out.withColumn(part, expr()).repartition(part)
+        # a month is spread over as many tasks as it needs, and so are the rows without one
+        tagged = out.withColumn(part, expr())
+        writer_df = tagged.repartitionByRange(F.col(part), *[F.col(c) for c in sort])
     if sort:
         writer_df = writer_df.sortWithinPartitions(*sort)
     w = writer_df.write.mode(mode)
@@ -101,7 +103,7 @@ def materialize_fixture(fixture, root: str) -> None:
     """Write the fixture's domain views as stored domain tables (a one-off load, S8)."""
     frames = {
         "users": fixture.users(), "customers": fixture.customers(), "customer_follow_ups": fixture.follow_ups(),
-        "products": fixture.products(), "stock_movements": fixture.movements(), "challans": fixture.challans(),
+        "products": fixture.products(), "stock_movements": fixture.movements(ids=True), "challans": fixture.challans(),
         "challan_items": fixture.items(), "customer_queries": fixture.queries(),
         "customer_reviews": fixture.reviews(), "customer_query_replies": fixture.replies(),
         "stock_requests": fixture.stock_requests(),

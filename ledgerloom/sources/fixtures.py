@@ -105,10 +105,14 @@ class Fixture:
             F.col("p_brand").alias("warehouse_location"),
         )
 
-    def movements(self, opening: bool = True) -> DataFrame:
-        """Append-only ledger: one opening IN of 400 per part plus one row per line."""
+    def movements(self, opening: bool = True, ids: bool = False) -> DataFrame:
+        """Append-only ledger: one opening IN of 400 per part plus one row per
+        line; with ``ids`` each row carries its ledger id."""
         li = self.table("lineitem")
+        # the given lines have no key of their own; the whole row is one at every scale
+        line_id = F.concat_ws("-", F.lit("line"), *(F.col(c).cast("string") for c in li.columns)).alias("id")
         lines = li.select(
+            *[line_id] * ids,
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity_changed"),
             F.when(F.col("l_returnflag") == "N", "OUT").otherwise("IN").alias("movement_type"),
@@ -122,6 +126,7 @@ class Fixture:
         if not opening:
             return lines
         op = self.table("part").select(
+            *[F.concat_ws("-", F.lit("opening"), "p_partkey").alias("id")] * ids,
             F.col("p_partkey").alias("product_id"),
             F.lit(400).alias("quantity_changed"),
             F.lit("IN").alias("movement_type"),

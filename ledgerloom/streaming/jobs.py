@@ -1,11 +1,14 @@
 """Structured Streaming versions of the live figures: ST1-ST5.
 
-The modelled application refreshes every 30 seconds by polling and keeps
-aggregates by updating rows. Here each figure is a streaming query over the
-append-only sources (ledger, orders, request log). ``trigger`` defaults to
-``availableNow`` (process what has landed, then stop); production runs use
-``processing_time="30 seconds"``. Results land in ``sinks`` under the
-cluster's checkpoint folder, together with the query checkpoints.
+Each figure is a streaming query over the append-only sources (ledger, orders,
+request log); ``trigger`` defaults to ``availableNow`` (process what has landed,
+then stop); production runs use ``processing_time="30 seconds"``. Results and
+query checkpoints lie below ``out``, a path that the caller names.
+
+No figure has a watermark, so no row is ever too late and no state grows: each
+micro-batch lands what it adds, under its batch id, and the figure is summed or
+derived on read. Replays are known by id: a ledger row counts once however
+often it is delivered, and two equal rows with different ids count twice.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom.config import RATE_WINDOW
 from ledgerloom.functions.ordered import running_sum
@@ -22,23 +24,14 @@ from ledgerloom.operators import alerts as al
 from ledgerloom.operators import inventory as inv
 from ledgerloom.operators import sales
 from ledgerloom.sources.fixtures import Fixture
-from ledgerloom.streaming.sinks import AppendLog, KeyedSnapshot, stream_root
+from ledgerloom.streaming.sinks import land, landed, prepare, stream_root
 
+LEDGER_SCHEMA = "id string, product_id bigint, created_at timestamp_ntz, delta bigint"
 
-def event_time(col: str):
-    """Watermarks need a zone-aware timestamp; the sources carry wall-clock UTC
-    (``timestamp_ntz``), which the UTC session maps to the same instant."""
-    return F.col(col).cast("timestamp")
 
-
-def _start(df: DataFrame, handler, root: str, mode: str, processing_time: str | None):
-    w = df.writeStream.outputMode(mode).foreachBatch(handler).option("checkpointLocation", f"{root}/_checkpoint")
-    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
-    return w.start()
-
-
-def _run(df, handler, root, mode, processing_time):
-    q = _start(df, handler, root, mode, processing_time)
+def _run(df: DataFrame, handler, out: str, processing_time: str | None):
+    w = df.writeStream.outputMode("append").foreachBatch(handler).option("checkpointLocation", f"{out}/_checkpoint")
+    q = (w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)).start()
     if processing_time is None:
         q.awaitTermination()
         if q.exception() is not None:
@@ -46,171 +39,175 @@ def _run(df, handler, root, mode, processing_time):
     return q
 
 
+def ledger_steps(movements: DataFrame) -> DataFrame:
+    """What the figures need of a ledger row; ``movements`` carries the ledger ``id``."""
+    return movements.select(F.col("id").cast("string").alias("id"), "product_id", "created_at",
+                            inv.signed_quantity().cast("bigint").alias("delta"))
+
+
+def _ledger(spark: SparkSession, out: str) -> DataFrame:
+    """Every landed ledger row once."""
+    return landed(spark, f"{out}/ledger").drop("batch").dropDuplicates(["id"])
+
+
+def _levels(ledger: DataFrame) -> DataFrame:
+    return ledger.groupBy("product_id").agg(F.sum("delta").cast("bigint").alias("current_stock"))
+
+
 # -- ST1 -------------------------------------------------------------------------------
-def stock_level_updates(movements: DataFrame, replay_window: str = "1 hour",
-                        dedupe: bool = True) -> DataFrame:
-    """ST1: running stock per product from the movement stream; replays dropped.
-
-    A ledger row must never be dropped for arriving late, so deduplication
-    is bounded by *arrival* time, not by the movement's own timestamp: an
-    identical row delivered again within ``replay_window`` of the first copy
-    is counted once. State: one row per product plus the replay window.
-    """
-    m = movements
-    if dedupe:
-        cols = list(movements.columns)
-        m = (movements.withColumn("_arrival", F.current_timestamp())
-             .withWatermark("_arrival", replay_window)
-             .dropDuplicatesWithinWatermark(cols))
-    return m.groupBy("product_id").agg(F.sum(inv.signed_quantity()).cast("bigint").alias("current_stock"))
+def stock_levels(spark: SparkSession, out: str) -> DataFrame:
+    return _levels(_ledger(spark, out))
 
 
 def stream_stock_levels(spark: SparkSession, movements: DataFrame, processing_time: str | None = None,
-                        root: str | None = None) -> DataFrame:
-    fresh, root = root is None, root or stream_root(spark, "stock_levels")
-    sink = KeyedSnapshot(spark, f"{root}/data", ["product_id"], fresh=fresh)
-    _run(stock_level_updates(movements), sink.handler(), root, "update", processing_time)
-    return sink.result() if processing_time is None else None
+                        out: str | None = None) -> DataFrame:
+    """ST1: stock per product from the movement stream, late and repeated rows included once."""
+    out = out or stream_root(spark, "stock_levels")
+    prepare(spark, f"{out}/ledger", LEDGER_SCHEMA)
+    _run(ledger_steps(movements), lambda batch, i: land(batch, f"{out}/ledger", i), out, processing_time)
+    return stock_levels(spark, out)
 
 
 # -- ST2 -------------------------------------------------------------------------------
-def confirmed_events(challans: DataFrame, items: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
-    """One event per confirmed challan in the window, carrying its revenue and units.
+SALE_SCHEMA = "challan_id bigint, sale_date date, revenue decimal(18,2), units bigint"
 
-    ``challans`` may be a stream; ``items`` is static (stream-static join), so
-    per-day counts need no streaming distinct (streams refuse countDistinct).
-    """
-    c = sales.confirmed_in_window(challans, as_of, days).select(F.col("id").alias("challan_id"), "confirmed_at")
-    totals = sales.per_challan(items.withColumn("revenue", F.col("quantity") * F.col("unit_price_snapshot")))
-    return c.join(totals, "challan_id", "inner")
+
+def daily_sales(spark: SparkSession, out: str) -> DataFrame:
+    """Per day: confirmed challans (each once), revenue and units."""
+    once = landed(spark, f"{out}/sales").drop("batch").dropDuplicates(["challan_id"])
+    return once.groupBy("sale_date").agg(
+        F.count(F.lit(1)).alias("challans"), F.sum("revenue").cast(sales.MONEY).alias("revenue"),
+        F.sum("units").cast("bigint").alias("units"))
 
 
-def daily_sales_updates(events: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """ST2: tumbling one-day windows on the confirmation time."""
-    w = (events.withColumn("_event_time", event_time("confirmed_at")).withWatermark("_event_time", watermark)
-         .groupBy(F.window("_event_time", "1 day")))
-    return w.agg(F.count(F.lit(1)).alias("challans"),
-                 F.sum("revenue").cast(sales.MONEY).alias("revenue"),
-                 F.sum("units").cast("bigint").alias("units")).select(
-        F.to_date(F.col("window.start")).alias("sale_date"), "challans", "revenue", "units")
+def stream_sales_daily(spark: SparkSession, challans: DataFrame, items: DataFrame, as_of: dt.date, days: int = 30,
+                       processing_time: str | None = None, out: str | None = None) -> DataFrame:
+    """ST2: daily sales of the window from the challan stream. ``items`` is
+    static; a micro-batch reads only the lines of its own challans."""
+    out = out or stream_root(spark, "sales_daily")
+    prepare(spark, f"{out}/sales", SALE_SCHEMA)
 
+    def add(batch: DataFrame, batch_id: int) -> None:
+        sold = batch.select(F.col("id").alias("challan_id"), F.to_date("confirmed_at").alias("sale_date"))
+        lines = items.join(sold.select("challan_id").distinct(), "challan_id", "left_semi")
+        totals = sales.per_challan(lines.withColumn("revenue", F.col("quantity") * F.col("unit_price_snapshot")))
+        rows = sold.join(totals, "challan_id").select(
+            "challan_id", "sale_date", F.col("revenue").cast(sales.MONEY).alias("revenue"), F.col("units").cast("bigint").alias("units"))
+        land(rows, f"{out}/sales", batch_id)
 
-def stream_sales_daily(spark: SparkSession, events: DataFrame, processing_time: str | None = None,
-                       root: str | None = None) -> DataFrame:
-    fresh, root = root is None, root or stream_root(spark, "sales_daily")
-    sink = KeyedSnapshot(spark, f"{root}/data", ["sale_date"], fresh=fresh)
-    _run(daily_sales_updates(events), sink.handler(), root, "update", processing_time)
-    return sink.result() if processing_time is None else None
+    _run(sales.confirmed_in_window(challans, as_of, days), add, out, processing_time)
+    return daily_sales(spark, out)
 
 
 # -- ST3 -------------------------------------------------------------------------------
+def current_alerts(spark: SparkSession, out: str) -> DataFrame:
+    versions = landed(spark, f"{out}/alerts")
+    return versions.where(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def stream_alerts(spark: SparkSession, movements: DataFrame, products: DataFrame, customers: DataFrame,
                   queries: DataFrame, stored: DataFrame, as_of: dt.date, now: dt.datetime,
-                  processing_time: str | None = None, root: str | None = None) -> DataFrame:
-    """ST3: reconcile alerts once per micro-batch of ledger activity, incrementally.
-
-    Each batch folds its movements into a per-product stock snapshot (an
-    additive upsert of one row per touched product), derives the live alerts
-    from per-entity tables only (products ⋈ stock, customers, questions —
-    never a ledger rescan) and merges them into the alert snapshot (W13 +
-    W14). Batch ids make replays rewrite the same versions; one query means
-    one reconciliation in flight at a time.
+                  processing_time: str | None = None, out: str | None = None) -> DataFrame:
+    """ST3: reconcile alerts once per micro-batch of ledger activity.
+
+    Each batch lands its ledger rows, derives the live alerts from the stock
+    they add up to, and merges them into the alerts after the batch before
+    (``stored`` before the first): one version of the alert table per batch.
     """
-    fresh, root = root is None, root or stream_root(spark, "alerts")
-    stock = KeyedSnapshot(spark, f"{root}/stock", ["product_id"], mode="add", fresh=fresh)
-    snap = KeyedSnapshot(spark, f"{root}/data", ["id"], fresh=fresh)
-    snap.write(stored, -1)
+    out = out or stream_root(spark, "alerts")
+    prepare(spark, f"{out}/ledger", LEDGER_SCHEMA)
+    prepare(spark, f"{out}/alerts", "", initial=stored)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        deltas = batch.groupBy("product_id").agg(F.sum(inv.signed_quantity()).cast("bigint").alias("current_stock"))
-        stock.accumulate(deltas, batch_id)
-        levels = stock.latest(before=batch_id + 1)
-        live = al.alerts_live(inv.products_with_stock(products, levels), customers, queries, as_of)
-        snap.write(al.alerts_merge(snap.latest(before=batch_id), live, now), batch_id)
+        land(batch, f"{out}/ledger", batch_id)
+        ledger = landed(spark, f"{out}/ledger").where(F.col("batch") <= batch_id).drop("batch").dropDuplicates(["id"])
+        live = al.alerts_live(inv.products_with_stock(products, _levels(ledger)), customers, queries, as_of)
+        before = spark.read.parquet(f"{out}/alerts/batch={batch_id - 1}")
+        land(al.alerts_merge(before, live, now), f"{out}/alerts", batch_id)
 
-    _run(movements, run, root, "append", processing_time)
-    return snap.result() if processing_time is None else None
+    _run(ledger_steps(movements), run, out, processing_time)
+    return current_alerts(spark, out)
 
 
 # -- ST4 -------------------------------------------------------------------------------
-def rate_window_counts(requests: DataFrame, limit: int, window: str = RATE_WINDOW) -> DataFrame:
-    """ST4: per client and aligned window, request counts above ``limit``."""
-    g = (requests.withColumn("_event_time", event_time("ts")).withWatermark("_event_time", window)
-         .groupBy("client_id", F.window("_event_time", window)).agg(F.count(F.lit(1)).alias("requests")))
-    return g.where(F.col("requests") > limit).select(
-        "client_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("window_end"), "requests")
+RATE_SCHEMA = "client_id bigint, window_start timestamp_ntz, window_end timestamp_ntz, requests bigint"
+
+
+def rate_window_counts(requests: DataFrame, window: str = RATE_WINDOW) -> DataFrame:
+    """Requests per client and aligned window of one micro-batch."""
+    at = F.window(F.col("ts").cast("timestamp"), window)  # the session zone is UTC, as the sources'
+    g = requests.groupBy("client_id", at).agg(F.count(F.lit(1)).alias("requests"))
+    return g.select("client_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window.end").cast("timestamp_ntz").alias("window_end"), "requests")
+
+
+def violations(spark: SparkSession, out: str, limit: int) -> DataFrame:
+    total = landed(spark, f"{out}/counts").groupBy("client_id", "window_start", "window_end").agg(F.sum("requests").alias("requests"))
+    return total.where(F.col("requests") > limit)
 
 
 def rate_violations(spark: SparkSession, requests: DataFrame, limit: int, processing_time: str | None = None,
-                    root: str | None = None) -> DataFrame:
-    fresh, root = root is None, root or stream_root(spark, "rate")
-    sink = KeyedSnapshot(spark, f"{root}/data", ["client_id", "window_start"], fresh=fresh)
-    _run(rate_window_counts(requests, limit), sink.handler(), root, "update", processing_time)
-    return sink.result() if processing_time is None else None
+                    out: str | None = None) -> DataFrame:
+    """ST4: client windows with more than ``limit`` requests. Every request of
+    the log counts, however late; batches land partial counts."""
+    out = out or stream_root(spark, "rate")
+    prepare(spark, f"{out}/counts", RATE_SCHEMA)
+    _run(requests, lambda batch, i: land(rate_window_counts(batch), f"{out}/counts", i), out, processing_time)
+    return violations(spark, out, limit)
 
 
 # -- ST5 -------------------------------------------------------------------------------
-LOW_STOCK_EVENT_SCHEMA = T.StructType([
-    T.StructField("product_id", T.LongType()), T.StructField("changed_at", T.TimestampNTZType()),
-    T.StructField("event", T.StringType()), T.StructField("current_stock", T.LongType())])
+EVENT_SCHEMA = "product_id bigint, changed_at timestamp_ntz, event string, current_stock bigint"
 
 
-def low_stock_transitions(movements: DataFrame, products: DataFrame, state: DataFrame | None) -> tuple:
-    """ST5 for one micro-batch: (events, new state) from the batch and the previous state.
+def low_stock_transitions(ledger: DataFrame, products: DataFrame) -> DataFrame:
+    """Every moment at which a product enters or leaves low stock.
 
-    Movements at one instant are one step. The balance after each step is the
-    previous state's stock plus a running sum of the batch's steps (split by
-    day, so a hot product is spread over tasks); a step flips the flag when
-    ``balance - delta`` and ``balance`` fall on different sides of the
-    minimum, so no ordered ``lag`` is needed. A product never seen before
-    emits ``entered_low`` on its first step when it starts low.
+    Movements at one instant are one step. The balance is a running sum of the
+    steps (split by hour, so a hot product is spread over tasks); a step flips
+    the flag when ``balance - delta`` and ``balance`` fall on different sides
+    of the minimum, so no ordered ``lag`` is needed. The first step of a
+    product is ``entered_low`` when it starts low.
     """
-    steps = movements.groupBy("product_id", "created_at").agg(
-        F.sum(inv.signed_quantity()).cast("bigint").alias("delta"))
+    steps = ledger.groupBy("product_id", "created_at").agg(F.sum("delta").cast("bigint").alias("delta"))
     mins = products.select(F.col("id").alias("product_id"), "minimum_stock_alert_quantity")
-    prev = (state if state is not None else
-            movements.sparkSession.createDataFrame([], "product_id bigint, stock bigint, low boolean"))
     first = steps.groupBy("product_id").agg(F.min("created_at").alias("_first_at"))
-    s = (steps.join(mins, "product_id", "inner").join(first, "product_id", "inner")
-         .join(prev.select("product_id", F.col("stock").alias("_prev_stock")), "product_id", "left"))
-    run = running_sum(s, ["product_id"], ["created_at"], "delta", "_cum", bucket=F.date_trunc("hour", F.col("created_at")))
-    after = F.coalesce(F.col("_prev_stock"), F.lit(0)) + F.col("_cum")
-    rows = run.select("product_id", "created_at", "delta", "minimum_stock_alert_quantity", "_prev_stock",
-                      "_first_at", after.alias("stock"))
+    s = steps.join(mins, "product_id").join(first, "product_id")
+    rows = running_sum(s, ["product_id"], ["created_at"], "delta", "stock", bucket=F.date_trunc("hour", F.col("created_at")))
     low_after = F.col("stock") <= F.col("minimum_stock_alert_quantity")
     low_before = (F.col("stock") - F.col("delta")) <= F.col("minimum_stock_alert_quantity")
-    unseen_first = F.col("_prev_stock").isNull() & (F.col("created_at") == F.col("_first_at"))
-    flip = F.when(unseen_first, low_after).otherwise(low_after != low_before)
-    events = rows.where(flip).select(
+    flip = F.when(F.col("created_at") == F.col("_first_at"), low_after).otherwise(low_after != low_before)
+    return rows.where(flip).select(
         "product_id", F.col("created_at").alias("changed_at"),
         F.when(low_after, "entered_low").otherwise("left_low").alias("event"),
-        F.col("stock").alias("current_stock"))
-    last = rows.groupBy("product_id").agg(
-        F.max_by(F.struct(F.col("stock"), low_after.alias("low")), F.col("created_at")).alias("_s"))
-    new_state = last.select("product_id", F.col("_s.stock").alias("stock"), F.col("_s.low").alias("low"))
-    return events, new_state
+        F.col("stock").cast("bigint").alias("current_stock"))
 
 
-def stream_low_stock_changes(spark: SparkSession, movements: DataFrame, products: DataFrame,
-                             processing_time: str | None = None, root: str | None = None) -> DataFrame:
-    """ST5: emit a row when a product enters or leaves low stock.
+def low_stock_changes(spark: SparkSession, out: str) -> DataFrame:
+    """Of each product the events that its latest batch derived."""
+    touched = landed(spark, f"{out}/touched").groupBy("product_id").agg(F.max("batch").alias("batch"))
+    return landed(spark, f"{out}/events").join(touched, ["product_id", "batch"], "left_semi").drop("batch")
 
-    The per-product state (stock, low) is a keyed snapshot versioned by batch
-    id; each micro-batch only touches the products it moved.
-    """
-    fresh, root = root is None, root or stream_root(spark, "low_stock")
-    state = KeyedSnapshot(spark, f"{root}/state", ["product_id"], fresh=fresh)
-    log = AppendLog(spark, f"{root}/data")
-    write_events = log.handler()
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        events, new_state = low_stock_transitions(batch, products, state.latest(before=batch_id))
-        write_events(events, batch_id)
-        state.upsert(new_state, batch_id)
+def stream_low_stock_changes(spark: SparkSession, movements: DataFrame, products: DataFrame,
+                             processing_time: str | None = None, out: str | None = None) -> DataFrame:
+    """ST5: when products enter or leave low stock. A micro-batch derives the
+    events of the products it touches again from all their landed rows, so a
+    late movement corrects the events that were given before it arrived."""
+    out = out or stream_root(spark, "low_stock")
+    prepare(spark, f"{out}/ledger", LEDGER_SCHEMA)
+    prepare(spark, f"{out}/touched", "product_id bigint")
+    prepare(spark, f"{out}/events", EVENT_SCHEMA)
 
-    _run(movements, run, root, "append", processing_time)
-    return log.result(LOW_STOCK_EVENT_SCHEMA) if processing_time is None else None
+    def run(batch: DataFrame, batch_id: int) -> None:
+        land(batch, f"{out}/ledger", batch_id)
+        land(batch.select("product_id").distinct(), f"{out}/touched", batch_id)
+        touched = spark.read.parquet(f"{out}/touched/batch={batch_id}")
+        ledger = landed(spark, f"{out}/ledger").where(F.col("batch") <= batch_id).drop("batch").dropDuplicates(["id"])
+        land(low_stock_transitions(ledger.join(touched, "product_id", "left_semi"), products), f"{out}/events", batch_id)
+
+    _run(ledger_steps(movements), run, out, processing_time)
+    return low_stock_changes(spark, out)
 
 
 # -- fixtures ---------------------------------------------------------------------------

@@ -1,137 +1,37 @@
-"""Structured Streaming sinks for plain Parquet (no MERGE available).
+"""Sinks of the streaming jobs: plain Parquet, one folder per micro-batch.
 
-``KeyedSnapshot`` is a log-structured keyed table under one root:
-
-* ``deltas/version=<batch_id>`` — the rows a micro-batch changed (only those);
-* ``bases/version=<batch_id>`` — a compacted full table, written every
-  ``compact_every`` batches (and for tables that are replaced whole).
-
-Reading resolves the newest base plus the later deltas: per key the row of
-the highest version (``mode='replace'``) or the sum of the values
-(``mode='add'``, for running deltas). A micro-batch therefore writes work
-proportional to what it changed, not to the table. Replaying a batch id
-rewrites the same folder (idempotent with the query checkpoint).
-
-``AppendLog`` writes each micro-batch to ``<root>/batch=<id>`` (overwrite), so
-replays do not duplicate rows.
+``land`` writes what a micro-batch produced to ``<path>/batch=<id>``; a replayed
+batch rewrites the same folder, so nothing is doubled. A figure is the sum, or
+the newest version, over all folders, computed on read. ``prepare`` writes an
+empty (or initial) folder ``batch=-1`` first, so that reading never meets a
+missing path and a storage error is never taken for an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.session import require_checkpoint_dir
 
 
 def stream_root(spark: SparkSession, job: str) -> str:
-    """A fresh folder for one run of a job, inside the cluster's checkpoint folder."""
+    """A fresh folder for one run of a job, inside the cluster's checkpoint
+    folder; for checks and tests. Production runs name their own output path."""
     base = require_checkpoint_dir(spark).rstrip("/")
     return f"{base}/ledgerloom-streams/{job}-{uuid.uuid4().hex[:12]}"
 
 
-class KeyedSnapshot:
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], mode: str = "replace",
-                 compact_every: int = 64, fresh: bool = False):
-        if mode not in ("replace", "add"):
-            raise ValueError(mode)
-        self.spark = spark
-        self.root = root
-        self.keys = list(keys)
-        self.mode = mode
-        self.compact_every = compact_every
-        # Versions known to this driver: listed from storage once (a restarted
-        # driver continues the table), then kept up to date by our own writes.
-        # ``fresh``: the caller just created ``root``, so there is nothing to list.
-        self._versions_of: dict[str, set[int] | None] = (
-            {"deltas": set(), "bases": set()} if fresh else {"deltas": None, "bases": None})
-
-    # -- storage --------------------------------------------------------------------------
-    def _path(self, kind: str, version: int) -> str:
-        return f"{self.root}/{kind}/version={version}"
-
-    def _known(self, kind: str) -> set[int]:
-        if self._versions_of[kind] is None:
-            try:
-                found = self.spark.read.parquet(f"{self.root}/{kind}").select("version").distinct()
-                self._versions_of[kind] = {r.version for r in found.toLocalIterator()}
-            except Exception:  # noqa: BLE001 — nothing written yet
-                self._versions_of[kind] = set()
-        return self._versions_of[kind]
-
-    def _resolve(self, frames: list[tuple[int, DataFrame]]) -> DataFrame | None:
-        if not frames:
-            return None
-        if len(frames) == 1:
-            return frames[0][1]
-        tagged = None
-        for v, df in frames:
-            t = df.withColumn("_v", F.lit(v))
-            tagged = t if tagged is None else tagged.unionByName(t)
-        vals = [c for c in frames[0][1].columns if c not in self.keys]
-        if self.mode == "add":
-            return tagged.groupBy(*self.keys).agg(
-                *[F.sum(c).cast(frames[0][1].schema[c].dataType).alias(c) for c in vals])
-        newest = tagged.groupBy(*self.keys).agg(F.max_by(F.struct(*vals), F.col("_v")).alias("_row"))
-        return newest.select(*self.keys, *[F.col(f"_row.{c}").alias(c) for c in vals])
-
-    # -- API ----------------------------------------------------------------------------------
-    def write(self, rows: DataFrame, version: int) -> None:
-        """Replace the whole table as of ``version`` (a base)."""
-        rows.write.mode("overwrite").parquet(self._path("bases", version))
-        self._known("bases").add(version)
-
-    def latest(self, before: int | None = None, base_before: int | None = None) -> DataFrame | None:
-        """The table as of the newest version below ``before`` (all versions if None).
-
-        ``base_before`` limits which compacted bases may be used (compaction of
-        a replayed batch must not start from that batch's own earlier base).
-        """
-        lim = float("inf") if before is None else before
-        blim = lim if base_before is None else min(lim, base_before)
-        bases = [v for v in self._known("bases") if v < blim]
-        b = max(bases) if bases else None
-        frames = [] if b is None else [(b, self.spark.read.parquet(self._path("bases", b)))]
-        for v in sorted(v for v in self._known("deltas") if v < lim and (b is None or v > b)):
-            frames.append((v, self.spark.read.parquet(self._path("deltas", v))))
-        return self._resolve(frames)
-
-    def upsert(self, updates: DataFrame, batch_id: int) -> None:
-        """Record the batch's changed rows; compact every ``compact_every`` batches."""
-        updates.write.mode("overwrite").parquet(self._path("deltas", batch_id))
-        self._known("deltas").add(batch_id)
-        if self.compact_every and batch_id > 0 and batch_id % self.compact_every == 0:
-            self.write(self.latest(before=batch_id + 1, base_before=batch_id), batch_id)
-
-    accumulate = upsert   # with mode='add' the deltas are summed on read
-
-    def handler(self, prepare: Callable[[DataFrame], DataFrame] | None = None):
-        def run(batch: DataFrame, batch_id: int) -> None:
-            self.upsert(prepare(batch) if prepare else batch, batch_id)
-        return run
-
-    def result(self) -> DataFrame:
-        out = self.latest()
-        if out is None:
-            raise RuntimeError(f"no snapshot written under {self.root}")
-        return out
+def land(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-class AppendLog:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root
+def prepare(spark: SparkSession, path: str, schema: T.StructType | str, initial: DataFrame | None = None) -> None:
+    land(initial if initial is not None else spark.createDataFrame([], schema), path, -1)
 
-    def handler(self):
-        def run(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
-        return run
 
-    def result(self, schema) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.root).drop("batch")
-        except Exception:  # noqa: BLE001 — nothing emitted
-            return self.spark.createDataFrame([], schema)
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """All rows, with the ``batch`` they came in."""
+    return spark.read.parquet(path)
