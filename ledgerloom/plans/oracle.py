@@ -54,7 +54,7 @@ VIEWS: dict[str, str] = {
         p_name AS product_name_snapshot, 'SKU-' || l_partkey AS sku_snapshot,
         CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price_snapshot, CAST(l_quantity AS INTEGER) AS quantity
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "queries": f"""SELECT conv_id AS id, conv_id AS customer_id, substring(message, 1, 30) AS subject, message,
+    "queries": f"""SELECT conv_id AS id, conv_id AS customer_id, string_split(message, chr(10))[1] AS subject, message,
         CASE WHEN conv_id % 5 = 0 THEN 'RESOLVED' WHEN last_role = 'user' THEN 'OPEN' ELSE 'IN_PROGRESS' END AS status,
         CASE conv_id % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS priority,
         conv_id % {N_SUP} AS created_by
@@ -65,7 +65,7 @@ VIEWS: dict[str, str] = {
         FROM conversations WHERE role = 'assistant'""",
     "reviews": f"""SELECT d.doc_id AS id, d.doc_id % {N_CUST} AS customer_id, CAST(1 + d.doc_id % 5 AS INTEGER) AS rating,
         d.text AS review, d.doc_id % {N_SUP} AS created_by
-        FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
+        FROM documents d""",
     "follow_ups": f"""SELECT event_id AS id, user_id % {N_CUST} AS customer_id, event_type AS note,
         CAST(NULL AS DATE) AS follow_up_date, user_id % {N_SUP} AS created_by, ts AS created_at
         FROM events WHERE event_type IN ('view', 'click')""",

@@ -185,7 +185,7 @@ class Fixture:
         return g.select(
             k.alias("id"),
             k.alias("customer_id"),
-            F.substring("message", 1, 30).alias("subject"),
+            F.split("message", "\n")[0].alias("subject"),  # the whole first line
             F.col("message"),
             F.when(k % 5 == 0, "RESOLVED").when(F.col("last_role") == "user", "OPEN")
              .otherwise("IN_PROGRESS").alias("status"),
@@ -204,9 +204,8 @@ class Fixture:
 
     def reviews(self) -> DataFrame:
         d = self.table("documents").select("doc_id", "text")
-        lab = self.table("labels").select("doc_id")
         k = F.col("doc_id")
-        return d.join(lab, "doc_id", "inner").select(
+        return d.select(
             k.alias("id"),
             (k % self.n_customers).alias("customer_id"),
             (1 + k % 5).cast("int").alias("rating"),
