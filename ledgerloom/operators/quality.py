@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ledgerloom.config import (CAPABILITY_MATRIX, CRM_RULES, CUSTOMER_RULES, CUSTOMER_STATUSES,
                                CUSTOMER_TYPES, MOVEMENT_TYPES, PRICE_MAX, PRIORITIES,
                                PRODUCT_RULES, REASON_RULE, REQUEST_MESSAGE_RULE,
-                               REQUEST_QTY_MAX, ROLES)
+                               REQUEST_QTY_MAX, ROLES, REVIEW_NOTE_MAX)
 
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 VIOLATION_SCHEMA = "table_name string, record_id bigint, rule string"
@@ -109,9 +109,10 @@ def dq_crm(follow_ups: DataFrame, queries: DataFrame, replies: DataFrame, review
 
 
 def dq_stock_requests(requests: DataFrame) -> DataFrame:
-    """V6."""
+    """V6; the note of a review, where the table has one, is optional and bounded."""
     lo, hi = REQUEST_MESSAGE_RULE
-    return violations(requests, "stock_requests", "id", [
+    note = [("review_note_length", F.length("review_note") > REVIEW_NOTE_MAX)] if "review_note" in requests.columns else []
+    return violations(requests, "stock_requests", "id", note + [
         ("quantity_range", F.col("quantity").isNull() | ~F.col("quantity").between(1, REQUEST_QTY_MAX)),
         ("urgency_enum", ~F.coalesce(F.col("urgency").isin(*PRIORITIES), F.lit(False))),
         ("message_length", _length_rule("message", lo, hi))])

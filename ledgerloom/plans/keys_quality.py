@@ -106,7 +106,10 @@ _LINKS = [  # (table, column, child view, parent view)
     ("challan_items", "challan_id", "lines", "challans"),
     ("challan_items", "product_id", "lines", "products"),
     ("customer_queries", "customer_id", "queries", "customers"),
+    ("customer_queries", "created_by", "queries", "users"),
     ("customer_reviews", "customer_id", "reviews", "customers"),
+    ("customer_reviews", "created_by", "reviews", "users"),
+    ("customer_query_replies", "created_by", "replies", "users"),
     ("customer_query_replies", "query_id", "replies", "queries"),
     ("stock_requests", "product_id", "stock_requests", "products"),
     ("stock_requests", "requested_by", "stock_requests", "users"),
@@ -190,12 +193,15 @@ def q_missing_product(spark, d):
     return dq.items_missing_product(fx.raw_lines(), fx.products())
 
 
-@register("challan_totals_check", with_views(_rules_sql("challans", "challans", "id", [
+CHALLAN_STATES = [
     ("confirmed_without_time", "status = 'CONFIRMED' AND confirmed_at IS NULL"),
     ("cancelled_without_time", "status = 'CANCELLED' AND cancelled_at IS NULL"),
     ("draft_with_decision_time", "status = 'DRAFT' AND (confirmed_at IS NOT NULL OR cancelled_at IS NOT NULL)"),
     ("status_enum", _enum_sql("status", ["DRAFT", "CONFIRMED", "CANCELLED"])),
-]), "challans"))
+]
+
+
+@register("challan_totals_check", with_views(_rules_sql("challans", "challans", "id", CHALLAN_STATES), "challans"))
 def q_totals_check(spark, d):
     fx = Fixture(spark, d)
     return dq.challan_totals_check(fx.challans(), fx.raw_lines())
