@@ -116,28 +116,58 @@ def query_transitions(queries: DataFrame, commands: DataFrame, at: dt.datetime)
 # -- W3 update by key ---------------------------------------------------------------------
 PRODUCT_UPDATABLE = ["product_name", "sku", "category", "unit_price", "minimum_stock_alert_quantity",
                      "warehouse_location"]
+CUSTOMER_UPDATABLE = ["customer_name", "mobile", "email", "business_name", "gst_number", "customer_type", "address",
+                      "status", "follow_up_date"]
 
 
-def update_products(products: DataFrame, updates: DataFrame) -> DataFrame:
-    """Full-row update by id; stock is not updatable (Q18); unknown ids are not_found.
+def update_by_id(table: DataFrame, updates: DataFrame, updatable: list[str]) -> DataFrame:
+    """Every updatable column that ``updates`` carries replaces the stored
+    value, null included (an empty field clears it).
 
-    Returns the product snapshot after the update with an ``outcome`` column
-    (``applied`` / ``unchanged``), plus one ``not_found`` row per unknown id.
-    With a ``command_id`` column, the last update of a product wins; without
-    it, ``updates`` must hold at most one row per product.
+    Returns the snapshot after the update with an ``outcome`` column
+    (``applied`` / ``unchanged``), plus one ``not_found`` row, without values,
+    per unknown id. With a ``command_id`` column the last update of a row wins;
+    without it, ``updates`` must hold at most one row per id.
     """
-    cols = [c for c in PRODUCT_UPDATABLE if c in updates.columns]
+    cols = [c for c in updatable if c in updates.columns and c in table.columns]
     if "command_id" in updates.columns:
-        # Several updates of one product in a batch: the last one wins (full-row replace).
         last = updates.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("command_id")).alias("_u"))
         updates = last.select("id", *[F.col(f"_u.{c}").alias(c) for c in cols])
-    u = updates.select(F.col("id"), *[F.col(c).alias(f"new_{c}") for c in cols], F.lit(True).alias("_cmd"))
-    j = products.join(u, "id", "full_outer")
-    cols = [F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if f"new_{c}" in u.columns else F.col(c)
-            for c in products.columns if c != "id"]
-    exists = F.col("product_name").isNotNull() | F.col("sku").isNotNull()
-    return j.select("id", *cols, F.when(~exists, "not_found").when(F.col("_cmd"), "applied")
-                    .otherwise("unchanged").alias("outcome"))
+    u = updates.select(F.col("id"), *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_cmd"))
+    j = table.withColumn("_stored", F.lit(True)).join(u, "id", "full_outer")
+    stored, asked = F.col("_stored").isNotNull(), F.col("_cmd").isNotNull()
+    out = [F.when(stored & asked, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+           for c in table.columns if c != "id"]
+    return j.select("id", *out, F.when(~stored, "not_found").when(asked, "applied").otherwise("unchanged").alias("outcome"))
+
+
+def update_products(products: DataFrame, updates: DataFrame) -> DataFrame:
+    """W3 for products; stock is not updatable (Q18)."""
+    return update_by_id(products, updates, PRODUCT_UPDATABLE)
+
+
+def update_customers(customers: DataFrame, updates: DataFrame) -> DataFrame:
+    """W3 for customers."""
+    return update_by_id(customers, updates, CUSTOMER_UPDATABLE)
+
+
+# -- W1 appends that hang on a parent --------------------------------------------------------
+def append_rows(incoming: DataFrame, broken: DataFrame, parent: DataFrame, link: str,
+                defaults: dict[str, object] | None = None) -> DataFrame:
+    """New rows (``id``, ...) of a table whose ``link`` names a row of ``parent``.
+
+    ``broken``: (record_id, rule) of the rows that break an input rule. A row is
+    ``invalid`` if it breaks any, else ``not_found`` if its parent is missing,
+    else ``applied``, with ``defaults`` in the columns it left out.
+    """
+    bad = broken.groupBy(F.col("record_id").alias("id")).agg(F.array_sort(F.collect_set("rule")).alias("_rules"))
+    known = parent.select(F.col("id").alias(link)).distinct().withColumn("_known", F.lit(True))
+    j = incoming.join(bad, "id", "left").join(known, link, "left")
+    outcome = (F.when(F.col("_rules").isNotNull(), "invalid").when(F.col("_known").isNull(), "not_found").otherwise("applied"))
+    filled = {c: F.coalesce(F.col(c), F.lit(v)) if c in incoming.columns else F.lit(v) for c, v in (defaults or {}).items()}
+    cols = [filled.pop(c).alias(c) if c in filled else F.col(c) for c in incoming.columns]
+    return j.select(*cols, *[v.alias(c) for c, v in filled.items()], outcome.alias("outcome"),
+                    F.coalesce(F.array_join("_rules", ","), F.lit("")).alias("broken_rules"))
 
 
 # -- W1 append with validation and defaults --------------------------------------------
