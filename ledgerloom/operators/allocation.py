@@ -6,18 +6,20 @@ batch in arrival order is sequential across products. This module decides a
 whole batch exactly, with set operations only:
 
 * every request is ``U`` (undecided), ``A`` (accepted) or ``R`` (rejected);
-* per item, ``hi`` = demand of earlier requests not rejected, ``lo`` = demand
-  of earlier requests accepted (supplies count as negative demand, always
-  accepted);
+* per item, ``lo`` = demand of earlier accepted requests and ``hi`` = ``lo``
+  plus demand of earlier undecided ones (a supply is negative demand and
+  accepted from the start);
 * accept a request when every item has ``stock - hi >= qty``; reject it when
   some item has ``stock - lo < qty``.
 
 Accepted-so-far ⊆ true-accepted ⊆ not-rejected-so-far, so every decision is
 the one the sequential process makes; the earliest undecided request has
-``hi = lo`` and is always decided, so each round makes progress. A round is
-one split running sum (``functions.ordered``: hot products are spread over
-day buckets) and one ``groupBy(request)``; only the per-request status is
-carried between rounds, checkpointed into the cluster's checkpoint folder.
+``hi = lo`` and is always decided, so each round makes progress. A round reads
+only the lines still undecided and those accepted in the round before, whose
+demand it adds to the later lines' ``lo`` before they drop out: the work shrinks
+with what is left. It is one split running sum (``functions.ordered``: hot
+products are spread over buckets) and one ``groupBy(request)``, written to the
+cluster's checkpoint folder.
 """
 
 from __future__ import annotations
@@ -39,63 +41,40 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
 
     ``demands``: request_id, seq_ts (timestamp), seq_id (tie-break), product_id,
     qty (int; negative = a supply that is always applied), line_no.
-    ``stock``: product_id, available.
+    ``stock``: product_id, available. A request is made of demands or of supplies, not both.
     Returns (decisions: request_id, status, short_product_id; rounds used).
     """
-    spark = demands.sparkSession
-    require_checkpoint_dir(spark)
+    require_checkpoint_dir(demands.sparkSession)
     st = stock.select("product_id", F.col("available").cast("bigint").alias("available"))
     rows = (demands.join(st, "product_id", "left")
             .withColumn("available", F.coalesce(F.col("available"), F.lit(0)))
             .withColumn("is_supply", F.col("qty") < 0)).checkpoint(eager=True)
 
-    # Supplies are decided from the start; a request made only of supplies is accepted.
-    status = rows.groupBy("request_id").agg(
-        F.when(F.min(F.col("is_supply").cast("int")) == 1, F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED))
-        .alias("status")).checkpoint(eager=True)
-
     order = ["seq_ts", "seq_id", "request_id", "line_no"]
+    line = [*order, "product_id", "qty", "available"]
+    state = F.when(F.col("is_supply"), F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED))
+    work = rows.select(*line, F.lit(0).cast("bigint").alias("lo"), state.alias("status"))
+    status = rows.where("is_supply").select("request_id", F.lit(ACCEPTED).alias("status")).distinct()
+    undecided = work.where(F.col("status") == UNDECIDED).count()
     rounds = 0
-    counts = status.agg(F.count(F.lit(1)).alias("total"),
-                        F.sum(F.when(F.col("status") == UNDECIDED, 1).otherwise(0)).alias("open")).first()
-    total, undecided = counts["total"], counts["open"] or 0
     while undecided > 0:
         rounds += 1
-        if undecided * 4 > total:
-            # Most requests still open: evaluate every row, one grouping gives every status.
-            r = rows.join(status, "request_id", "inner")
-        else:
-            # Few open: only products touched by an undecided request can change
-            # anything; the other products' rows drop out of the round.
-            open_req = status.where(F.col("status") == UNDECIDED).select("request_id")
-            active = rows.join(open_req, "request_id", "left_semi").select("product_id").distinct()
-            r = rows.join(active, "product_id", "left_semi").join(status, "request_id", "inner")
-        hi_q = F.when(F.col("status") != REJECTED, F.col("qty")).otherwise(F.lit(0))
-        lo_q = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
-        sums = running_sums(r, ["product_id"], order, {"hi": hi_q, "lo": lo_q},
-                            bucket=F.date_trunc("hour", F.col("seq_ts")), inclusive=False)
-        item = sums.select(
-            "request_id", "status",
-            (F.col("is_supply") | (F.col("available") - F.col("hi") >= F.col("qty"))).alias("sure_ok"),
-            (~F.col("is_supply") & (F.col("available") - F.col("lo") < F.col("qty"))).alias("sure_short"))
-        decided = item.groupBy("request_id").agg(
-            F.first("status").alias("old"),
-            F.min(F.col("sure_ok").cast("int")).alias("all_ok"),
-            F.max(F.col("sure_short").cast("int")).alias("any_short"))
-        new_status = (F.when(F.col("old") != UNDECIDED, F.col("old"))
-                      .when(F.col("all_ok") == 1, F.lit(ACCEPTED))
-                      .when(F.col("any_short") == 1, F.lit(REJECTED))
-                      .otherwise(F.lit(UNDECIDED)))
-        if undecided * 4 > total:
-            status = decided.select("request_id", new_status.alias("status")).checkpoint(eager=True)
-        else:
-            upd = decided.select("request_id", new_status.alias("new"))
-            status = (status.join(upd, "request_id", "left")
-                      .select("request_id", F.coalesce(F.col("new"), F.col("status")).alias("status"))
-                      .checkpoint(eager=True))
-        left = status.where(F.col("status") == UNDECIDED).count()
+        before = running_sums(work, ["product_id"], order, {
+            "taken": F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0)),
+            "asked": F.when(F.col("status") == UNDECIDED, F.col("qty")).otherwise(F.lit(0))},
+            bucket=F.date_trunc("hour", F.col("seq_ts")), inclusive=False)
+        live = before.where(F.col("status") == UNDECIDED).select(*line, (F.col("lo") + F.col("taken")).alias("lo"), "asked")
+        verdict = live.groupBy("request_id").agg(
+            F.min((F.col("available") - F.col("lo") - F.col("asked") >= F.col("qty")).cast("int")).alias("all_ok"),
+            F.max((F.col("available") - F.col("lo") < F.col("qty")).cast("int")).alias("any_short"))
+        verdict = verdict.select("request_id", F.when(F.col("all_ok") == 1, F.lit(ACCEPTED))
+                                 .when(F.col("any_short") == 1, F.lit(REJECTED)).otherwise(F.lit(UNDECIDED)).alias("status"))
+        judged = live.drop("asked").join(verdict, "request_id").checkpoint(eager=True)
+        status = status.unionByName(judged.where(F.col("status") != UNDECIDED).select("request_id", "status").distinct())
+        work = judged.where(F.col("status") != REJECTED)
+        left = judged.where(F.col("status") == UNDECIDED).count()
         if left >= undecided:   # cannot happen: the earliest undecided request is always decided
-            raise RuntimeError(f"allocation made no progress in round {rounds} ({left} undecided)")
+            raise RuntimeError(f"allocation made no progress in round {rounds} ({left} lines undecided)")
         undecided = left
 
     # The first short item of each rejected request (all earlier requests are decided: hi = lo).
