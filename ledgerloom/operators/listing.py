@@ -25,15 +25,33 @@ def challan_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("challan_id").agg(F.sum("quantity").cast("bigint").alias("total_quantity"))
 
 
-def challan_list(challans: DataFrame, customers: DataFrame, users: DataFrame, lines: DataFrame) -> DataFrame:
-    """Challans with customer, business, author and total units (0 without lines)."""
+def challan_heads(challans: DataFrame, customers: DataFrame, users: DataFrame) -> DataFrame:
+    """J1 without units: challans with customer, business and author; a stored
+    ``total_quantity`` passes through."""
     cu = customers.select(F.col("id").alias("customer_id"), "customer_name", "business_name")
     u = users.select(F.col("id").alias("created_by"), F.col("name").alias("created_by_name"))
-    tot = challan_totals(lines).withColumnRenamed("challan_id", "id")
+    stored = ["total_quantity"] if "total_quantity" in challans.columns else []
     return (challans.join(cu, "customer_id", "inner").join(u, "created_by", "inner")
-            .join(tot, "id", "left")
-            .select("id", "challan_number", F.coalesce("total_quantity", F.lit(0)).cast("bigint").alias("total_quantity"),
-                    "status", "created_at", "customer_name", "business_name", "created_by_name"))
+            .select("id", "challan_number", *stored, "status", "created_at", "customer_name", "business_name", "created_by_name"))
+
+
+def with_units(heads: DataFrame, lines: DataFrame, few: bool = False) -> DataFrame:
+    """Total units (0 without lines) of a filtered list or a page of challans.
+    A stored total is used as it is, and ``lines`` is not read. For ``few``
+    challans only their own lines are aggregated."""
+    if "total_quantity" in heads.columns:
+        return heads
+    if few:
+        lines = lines.join(heads.select(F.col("id").alias("challan_id")), "challan_id", "left_semi")
+    tot = challan_totals(lines).withColumnRenamed("challan_id", "id")
+    return heads.join(tot, "id", "left").select(
+        "id", "challan_number", F.coalesce("total_quantity", F.lit(0)).cast("bigint").alias("total_quantity"),
+        "status", "created_at", "customer_name", "business_name", "created_by_name")
+
+
+def challan_list(challans: DataFrame, customers: DataFrame, users: DataFrame, lines: DataFrame) -> DataFrame:
+    """Challans with customer, business, author and total units (0 without lines)."""
+    return with_units(challan_heads(challans, customers, users), lines)
 
 
 def filter_challans(rows: DataFrame, term: str | None = None, status: str | None = None) -> DataFrame:

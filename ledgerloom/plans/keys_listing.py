@@ -34,6 +34,10 @@ def challan_rows(fx: Fixture):
     return ls.challan_list(fx.challans(), fx.customers(), fx.users(), fx.raw_lines())
 
 
+def challan_heads(fx: Fixture):
+    return ls.challan_heads(fx.challans(), fx.customers(), fx.users())
+
+
 @register("challan_list", with_views(_LIST_SQL, "challans", "customers", "users"))
 def q_challan_list(spark, d):
     return challan_rows(Fixture(spark, d))
@@ -42,7 +46,8 @@ def q_challan_list(spark, d):
 @register("challan_search", with_views(f"SELECT * FROM ({_LIST_SQL}) WHERE {_challan_match(CHALLAN_TERM)}",
                                        "challans", "customers", "users"))
 def q_challan_search(spark, d):
-    return ls.filter_challans(challan_rows(Fixture(spark, d)), CHALLAN_TERM)
+    fx = Fixture(spark, d)
+    return ls.with_units(ls.filter_challans(challan_heads(fx), CHALLAN_TERM), fx.raw_lines(), few=True)
 
 
 @register("challan_search_count", with_views(f"""
@@ -58,14 +63,16 @@ def q_challan_search_count(spark, d):
 @register("challans_by_status", with_views(f"SELECT * FROM ({_LIST_SQL}) WHERE status = 'DRAFT'",
                                            "challans", "customers", "users"))
 def q_challans_by_status(spark, d):
-    return ls.filter_challans(challan_rows(Fixture(spark, d)), None, "DRAFT")
+    fx = Fixture(spark, d)
+    return ls.with_units(ls.filter_challans(challan_heads(fx), None, "DRAFT"), fx.raw_lines(), few=True)
 
 
 @register("challan_page", with_views(f"""
 SELECT * FROM ({_LIST_SQL}) ORDER BY created_at DESC NULLS LAST, id DESC
 LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}""", "challans", "customers", "users"))
 def q_challan_page(spark, d):
-    return ls.page(challan_rows(Fixture(spark, d)), PAGE_NO, PAGE_SIZE)
+    fx = Fixture(spark, d)
+    return ls.with_units(ls.page(challan_heads(fx), PAGE_NO, PAGE_SIZE), fx.raw_lines(), few=True)
 
 
 _PRODUCT_COLS = ("id, product_name, sku, category, unit_price, minimum_stock_alert_quantity, warehouse_location, "
@@ -128,8 +135,10 @@ WHERE (l.created_at, l.id) < (SELECT (created_at, id) FROM ({_LIST_SQL}) ORDER B
                               LIMIT 1 OFFSET {(PAGE_NO - 1) * PAGE_SIZE - 1})
 ORDER BY created_at DESC NULLS LAST, id DESC LIMIT {PAGE_SIZE}""", "challans", "customers", "users"))
 def q_challan_page_keyset(spark, d):
-    # The same page as ``challan_page``, reached by seeking past the last row of the previous page.
-    rows = challan_rows(Fixture(spark, d))
-    last = ls.newest_first(rows).offset((PAGE_NO - 1) * PAGE_SIZE - 1).limit(1)
-    after = (last.select("created_at").scalar(), last.select("id").scalar())
-    return ls.keyset_page(rows, after, PAGE_SIZE)
+    # The same page as ``challan_page``, reached by seeking past the last row of the
+    # previous page, which the caller of that page holds.
+    fx = Fixture(spark, d)
+    heads = challan_heads(fx)
+    last = ls.page(heads, PAGE_NO - 1, PAGE_SIZE).orderBy("created_at", "id").first()
+    found = ls.keyset_page(heads, (last.created_at, last.id) if last else None, PAGE_SIZE)
+    return ls.with_units(found, fx.raw_lines(), few=True)
