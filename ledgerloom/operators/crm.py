@@ -21,17 +21,17 @@ def _authors(users: DataFrame, key: str = "created_by", name: str = "created_by_
     return users.select(F.col("id").alias(key), F.col("name").alias(name))
 
 
-def _attach(parents: DataFrame, parent_key: str, nested: DataFrame, child_key: str, arr: str) -> DataFrame:
+def _attach(parents: DataFrame, parent_key: str, nested: DataFrame, children: DataFrame, child_key: str, arr: str) -> DataFrame:
     """Parents with their bounded child chunks; parents without children get chunk 0 and [].
 
     Written as an inner join (AQE can split a skewed side of an inner join,
     not the outer side of a left join) plus the childless parents found by an
-    anti join against the distinct child keys.
+    anti join against the keys of the ungrouped ``children``.
     """
     n = nested.withColumnRenamed(child_key, parent_key)
     with_children = parents.join(n, parent_key, "inner")
     empty = F.array().cast(nested.schema[arr].dataType)
-    childless = (parents.join(n.select(parent_key).distinct(), parent_key, "left_anti")
+    childless = (parents.join(children.select(F.col(child_key).alias(parent_key)).distinct(), parent_key, "left_anti")
                  .withColumn("chunk_no", F.lit(0)).withColumn(arr, empty))
     return with_children.unionByName(childless)
 
@@ -49,7 +49,7 @@ def customer_timeline(customers: DataFrame, follow_ups: DataFrame, users: DataFr
                           ["id", "note", "follow_up_date", "created_at", "created_by_name"],
                           "follow_ups", chunk_size, bucket=_newest_first_bucket("created_at"))
     head = customers.select("id", "customer_name", "business_name", "mobile", "status", "follow_up_date")
-    return _attach(head, "id", nested, "customer_id", "follow_ups")
+    return _attach(head, "id", nested, fu, "customer_id", "follow_ups")
 
 
 def customer_query_threads(queries: DataFrame, replies: DataFrame, users: DataFrame,
@@ -59,7 +59,7 @@ def customer_query_threads(queries: DataFrame, replies: DataFrame, users: DataFr
     nested = nest_ordered(rp, ["query_id"], ["turn"], ["turn", "message", "created_by_name"],
                           "replies", chunk_size, bucket=F.floor(F.col("turn") / 64))
     head = queries.select("id", "customer_id", "subject", "status", "priority")
-    return _attach(head, "id", nested, "query_id", "replies")
+    return _attach(head, "id", nested, rp, "query_id", "replies")
 
 
 def query_replies(queries: DataFrame, replies: DataFrame, users: DataFrame) -> DataFrame:
