@@ -119,3 +119,32 @@ def q_opening(spark, d):
     # Re-creating every catalogue product with its current ledger stock as the opening amount.
     fx = Fixture(spark, d)
     return inv.opening_movements(products_stock(fx), 0, dt.datetime.combine(AS_OF, dt.time()))
+
+
+HISTORY_PRODUCT, HISTORY_OFFSET, HISTORY_LIMIT = 7, 10, 10
+
+
+# The second page of one product's history, newest first, with its total.
+@register("product_history_page", with_views(f"""
+SELECT numbered.* EXCLUDE (place) REPLACE ((SELECT s_name FROM supplier WHERE s_suppkey = created_by_name) AS created_by_name)
+FROM (SELECT product_id, created_at, movement_type, quantity_changed, reason, reference_type, reference_id,
+             created_by AS created_by_name, CAST(COUNT(*) OVER () AS BIGINT) AS total,
+             ROW_NUMBER() OVER (ORDER BY created_at DESC, reason, movement_type, quantity_changed, created_by) AS place
+      FROM movements WHERE product_id = {HISTORY_PRODUCT}) numbered
+WHERE place BETWEEN {HISTORY_OFFSET + 1} AND {HISTORY_OFFSET + HISTORY_LIMIT}""", "movements"))
+def q_history_page(spark, d):
+    fx = Fixture(spark, d)
+    return inv.stock_movement_history(fx.movements(), fx.users(), HISTORY_PRODUCT, HISTORY_OFFSET, HISTORY_LIMIT)
+
+
+# WN1 over the whole ledger, opening rows included: the lowest balance of every product.
+@register("stock_lowest_balance", with_views(f"""
+SELECT product_id, MIN(balance) AS lowest_balance, CAST(MIN(balance) < 0 AS BOOLEAN) AS was_negative
+FROM (SELECT a.product_id, a.created_at, CAST(SUM({_SIGNED.replace('quantity_changed', 'b.quantity_changed').replace('movement_type', 'b.movement_type')}) AS BIGINT) AS balance
+      FROM (SELECT DISTINCT product_id, created_at FROM movements) a
+      JOIN movements b ON b.product_id = a.product_id AND b.created_at <= a.created_at GROUP BY a.product_id, a.created_at)
+GROUP BY product_id""", "movements"))
+def q_lowest_balance(spark, d):
+    from pyspark.sql import functions as F
+    balances = inv.stock_running_balance(Fixture(spark, d).movements())
+    return balances.groupBy("product_id").agg(F.min("balance").alias("lowest_balance"), (F.min("balance") < 0).alias("was_negative"))
