@@ -336,6 +336,21 @@ def q_confirm(spark, d):
     return confirm_drafts_fixture(spark, d)["decisions"]
 
 
+_DECIDED_HEAD, _, _DECIDED_TAIL = SQL_CONFIRM_DRAFTS.rpartition("SELECT p.challan_id,")
+
+
+# The ledger rows of the confirmed drafts.
+@register("confirm_movements", f"""{_DECIDED_HEAD.rstrip()},
+decided AS (SELECT p.challan_id,{_DECIDED_TAIL})
+SELECT i.product_id, CAST(i.qty AS INTEGER) AS quantity_changed, 'OUT' AS movement_type,
+       'Confirmed sales challan ' || printf('CH-%d-%05d', year(o_orderdate), o_orderkey) AS reason,
+       'CHALLAN' AS reference_type, i.challan_id AS reference_id, {NOW_SQL} AS created_at
+FROM decided SEMI JOIN batch USING (challan_id) INNER JOIN items i USING (challan_id)
+INNER JOIN orders ON o_orderkey = challan_id WHERE outcome = 'applied'""")
+def q_confirm_movements(spark, d):
+    return confirm_drafts_fixture(spark, d)["movements"]
+
+
 def adjustments_fixture(spark, d):
     """Stock = ledger lines before ADJUST_FROM (no opening rows, floored at 0); commands = later
     lines, every thirteenth of them for a product that does not exist."""
