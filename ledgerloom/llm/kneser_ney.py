@@ -55,36 +55,47 @@ DISCOUNT = 0.75
 MARGIN = 3.0
 _EDGE = 1  # number of a word's border; characters start at 2
 _FLUSH = 1 << 21
+#: Bytes of text whose words are told apart at a time.
+_PIECE = 1 << 19
 
 _MASK = [np.uint64((1 << (BITS * k)) - 1) for k in range(ORDER + 1)]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram of every predicted character and word end; of each word, the text
-    and the number of its grams."""
+@dataclass
+class Words:
+    """Words of some texts: the distinct ones, as grams, and where they occur."""
+    gram: np.ndarray     # of every predicted character and word end of the distinct words
+    size: np.ndarray     # grams of each distinct word
+    number: np.ndarray   # of each word: which distinct one it is
+    text: np.ndarray     # of each word: its text
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     w = letter_words(data, offsets)
-    n_words = len(w.lens)
-    # one stream: the characters of each word, then its border
-    size = len(w.letters) + n_words
-    ends = np.cumsum(w.lens + 1) - 1
-    symbols = np.full(size, _EDGE, np.uint64)
-    body = np.ones(size, bool)
-    body[ends] = False
     points = w.letters.astype(np.uint64)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.text_first))
+    if not len(w.lens):
+        return Words(np.zeros(0, np.uint64), w.lens, w.lens, text)
+    digest = np.add.reduceat(vt.mix(points + (w.inside.astype(np.uint64) << np.uint64(32))), w.first)
+    _, pick, number = np.unique(digest, return_index=True, return_inverse=True)
+    # one stream: the characters of each distinct word, then its border
+    lens = w.lens[pick]
+    size = lens + 1
+    first = np.cumsum(size) - size
+    inside = np.arange(int(size.sum())) - np.repeat(first, size)
+    body = inside < np.repeat(lens, size)
+    points = points[(np.repeat(w.first[pick], size) + inside)[body]]
     span = np.uint64((1 << BITS) - 2)
+    symbols = np.full(len(inside), _EDGE, np.uint64)
     symbols[body] = np.where(points < span, points, vt.mix(points) % span) + np.uint64(2)
-    inside = np.empty(size, np.int64)
-    inside[body] = w.inside
-    inside[ends] = w.lens
     gram = symbols.copy()
     for back in range(1, ORDER):
-        before = np.zeros(size, np.uint64)
-        before[back:] = symbols[:size - back]
+        before = np.zeros(len(inside), np.uint64)
+        before[back:] = symbols[:len(inside) - back]
         before[inside < back] = 0
         before[inside == back - 1] = _EDGE
         gram |= before << np.uint64(BITS * back)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.text_first))
-    return gram, text, w.lens + 1
+    return Words(gram, size, number, text)
 
 
 def _slot(gram: np.ndarray, order: int, slots: int) -> np.ndarray:
@@ -105,12 +116,13 @@ def gram_table(rows: DataFrame) -> DataFrame:
         for b in batches:
             data, offsets = vt.column_bytes(b.column(1))
             label = b.column(0).fill_null(2).to_numpy()
-            for lo, hi in vt.pieces(offsets):
-                gram, text, size = grams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                distinct, inverse = np.unique(gram, return_inverse=True)
-                cls = np.repeat(label[lo:hi][text], size)
-                held.append(np.stack([distinct.view(np.int64), *(
-                    np.bincount(inverse[cls == c], minlength=len(distinct)) for c in (0, 1))]))
+            for lo, hi in vt.pieces(offsets, _PIECE):
+                w = words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                distinct, inverse = np.unique(w.gram, return_inverse=True)
+                cls = label[lo:hi][w.text]
+                held.append(np.stack([distinct.view(np.int64), *(np.bincount(
+                    inverse, np.repeat(np.bincount(w.number[cls == c], minlength=len(w.size)), w.size), len(distinct)).astype(np.int64)
+                    for c in (0, 1))]))
             if sum(h.shape[1] for h in held) > _FLUSH:
                 held[:] = [summed()]
                 if held[0].shape[1] > _FLUSH // 2:
@@ -125,9 +137,9 @@ def gram_table(rows: DataFrame) -> DataFrame:
 
 
 def _slots(table: DataFrame, value_columns: list[str], order: int) -> np.ndarray:
-    """Slot sums of ``value_columns`` by the column ``gram``: four slots a gram
+    """Slot sums of ``value_columns`` by the column ``gram``: eight slots a gram
     or more, up to SLOTS."""
-    slots = min(SLOTS, 1 << (4 * table.agg(F.approx_count_distinct("gram")).first()[0]).bit_length())
+    slots = min(SLOTS, 1 << (4096 + 8 * table.agg(F.approx_count_distinct("gram")).first()[0]).bit_length())
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,11 +187,11 @@ class Model:
                                         + DISCOUNT * np.minimum(followers, total) / safe * p, p)))
         return np.add.reduceat(logs[1] - logs[0], np.cumsum(size) - size)
 
-    def ratios(self, gram: np.ndarray, text: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    def ratios(self, w: Words, n: int) -> np.ndarray:
         """Length-normalised log-likelihood ratio of each text: what the words
         that are likelier toxic gain beyond ``MARGIN``, per word."""
-        word = np.maximum(self.word_ratios(gram, size) - MARGIN, 0)
-        return np.bincount(text, word, n) / np.maximum(np.bincount(text, minlength=n), 1)
+        word = np.maximum(self.word_ratios(w.gram, w.size) - MARGIN, 0)
+        return np.bincount(w.text, word[w.number], n) / np.maximum(np.bincount(w.text, minlength=n), 1)
 
 
 @dataclass
@@ -197,9 +209,9 @@ def _ratios(rows: DataFrame, fitted: Fitted, carry: str, kind: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = vt.column_bytes(b.column(1))
-            for lo, hi in vt.pieces(offsets):
-                found = grams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                ratio = tables.value.ratios(*found, hi - lo)
+            for lo, hi in vt.pieces(offsets, _PIECE):
+                w = words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                ratio = tables.value.ratios(w, hi - lo)
                 score = 1 / (1 + np.exp(-np.clip(slope * ratio + intercept, -35, 35)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ratio), pa.array(score)],
                                                  [carry, "ratio", "score"])
