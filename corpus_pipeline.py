@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import fuzzy_lines, keys, langid, piece_fst, simhash, string_tiling
-from ledgerloom.llm.shared import read, remainder, written
+from ledgerloom.llm.shared import read, ready, remainder, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters, or without one language that has half of them."""
+    ready(spark)
     model = langid.fit(docs, remainder(3) != 1)
     return langid.keep_identified(docs, model, least_share=0.5)
 
@@ -29,6 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash groups (3-word shingles, 3 bits): one document of each stays."""
+    ready(spark)
     return simhash.keep_first(docs, shingle=3, max_bits=3)
 
 
@@ -39,6 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
+    ready(spark)
     out = piece_fst.round_trip(docs, piece_fst.compile_model(keys.PIECES))
     return out.select("doc_id", "ids", "same")
 

@@ -14,8 +14,20 @@ from ledgerloom.llm import vectext as vt
 from ledgerloom.session import prepare_for_fixtures, require_checkpoint_dir
 
 
+#: Rows that travel to a Python worker at a time; texts are long.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with what the operators assume of it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return prepare_for_fixtures(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return prepare_for_fixtures(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

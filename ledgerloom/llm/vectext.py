@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time (a longer single text is handled alone).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
