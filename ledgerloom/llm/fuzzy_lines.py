@@ -9,7 +9,7 @@ shingles are its runs of ``SHINGLE`` characters (a shorter line is one shingle).
 2. Banding: ``BANDS`` bands of ``ROWS`` minima. A pair of similarity 0.8 shares
    a band with probability 1 - (1 - 0.8^3)^6 = 0.987, one of 0.9 with 0.9996.
    Four bits of ``SKETCH`` minima travel along; a pair that agrees in fewer than
-   ``AGREE`` of them is given up (a pair of 0.8 with probability 0.003).
+   ``AGREE`` of them is given up (a pair of 0.8 with probability 0.002).
 3. In a band's bucket every line meets the bucket's pivot, the line with most
    copies (variants are near their original), by an equi-join with an aggregate. Pairs are verified by the exact Jaccard of all their shingles.
    Lines of one bucket that are still in different components then meet each
@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 #: Minima of a band, and bands. Three minima: unrelated lines seldom share a band.
 ROWS, BANDS = 3, 6
 #: Minima of the sketch, and how many of them a pair must agree in.
-SKETCH, AGREE = 32, 20
+SKETCH, AGREE = 24, 14
 #: A line with more characters a word than this takes all its shingles.
 LONG_WORDS = 24
 _WORDS = 1 << 16
@@ -88,7 +88,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def _differing(one: str, two: str) -> Column:
-    """In how many of their 16 places two halves of a sketch differ."""
+    """In how many places two halves of a sketch differ."""
     x = F.col(one).bitwiseXOR(F.col(two))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
@@ -98,10 +98,6 @@ def _agree() -> Column:
     return SKETCH - _differing("s1", "ps1") - _differing("s2", "ps2") >= AGREE
 
 
-def _bands(signed: DataFrame) -> DataFrame:
-    return signed.select("a", "b", "weight", "s1", "s2", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
-
-
 def _shingles(line: str) -> str:
     return (f"array_distinct(transform(sequence(1, greatest(length({line}) div 2 - {SHINGLE - 1}, 1)), "
             f"p -> xxhash64(substring({line}, 2 * p - 1, {2 * SHINGLE}))))")
@@ -153,10 +149,13 @@ def _sized(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def similar_lines(lines: DataFrame) -> DataFrame:
     """(node, component) of the names of lines that are linked to another line."""
-    bands = _bands(written(signatures(lines), "lines-signed"))
-    pivots = bands.groupBy("key").agg(F.count("*").alias("n"), *(F.max_by(c, "weight").alias(f"p{c}") for c in ("a", "b", "s1", "s2")))
-    pivots = written(pivots.where("n > 1"), "lines-pivots")
-    met = written(bands.join(pivots, "key").drop("weight"), "lines-met")
+    signed = written(signatures(lines), "lines-signed")
+    bands = signed.select("a", "b", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
+    several = written(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lines-keys")
+    met = bands.join(several, "key").join(signed.select("a", "b", "weight", "s1", "s2"), ["a", "b"])
+    met = written(met, "lines-met")  # what follows concerns the lines of shared buckets only
+    pivots = written(met.groupBy("key").agg(*(F.max_by(c, "weight").alias(f"p{c}") for c in ("a", "b", "s1", "s2"))), "lines-pivots")
+    met = met.join(pivots, "key")
     texts = written(_texts(lines, met.select("a", "b").distinct()), "lines-texts")
     star = met.where("a <> pa OR b <> pb").where(_agree()).select("a", "b", "pa", "pb").distinct()
     star = written(star, "lines-star")
