@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 MAX_PIECES = 1 << 20
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 PAIRS = 4_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -218,16 +218,18 @@ class Encoder:
 
 
 class _Solved(dict):
-    """Ids by stretch; emptied when it has grown to its bound."""
+    """Ids by stretch, in two generations: a full one becomes the old one, from
+    which stretches that occur again are taken over."""
 
     def __init__(self, solve):
         super().__init__()
-        self.solve = solve
+        self.solve, self.old = solve, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.solve(text)
+        ids = self.old.pop(text, None) or self.solve(text)
         if len(text) <= 64:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[text] = ids
         return ids
