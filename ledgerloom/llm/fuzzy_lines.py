@@ -3,9 +3,9 @@
 Lines of a text (blank ones apart) are compared over the whole corpus. A line's
 shingles are its runs of ``SHINGLE`` characters (a shorter line is one shingle).
 
-1. Signatures: MinHash over the shingles that start at a word, a sample that
-   depends on the line's content only (lines with few spaces: all shingles), by
-   one hash under ``ROWS * BANDS`` bit flips, which are permutations.
+1. Signatures: MinHash over all shingles of every line, the set that is
+   verified later, by one hash under ``ROWS * BANDS`` bit flips, which are
+   permutations.
 2. Banding: ``BANDS`` bands of ``ROWS`` minima. A pair of similarity 0.8 shares
    a band with probability 1 - (1 - 0.8^3)^6 = 0.987, one of 0.9 with 0.9996.
    Four bits of ``SKETCH`` minima travel along; a pair that agrees in fewer than
@@ -42,8 +42,6 @@ SIMILARITY = 0.8
 ROWS, BANDS = 3, 6
 #: Minima of the sketch, and how many of them a pair must agree in.
 SKETCH, AGREE = 24, 14
-#: A line with more characters a word than this takes all its shingles.
-LONG_WORDS = 24
 _WORDS = 1 << 16
 
 
@@ -68,16 +66,11 @@ def _flips() -> list[int]:
 def signatures(lines: DataFrame) -> DataFrame:
     """(a, b, weight, s1, s2, band keys k0...) of every distinct line; weight
     grows with its copies, s1 and s2 are its sketch."""
-    words = lines.select("a", "b", "line", F.split("line", " ").alias("words"))
-    dense = F.char_length("line") > LONG_WORDS * F.size("words")
-    dense = dense | (F.octet_length("line") > 2 * F.char_length("line"))  # scripts without spaces
-    parts = words.select("a", "b", dense.alias("dense"), F.when(dense, F.split("line", "")).otherwise(F.col("words")).alias("parts"))
-    at = parts.select("a", "b", "dense", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("i"))
-    near = [F.get("parts", F.col("i") + k) for k in range(SHINGLE)]
-    shingle = F.when(F.col("dense"), F.concat_ws("", *near)).otherwise(
-        F.substring(F.concat_ws(" ", *near[:SHINGLE // 2]), 1, SHINGLE))
-    least = at.select("a", "b", "i", F.hash(shingle).alias("h")).groupBy("a", "b").agg(
-        F.count_if(F.col("i") == 0).alias("copies"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_flips())))
+    units = lines.select("a", "b", _units(F.col("line")).alias("units"))
+    at = units.select("a", "b", "units", F.explode(F.expr(_starts("units"))).alias("p"))
+    shingle = F.expr(f"substring(units, 2 * p - 1, {2 * SHINGLE})")
+    least = at.select("a", "b", "p", F.hash(shingle).alias("h")).groupBy("a", "b").agg(
+        F.count_if(F.col("p") == 1).alias("copies"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_flips())))
     half = SKETCH // 2
     sketch = [F.lit(0).cast("long")] * 2
     for k in range(SKETCH):
@@ -98,8 +91,13 @@ def _agree() -> Column:
     return SKETCH - _differing("s1", "ps1") - _differing("s2", "ps2") >= AGREE
 
 
+def _starts(line: str) -> str:
+    """The code units at which a shingle starts, from 1."""
+    return f"sequence(1, greatest(length({line}) div 2 - {SHINGLE - 1}, 1))"
+
+
 def _shingles(line: str) -> str:
-    return (f"array_distinct(transform(sequence(1, greatest(length({line}) div 2 - {SHINGLE - 1}, 1)), "
+    return (f"array_distinct(transform({_starts(line)}, "
             f"p -> xxhash64(substring({line}, 2 * p - 1, {2 * SHINGLE}))))")
 
 
