@@ -83,3 +83,11 @@ def test_recall_by_length(spark):
     assert set(got) == set(kinds)
     for k in kinds:
         assert min(got[k]) >= 0.98, (k, got[k])
+
+
+def test_recall_beside_the_former_switch(spark):
+    """Lines on either side of 24 characters a word, or of two bytes a character."""
+    kinds = ["24 characters a word", "two bytes a character"]
+    got = _recall(spark, kinds)
+    print(got)
+    assert set(got) == set(kinds) and min(min(v) for v in got.values()) == 1.0
