@@ -91,3 +91,17 @@ def test_recall_beside_the_former_switch(spark):
     got = _recall(spark, kinds)
     print(got)
     assert set(got) == set(kinds) and min(min(v) for v in got.values()) == 1.0
+
+
+def test_flips_reach_every_bit():
+    flips = fl._flips()
+    assert len(set(flips)) == len(flips)
+    for bit in range(32):
+        assert 6 <= sum(c >> bit & 1 for c in flips) <= len(flips) - 6, bit
+
+
+def test_recall_at_the_threshold(spark):
+    kinds = ["similarity 0.80 to 0.83"]
+    got = _recall(spark, kinds)
+    print(got)
+    assert min(got[kinds[0]]) >= 0.99
