@@ -1,25 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words are runs of letters, lower-cased; the models predict each character of a
-word, and its end, from the ``ORDER`` - 1 characters before it, so spellings
-that were never seen whole still look like what they begin with. Characters are
-numbered into 12 bits (those beyond share numbers), a gram is one integer.
+Words are runs of letters, lower-cased; a text is its words with a border after
+each, in UTF-16 code units, so every code point is told apart. The models
+predict each unit from the ``ORDER`` - 1 before it, across borders too, so
+spellings that were never seen whole still look like what they begin with.
 
 * Top order: counts of each class, from at most ``LEARN_ROWS`` labelled
-  learning rows (the smallest digests of their ids).
+  learning rows (the smallest digests of their ids). The counts of the class
+  with more text are scaled to the amount of the other, so that neither backs
+  off less for the amount it was learned from.
 * Below, both classes back off to the same interpolated Kneser-Ney model,
   whose continuation counts (in how many distinct contexts a gram occurs) come
   from the whole texts of *all* documents. A rare expression costs both
   classes alike unless one of them has seen it.
 
-The log-likelihood ratio of a text, toxic over ordinary, is divided by its
-length and turned into a probability by a logistic link, fitted on the fifth of
-the learning rows that the class counts leave out.
+The log-likelihood of the whole text under the toxic model less that under the
+ordinary one is divided by its length. So is the part of it that words gain that
+are more than ``MARGIN`` nats likelier in toxic text: a few such words drown in
+the whole of a long text. A logistic link turns both ratios into a probability,
+fitted on the fifth of the learning rows that the class counts leave out.
 
 Counting is one map over the documents, pre-aggregated per task, and a
 groupBy of grams; the lower orders derive from the distinct grams with further
-groupBys. The model is a set of slot tables of fixed size (``SLOTS``), filled
-from sums per slot, so it stays bounded whatever the vocabulary.
+groupBys. Tables hold grams by exact key; they grow with the distinct grams and
+are collected and broadcast whole.
 
 Defined results: null and empty texts, and texts without letters, have ratio 0
 and score by the link's intercept; null ids and null labels are not learned
@@ -44,85 +48,122 @@ from ledgerloom.llm.nbsvm import logistic_link
 from ledgerloom.llm.shared import label_sample, written
 
 ORDER = 5
-BITS = 12
-SLOTS = 1 << 20
+#: Bits of a UTF-16 code unit of a letter, plus 2 (the largest is U+FFDC).
+BITS = 16
 LEARN_ROWS = 40_000
 #: One learning row in so many sets the link instead of the counts.
 LINK_ONE_IN = 5
 DISCOUNT = 0.75
-#: Nats by which a word must be likelier in toxic text to count. The classes are
-#: learned from unlike amounts of text, which tilts every ordinary word a little.
+#: Nats by which a word must be likelier in toxic text to count as a strong one.
 MARGIN = 3.0
-_EDGE = 1  # number of a word's border; characters start at 2
+_EDGE = 1  # number of a word's border; code units start at 2
 _FLUSH = 1 << 21
-#: Bytes of text whose words are told apart at a time.
+#: Bytes of text whose grams are told apart at a time.
 _PIECE = 1 << 19
 
-_MASK = [np.uint64((1 << (BITS * k)) - 1) for k in range(ORDER + 1)]
+_U = np.uint64
+_MASK = [_U((1 << (BITS * k)) - 1) for k in range(ORDER)]
 
 
 @dataclass
-class Words:
-    """Words of some texts: the distinct ones, as grams, and where they occur."""
-    gram: np.ndarray     # of every predicted character and word end of the distinct words
-    size: np.ndarray     # grams of each distinct word
-    number: np.ndarray   # of each word: which distinct one it is
-    text: np.ndarray     # of each word: its text
+class Grams:
+    """The distinct grams of some texts and where they occur."""
+    high: np.ndarray    # first unit of each gram
+    low: np.ndarray     # its other four
+    number: np.ndarray  # of each unit of the texts: its gram
+    text: np.ndarray    # of each unit: its text
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def grams(data: np.ndarray, offsets: np.ndarray) -> Grams:
     w = letter_words(data, offsets)
-    points = w.letters.astype(np.uint64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.text_first))
+    none = np.zeros(0, np.int64)
     if not len(w.lens):
-        return Words(np.zeros(0, np.uint64), w.lens, w.lens, text)
-    digest = np.add.reduceat(vt.mix(points + (w.inside.astype(np.uint64) << np.uint64(32))), w.first)
-    _, pick, number = np.unique(digest, return_index=True, return_inverse=True)
-    # one stream: the characters of each distinct word, then its border
-    lens = w.lens[pick]
-    size = lens + 1
-    first = np.cumsum(size) - size
-    inside = np.arange(int(size.sum())) - np.repeat(first, size)
-    body = inside < np.repeat(lens, size)
-    points = points[(np.repeat(w.first[pick], size) + inside)[body]]
-    span = np.uint64((1 << BITS) - 2)
-    symbols = np.full(len(inside), _EDGE, np.uint64)
-    symbols[body] = np.where(points < span, points, vt.mix(points) % span) + np.uint64(2)
-    gram = symbols.copy()
+        return Grams(none.astype(_U), none.astype(_U), none, none)
+    units, lens = w.letters.astype(_U), w.lens
+    wide = units > _U(0xFFFF)
+    if wide.any():  # two units
+        lens = lens + np.add.reduceat(wide.astype(np.int64), w.first)
+        last = np.cumsum(1 + wide) - 1
+        pairs = np.repeat(units, 1 + wide)
+        pairs[last[wide] - 1] = _U(0xD800) + ((units[wide] - _U(0x10000)) >> _U(10))
+        pairs[last[wide]] = _U(0xDC00) + (units[wide] & _U(0x3FF))
+        units = pairs
+    ends = np.cumsum(lens + 1) - 1
+    symbols = np.full(int(ends[-1]) + 1, _EDGE, _U)
+    body = np.ones(len(symbols), bool)
+    body[ends] = False
+    symbols[body] = units + _U(2)
+    text = np.repeat(np.repeat(np.arange(len(offsets) - 1), np.diff(w.text_first)), lens + 1)
+    inside = np.arange(len(text)) - np.searchsorted(text, text)
+    low, narrow = symbols.copy(), symbols.copy()  # narrow: 12 bits a unit, where they fit
+    high = low
     for back in range(1, ORDER):
-        before = np.zeros(len(inside), np.uint64)
-        before[back:] = symbols[:len(inside) - back]
+        before = np.zeros(len(symbols), _U)
+        before[back:] = symbols[:max(0, len(symbols) - back)]
         before[inside < back] = 0
         before[inside == back - 1] = _EDGE
-        gram |= before << np.uint64(BITS * back)
-    return Words(gram, size, number, text)
+        narrow |= before << _U(12 * back)
+        if back < ORDER - 1:
+            low |= before << _U(BITS * back)
+        else:
+            high = before
+    if symbols.max() >= 1 << 12:
+        narrow = (high << _U(32)) | np.unique(low, return_inverse=True)[1].astype(_U)
+    _, pick, number = np.unique(narrow, return_index=True, return_inverse=True)
+    return Grams(high[pick], low[pick], number, text)
+
+
+class Counts:
+    """Rows of numbers by exact key; zeros for keys that are not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(float)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each key, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at, there = self.find(keys)
+        out = np.zeros((len(keys), self.values.shape[1]))
+        out[there] = self.values[at[there]]
+        return out
 
 
 def _slot(gram: np.ndarray, order: int, slots: int) -> np.ndarray:
-    return (vt.mix(gram + np.uint64(order)) & np.uint64(slots - 1)).astype(np.int64)
+    """The key of a gram of up to four units in its table: the gram itself."""
+    return gram
 
 
 def gram_table(rows: DataFrame) -> DataFrame:
-    """(gram, n0, n1): every distinct gram of ``rows.text``, and its count in
+    """(high, low, n0, n1): every distinct gram of ``rows.text``, and its count in
     the rows of class 0 and 1 (null: in neither)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def summed() -> np.ndarray:
-            all_rows = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.int64)
-            distinct, first, inverse = np.unique(all_rows[0], return_index=True, return_inverse=True)
-            return np.stack([distinct, *(np.bincount(inverse, r, len(distinct)).astype(np.int64) for r in all_rows[1:])])
+            rows = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
+            rows = rows[:, np.lexsort((rows[0], rows[1]))]
+            fresh = np.ones(rows.shape[1], bool)
+            fresh[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+            at = np.flatnonzero(fresh)
+            return np.concatenate([rows[:2, at], np.add.reduceat(rows[2:], at, axis=1)]) if len(at) else rows
 
         for b in batches:
             data, offsets = vt.column_bytes(b.column(1))
             label = b.column(0).fill_null(2).to_numpy()
             for lo, hi in vt.pieces(offsets, _PIECE):
-                w = words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                distinct, inverse = np.unique(w.gram, return_inverse=True)
-                cls = label[lo:hi][w.text]
-                held.append(np.stack([distinct.view(np.int64), *(np.bincount(
-                    inverse, np.repeat(np.bincount(w.number[cls == c], minlength=len(w.size)), w.size), len(distinct)).astype(np.int64)
-                    for c in (0, 1))]))
+                g = grams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                cls = label[lo:hi][g.text]
+                held.append(np.stack([g.high.view(np.int64), g.low.view(np.int64), *(
+                    np.bincount(g.number[cls == c], minlength=len(g.low)) for c in (0, 1))]))
             if sum(h.shape[1] for h in held) > _FLUSH:
                 held[:] = [summed()]
                 if held[0].shape[1] > _FLUSH // 2:
@@ -130,93 +171,122 @@ def gram_table(rows: DataFrame) -> DataFrame:
         yield _table(summed())
 
     def _table(sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(r) for r in sums], ["gram", "n0", "n1"])
+        return pa.RecordBatch.from_arrays([pa.array(r) for r in sums], ["high", "low", "n0", "n1"])
 
-    return (rows.select("label", F.col("text").cast("binary")).mapInArrow(count, "gram long, n0 long, n1 long")
-            .groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    return (rows.select("label", F.col("text").cast("binary")).mapInArrow(count, "high long, low long, n0 long, n1 long")
+            .groupBy("high", "low").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
-def _slots(table: DataFrame, value_columns: list[str], order: int) -> np.ndarray:
-    """Slot sums of ``value_columns`` by the column ``gram``: eight slots a gram
-    or more, up to SLOTS."""
-    slots = min(SLOTS, 1 << (4096 + 8 * table.agg(F.approx_count_distinct("gram")).first()[0]).bit_length())
+def _collected(table: DataFrame, value_columns: list[str]) -> Counts:
+    """``value_columns`` by the column ``gram``, one row a gram."""
+    found = table.select("gram", *value_columns).toArrow()
+    values = np.stack([found[c].to_numpy() for c in value_columns], axis=1)
+    return Counts(found["gram"].to_numpy().astype(np.int64).view(_U), values)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = _slot(b.column(0).to_numpy().view(np.uint64), order, slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *b.columns[1:]], ["slot", *value_columns])
 
-    ddl = ", ".join(["slot long", *(f"{c} long" for c in value_columns)])
-    found = (table.select("gram", *value_columns).mapInArrow(fold, ddl).groupBy("slot")
-             .agg(*(F.sum(c).alias(c) for c in value_columns)).toArrow())
-    out = np.zeros((slots, len(value_columns)), np.float32)
-    slot = found["slot"].to_numpy()
-    for k, c in enumerate(value_columns):
-        out[slot, k] = found[c].to_numpy()
-    return out
+def _top(table: DataFrame) -> tuple[Counts, Counts]:
+    """Class counts by gram (number of its context, unit), and by context the
+    total and what discounts take of it, of either class. Classes count as if
+    learned from the same amount of text."""
+    found = table.where("n0 + n1 > 0").toArrow()
+    high, low = (found[c].to_numpy().astype(np.int64).view(_U) for c in ("high", "low"))
+    n = np.stack([found[c].to_numpy() for c in ("n0", "n1")], axis=1).astype(float).reshape(-1, 2)
+    amount = n.sum(axis=0)
+    if amount.all():
+        n *= amount.min() / amount
+    keys, number = np.unique((high << _U(BITS * (ORDER - 2))) | (low >> _U(BITS)), return_inverse=True)
+    cut = np.minimum(n, DISCOUNT)
+    sums = [np.bincount(number, x, len(keys)) for x in (n[:, 0], n[:, 1], cut[:, 0], cut[:, 1])]
+    return Counts((number.astype(_U) << _U(BITS)) | (low & _MASK[1]), n), Counts(keys, np.stack(sums, axis=1))
 
 
 @dataclass
 class Model:
-    top: np.ndarray               # slot of gram -> counts of class 0, 1
-    top_context: np.ndarray       # slot of context -> total 0, 1, followers 0, 1
-    lower: list[np.ndarray]       # by order (1 first): slot of gram -> contexts it continues
-    contexts: list[np.ndarray]    # by order: slot of context -> total, followers
-
-    def word_ratios(self, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Toxic over ordinary log-likelihood of each word."""
-        if not len(size):
-            return np.zeros(0)
-        def look_up(table: np.ndarray, grams: np.ndarray, order: int) -> np.ndarray:
-            return table[_slot(grams, order, len(table))]
-
-        p = np.full(len(gram), 1.0 / (1 << BITS), np.float32)
+    top: Counts             # by number of context and unit: counts of class 0, 1
+    top_context: Counts     # by context: total 0, 1, discounted 0, 1
+    lower: list[Counts]     # by order (1 first): contexts that a gram continues
+    contexts: list[Counts]  # by order: total, followers
+
+    def gram_ratios(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Toxic over ordinary log-likelihood of the last unit of each gram."""
+        p = np.full(len(low), 1.0 / (1 << BITS))
         for order in range(1, ORDER):
-            g = gram & _MASK[order]
-            total, followers = look_up(self.contexts[order - 1], g >> np.uint64(BITS), order + 100).T
-            seen = np.maximum(look_up(self.lower[order - 1], g, order)[:, 0] - DISCOUNT, 0)
+            g = low & _MASK[order]
+            total, followers = self.contexts[order - 1][g >> _U(BITS)].T
+            seen = np.maximum(self.lower[order - 1][g][:, 0] - DISCOUNT, 0)
             safe = np.maximum(total, 1)
-            p = np.where(total > 0, seen / safe + DISCOUNT * np.minimum(followers, total) / safe * p, p)
-        counts = look_up(self.top, gram, ORDER)
-        context = look_up(self.top_context, gram >> np.uint64(BITS), ORDER + 100)
+            p = np.where(total > 0, seen / safe + DISCOUNT * followers / safe * p, p)
+        context = (high << _U(BITS * (ORDER - 2))) | (low >> _U(BITS))
+        at, there = self.top_context.find(context)
+        sums = self.top_context[context]
+        counts = self.top[(at.astype(_U) << _U(BITS)) | (low & _MASK[1])] * there[:, None]
         logs = []
         for c in (0, 1):
-            total, followers = context[:, c], context[:, 2 + c]
-            safe = np.maximum(total, 1)
-            logs.append(np.log(np.where(total > 0, np.maximum(counts[:, c] - DISCOUNT, 0) / safe
-                                        + DISCOUNT * np.minimum(followers, total) / safe * p, p)))
-        return np.add.reduceat(logs[1] - logs[0], np.cumsum(size) - size)
-
-    def ratios(self, w: Words, n: int) -> np.ndarray:
-        """Length-normalised log-likelihood ratio of each text: what the words
-        that are likelier toxic gain beyond ``MARGIN``, per word."""
-        word = np.maximum(self.word_ratios(w.gram, w.size) - MARGIN, 0)
-        return np.bincount(w.text, word[w.number], n) / np.maximum(np.bincount(w.text, minlength=n), 1)
+            total = sums[:, c]
+            safe = np.where(total > 0, total, 1)
+            logs.append(np.log(np.where(total > 0, np.maximum(counts[:, c] - DISCOUNT, 0) / safe + sums[:, 2 + c] / safe * p, p)))
+        return logs[1] - logs[0]
+
+    def ratios(self, g: Grams, n: int) -> np.ndarray:
+        """Of each text: log-likelihood ratio of the whole text, per unit, and
+        what its strong words gain beyond ``MARGIN``, per word."""
+        out = np.zeros((n, 2))
+        if len(g.text):
+            ratio = self.gram_ratios(g.high, g.low)[g.number]
+            ends = np.flatnonzero(((g.low & _MASK[1]) == _EDGE)[g.number])
+            word = np.add.reduceat(ratio, np.append(0, ends[:-1] + 1))
+            for k, (of, gain) in enumerate(((g.text, ratio), (g.text[ends], np.maximum(word - MARGIN, 0)))):
+                out[:, k] = np.bincount(of, gain, n) / np.maximum(np.bincount(of, minlength=n), 1)
+        return out
+
+
+def link(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and intercept of P(1 | x) for two ratios, by Newton steps as in
+    ``logistic_link``; a ratio whose slope would be negative takes no part."""
+    middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.column_stack([(x - middle) / spread, np.ones(len(y))])
+    n1, n0 = y.sum(), len(y) - y.sum()
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    w, ridge = np.array([0.0, 0.0, np.log(n1 / n0)]), np.array([1e-3, 1e-3, 1e-9])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+        step = np.linalg.solve((z.T * np.maximum(p * (1 - p), 1e-9)) @ z + np.diag(ridge), z.T @ (p - target) + ridge * w)
+        size = np.abs(step).max()
+        w = w - step * (min(1.0, 2.0 / size) if size else 1.0)
+        if size < 1e-8:
+            break
+    slopes, intercept = w[:2], w[2]
+    if (slopes < 0).any():
+        kept = int(np.argmax(slopes))
+        slopes = np.zeros(2)
+        slopes[kept], intercept = logistic_link(z[:, kept], y)
+    slopes = slopes / spread
+    return slopes, float(intercept - slopes @ middle)
 
 
 @dataclass
 class Fitted:
-    """The tables, broadcast once, and the link from ratio to probability."""
+    """The tables, broadcast once, and the link from the ratios to probability."""
     tables: Broadcast
-    slope: float
+    slopes: np.ndarray
     intercept: float
 
 
 def _ratios(rows: DataFrame, fitted: Fitted, carry: str, kind: str) -> DataFrame:
-    """(carry, ratio, score) of each row."""
-    tables, slope, intercept = fitted.tables, fitted.slope, fitted.intercept
+    """(carry, ratio, strong, score) of each row."""
+    tables, slopes, intercept = fitted.tables, fitted.slopes, fitted.intercept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = vt.column_bytes(b.column(1))
             for lo, hi in vt.pieces(offsets, _PIECE):
-                w = words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                ratio = tables.value.ratios(w, hi - lo)
-                score = 1 / (1 + np.exp(-np.clip(slope * ratio + intercept, -35, 35)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ratio), pa.array(score)],
-                                                 [carry, "ratio", "score"])
+                g = grams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                ratio = tables.value.ratios(g, hi - lo)
+                score = 1 / (1 + np.exp(-np.clip(ratio @ slopes + intercept, -35, 35)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, ratio.T.copy()), pa.array(score)],
+                                                 [carry, "ratio", "strong", "score"])
 
-    return rows.select(carry, F.col("text").cast("binary")).mapInArrow(run, f"`{carry}` {kind}, ratio double, score double")
+    return rows.select(carry, F.col("text").cast("binary")).mapInArrow(run, f"`{carry}` {kind}, ratio double, strong double, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str = "doc_id", text: str = "text") -> Fitted:
@@ -227,31 +297,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     marked = rows.join(F.broadcast(sample), "key", "left")
     top = written(gram_table(marked.select(F.when(~F.col("link"), F.col("label")).alias("label"), "text")), "kn-grams")
-    shift = lambda c, k: F.shiftrightunsigned(c, BITS * k)
-    seen = top.select(shift("gram", 1).alias("gram"), "n0", "n1", (F.col("n0") > 0).cast("long").alias("f0"),
-                      (F.col("n1") > 0).cast("long").alias("f1"))
-    lower, contexts, table = [], [], top.select("gram")
+    lower, contexts, table = [], [], top.select(F.col("low").alias("gram"))
     for order in range(ORDER - 1, 0, -1):
-        # in how many contexts of one more character each gram of this order occurs
-        table = table.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        # in how many contexts of one more unit each gram of this order occurs
+        mask = (1 << (BITS * order)) - 1 if order < ORDER - 1 else -1
+        table = table.groupBy(F.col("gram").bitwiseAND(F.lit(mask).cast("long")).alias("gram")).agg(F.count("*").alias("n"))
         table = written(table, "kn-lower")
-        lower.insert(0, _slots(table, ["n"], order))
-        contexts.insert(0, _slots(table.select(shift("gram", 1).alias("gram"), "n", F.lit(1).cast("long").alias("f")), ["n", "f"], order + 100))
-    model = Model(_slots(top.where("n0 + n1 > 0"), ["n0", "n1"], ORDER),
-                  _slots(seen.where("n0 + n1 > 0"), ["n0", "n1", "f0", "f1"], ORDER + 100), lower, contexts)
+        lower.insert(0, _collected(table, ["n"]))
+        before = table.groupBy(F.shiftrightunsigned("gram", BITS).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("f"))
+        contexts.insert(0, _collected(before, ["n", "f"]))
+    model = Model(*_top(top), lower, contexts)
     by_class = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = by_class.get(0, 0), by_class.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.5
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # ten tables of SLOTS entries at most
-    fitted = Fitted(shared, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the distinct grams
+    fitted = Fitted(shared, np.zeros(2), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     if n0 and n1:
         held = rows.join(F.broadcast(sample.where("link")), "key")
         got = _ratios(held.select("label", "text"), fitted, "label", "int").toArrow()  # LEARN_ROWS rows at most
-        x, y = got["ratio"].to_numpy(), got["label"].to_numpy().astype(float)
+        x, y = np.stack([got[c].to_numpy() for c in ("ratio", "strong")], axis=1), got["label"].to_numpy().astype(float)
         if 0 < y.sum() < len(y):
-            spread = x.std() or 1.0
-            slope, intercept = logistic_link((x - x.mean()) / spread, y)
-            fitted.slope, fitted.intercept = slope / spread, intercept - slope * x.mean() / spread
+            fitted.slopes, fitted.intercept = link(x, y)
     return fitted
 
 
