@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import kneser_ney
 from ledgerloom.llm import vectext as vt
@@ -26,3 +27,16 @@ def test_tables_hold_every_gram_apart():
     at = kneser_ney._slot(keys, 4, len(table))
     assert (table[at][:, 0] == np.arange(len(keys))).all()
     assert not table[keys[:10] + np.uint64(1)][~np.isin(keys[:10] + np.uint64(1), keys)].any()
+
+
+def test_mild_evidence_counts(spark):
+    """Words that either class uses, one of them three times as often."""
+    rng = np.random.default_rng(1)
+    words = np.array([f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "lmnr"])
+    tilt = np.where(np.arange(len(words)) % 2, 3.0, 1.0)
+    rows = [(i, " ".join(rng.choice(words, 60, p=(t := tilt if i % 2 else tilt[::-1]) / t.sum())), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fitted = kneser_ney.fit(docs.drop("toxic"), docs.drop("text"), F.col("doc_id") < 300, "toxic")
+    got = {r.doc_id: r.score for r in kneser_ney.score(docs, fitted).collect()}
+    toxic, clean = ([got[i] for i in range(300, 400) if i % 2 == y] for y in (1, 0))
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.9
