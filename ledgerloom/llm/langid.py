@@ -39,8 +39,9 @@ SWITCH = 14.0
 #: A language claims the words of a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
 MAX_LANGUAGES = 512
-#: Score of a word for a language that does not write its script.
-_OUT = -1e4
+#: Score of a word for a language that does not write its script, and of each of
+#: its letters on top: less than a letter gets in any language that writes it.
+_OUT, _OUT_LETTER = -1e4, -1e2
 
 @dataclass
 class _Batch:
@@ -79,7 +80,7 @@ class Model:
             out[:, k] = np.add.reduceat(self.grams[k][b.slots], b.word_first) if len(b.word_len) else 0
         claim = self.claims[:, b.script].T
         claim = claim | ~claim.any(axis=1, keepdims=True)  # a script nobody learned: all languages stay
-        return np.where(claim, out, _OUT)
+        return np.where(claim, out, _OUT + _OUT_LETTER * b.word_len[:, None])
 
     def paths(self, b: _Batch, switch: float) -> np.ndarray:
         """Language number of each word on the best path of its text."""
