@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fuzzy_lines, kneser_ney, langid, nbsvm, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
+from ledgerloom.llm import chat_format, fuzzy_lines, kneser_ney, langid, nbsvm, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
 from ledgerloom.llm.shared import read, remainder
 
 #: SentencePiece model of the registered query (installed with the public tokenizers).
@@ -75,6 +75,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
                       F.col("same").alias("round_trip"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(chat_format.PROBE, chat_format.PROBE_SCHEMA)
+    chats = chat_format.format_chats(rows.unionByName(probe)).select(
+        "conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _hex_digest(said).alias("turns_sha256"),
+                        F.length("learned").cast("long").alias("loss_chars"), _hex_digest(F.col("learned")).alias("loss_sha256"),
+                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _hex_digest(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
 QUERIES: dict[str, Job] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_vantage_point_search": op2_vantage_point_search,
@@ -86,8 +101,10 @@ QUERIES: dict[str, Job] = {
     "op8_string_tiling": op8_string_tiling,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
     "op5_url_filters": url_filters.ORACLE_SQL,
+    "op13_chat_format": chat_format.ORACLE_SQL,
 }
