@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, fuzzy_lines, kneser_ney, langid, nbsvm, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
+from ledgerloom.llm import chat_format, fuzzy_lines, kneser_ney, langid, nbsvm, periodic_runs, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
 from ledgerloom.llm.shared import read, remainder
 
 #: SentencePiece model of the registered query (installed with the public tokenizers).
@@ -75,6 +75,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
                       F.col("same").alias("round_trip"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.collapse(periodic_runs.cycled(read(spark, sf_dir, "documents")))
+    out = out.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      _hex_digest(listed).alias("runs_sha256"), _hex_digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(chat_format.PROBE, chat_format.PROBE_SCHEMA)
@@ -101,10 +110,12 @@ QUERIES: dict[str, Job] = {
     "op8_string_tiling": op8_string_tiling,
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
     "op5_url_filters": url_filters.ORACLE_SQL,
+    "op11_periodic_runs": periodic_runs.ORACLE_SQL,
     "op13_chat_format": chat_format.ORACLE_SQL,
 }
