@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, fuzzy_lines, kneser_ney, langid, nbsvm, periodic_runs, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
+from ledgerloom.llm import chat_format, chat_repair, fuzzy_lines, kneser_ney, langid, nbsvm, periodic_runs, piece_fst, simhash, string_tiling, substring_dedup, url_filters, vptree
 from ledgerloom.llm.shared import read, remainder
 
 #: SentencePiece model of the registered query (installed with the public tokenizers).
@@ -84,6 +84,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       _hex_digest(listed).alias("runs_sha256"), _hex_digest(F.col("collapsed")).alias("collapsed_sha256"))
 
 
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    fixed = chat_repair.repair(chat_repair.damaged(rows))
+    digests = chat_repair.digests(fixed.messages)
+    out = rows.select(F.col("conv_id").alias("original")).distinct()
+    for part in (fixed.summary, digests):
+        out = out.join(part, out["original"].eqNullSafe(part["conv_id"]), "left").drop("conv_id")
+    figures = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("original").alias("conv_id"), *figures, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", _hex_digest(F.lit(""))).alias("repaired_sha256"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(chat_format.PROBE, chat_format.PROBE_SCHEMA)
@@ -111,11 +123,13 @@ QUERIES: dict[str, Job] = {
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_chat_repair": op12_chat_repair,
     "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
     "op5_url_filters": url_filters.ORACLE_SQL,
     "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op12_chat_repair": chat_repair.ORACLE_SQL,
     "op13_chat_format": chat_format.ORACLE_SQL,
 }
