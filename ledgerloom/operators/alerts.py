@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import ALERT_DETAIL_CHARS, FOLLOW_UP_HORIZON_DAYS, INBOX_SIZE
 from ledgerloom.functions.text import month_day, type_label, wall_time
+from ledgerloom.sources.domain import DOMAIN_SCHEMAS
+from ledgerloom.sources.keyed import KeyedTable
+from ledgerloom.sources.scratch import written
 
 KEY = ["type", "related_type", "related_id"]
 COLUMNS = ["id", "type", "title", "detail", "priority", "related_type", "related_id", "created_at"]
@@ -97,6 +100,41 @@ def stale_alerts(stored: DataFrame, live: DataFrame) -> DataFrame:
     return stored.join(live.select(*KEY), KEY, "left_anti")
 
 
+ALERT_BUCKETS = 64
+
+
+def alert_table(path: str, buckets: int = ALERT_BUCKETS) -> KeyedTable:
+    """The stored alerts, keyed by (type, related_type, related_id)."""
+    return KeyedTable(path, DOMAIN_SCHEMAS["notifications"], tuple(KEY), buckets)
+
+
+def low_stock_keys(levels: DataFrame) -> DataFrame:
+    """The natural keys that a change of these products' stock can concern."""
+    return levels.select(F.lit("LOW_STOCK").alias("type"), F.lit("PRODUCT").alias("related_type"), F.col("product_id").alias("related_id"))
+
+
+def alert_changes(stored: DataFrame, live: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """W13 and W14 as changes: rows to put (new ones, and those whose texts or priority
+    differ) and stored rows to delete."""
+    merged = alerts_merge(stored, live, now)
+    told = ["title", "detail", "priority"]
+    was = stored.select(*KEY, F.struct(*told).alias("was"))
+    puts = merged.join(was, KEY, "left").where(F.col("was").isNull() | (F.struct(*told) != F.col("was"))).drop("was")
+    return puts.select(*COLUMNS), stale_alerts(stored, live)
+
+
+def reconcile_touched(table: KeyedTable, touched: DataFrame, live: DataFrame, now: dt.datetime) -> list[int]:
+    """Bring the stored alerts of the ``touched`` natural keys in line with ``live`` (the
+    live alerts of just these keys). Only the buckets that hold them are read, and
+    only those in which a row changes are rewritten; returns their numbers."""
+    spark = touched.sparkSession
+    touched = written(touched.select(*KEY).distinct(), "alerts-touched")
+    stored = table.near(spark, table.touched(touched)).join(touched, KEY, "left_semi")
+    puts, deletes = alert_changes(stored, live, now)
+    changes = written(puts.withColumn("_put", F.lit(True)).unionByName(deletes.select(*COLUMNS).withColumn("_put", F.lit(False))), "alerts-changes")
+    return table.apply(changes.where("_put").drop("_put"), changes.where("NOT _put").drop("_put"))
+
+
 def surviving_reads(reads: DataFrame, snapshot: DataFrame) -> DataFrame:
     """W14 cascade: read marks of deleted alerts go away with them."""
     return reads.join(snapshot.select(F.col("id").alias("notification_id")), "notification_id", "left_semi")

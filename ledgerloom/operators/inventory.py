@@ -157,3 +157,10 @@ def opening_movements(new_products: DataFrame, created_by: Column | int = 0,
         F.lit(None).cast("bigint").alias("reference_id"),
         by.alias("created_by"),
         at.alias("created_at"))
+
+
+def seed_movements(products: DataFrame, movements: DataFrame, created_by: Column | int = 0, created_at: dt.datetime | None = None) -> DataFrame:
+    """The opening movement of every product that has none yet, so that loading a
+    catalogue twice opens its stock once."""
+    opened = movements.where(F.col("reference_type") == "OPENING_STOCK").select(F.col("product_id").alias("id"))
+    return opening_movements(products.join(opened, "id", "left_anti"), created_by, created_at)

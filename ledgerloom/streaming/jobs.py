@@ -5,10 +5,12 @@ request log); ``trigger`` defaults to ``availableNow`` (process what has landed,
 then stop); production runs use ``processing_time="30 seconds"``. Results and
 query checkpoints lie below ``out``, a path that the caller names.
 
-No figure has a watermark, so no row is ever too late and no state grows: each
-micro-batch lands what it adds, under its batch id, and the figure is summed or
-derived on read. Replays are known by id: a ledger row counts once however
-often it is delivered, and two equal rows with different ids count twice.
+No figure has a watermark, so no row is ever too late. ST1 and ST3 keep their
+figures in Spark's state store (RocksDB): the ids seen and the sum per product, so a
+micro-batch reads its own rows only, and only products that changed go on. ST2, ST4
+and ST5 land what a micro-batch adds under its batch id and are summed or derived on
+read. Replays are known by id: a ledger row counts once however often it is
+delivered, and two equal rows with different ids count twice.
 """
 
 from __future__ import annotations
@@ -29,9 +31,20 @@ from ledgerloom.streaming.sinks import land, landed, prepare, stream_root
 LEDGER_SCHEMA = "id string, product_id bigint, created_at timestamp_ntz, delta bigint"
 
 
-def _run(df: DataFrame, handler, out: str, processing_time: str | None):
-    w = df.writeStream.outputMode("append").foreachBatch(handler).option("checkpointLocation", f"{out}/_checkpoint")
-    q = (w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)).start()
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _run(df: DataFrame, handler, out: str, processing_time: str | None, mode: str = "append"):
+    w = df.writeStream.outputMode(mode).foreachBatch(handler).option("checkpointLocation", f"{out}/_checkpoint")
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    conf, (key, provider) = df.sparkSession.conf, STATE_STORE
+    before = conf.get(key)
+    conf.set(key, provider)  # a query keeps the settings that it starts with
+    try:
+        q = w.start()
+    finally:
+        conf.set(key, before)
     if processing_time is None:
         q.awaitTermination()
         if q.exception() is not None:
@@ -45,26 +58,29 @@ def ledger_steps(movements: DataFrame) -> DataFrame:
                             inv.signed_quantity().cast("bigint").alias("delta"))
 
 
-def _ledger(spark: SparkSession, out: str) -> DataFrame:
-    """Every landed ledger row once."""
-    return landed(spark, f"{out}/ledger").drop("batch").dropDuplicates(["id"])
+# -- ST1 -------------------------------------------------------------------------------
+LEVEL_SCHEMA = "product_id bigint, current_stock bigint"
 
 
-def _levels(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("product_id").agg(F.sum("delta").cast("bigint").alias("current_stock"))
+def live_levels(movements: DataFrame) -> DataFrame:
+    """Stock per product as streaming state: each ledger id counts once. In update mode
+    a micro-batch gives the products that it changed, with their new stock."""
+    once = ledger_steps(movements).dropDuplicates(["id"])
+    return once.groupBy("product_id").agg(F.sum("delta").cast("bigint").alias("current_stock"))
 
 
-# -- ST1 -------------------------------------------------------------------------------
 def stock_levels(spark: SparkSession, out: str) -> DataFrame:
-    return _levels(_ledger(spark, out))
+    """Of each product the stock that its latest micro-batch gave."""
+    given = landed(spark, f"{out}/levels", LEVEL_SCHEMA)
+    return given.groupBy("product_id").agg(F.max_by("current_stock", "batch").alias("current_stock"))
 
 
 def stream_stock_levels(spark: SparkSession, movements: DataFrame, processing_time: str | None = None,
                         out: str | None = None) -> DataFrame:
     """ST1: stock per product from the movement stream, late and repeated rows included once."""
     out = out or stream_root(spark, "stock_levels")
-    prepare(spark, f"{out}/ledger", LEDGER_SCHEMA)
-    _run(ledger_steps(movements), lambda batch, i: land(batch, f"{out}/ledger", i), out, processing_time)
+    prepare(spark, f"{out}/levels", LEVEL_SCHEMA)
+    _run(live_levels(movements), lambda batch, i: land(batch, f"{out}/levels", i), out, processing_time, "update")
     return stock_levels(spark, out)
 
 
@@ -74,7 +90,7 @@ SALE_SCHEMA = "challan_id bigint, sale_date date, revenue decimal(18,2), units b
 
 def daily_sales(spark: SparkSession, out: str) -> DataFrame:
     """Per day: confirmed challans (each once), revenue and units."""
-    once = landed(spark, f"{out}/sales").drop("batch").dropDuplicates(["challan_id"])
+    once = landed(spark, f"{out}/sales", SALE_SCHEMA).drop("batch").dropDuplicates(["challan_id"])
     return once.groupBy("sale_date").agg(
         F.count(F.lit(1)).alias("challans"), F.sum("revenue").cast(sales.MONEY).alias("revenue"),
         F.sum("units").cast("bigint").alias("units"))
@@ -101,8 +117,7 @@ def stream_sales_daily(spark: SparkSession, challans: DataFrame, items: DataFram
 
 # -- ST3 -------------------------------------------------------------------------------
 def current_alerts(spark: SparkSession, out: str) -> DataFrame:
-    versions = landed(spark, f"{out}/alerts")
-    return versions.where(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")
+    return al.alert_table(f"{out}/alerts").read(spark)
 
 
 def stream_alerts(spark: SparkSession, movements: DataFrame, products: DataFrame, customers: DataFrame,
@@ -110,22 +125,24 @@ def stream_alerts(spark: SparkSession, movements: DataFrame, products: DataFrame
                   processing_time: str | None = None, out: str | None = None) -> DataFrame:
     """ST3: reconcile alerts once per micro-batch of ledger activity.
 
-    Each batch lands its ledger rows, derives the live alerts from the stock
-    they add up to, and merges them into the alerts after the batch before
-    (``stored`` before the first): one version of the alert table per batch.
-    """
+    The first micro-batch merges all sources into ``stored``. Every later one gets
+    the products whose stock changed from the state, and changes their alerts in
+    the stored table; a replayed micro-batch makes the same changes again."""
     out = out or stream_root(spark, "alerts")
-    prepare(spark, f"{out}/ledger", LEDGER_SCHEMA)
-    prepare(spark, f"{out}/alerts", "", initial=stored)
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        land(batch, f"{out}/ledger", batch_id)
-        ledger = landed(spark, f"{out}/ledger").where(F.col("batch") <= batch_id).drop("batch").dropDuplicates(["id"])
-        live = al.alerts_live(inv.products_with_stock(products, _levels(ledger)), customers, queries, as_of)
-        before = spark.read.parquet(f"{out}/alerts/batch={batch_id - 1}")
-        land(al.alerts_merge(before, live, now), f"{out}/alerts", batch_id)
-
-    _run(ledger_steps(movements), run, out, processing_time)
+    table = al.alert_table(f"{out}/alerts")
+
+    def run(changed: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            live = al.alerts_live(inv.products_with_stock(products, changed), customers, queries, as_of)
+            table.create(al.alerts_merge(stored, live, now))
+            return
+        land(changed, f"{out}/levels", batch_id)
+        levels = spark.read.schema(LEVEL_SCHEMA).parquet(f"{out}/levels/batch={batch_id}")
+        known = products.join(levels.select(F.col("product_id").alias("id")), "id", "left_semi")
+        live = al.alerts_low_stock(inv.products_with_stock(known, levels))
+        al.reconcile_touched(table, al.low_stock_keys(levels), live, now)
+
+    _run(live_levels(movements), run, out, processing_time, "update")
     return current_alerts(spark, out)
 
 
@@ -142,7 +159,7 @@ def rate_window_counts(requests: DataFrame, window: str = RATE_WINDOW) -> DataFr
 
 
 def violations(spark: SparkSession, out: str, limit: int) -> DataFrame:
-    total = landed(spark, f"{out}/counts").groupBy("client_id", "window_start", "window_end").agg(F.sum("requests").alias("requests"))
+    total = landed(spark, f"{out}/counts", RATE_SCHEMA).groupBy("client_id", "window_start", "window_end").agg(F.sum("requests").alias("requests"))
     return total.where(F.col("requests") > limit)
 
 
@@ -185,8 +202,8 @@ def low_stock_transitions(ledger: DataFrame, products: DataFrame) -> DataFrame:
 
 def low_stock_changes(spark: SparkSession, out: str) -> DataFrame:
     """Of each product the events that its latest batch derived."""
-    touched = landed(spark, f"{out}/touched").groupBy("product_id").agg(F.max("batch").alias("batch"))
-    return landed(spark, f"{out}/events").join(touched, ["product_id", "batch"], "left_semi").drop("batch")
+    touched = landed(spark, f"{out}/touched", "product_id bigint").groupBy("product_id").agg(F.max("batch").alias("batch"))
+    return landed(spark, f"{out}/events", EVENT_SCHEMA).join(touched, ["product_id", "batch"], "left_semi").drop("batch")
 
 
 def stream_low_stock_changes(spark: SparkSession, movements: DataFrame, products: DataFrame,
@@ -203,7 +220,7 @@ def stream_low_stock_changes(spark: SparkSession, movements: DataFrame, products
         land(batch, f"{out}/ledger", batch_id)
         land(batch.select("product_id").distinct(), f"{out}/touched", batch_id)
         touched = spark.read.parquet(f"{out}/touched/batch={batch_id}")
-        ledger = landed(spark, f"{out}/ledger").where(F.col("batch") <= batch_id).drop("batch").dropDuplicates(["id"])
+        ledger = landed(spark, f"{out}/ledger", LEDGER_SCHEMA).where(F.col("batch") <= batch_id).drop("batch").dropDuplicates(["id"])
         land(low_stock_transitions(ledger.join(touched, "product_id", "left_semi"), products), f"{out}/events", batch_id)
 
     _run(ledger_steps(movements), run, out, processing_time)

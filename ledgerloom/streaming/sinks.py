@@ -32,6 +32,6 @@ def prepare(spark: SparkSession, path: str, schema: T.StructType | str, initial:
     land(initial if initial is not None else spark.createDataFrame([], schema), path, -1)
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
-    """All rows, with the ``batch`` they came in."""
-    return spark.read.parquet(path)
+def landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows, with the ``batch`` they came in; nothing is inferred from the files."""
+    return spark.read.schema(f"{schema}, batch bigint").parquet(path)
