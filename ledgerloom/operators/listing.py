@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.config import DASHBOARD_LIST
+from ledgerloom.config import DASHBOARD_LIST, PAGE_MAX
 from ledgerloom.functions.text import (check_challan_status, check_page, csv_safe, date_or_not_set,
                                        search_predicate, wall_time)
 
@@ -30,23 +30,48 @@ def challan_heads(challans: DataFrame, customers: DataFrame, users: DataFrame) -
     ``total_quantity`` passes through."""
     cu = customers.select(F.col("id").alias("customer_id"), "customer_name", "business_name")
     u = users.select(F.col("id").alias("created_by"), F.col("name").alias("created_by_name"))
+    return challans.join(cu, "customer_id", "inner").join(u, "created_by", "inner").select(*_head_columns(challans))
+
+
+def search_heads(challans: DataFrame, customers: DataFrame, users: DataFrame, term: str | None) -> DataFrame:
+    """P3 on the heads: names are matched once per customer, not once per challan."""
+    named = search_predicate(CHALLAN_SEARCH[1:], term)
+    if named is None:
+        return challan_heads(challans, customers, users)
+    cu = customers.select(F.col("id").alias("customer_id"), "customer_name", "business_name", named.alias("_named"))
+    found = challans.join(cu, "customer_id", "inner").where(F.col("_named") | search_predicate(CHALLAN_SEARCH[:1], term))
+    u = users.select(F.col("id").alias("created_by"), F.col("name").alias("created_by_name"))
+    return found.join(u, "created_by", "inner").select(*_head_columns(challans))
+
+
+def _head_columns(challans: DataFrame) -> list[str]:
     stored = ["total_quantity"] if "total_quantity" in challans.columns else []
-    return (challans.join(cu, "customer_id", "inner").join(u, "created_by", "inner")
-            .select("id", "challan_number", *stored, "status", "created_at", "customer_name", "business_name", "created_by_name"))
+    return ["id", "challan_number", *stored, "status", "created_at", "customer_name", "business_name", "created_by_name"]
 
 
-def with_units(heads: DataFrame, lines: DataFrame, few: bool = False) -> DataFrame:
-    """Total units (0 without lines) of a filtered list or a page of challans.
-    A stored total is used as it is, and ``lines`` is not read. For ``few``
-    challans only their own lines are aggregated."""
+def with_units(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """Total units (0 without lines) of a list of challans. A stored total is used as
+    it is, and ``lines`` is not read; else both sides are read once."""
     if "total_quantity" in heads.columns:
         return heads
-    if few:
-        lines = lines.join(heads.select(F.col("id").alias("challan_id")), "challan_id", "left_semi")
     tot = challan_totals(lines).withColumnRenamed("challan_id", "id")
-    return heads.join(tot, "id", "left").select(
-        "id", "challan_number", F.coalesce("total_quantity", F.lit(0)).cast("bigint").alias("total_quantity"),
-        "status", "created_at", "customer_name", "business_name", "created_by_name")
+    return heads.join(tot, "id", "left").select(*_listed())
+
+
+def _listed() -> list[Column | str]:
+    return ["id", "challan_number", F.coalesce("total_quantity", F.lit(0)).cast("bigint").alias("total_quantity"),
+            "status", "created_at", "customer_name", "business_name", "created_by_name"]
+
+
+def page_with_units(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same for one page: its rows (at most ``PAGE_MAX``) are fetched once, and their
+    ids go into the scan of the lines as a pushed-down list."""
+    if "total_quantity" in heads.columns:
+        return heads
+    rows = heads.limit(PAGE_MAX).collect()
+    few = heads.sparkSession.createDataFrame(rows, heads.schema)
+    tot = challan_totals(lines.where(F.col("challan_id").isin([r.id for r in rows]))).withColumnRenamed("challan_id", "id")
+    return few.join(tot, "id", "left").select(*_listed())
 
 
 def challan_list(challans: DataFrame, customers: DataFrame, users: DataFrame, lines: DataFrame) -> DataFrame:

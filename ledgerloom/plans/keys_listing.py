@@ -47,7 +47,7 @@ def q_challan_list(spark, d):
                                        "challans", "customers", "users"))
 def q_challan_search(spark, d):
     fx = Fixture(spark, d)
-    return ls.with_units(ls.filter_challans(challan_heads(fx), CHALLAN_TERM), fx.raw_lines(), few=True)
+    return ls.with_units(ls.search_heads(fx.challans(), fx.customers(), fx.users(), CHALLAN_TERM), fx.raw_lines())
 
 
 @register("challan_search_count", with_views(f"""
@@ -64,7 +64,7 @@ def q_challan_search_count(spark, d):
                                            "challans", "customers", "users"))
 def q_challans_by_status(spark, d):
     fx = Fixture(spark, d)
-    return ls.with_units(ls.filter_challans(challan_heads(fx), None, "DRAFT"), fx.raw_lines(), few=True)
+    return ls.with_units(ls.filter_challans(challan_heads(fx), None, "DRAFT"), fx.raw_lines())
 
 
 @register("challan_page", with_views(f"""
@@ -72,7 +72,7 @@ SELECT * FROM ({_LIST_SQL}) ORDER BY created_at DESC NULLS LAST, id DESC
 LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}""", "challans", "customers", "users"))
 def q_challan_page(spark, d):
     fx = Fixture(spark, d)
-    return ls.with_units(ls.page(challan_heads(fx), PAGE_NO, PAGE_SIZE), fx.raw_lines(), few=True)
+    return ls.page_with_units(ls.page(challan_heads(fx), PAGE_NO, PAGE_SIZE), fx.raw_lines())
 
 
 _PRODUCT_COLS = ("id, product_name, sku, category, unit_price, minimum_stock_alert_quantity, warehouse_location, "
@@ -141,4 +141,4 @@ def q_challan_page_keyset(spark, d):
     heads = challan_heads(fx)
     last = ls.page(heads, PAGE_NO - 1, PAGE_SIZE).orderBy("created_at", "id").first()
     found = ls.keyset_page(heads, (last.created_at, last.id) if last else None, PAGE_SIZE)
-    return ls.with_units(found, fx.raw_lines(), few=True)
+    return ls.page_with_units(found, fx.raw_lines())
