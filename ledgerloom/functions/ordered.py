@@ -2,17 +2,21 @@
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. When
 one product, date or document holds a large share of all rows, that task does
-the work of the whole job. The helpers here split each key into *buckets*
-that are monotone in the sort order (for example the hour of a timestamp):
-
-1. per (key, bucket) totals by a partial/final aggregate (map-side combine);
-2. a window over those totals only (a few rows per key) gives each bucket the
-   sum of all earlier buckets;
-3. a window partitioned by (key, bucket) finishes the sum inside the bucket,
-   and the offset of step 2 is added.
-
-The result equals the single-window form exactly; the largest task now holds
-one bucket instead of one key. ``bucket=None`` falls back to the single window.
+the work of the whole job. The helpers here cut the rows into *ranges* of the whole
+sort key (keys, then order), at quantiles that Spark samples:
+
+1. ``in_ranges`` range-partitions the rows and writes them once, with the number of
+   their range, to the checkpoint folder; everything after reads that table, and
+   the totals read its narrow columns only;
+2. totals per (key, range) by a partial/final aggregate;
+3. a window over those totals only gives each range the sum of the earlier ones;
+4. a window partitioned by (key, range) finishes the sum inside the range, and the
+   offset of step 3 is added.
+
+The result equals the single-window form exactly. A range holds about the same
+number of rows whatever the keys and times are: a key with a third of all rows is in
+a third of the ranges, also if all its rows are of one instant, as long as ``order``
+tells them apart. ``bucket`` names a column that already cuts the rows so.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import written
+
 ColumnOrName = Column | str
 
 
@@ -40,15 +46,30 @@ def _join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> D
     return left.join(r, cond, "inner").drop(*[f"_r{i}" for i in range(len(cols))])
 
 
+RANGE = "_range"
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName]) -> DataFrame:
+    """The rows written once, with ``RANGE``: numbers that do not fall along ``order``
+    within a key, and that few rows share."""
+    cut = df.repartitionByRange(*[F.col(k) for k in keys], *[_c(o) for o in order])
+    return written(cut.withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None) -> DataFrame:
+    return in_ranges(df, keys, order).withColumnRenamed(RANGE, "_bkt") if bucket is None else df.withColumn("_bkt", bucket)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
                 value: ColumnOrName, out: str, bucket: Column | None = None,
                 frame: str = "rows", inclusive: bool = True) -> DataFrame:
     """Cumulative ``sum(value)`` per ``keys`` in ``order``.
 
     ``frame='rows'`` counts rows strictly in order (ties must be broken by
-    ``order``); ``frame='range'`` includes all peers of the current row.
+    ``order``); ``frame='range'`` includes all peers of the current row (``order`` ascending).
     ``inclusive=False`` gives the sum of strictly earlier rows (rows frame only).
-    ``bucket`` must be non-decreasing along ``order`` within a key.
+    ``bucket`` must be non-decreasing along ``order`` within a key. Peers are summed
+    first, so one instant may hold any number of them.
     """
     keys = list(keys)
     order = [_c(o) for o in order]
@@ -56,21 +77,20 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName
     if frame == "range" and not inclusive:
         raise ValueError("an exclusive frame needs frame='rows'")
 
-    def inner_window(partition):
-        w = Window.partitionBy(*partition).orderBy(*order)
-        if frame == "rows":
-            return w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-        return w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-
-    if bucket is None:
-        return df.withColumn(out, F.coalesce(F.sum(val).over(inner_window(keys)), F.lit(0)))
+    if frame == "range":
+        names = [f"_o{i}" for i in range(len(order))]
+        rows = df.select("*", *[o.alias(n) for o, n in zip(order, names, strict=True)])
+        steps = rows.groupBy(*keys, *names).agg(F.sum(val).alias("_step"))
+        summed = running_sum(steps, keys, names, "_step", out)
+        return _join_null_safe(rows, summed.drop("_step"), [*keys, *names]).drop(*names)
 
-    b = df.withColumn("_bkt", bucket)
+    b = _cut(df, keys, order, bucket)
     totals = b.groupBy(*keys, "_bkt").agg(F.sum(val).alias("_bsum"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bkt", F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_off"))
     joined = _join_null_safe(b, offsets, [*keys, "_bkt"])
-    inner = F.coalesce(F.sum(val).over(inner_window([*keys, "_bkt"])), F.lit(0))
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    inner = F.coalesce(F.sum(val).over(w), F.lit(0))
     return joined.withColumn(out, F.col("_off") + inner).drop("_bkt", "_off")
 
 
@@ -82,10 +102,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrNam
     end = Window.currentRow if inclusive else -1
     tmp = {out: f"_v_{out}" for out in values}
     b = df.select("*", *[col.alias(tmp[out]) for out, col in values.items()])
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return b.select(*df.columns, *[F.coalesce(F.sum(tmp[o]).over(w), F.lit(0)).alias(o) for o in values])
-    b = b.withColumn("_bkt", bucket)
+    b = _cut(b, keys, order, bucket)
     totals = b.groupBy(*keys, "_bkt").agg(*[F.sum(tmp[o]).alias(f"_t_{o}") for o in values])
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bkt", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
@@ -101,9 +118,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
     """1-based position of each row inside its key, in ``order`` (ties as ordered)."""
     keys = list(keys)
     order = [_c(o) for o in order]
-    if bucket is None:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    b = df.withColumn("_bkt", bucket)
+    b = _cut(df, keys, order, bucket)
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

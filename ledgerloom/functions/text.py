@@ -72,11 +72,16 @@ def date_or_not_set(col: Column) -> Column:
     return F.coalesce(F.date_format(col, "yyyy-MM-dd"), F.lit("Not set"))
 
 
-def first_word(col: Column) -> Column:
-    """F22."""
+def first_name(col: Column) -> Column:
+    """the first word of a name, for a greeting."""
     return F.split(col, " ").getItem(0)
 
 
+def initial(col: Column) -> Column:
+    """the first letter of a name, as a badge shows it."""
+    return F.upper(F.substring(F.trim(col), 1, 1))
+
+
 def check_days(days: int) -> int:
     """V7: the sales window is a whole number of days in 7..365."""
     if not isinstance(days, int) or isinstance(days, bool) or not DAYS_MIN <= days <= DAYS_MAX:

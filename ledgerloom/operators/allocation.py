@@ -18,7 +18,7 @@ the one the sequential process makes; the earliest undecided request has
 only the lines still undecided and those accepted in the round before, whose
 demand it adds to the later lines' ``lo`` before they drop out: the work shrinks
 with what is left. It is one split running sum (``functions.ordered``: hot
-products are spread over buckets) and one ``groupBy(request)``, written to the
+products are cut into ranges) and one ``groupBy(request)``, written to the
 cluster's checkpoint folder.
 """
 
@@ -29,9 +29,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.ordered import running_sums
+from ledgerloom.functions.ordered import RANGE, in_ranges, running_sums
 from ledgerloom.session import require_checkpoint_dir
 from ledgerloom.functions.text import wall_time
+from ledgerloom.sources.scratch import written
 
 UNDECIDED, ACCEPTED, REJECTED = "U", "A", "R"
 
@@ -46,12 +47,12 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
     """
     require_checkpoint_dir(demands.sparkSession)
     st = stock.select("product_id", F.col("available").cast("bigint").alias("available"))
+    order = ["seq_ts", "seq_id", "request_id", "line_no"]
     rows = (demands.join(st, "product_id", "left")
             .withColumn("available", F.coalesce(F.col("available"), F.lit(0)))
-            .withColumn("is_supply", F.col("qty") < 0)).checkpoint(eager=True)
-
-    order = ["seq_ts", "seq_id", "request_id", "line_no"]
-    line = [*order, "product_id", "qty", "available"]
+            .withColumn("is_supply", F.col("qty") < 0))
+    rows = in_ranges(rows, ["product_id"], order)  # cut once, for all rounds
+    line = [*order, "product_id", "qty", "available", RANGE]
     state = F.when(F.col("is_supply"), F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED))
     work = rows.select(*line, F.lit(0).cast("bigint").alias("lo"), state.alias("status"))
     status = rows.where("is_supply").select("request_id", F.lit(ACCEPTED).alias("status")).distinct()
@@ -62,14 +63,14 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
         before = running_sums(work, ["product_id"], order, {
             "taken": F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0)),
             "asked": F.when(F.col("status") == UNDECIDED, F.col("qty")).otherwise(F.lit(0))},
-            bucket=F.date_trunc("hour", F.col("seq_ts")), inclusive=False)
+            bucket=F.col(RANGE), inclusive=False)
         live = before.where(F.col("status") == UNDECIDED).select(*line, (F.col("lo") + F.col("taken")).alias("lo"), "asked")
         verdict = live.groupBy("request_id").agg(
             F.min((F.col("available") - F.col("lo") - F.col("asked") >= F.col("qty")).cast("int")).alias("all_ok"),
             F.max((F.col("available") - F.col("lo") < F.col("qty")).cast("int")).alias("any_short"))
         verdict = verdict.select("request_id", F.when(F.col("all_ok") == 1, F.lit(ACCEPTED))
                                  .when(F.col("any_short") == 1, F.lit(REJECTED)).otherwise(F.lit(UNDECIDED)).alias("status"))
-        judged = live.drop("asked").join(verdict, "request_id").checkpoint(eager=True)
+        judged = written(live.drop("asked").join(verdict, "request_id"), "allocation")
         status = status.unionByName(judged.where(F.col("status") != UNDECIDED).select("request_id", "status").distinct())
         work = judged.where(F.col("status") != REJECTED)
         left = judged.where(F.col("status") == UNDECIDED).count()
@@ -80,7 +81,7 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
     # The first short item of each rejected request (all earlier requests are decided: hi = lo).
     r = rows.join(status, "request_id", "inner")
     lo_q = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
-    final = running_sums(r, ["product_id"], order, {"lo": lo_q}, bucket=F.date_trunc("hour", F.col("seq_ts")), inclusive=False)
+    final = running_sums(r, ["product_id"], order, {"lo": lo_q}, bucket=F.col(RANGE), inclusive=False)
     short = (final.where((F.col("status") == REJECTED) & ~F.col("is_supply")
                          & (F.col("available") - F.col("lo") < F.col("qty")))
              .groupBy("request_id").agg(F.min_by("product_id", F.struct("line_no", "product_id"))

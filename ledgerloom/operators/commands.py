@@ -97,8 +97,7 @@ def query_transitions(queries: DataFrame, commands: DataFrame, at: dt.datetime)
         return F.when(F.col("initial").isNotNull() & (F.col("action") == action), 1).otherwise(0)
 
     s = running_sums(j, ["query_id"], ["command_id"],
-                     {"resolves_before": effective("resolve"), "replies_before": effective("reply")},
-                     bucket=F.floor(F.col("command_id") / 4096), inclusive=False)
+                     {"resolves_before": effective("resolve"), "replies_before": effective("reply")}, inclusive=False)
     closed = (F.col("initial") == "RESOLVED") | (F.col("resolves_before") > 0)
     outcome = (F.when(F.col("initial").isNull(), "not_found")
                .when(closed & (F.col("action") == "reply"), "conflict")
@@ -279,12 +278,12 @@ def draft_challans(requests: DataFrame, lines: DataFrame, customers: DataFrame,
 def challan_numbers(new_challans: DataFrame, last_sequence: Column) -> DataFrame:
     """Sequential numbers for new challans in (created_at, id) order.
 
-    The global position is computed per day bucket (counts, then a prefix sum
-    over the few bucket totals, then a row number inside each day), so no
+    The global position is computed per sampled range (counts, then a prefix sum
+    over the few range totals, then a row number inside each range), so no
     single task sorts all rows. ``last_sequence`` is the stored counter (a
     scalar column, e.g. a scalar subquery).
     """
-    pos = positions(new_challans, [], ["created_at", "id"], "pos", bucket=F.date_trunc("hour", F.col("created_at")))
+    pos = positions(new_challans, [], ["created_at", "id"], "pos")
     seq = (last_sequence + F.col("pos")).cast("bigint")
     return pos.select("id", "created_at", seq.alias("sequence"),
                       challan_number(F.year("created_at"), seq).alias("challan_number"))

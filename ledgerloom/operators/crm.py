@@ -36,18 +36,13 @@ def _attach(parents: DataFrame, parent_key: str, nested: DataFrame, children: Da
     return with_children.unionByName(childless)
 
 
-def _newest_first_bucket(col: str):
-    # Monotone with "newest first": the negated day number.
-    return F.datediff(F.lit(dt.date(1970, 1, 1)), F.to_date(col))
-
-
 def customer_timeline(customers: DataFrame, follow_ups: DataFrame, users: DataFrame,
                       chunk_size: int = 1000) -> DataFrame:
     """N1 + J7 + T10: each customer with its follow-ups, newest first."""
     fu = follow_ups.join(_authors(users), "created_by", "inner")
     nested = nest_ordered(fu, ["customer_id"], [F.desc("created_at"), F.desc("id")],
                           ["id", "note", "follow_up_date", "created_at", "created_by_name"],
-                          "follow_ups", chunk_size, bucket=_newest_first_bucket("created_at"))
+                          "follow_ups", chunk_size)
     head = customers.select("id", "customer_name", "business_name", "mobile", "status", "follow_up_date")
     return _attach(head, "id", nested, fu, "customer_id", "follow_ups")
 
@@ -57,7 +52,7 @@ def customer_query_threads(queries: DataFrame, replies: DataFrame, users: DataFr
     """N2 + A16 + J8: each customer question with its replies, oldest first."""
     rp = replies.join(_authors(users), "created_by", "inner")
     nested = nest_ordered(rp, ["query_id"], ["turn"], ["turn", "message", "created_by_name"],
-                          "replies", chunk_size, bucket=F.floor(F.col("turn") / 64))
+                          "replies", chunk_size)
     head = queries.select("id", "customer_id", "subject", "status", "priority")
     return _attach(head, "id", nested, rp, "query_id", "replies")
 

@@ -68,21 +68,16 @@ def low_stock_top(products_stock: DataFrame, n: int = DASHBOARD_LIST) -> DataFra
             .select("id", "product_name", "sku", "current_stock", "minimum_stock_alert_quantity"))
 
 
-def low_stock_count(products_stock: DataFrame) -> DataFrame:
-    """A3 (exact, Q1): how many products are low."""
-    return products_stock.agg(F.sum(F.when(F.col("is_low_stock"), 1).otherwise(0)).cast("bigint").alias("low_stock_count"))
-
-
 def stock_running_balance(movements: DataFrame) -> DataFrame:
     """WN1: balance after each movement, per product in time order.
 
     Movements at the same instant are peers (RANGE frame), so the result does
-    not depend on an arbitrary tie order. The sum is split by day (see
-    ``functions.ordered``) so a hot product is spread over many tasks.
+    not depend on an arbitrary tie order. They are summed first, and the
+    sums are cut into ranges (``functions.ordered``), so a hot product or a hot
+    instant is spread over many tasks.
     """
     m = movements.withColumn("signed", signed_quantity())
-    out = running_sum(m, ["product_id"], ["created_at"], "signed", "balance",
-                      bucket=F.date_trunc("hour", F.col("created_at")), frame="range")
+    out = running_sum(m, ["product_id"], ["created_at"], "signed", "balance", frame="range")
     return out.select("product_id", "created_at", "movement_type", "quantity_changed", "reference_type",
                       "reference_id", F.col("balance").cast("bigint").alias("balance"))
 

@@ -139,7 +139,7 @@ def sales_day_lines(challans: DataFrame, items: DataFrame, users: DataFrame, cus
     return nest_ordered(d, ["sale_date"],
                         ["confirmed_at", "challan_number", "product_name", "sku", "quantity", "revenue"],
                         ["challan_number", "seller_name", "customer_name", "product_name", "sku", "quantity", "revenue"],
-                        "lines", chunk_size, bucket=F.date_trunc("hour", F.col("confirmed_at")))
+                        "lines", chunk_size)
 
 
 def sales_seller_lines(challans: DataFrame, items: DataFrame, users: DataFrame, customers: DataFrame,
@@ -149,7 +149,7 @@ def sales_seller_lines(challans: DataFrame, items: DataFrame, users: DataFrame,
     return nest_ordered(d, ["user_id"],
                         ["sale_date", "confirmed_at", "challan_number", "product_name", "sku", "quantity", "revenue"],
                         ["sale_date", "challan_number", "customer_name", "product_name", "sku", "quantity", "revenue"],
-                        "lines", chunk_size, bucket=F.col("sale_date"))
+                        "lines", chunk_size)
 
 
 # -- challan documents (re-aimed from the PDF) -----------------------------------
@@ -183,7 +183,7 @@ def challan_document(challans: DataFrame, items: DataFrame, customers: DataFrame
     nested = nest_ordered(it, ["challan_id"], ["product_name_snapshot", "sku_snapshot", "quantity", "line_no"],
                           ["product_id", "product_name_snapshot", "sku_snapshot", "unit_price_snapshot",
                            "quantity", "line_total"],
-                          "items", chunk_size, bucket=F.substring("product_name_snapshot", 1, 1))
+                          "items", chunk_size)
     head = challan_header(challans, customers, users).select(
         F.col("id").alias("challan_id"), "challan_number", "status", "created_at", "confirmed_at",
         "customer_id", "customer_name", "business_name", "created_by_name")

@@ -19,6 +19,7 @@ from ledgerloom.operators import inventory as inv
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.fixtures import Fixture
+from ledgerloom.sources.scratch import written
 from ledgerloom.functions.text import wall_time
 
 PREV = AS_OF - dt.timedelta(days=7)
@@ -97,7 +98,7 @@ class _State:
     @cached_property
     def stored(self):
         prev = al.alerts_live(self.products_prev, self.customers, self.queries, PREV)
-        return al.as_snapshot(prev, PREV_AT).checkpoint(eager=True)
+        return written(al.as_snapshot(prev, PREV_AT), "alerts-stored")
 
     @cached_property
     def reads(self):
@@ -107,7 +108,7 @@ class _State:
 
     @cached_property
     def merged(self):
-        return al.alerts_merge(self.stored, self.live, NOW).checkpoint(eager=True)
+        return written(al.alerts_merge(self.stored, self.live, NOW), "alerts-merged")
 
     @cached_property
     def reads_after(self):

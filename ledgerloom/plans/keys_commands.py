@@ -361,7 +361,7 @@ def adjustments_fixture(spark, d):
         "product_id", F.greatest(F.col("current_stock"), F.lit(0)).alias("available"))
     later = lines.where(F.col("created_at") >= until)
     cmds = positions(later, [], ["created_at", "reason", "movement_type", "quantity_changed", "created_by"],
-                     "command_id", bucket=F.date_trunc("hour", F.col("created_at"))).select(
+                     "command_id").select(
         F.col("command_id").cast("bigint").alias("command_id"),
         F.when(F.col("command_id") % 13 == 0, F.col("product_id") + 1_000_000_000).otherwise(F.col("product_id")).alias("product_id"),
         "movement_type", F.col("quantity_changed").alias("quantity"), F.col("created_at").alias("requested_at"))

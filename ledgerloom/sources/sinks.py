@@ -12,8 +12,3 @@ from pyspark.sql import DataFrame
 def write_json_documents(nested: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON document per row (arrays of structs stay nested)."""
     nested.write.mode(mode).option("ignoreNullFields", False).json(path)
-
-
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """A new snapshot version of a table (the MERGE-less upsert writes a new folder)."""
-    df.write.mode("overwrite").parquet(path)

@@ -181,7 +181,7 @@ def low_stock_transitions(ledger: DataFrame, products: DataFrame) -> DataFrame:
     """Every moment at which a product enters or leaves low stock.
 
     Movements at one instant are one step. The balance is a running sum of the
-    steps (split by hour, so a hot product is spread over tasks); a step flips
+    steps (cut into ranges, so a hot product is spread over tasks); a step flips
     the flag when ``balance - delta`` and ``balance`` fall on different sides
     of the minimum, so no ordered ``lag`` is needed. The first step of a
     product is ``entered_low`` when it starts low.
@@ -190,7 +190,7 @@ def low_stock_transitions(ledger: DataFrame, products: DataFrame) -> DataFrame:
     mins = products.select(F.col("id").alias("product_id"), "minimum_stock_alert_quantity")
     first = steps.groupBy("product_id").agg(F.min("created_at").alias("_first_at"))
     s = steps.join(mins, "product_id").join(first, "product_id")
-    rows = running_sum(s, ["product_id"], ["created_at"], "delta", "stock", bucket=F.date_trunc("hour", F.col("created_at")))
+    rows = running_sum(s, ["product_id"], ["created_at"], "delta", "stock")
     low_after = F.col("stock") <= F.col("minimum_stock_alert_quantity")
     low_before = (F.col("stock") - F.col("delta")) <= F.col("minimum_stock_alert_quantity")
     flip = F.when(F.col("created_at") == F.col("_first_at"), low_after).otherwise(low_after != low_before)
