@@ -6,7 +6,9 @@ their id, queries into blocks of ``BLOCK_ROWS``; each (shard, block) pair is
 one task unit that builds the shard's tree and answers the block, and the
 partial lists of a query merge by rank. Both counts follow the input.
 
-A node holds a vantage point and the median distance ``mu`` to it; the inner
+A node holds a vantage point and the median distance ``mu`` to it; the other points
+are halved by rank, so a tree has the depth of a balanced one however many
+distances tie, and points at ``mu`` itself may lie on both sides. The inner
 subtree is skipped when ``d - mu`` exceeds the query's current k-th distance
 divided by ``factor``, the outer one when ``mu - d`` does. Factor 1 is the
 triangle inequality and exact; larger factors skip more. Leaves are compared
@@ -16,8 +18,9 @@ a tree nor makes a task larger.
 
 Scores of the results are computed from the original vectors in double
 precision. Defined results: vectors that are null, empty, zero or hold null or
-non-finite components take no part, nor do rows with a null id; of rows with
-the same id the smallest vector counts; only vectors of one length compare.
+non-finite components take no part, nor do rows with a null id; equal rows count
+once; rows with one id and different vectors are all candidates for other ids, and
+if that id is a query, its smallest vector asks; only vectors of one length compare.
 """
 
 from __future__ import annotations
@@ -52,11 +55,9 @@ class Tree:
         vantage = int(probes[int(np.argmax(spread))])
         rest = at[at != vantage]
         d = _distance(self.points[rest], self.points[vantage])
-        mu = float(np.median(d))
-        inner, outer = rest[d < mu], rest[d >= mu]
-        if not len(inner):
-            return at  # all points equally far: one leaf
-        return vantage, mu, self._build(inner), self._build(outer)
+        half = len(rest) // 2
+        order = np.argpartition(d, half)
+        return vantage, float(d[order[half]]), self._build(rest[order[:half]]), self._build(rest[order[half:]])
 
 
 def _distance(points: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -128,7 +129,10 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     for i, g in zip(ids.tolist(), number.ravel().tolist(), strict=True):
         if len(members[g]) <= k:
             members[g].append(i)
-    search = Search(Tree(_unit(distinct)), _unit(queries), k + 1 + SPARE, factor)
+    # a query's own points, of which it takes none, must not take the places of others
+    own = np.unique(np.column_stack([ids, number.ravel()])[np.isin(ids, query_ids)], axis=0)[:, 0]
+    most = int(np.unique(own, return_counts=True)[1].max()) if len(own) else 0
+    search = Search(Tree(_unit(distinct)), _unit(queries), k + most + SPARE, factor)
     out_q, out_i, out_s = [], [], []
     which, col = np.nonzero(search.found >= 0)
     points = search.found[which, col]
@@ -149,12 +153,12 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
 
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, dim, v): one row an id, of the vectors that take part."""
+    """(id, dim, v): the distinct rows of the vectors that take part."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     some = F.exists(v, lambda x: x != 0)
     return (rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite & some)
-            .groupBy(F.col(key).cast("long").alias("id")).agg(F.min(v).alias("v"))
+            .select(F.col(key).cast("long").alias("id"), v.alias("v")).distinct()
             .select("id", F.size("v").alias("dim"), "v"))
 
 
@@ -163,7 +167,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, factor: float = 1.0, key: str
     """(query_id, rank, id, score): for each row where ``is_query(id Column)``
     holds, its k nearest other rows."""
     data = valid(rows, key, vector)
-    queries = data.where(is_query(F.col("id")))
+    queries = data.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).select("id", F.size("v").alias("dim"), "v")
     n, n_queries = data.agg(F.count("*"), F.count_if(is_query(F.col("id")))).first()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
 
