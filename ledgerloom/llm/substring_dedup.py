@@ -71,7 +71,7 @@ class _Words:
         for lo, hi in vt.pieces(offsets):
             part = data[offsets[lo]:offsets[hi]]
             starts, ends, first = vt.runs(part, offsets[lo:hi + 1] - offsets[lo], vt.BLANK)
-            hashes.append(vt.hash_runs(part, starts, ends))
+            hashes.append(vt.hash_runs(part, starts, ends, strict=True))
             counts.append(np.diff(first))
         self.h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)

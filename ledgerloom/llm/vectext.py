@@ -106,6 +106,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np
     """Starts and ends (exclusive) of tokens, and for each text the number of
     its first token (length n + 1). Tokens do not cross from text to text."""
     cls = classes[data]
+    return runs_of(cls, offsets)
+
+
+def runs_of(cls: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the class of every byte."""
     change = np.ones(len(cls) + 1, bool)
     if len(cls):
         np.not_equal(cls[1:], cls[:-1], out=change[1:-1])
@@ -118,8 +123,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None,
-              seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each token's bytes (after ``fold``)."""
+              seed: int = 1, strict: bool = False) -> np.ndarray:
+    """A 64-bit hash of each token's bytes (after ``fold``). A polynomial modulo 2^64
+    has long words that agree by their structure alone (the Thue-Morse word and its
+    complement); ``strict`` folds every term before the sum, which breaks that."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
@@ -132,6 +139,8 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.n
     values = _VALUES[seed] if fold is None else _VALUES[seed][fold]
     v = values[data[at]]
     v *= _POWERS[seed].upto(int(lens.max()))[inside]
+    if strict:
+        v ^= v >> _U(32)
     return mix(np.add.reduceat(v, first) + lens.astype(np.uint64) * _STEP)
 
 

@@ -235,3 +235,15 @@ def test_registered_digests(spark):
     lines = keys.QUERIES["op4_fuzzy_lines"](spark, frames.SF).collect()
     want = _removed_lines(list(text.items()))
     assert sum(r.removed_lines != want(r.doc_id, text[r.doc_id]) for r in lines) <= 2
+
+
+def test_long_words_of_like_structure_are_different_words(spark):
+    """The Thue-Morse word and its complement agree under a polynomial modulo 2^64."""
+    from ledgerloom.llm import substring_dedup
+
+    for bits in (10, 11, 12):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        other = word.translate(str.maketrans("ab", "ba"))
+        lead = " ".join(f"word{i}" for i in range(49))
+        df = spark.createDataFrame([(1, f"{lead} {word}"), (2, f"{lead} {other}"), (3, f"{lead} {word}")], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 50}
