@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits (A-Z lower-cased); punctuation and layout
-do not count. A document is compared with a benchmark item when they share a
+Tokens are runs of letters, digits and marks (A-Z lower-cased); in scripts that are
+written without spaces (Han, kana, Thai and their like) each character is a token.
+Punctuation, symbols and spaces of any script separate and do not count. A document is compared with a benchmark item when they share a
 seed, a run of ``min_match`` tokens found by a running Karp-Rabin hash. Then
 the longest common run of unmarked tokens is marked as a tile in both, again
 and again, until none of ``min_match`` tokens is left: tiles never overlap, and
@@ -11,7 +12,9 @@ leaked if its tiles cover ``threshold`` of its tokens.
 The seeds of the benchmark are joined in blocks of at most ``BLOCK_BYTES`` of
 benchmark text: a sorted array of hashes goes to every task, behind a bit table
 that turns away nearly all windows of clean documents. Documents are mapped in
-place; nothing is shuffled, whatever one document or item holds.
+place; nothing is shuffled, whatever one document or item holds. A seed that a
+document repeats counts once when it is decided which items can reach the
+threshold; only for those are all its places looked up.
 
 Defined results: null and empty texts match nothing; items of fewer than
 ``min_match`` tokens are never reported; equal items are reported each; rows
@@ -22,13 +25,16 @@ nothing and keeps every document.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm import vectext as vt
 from ledgerloom.llm.shared import filter_texts
@@ -38,7 +44,38 @@ MIN_MATCH = 5
 THRESHOLD = 0.5
 _FILTER_BITS = 22
 
-_CLASSES = vt.alnum_classes()
+#: Scripts without spaces between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana,
+#: Han with its extensions and compatibility forms, half-width kana.
+_UNSPACED = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+             (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+#: At most so many (seed of a text, place in the benchmark) pairs are held at a time, but for one text.
+_PAIRS = 1 << 20
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Per code point: 0 separates, 1 is part of a run, 2 is a token by itself."""
+    out = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)], np.uint8)
+    for lo, hi in _UNSPACED:
+        out[lo:hi + 1] *= 2
+    return out
+
+
+def _byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character; neighbouring tokens of one character
+    differ, by 2 and 3."""
+    ascii_only = _classes()[:128]
+    if not len(data) or data.max() < 128:
+        return ascii_only[data]
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(lead, len(data)))
+    b = data[np.minimum(lead[:, None] + np.arange(4), len(data) - 1)].astype(np.int64)
+    tail = b & 0x3F
+    point = np.select([size == 1, size == 2, size == 3], [b[:, 0], (b[:, 0] & 0x1F) << 6 | tail[:, 1], (b[:, 0] & 0x0F) << 12 | tail[:, 1] << 6 | tail[:, 2]],
+                      (b[:, 0] & 0x07) << 18 | tail[:, 1] << 12 | tail[:, 2] << 6 | tail[:, 3])
+    cls = _classes()[np.minimum(point, 0x10FFFF)]
+    cls = cls + ((cls == 2) & (np.arange(len(cls)) % 2 == 1)).astype(np.uint8)
+    return np.repeat(cls, size)
 
 
 @dataclass
@@ -50,12 +87,13 @@ class Seeds:
     hashes: np.ndarray      # of all runs of min_match tokens, sorted
     places: np.ndarray      # token at which each run starts
     filter: np.ndarray      # bool by the top bits of a hash
+    own: np.ndarray         # hash of the run that starts at each token (0 if none)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes, first token of each text, hashes of runs of k and their starts."""
-    starts, ends, first = vt.runs(data, offsets, _CLASSES)
-    h = vt.hash_runs(data, starts, ends, vt.LOWER)
+    starts, ends, first = vt.runs_of(_byte_classes(data), offsets)
+    h = vt.hash_runs(data, starts, ends, vt.LOWER, strict=True)
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
     at = np.flatnonzero(left >= k)
     return h, first, vt.rolling(h, k)[at] if len(at) else np.zeros(0, np.uint64), at
@@ -73,7 +111,9 @@ def seed_blocks(benchmark: DataFrame, min_match: int, key: str, text: str) -> It
         order = np.argsort(hashes, kind="stable")
         known = np.zeros(1 << _FILTER_BITS, bool)
         known[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        yield Seeds(got["item"].to_pylist(), tokens, first, hashes[order], places[order], known)
+        own = np.zeros(len(tokens), np.uint64)
+        own[places] = hashes
+        yield Seeds(got["item"].to_pylist(), tokens, first, hashes[order], places[order], known, own)
 
 
 def tiles(runs: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
@@ -119,6 +159,27 @@ def common_runs(p: np.ndarray, t: np.ndarray, min_match: int) -> list[tuple[int,
     return list(zip(p[at].tolist(), t[at].tolist(), n.tolist(), strict=True))
 
 
+def _reachable(text: np.ndarray, hashes: np.ndarray, seeds: Seeds, min_match: int, threshold: float) -> np.ndarray:
+    """(text, item) pairs of which all runs that the text shares, however they overlap,
+    cover enough; ``text`` and ``hashes`` are distinct pairs with a seed."""
+    lo = np.searchsorted(seeds.hashes, hashes, side="left")
+    n = np.searchsorted(seeds.hashes, hashes, side="right") - lo
+    place = seeds.places[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    text = np.repeat(text, n)
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order]
+    item = np.searchsorted(seeds.first, place, side="right") - 1
+    fresh = np.ones(len(text) + 1, bool)
+    fresh[1:-1] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+    step = np.full(len(text), min_match)
+    step[:-1] = np.minimum(step[:-1], place[1:] - place[:-1])
+    step[fresh[1:]] = min_match
+    at = np.flatnonzero(fresh[:-1])
+    covered = np.add.reduceat(step, at) if len(at) else np.zeros(0, np.int64)
+    enough = covered >= threshold * np.diff(seeds.first)[item[at]]
+    return np.column_stack([text[at], item[at]])[enough]
+
+
 def leaks(data: np.ndarray, offsets: np.ndarray, seeds: Seeds, min_match: int, threshold: float) -> Iterator[tuple]:
     """(text number, item, tokens of the item, covered tokens, tiles)."""
     _, first, hashes, at = _tokens(data, offsets, min_match)
@@ -126,29 +187,37 @@ def leaks(data: np.ndarray, offsets: np.ndarray, seeds: Seeds, min_match: int, t
         return
     maybe = np.flatnonzero(seeds.filter[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     lo = np.searchsorted(seeds.hashes, hashes[maybe], side="left")
-    n = np.searchsorted(seeds.hashes, hashes[maybe], side="right") - lo
-    # every (window, seed) hit
-    window = np.repeat(maybe, n)
-    place = seeds.places[np.repeat(lo, n) + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)]
-    t = at[window]
-    text = np.searchsorted(first, t, side="right") - 1
-    item = np.searchsorted(seeds.first, place, side="right") - 1
-    order = np.lexsort((item, text))
-    text, item, t, place = text[order], item[order], t[order], place[order]
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0), [True]])) if len(text) else []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        d, i = int(text[a]), int(item[a])
-        size = int(seeds.first[i + 1] - seeds.first[i])
-        p = place[a:b] - seeds.first[i]
-        reach = np.zeros(size + 1, np.int64)
-        np.add.at(reach, p, 1)
-        np.add.at(reach, p + min_match, -1)
-        if (np.cumsum(reach[:-1]) > 0).sum() < threshold * size:
-            continue  # even overlapping runs do not cover enough
-        found = tiles(common_runs(p, t[a:b] - first[d], min_match), min_match)
-        covered = sum(n for _, _, n in found)
-        if covered >= threshold * size:
-            yield d, seeds.items[i], size, covered, len(found)
+    maybe = maybe[seeds.hashes[np.minimum(lo, len(seeds.hashes) - 1)] == hashes[maybe]]
+    text = np.searchsorted(first, at[maybe], side="right") - 1
+    order = np.lexsort((hashes[maybe], text))
+    text, hit = text[order], hashes[maybe][order]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (hit[1:] != hit[:-1])
+    text, hit = text[fresh], hit[fresh]
+    pairs = np.cumsum(np.searchsorted(seeds.hashes, hit, side="right") - np.searchsorted(seeds.hashes, hit, side="left"))
+    ends = np.flatnonzero(np.diff(text, append=-1)) + 1  # of each text's seeds
+    start = 0
+    while start < len(text):  # as many texts at a time as hold few pairs, one at least
+        done = pairs[start - 1] if start else 0
+        fits = ends[(ends > start) & (pairs[ends - 1] - done <= _PAIRS)]
+        stop = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, start, side="right")])
+        for d, i in _reachable(text[start:stop], hit[start:stop], seeds, min_match, threshold).tolist():
+            found = _tiled(hashes, at, first, d, i, seeds, min_match)
+            size, covered = int(seeds.first[i + 1] - seeds.first[i]), sum(n for _, _, n in found)
+            if covered >= threshold * size:
+                yield d, seeds.items[i], size, covered, len(found)
+        start = stop
+
+
+def _tiled(hashes: np.ndarray, at: np.ndarray, first: np.ndarray, d: int, i: int, seeds: Seeds, min_match: int) -> list[tuple[int, int, int]]:
+    """The tiles of one text and one item, from all places of their common seeds."""
+    a, b = np.searchsorted(at, [first[d], first[d + 1]])
+    own = seeds.own[seeds.first[i]:seeds.first[i + 1] - min_match + 1]
+    order = np.argsort(own, kind="stable")
+    lo = np.searchsorted(own[order], hashes[a:b], side="left")
+    n = np.searchsorted(own[order], hashes[a:b], side="right") - lo
+    p = order[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    return tiles(common_runs(p, np.repeat(at[a:b] - first[d], n), min_match), min_match)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD,
@@ -156,6 +225,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     """(key, item_key, n_tokens, covered, coverage, n_tiles): every document and
     item whose tiles cover at least ``threshold`` of the item."""
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     out = None
     for seeds in seed_blocks(benchmark, min_match, item_key, item_text):
@@ -175,16 +245,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
                              pa.array(covered, pa.int64()), pa.array(np.divide(covered, size)), pa.array(n, pa.int64())],
                             ["key", "item", "n_tokens", "covered", "coverage", "n_tiles"])
 
-        item_type = _arrow_type(kinds[1])
         part = rows.mapInArrow(run, f"key {kinds[0]}, item {kinds[1]}, n_tokens long, covered long, coverage double, n_tiles long")
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"key": key, "item": item_key})
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD,
                text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no item has leaked."""

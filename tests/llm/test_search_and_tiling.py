@@ -151,3 +151,66 @@ def test_registered_leaks_equal_brute_force(spark):
                 want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in keys.QUERIES["op8_string_tiling"](spark, frames.SF).collect()}
     assert want <= got and {p for p in got if len(docs[p[0]]) * len(items[p[1]]) < 40_000} == want and want
+
+
+def test_rows_with_one_id_and_ties_everywhere(spark):
+    """Both rows of an id are candidates; distances that all tie do not make a deep tree."""
+    rows = [(50, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.01]), (9, [-1.0, 0.0]), (100, [0.0, 1.0]), (100, [1.0, 1.0])]
+    df = spark.createDataFrame(rows + rows[:2], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(df, lambda i: i % 50 == 0, k=3, factor=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {50: [7, 100, 7], 100: [7, 7, 9]}
+
+    n = 1100  # each vector has one near partner, all others are equally far
+    v = np.zeros((2 * n, n + 1))
+    v[np.arange(2 * n), np.arange(2 * n) // 2] = 1.0
+    v[1::2, n] = 0.05
+    q, i, _ = vptree.search_shard(np.arange(2 * n), v, np.arange(0, 2 * n, 50), v[::50], 1, 1.0)
+    assert q.tolist() == list(range(0, 2 * n, 50)) and (i == q + 1).all()
+    assert _depth(vptree.Tree(vptree._unit(v)).root) < 8
+
+
+def _depth(node):
+    return 0 if isinstance(node, np.ndarray) else 1 + max(_depth(node[2]), _depth(node[3]))
+
+
+UNSPACED = [
+    "光合作用是植物利用光能把二氧化碳和水转化为有机物的过程。这个过程释放氧气，维持大气平衡。",
+    "富士山は日本で一番高い山です。「毎年」多くの人が登ります。頂上からの眺めは素晴らしい！",
+    "ภาษาไทยเขียนโดยไม่เว้นวรรคระหว่างคำ ผู้อ่านต้องรู้จักคำ",
+    "Straße—Übung–Größe «naïve» élève déjà vu пример текста без повторов",
+]
+
+
+def test_leaks_without_ascii_spaces(spark):
+    items = spark.createDataFrame(list(enumerate(UNSPACED)), "item_id long, text string")
+    clean = "另一篇完全不同的文章，讲述城市交通和天气。" * 3 + "東京の天気は晴れです。" + "สภาพอากาศวันนี้ดีมาก"
+    docs = [(10 + i, f"前文没有关系。{t}后面也没有关系。") for i, t in enumerate(UNSPACED)] + [(99, clean), (98, "word " * 50)]
+    docs += [(50, UNSPACED[0][22:] + "插入一些别的内容" + UNSPACED[0][:22])]  # reordered
+    docs += [(60, UNSPACED[3].replace("—", " ").replace("–", ", ").replace(" ", " ").replace(" ", "\n"))]
+    found = string_tiling.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(10, 0), (11, 1), (12, 2), (13, 3), (50, 0), (60, 3)]
+
+
+def test_one_phrase_in_all_items_and_often_in_a_text(monkeypatch):
+    """Pairs of places are looked up only where an item can be covered."""
+    phrase = "one phrase that all share "
+    items = [phrase + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(20_000)]
+    data, offsets = _bytes(items)
+    tokens, first, hashes, places = string_tiling._tokens(data, offsets, 5)
+    order = np.argsort(hashes, kind="stable")
+    known = np.zeros(1 << 22, bool)
+    known[(hashes >> np.uint64(42)).astype(np.int64)] = True
+    own = np.zeros(len(tokens), np.uint64)
+    own[places] = hashes
+    seeds = string_tiling.Seeds(list(range(len(items))), tokens, first, hashes[order], places[order], known, own)
+    monkeypatch.setattr(string_tiling, "_PAIRS", 50_000)
+    text = (phrase + "gap ") * 3000
+    found = list(string_tiling.leaks(*_bytes([text, text + items[7], "nothing of it", items[9] + " " + text]), seeds, 5, 0.5))
+    assert [(d, i) for d, i, *_ in found] == [(1, 7), (3, 9)]
+
+
+def _bytes(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
