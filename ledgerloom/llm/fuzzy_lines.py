@@ -202,7 +202,9 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed
     of = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("version")))
     rows = docs.select(F.struct("*").alias("row"), of.alias("of")).join(gone, "of", "left")
     before = F.col("row").getField(text)
-    kept = F.array_join(F.filter(F.split(before, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    rows = rows.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(before, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by hash, in order
+    kept = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
     rows = rows.withColumn("row", F.col("row").withField(text, F.when(F.col("gone").isNull(), before).otherwise(kept)))
     out = [F.col("row").getField(c).alias(c) for c in docs.columns]
     if removed:
