@@ -95,6 +95,17 @@ def sales_period_total(challans: DataFrame, items: DataFrame, as_of: dt.date, da
     return pc.agg(F.lit(days).alias("days"), *_measures())
 
 
+def sales_overview(challans: DataFrame, items: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+    """A5, A6 and A11 in one pass: ``report`` day, seller or total, with the day or the
+    seller that the row is about. The lines are read and folded to one row per challan
+    once; the grouping sets expand those rows, never lines."""
+    pc = per_challan(sales_lines(challans, items, as_of, days), "sale_date", "created_by")
+    sets = pc.groupingSets([[F.col("sale_date")], [F.col("created_by")], []], "sale_date", "created_by")
+    out = sets.agg(F.grouping("sale_date").alias("all_days"), F.grouping("created_by").alias("all_sellers"), *_measures())
+    report = F.when(F.col("all_days") == 0, "day").when(F.col("all_sellers") == 0, "seller").otherwise("total")
+    return out.select(report.alias("report"), "sale_date", F.col("created_by").alias("user_id"), "challans", "revenue", "units")
+
+
 def _share_bp(frame: DataFrame, floor_bp: int) -> DataFrame:
     """Bar length in basis points of the largest value, floored; max at least 1.
 

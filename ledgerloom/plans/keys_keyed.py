@@ -14,6 +14,7 @@ from ledgerloom.operators import inventory as inv
 from ledgerloom.plans import keys_alerts
 from ledgerloom.plans.oracle import N_PART, N_SUP, with_views
 from ledgerloom.plans.registry import register
+from ledgerloom.sources.counter import Counter, number_batch
 from ledgerloom.sources.domain import DOMAIN_SCHEMAS
 from ledgerloom.sources.fixtures import Fixture
 from ledgerloom.sources.keyed import KeyedTable, upsert
@@ -130,3 +131,19 @@ def q_alerts_by_changes(spark, d):
         touched = live.select(*al.KEY).unionByName(state.stored.where(F.col("type") == kind).select(*al.KEY))
         al.reconcile_touched(table, touched, live, keys_alerts.NOW)
     return table.read(spark)
+
+
+# -- numbers across batches ---------------------------------------------------------------
+@register("challan_numbers_batches", with_views("""
+SELECT id, created_at, sequence, printf('CH-%d-%05d', year(created_at), sequence) AS challan_number
+FROM (SELECT id, created_at, CAST((SELECT MAX(id) FROM challans WHERE status <> 'DRAFT')
+                                  + ROW_NUMBER() OVER (ORDER BY id % 3, created_at, id) AS BIGINT) AS sequence
+      FROM challans WHERE status = 'DRAFT')""", "challans"))
+def q_numbers_batches(spark, d):
+    """The drafts in three batches, of which the first runs again at the end."""
+    challans = Fixture(spark, d).challans()
+    counter = Counter(scratch_path(spark, "counter"))
+    counter.start(spark, challans.where(F.col("status") != "DRAFT").agg(F.max("id")).first()[0] or 0)
+    drafts = challans.where(F.col("status") == "DRAFT").select("id", "created_at")
+    numbered = [number_batch(counter, b, drafts.where(F.col("id") % 3 == b)) for b in (0, 1, 2, 0)]
+    return numbered[3].unionByName(numbered[1]).unionByName(numbered[2])

@@ -104,6 +104,15 @@ def q_sales_period_total(spark, d):
     return sales.sales_period_total(fx.challans(), fx.items(), AS_OF, DAYS)
 
 
+@register("sales_overview", with_views(f"""
+SELECT 'day' AS report, sold_on AS sale_date, CAST(NULL AS BIGINT) AS user_id, {_FIGURES} FROM worth GROUP BY sold_on
+UNION ALL SELECT 'seller', NULL, seller, {_FIGURES} FROM worth GROUP BY seller
+UNION ALL SELECT 'total', NULL, NULL, {_FIGURES} FROM worth""", extra=_CTES))
+def q_sales_overview(spark, d):
+    fx = Fixture(spark, d)
+    return sales.sales_overview(fx.challans(), fx.items(), AS_OF, DAYS)
+
+
 @register("seller_share_of_max", SQL_SELLER_SHARE)
 def q_seller_share(spark, d):
     fx = Fixture(spark, d)
