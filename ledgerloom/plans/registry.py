@@ -40,7 +40,7 @@ def _load_all() -> None:
     # Importing the key modules fills JOBS / ORACLE.
     from ledgerloom.plans import (keys_alerts, keys_commands, keys_crm, keys_defects,  # noqa: F401
                                   keys_history, keys_inventory, keys_keyed, keys_listing, keys_quality,
-                                  keys_sales, keys_search, keys_stored, keys_streams, keys_writes)
+                                  keys_ranked, keys_sales, keys_search, keys_stored, keys_streams, keys_writes)
 
 
 def queries() -> dict[str, Job]:
