@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DASHBOARD_LIST, FOLLOW_UP_HORIZON_DAYS
-from ledgerloom.functions.ordered import nest_ordered
+from ledgerloom.functions.ordered import nest_ordered, positions
 from ledgerloom.functions.text import stars
 
 
@@ -70,6 +70,23 @@ def customer_reviews(reviews: DataFrame, users: DataFrame) -> DataFrame:
         "id", "customer_id", "rating", stars(F.col("rating")).alias("stars"), "review", "created_by_name")
 
 
+def customer_question_list(queries: DataFrame, replies: DataFrame) -> DataFrame:
+    """Each customer's questions, newest first (``nth`` from 1; those without a
+    time come last, ties by the larger id), with the number of replies."""
+    n = replies.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n_replies"))
+    listed = positions(queries, ["customer_id"], [F.desc_nulls_last("created_at"), F.desc("id")], "nth")
+    return listed.join(n, "id", "left").select(
+        "customer_id", "nth", "id", "subject", "message", "status", "priority", "created_at", "resolved_at",
+        F.coalesce("n_replies", F.lit(0)).cast("bigint").alias("n_replies"))
+
+
+def customer_review_list(reviews: DataFrame, users: DataFrame) -> DataFrame:
+    """T10 + J9: each customer's reviews, newest first (as the questions are)."""
+    shown = reviews.join(_authors(users), "created_by", "inner")
+    listed = positions(shown, ["customer_id"], [F.desc_nulls_last("created_at"), F.desc("id")], "nth")
+    return listed.select("customer_id", "nth", "id", "rating", "review", "created_at", "created_by_name")
+
+
 def open_queries(queries: DataFrame) -> DataFrame:
     """Questions not yet resolved (OPEN and IN_PROGRESS)."""
     return queries.where(F.col("status") != "RESOLVED")

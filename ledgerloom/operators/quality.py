@@ -135,10 +135,11 @@ def dq_unique(pairs: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFram
     return out
 
 
-def dq_orphans(links: Sequence[tuple[str, str, DataFrame, DataFrame]]) -> DataFrame:
+def dq_orphans(links: Sequence[tuple[str, str, DataFrame, DataFrame]], id_type: str = "bigint") -> DataFrame:
     """V9: child rows whose (non-null) link has no parent; one row per distinct dangling value.
 
-    ``links``: (table, column, child frame, parent frame with an ``id`` column).
+    ``links``: (table, column, child frame, parent frame with an ``id`` column), whose
+    ids are compared and returned as ``id_type``.
     Links that point at the same parent frame are unioned first, so each
     parent is anti-joined once; child values are pre-aggregated per
     (table, column, value) before the shuffle.
@@ -147,7 +148,7 @@ def dq_orphans(links: Sequence[tuple[str, str, DataFrame, DataFrame]]) -> DataFr
     for table, col, child, parent in links:
         vals = (child.where(F.col(col).isNotNull())
                 .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                        F.col(col).cast("bigint").alias("missing_id"))
+                        F.col(col).cast(id_type).alias("missing_id"))
                 .groupBy("table_name", "column_name", "missing_id").agg(F.count(F.lit(1)).alias("rows")))
         by_parent.setdefault(id(parent), (parent, []))[1].append(vals)
     out = None
@@ -155,7 +156,7 @@ def dq_orphans(links: Sequence[tuple[str, str, DataFrame, DataFrame]]) -> DataFr
         u = parts[0]
         for p in parts[1:]:
             u = u.unionByName(p)
-        d = u.join(parent.select(F.col("id").cast("bigint").alias("missing_id")), "missing_id", "left_anti") \
+        d = u.join(parent.select(F.col("id").cast(id_type).alias("missing_id")), "missing_id", "left_anti") \
              .select("table_name", "column_name", "missing_id", "rows")
         out = d if out is None else out.unionByName(d)
     return out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import AS_OF
 from ledgerloom.operators import alerts as al
 from ledgerloom.operators import inventory as inv
+from ledgerloom.operators import quality as dq
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.fixtures import Fixture
@@ -186,3 +187,34 @@ WHERE id NOT IN (SELECT notification_id FROM surviving WHERE user_id = {READER})
 def q_mark_all(spark, d):
     st = _State(spark, d)
     return al.mark_read(st.merged, st.reads_after, READER, NOW)
+
+
+# V8 and V9 of the notification tables. Every seventh stored alert is there twice; the
+# reads that are checked are those before stale alerts' reads are taken out, and every
+# ninety-seventh is by a user nobody knows.
+_NOBODY = 1_000_000_000
+
+
+@register("dq_unique_notifications", _sql("""
+SELECT 'notifications' AS table_name, type || '|' || related_type || '|' || CAST(related_id AS VARCHAR) AS key_value, COUNT(*) AS occurrences
+FROM (SELECT * FROM stored UNION ALL SELECT * FROM stored WHERE related_id % 7 = 0)
+GROUP BY type, related_type, related_id HAVING COUNT(*) > 1"""))
+def q_unique_notifications(spark, d):
+    stored = _State(spark, d).stored
+    twice = stored.unionByName(stored.where(F.col("related_id") % 7 == 0))
+    return dq.dq_unique([("notifications", twice, al.KEY)])
+
+
+@register("dq_orphans_reads", with_views(f"""
+SELECT 'notification_reads' AS table_name, 'notification_id' AS column_name, r.notification_id AS missing_id, COUNT(*) AS rows
+FROM reads r WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.id = r.notification_id) GROUP BY r.notification_id
+UNION ALL
+SELECT 'notification_reads', 'user_id', CAST({_NOBODY} AS VARCHAR), n FROM (
+  SELECT COUNT(*) AS n FROM reads r JOIN stored s ON s.id = r.notification_id WHERE s.related_id % 97 = 0) WHERE n > 0""",
+                                         *_BASE, "users", extra=_EXTRA))
+def q_orphans_reads(spark, d):
+    st = _State(spark, d)
+    marked = st.reads.join(st.stored.select(F.col("id").alias("notification_id"), "related_id"), "notification_id")
+    reads = marked.withColumn("user_id", F.when(F.col("related_id") % 97 == 0, F.lit(_NOBODY)).otherwise(F.col("user_id")))
+    return dq.dq_orphans([("notification_reads", "notification_id", reads, st.merged),
+                          ("notification_reads", "user_id", reads, st.fx.users())], "string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerloom.config import AS_OF, AS_OF_SQL
 from ledgerloom.operators import crm
 from ledgerloom.operators import inventory as inv
@@ -65,6 +67,41 @@ def q_reviews(spark, d):
     return crm.customer_reviews(fx.reviews(), fx.users())
 
 
+# The given tables have no times for questions and reviews: these take a minute of some
+# weeks from their id, every eleventh has none, and fifty customers share them.
+_ASKERS = 50
+_MINUTE = "id * 7919 % 50000"
+_AT_SPARK = (f"CASE WHEN id % 11 <> 0 THEN timestamp_ntz '2001-01-01 00:00:00' + make_dt_interval(0, 0, CAST({_MINUTE} AS INT), 0) END")
+_AT_SQL = f"CASE WHEN id % 11 <> 0 THEN TIMESTAMP '2001-01-01 00:00:00' + to_minutes(CAST({_MINUTE} AS BIGINT)) END"
+
+
+def _timed(df):
+    at = F.expr(_AT_SPARK)
+    out = df.withColumn("created_at", at).withColumn("customer_id", F.col("customer_id") % _ASKERS)
+    return out.withColumn("resolved_at", F.when(F.col("status") == "RESOLVED", F.col("created_at"))) if "status" in df.columns else out
+
+
+@register("customer_question_list", with_views(f"""
+SELECT customer_id % {_ASKERS} AS customer_id,
+       ROW_NUMBER() OVER (PARTITION BY customer_id % {_ASKERS} ORDER BY created_at DESC NULLS LAST, id DESC) AS nth,
+       id, subject, message, status, priority, created_at, CASE WHEN status = 'RESOLVED' THEN created_at END AS resolved_at,
+       (SELECT COUNT(*) FROM replies r WHERE r.query_id = q.id) AS n_replies
+FROM (SELECT *, {_AT_SQL} AS created_at FROM queries) q""", "queries", "replies"))
+def q_question_list(spark, d):
+    fx = Fixture(spark, d)
+    return crm.customer_question_list(_timed(fx.queries()), fx.replies())
+
+
+@register("customer_review_list", with_views(f"""
+SELECT customer_id % {_ASKERS} AS customer_id,
+       ROW_NUMBER() OVER (PARTITION BY customer_id % {_ASKERS} ORDER BY created_at DESC NULLS LAST, r.id DESC) AS nth,
+       r.id, rating, review, created_at, u.name AS created_by_name
+FROM (SELECT *, {_AT_SQL} AS created_at FROM reviews) r JOIN users u ON u.id = r.created_by""", "reviews", "users"))
+def q_review_list(spark, d):
+    fx = Fixture(spark, d)
+    return crm.customer_review_list(_timed(fx.reviews()), fx.users())
+
+
 @register("open_queries", with_views("SELECT * FROM queries WHERE status <> 'RESOLVED'", "queries"))
 def q_open_queries(spark, d):
     return crm.open_queries(Fixture(spark, d).queries())
