@@ -2,8 +2,10 @@
 
 Words are runs of letters (lower-cased). Per-word scores are log-likelihoods
 of the word's character 4-grams (with a word boundary before it) under each
-language, hashed into ``BUCKETS`` slots and smoothed; counts come from all
-learning documents. The script of a word (by Unicode range) narrows the
+language, smoothed; counts come from all learning documents. Grams are told apart
+by a 64-bit key (their four letters; hashed only where a letter lies beyond the
+first plane), so unlike grams never add up, and the tables grow with the distinct
+grams of the learning documents, which are collected and broadcast. The script of a word (by Unicode range) narrows the
 languages that may claim it to those that write it in the learning rows. A
 Viterbi pass over the words, with a penalty for each change of language,
 labels the spans of a text; the predicted language is the one with most
@@ -32,21 +34,26 @@ from ledgerloom.llm import vectext as vt
 from ledgerloom.llm.charwords import NAMES, letter_words
 from ledgerloom.llm.shared import filter_texts
 
-BUCKETS = 1 << 17
 GRAM = 4
 ALPHA = 0.5
 SWITCH = 14.0
 #: A language claims the words of a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
 MAX_LANGUAGES = 512
+#: Rows of counts that a learning task holds before it sums them.
+_FLUSH = 1 << 20
 #: Score of a word for a language that does not write its script, and of each of
 #: its letters on top: less than a letter gets in any language that writes it.
 _OUT, _OUT_LETTER = -1e4, -1e2
 
+
+_U = np.uint64
+
+
 @dataclass
 class _Batch:
-    """Words of some texts: letters with their gram slots, words, texts."""
-    slots: np.ndarray       # gram slot of each letter
+    """Words of some texts: letters with their grams, words, texts."""
+    grams: np.ndarray       # key of the gram that ends at each letter
     word_first: np.ndarray  # first letter of each word
     word_len: np.ndarray
     word_start: np.ndarray  # code point at which it starts in its text
@@ -56,28 +63,65 @@ class _Batch:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> _Batch:
     w = letter_words(data, offsets)
-    low, first, inside = w.letters.astype(np.uint64), w.first, w.inside
-    gram = low.copy()
+    low, inside = w.letters.astype(_U), w.inside
+    key, wide = low.copy(), low > _U(0xFFFF)
+    other = wide.any()
+    far, above = vt.mix(low) if other else None, wide.copy()
     for back in range(1, GRAM):  # letters before the word's first count as the boundary, 0
         before = np.zeros_like(low)
         before[back:] = low[:len(low) - back]
         before[inside < back] = 0
-        gram = (gram << np.uint64(21)) * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(back)
-    slots = (vt.mix(gram) % np.uint64(BUCKETS)).astype(np.int64)
-    return _Batch(slots, first, w.lens, w.starts, w.scripts, w.text_first)
+        key |= before << _U(16 * back)
+        if other:
+            above |= before > _U(0xFFFF)
+            far = vt.mix(far + before + _U(back))
+    if other:
+        key[above] = far[above]
+    return _Batch(key, w.first, w.lens, w.starts, w.scripts, w.text_first)
+
+
+class GramTable:
+    """Row numbers by key: open addressing, at most a quarter full."""
+
+    def __init__(self, keys: np.ndarray):
+        self.none = len(keys)  # the row of a key that is not there
+        size = 1 << max(4, (4 * len(keys)).bit_length())
+        self.mask = _U(size - 1)
+        self.keys, self.rows = np.zeros(size, _U), np.full(size, self.none, np.int32)
+        left, at = np.arange(len(keys)), vt.mix(keys) & self.mask
+        while len(left):
+            free = self.rows[at] == self.none
+            self.rows[at[free]] = left[free]  # of several that want a place, one gets it
+            got = self.rows[at] == left
+            self.keys[at[got]] = keys[left[got]]
+            left, at = left[~got], (at[~got] + _U(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = vt.mix(keys) & self.mask
+        out = self.rows[at]
+        miss = np.flatnonzero((out != self.none) & (self.keys[at] != keys))
+        at = at[miss]
+        while len(miss):
+            at = (at + _U(1)) & self.mask
+            out[miss] = self.rows[at]
+            on = (out[miss] != self.none) & (self.keys[at] != keys[miss])
+            miss, at = miss[on], at[on]
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    grams: np.ndarray    # languages x BUCKETS log-probabilities
+    table: GramTable
+    grams: np.ndarray    # languages x grams (the last: any other gram) log-probabilities
     claims: np.ndarray   # languages x scripts
 
     def word_scores(self, b: _Batch) -> np.ndarray:
         """words x languages; languages that do not write the word's script are out."""
         out = np.empty((len(b.word_len), len(self.languages)))
+        rows = self.table.find(b.grams)
         for k in range(len(self.languages)):
-            out[:, k] = np.add.reduceat(self.grams[k][b.slots], b.word_first) if len(b.word_len) else 0
+            out[:, k] = np.add.reduceat(self.grams[k][rows], b.word_first) if len(b.word_len) else 0
         claim = self.claims[:, b.script].T
         claim = claim | ~claim.any(axis=1, keepdims=True)  # a script nobody learned: all languages stay
         return np.where(claim, out, _OUT + _OUT_LETTER * b.word_len[:, None])
@@ -160,7 +204,19 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang")
     n_scripts = len(NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        grams: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        scripts: dict[str, np.ndarray] = {}
+
+        def out(name: str, number: np.ndarray | None, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            # a row counts a gram, or the letters of a script (``script`` is not null)
+            script = pa.nulls(len(key), pa.int32()) if number is None else pa.array(number.astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), script, pa.array(key.view(np.int64)), pa.array(n)],
+                                              ["lang", "script", "gram", "n"])
+
+        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            key, number = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return key, np.bincount(number, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
+
         for b in batches:
             data, offsets = vt.column_bytes(b.column(1))
             langs = b.column(0).to_pylist()
@@ -170,28 +226,43 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang")
                 of_word = np.repeat(number, np.diff(w.text_first))
                 of_letter = np.repeat(of_word, w.word_len)
                 for k, name in enumerate(names.tolist()):
-                    add = total.setdefault(name, np.zeros(BUCKETS + n_scripts, np.int64))
-                    add[:BUCKETS] += np.bincount(w.slots[of_letter == k], minlength=BUCKETS)
+                    key, n = np.unique(w.grams[of_letter == k], return_counts=True)
+                    grams.setdefault(name, []).append((key, n))
                     mine = of_word == k
-                    add[BUCKETS:] += np.bincount(w.script[mine], w.word_len[mine], n_scripts).astype(np.int64)
-        for name, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(counts[at])],
-                                             ["lang", "slot", "n"])
-
-    summed = rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    found = summed.toArrow()  # BUCKETS + scripts rows a language at most
+                    letters = np.bincount(w.script[mine], w.word_len[mine], n_scripts).astype(np.int64)
+                    scripts[name] = scripts.get(name, 0) + letters
+                if sum(len(key) for parts in grams.values() for key, _ in parts) > _FLUSH:
+                    for name, parts in grams.items():
+                        parts[:] = [summed(parts)]
+                    if sum(len(parts[0][0]) for parts in grams.values()) > _FLUSH // 2:
+                        for name, parts in grams.items():
+                            yield out(name, None, *parts[0])
+                        grams.clear()
+        for name, parts in grams.items():
+            yield out(name, None, *summed(parts))
+        for name, letters in scripts.items():
+            yield out(name, np.arange(n_scripts), np.zeros(n_scripts, _U), letters)
+
+    summed = (rows.mapInArrow(count, "lang string, script int, gram long, n long")
+              .groupBy("lang", "script", "gram").agg(F.sum("n").alias("n")).where("n > 0"))
+    found = summed.toArrow()  # grows with the distinct grams
     names = sorted(set(found["lang"].unique().to_pylist()))
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"{len(names)} languages; a model holds {MAX_LANGUAGES}")
-    counts = np.zeros((len(names), BUCKETS + n_scripts), np.int64)
-    number = found["lang"].to_pandas().map({x: k for k, x in enumerate(names)}).to_numpy(np.int64)
-    counts[number, found["slot"].to_numpy()] = found["n"].to_numpy()
-    grams, scripts = counts[:, :BUCKETS].astype(float), counts[:, BUCKETS:]
-    used = max(1, int((grams.sum(axis=0) > 0).sum()))
-    logp = np.log(grams + ALPHA) - np.log(grams.sum(axis=1, keepdims=True) + ALPHA * used)
+    codes = found["lang"].combine_chunks().dictionary_encode()
+    place = np.array([names.index(x) for x in codes.dictionary.to_pylist()], np.int64)
+    number = place[codes.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
+    n, script = found["n"].to_numpy(), found["script"].fill_null(-1).to_numpy()
+    scripts = np.zeros((len(names), n_scripts))
+    scripts[number[script >= 0], script[script >= 0]] = n[script >= 0]
+    of = script < 0
+    keys, row = np.unique(found["gram"].to_numpy()[of].astype(np.int64).view(_U), return_inverse=True)
+    grams = np.zeros((len(names), len(keys) + 1), np.float32)
+    grams[number[of], row] = n[of]
+    totals = grams.sum(axis=1, dtype=np.float64, keepdims=True) + ALPHA * max(1, len(keys))
+    logp = np.log(grams + ALPHA) - np.log(totals)
     share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    return Model(names, logp.astype(np.float32), share >= SCRIPT_SHARE)
+    return Model(names, GramTable(keys), logp.astype(np.float32), share >= SCRIPT_SHARE)
 
 
 def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH,
