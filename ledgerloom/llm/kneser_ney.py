@@ -101,7 +101,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Grams:
     body[ends] = False
     symbols[body] = units + _U(2)
     text = np.repeat(np.repeat(np.arange(len(offsets) - 1), np.diff(w.text_first)), lens + 1)
-    inside = np.arange(len(text)) - np.searchsorted(text, text)
+    of_text = np.bincount(text, minlength=len(offsets) - 1)
+    inside = np.arange(len(text)) - np.repeat(np.cumsum(of_text) - of_text, of_text)
     low, narrow = symbols.copy(), symbols.copy()  # narrow: 12 bits a unit, where they fit
     high = low
     for back in range(1, ORDER):
@@ -116,7 +117,9 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Grams:
             high = before
     if symbols.max() >= 1 << 12:
         narrow = (high << _U(32)) | np.unique(low, return_inverse=True)[1].astype(_U)
-    _, pick, number = np.unique(narrow, return_index=True, return_inverse=True)
+    keys, number = np.unique(narrow, return_inverse=True)  # without return_index, which needs a stable sort
+    pick = np.empty(len(keys), np.int64)
+    pick[number] = np.arange(len(number))  # any of a gram's places
     return Grams(high[pick], low[pick], number, text)
 
 
