@@ -78,8 +78,8 @@ def first_name(col: Column) -> Column:
 
 
 def initial(col: Column) -> Column:
-    """the first letter of a name, as a badge shows it."""
-    return F.upper(F.substring(F.trim(col), 1, 1))
+    """the first character of a name, as a badge shows it (none: empty)."""
+    return F.substring(col, 1, 1)
 
 
 def check_days(days: int) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DASHBOARD_LIST, PAGE_MAX
-from ledgerloom.functions.text import (check_challan_status, check_page, csv_safe, date_or_not_set,
+from ledgerloom.functions.text import (check_challan_status, check_page, csv_safe, date_or_not_set, first_name, initial,
                                        search_predicate, wall_time)
 
 CHALLAN_SEARCH = ["challan_number", "customer_name", "business_name"]
@@ -149,6 +149,11 @@ def user_by_email(users: DataFrame, email: str) -> DataFrame:
     return users.where(F.lower(F.col("email")) == F.lower(F.lit(email)))
 
 
+def user_badges(users: DataFrame) -> DataFrame:
+    """what the page head shows of a user: first word and first letter of the name."""
+    return users.select("id", "name", "role", first_name(F.col("name")).alias("first_name"), initial(F.col("name")).alias("initial"))
+
+
 def by_id(rows: DataFrame, key_value, key: str = "id") -> DataFrame:
     """S3: point lookup (a pushed-down equality filter)."""
     return rows.where(F.col(key) == F.lit(key_value))

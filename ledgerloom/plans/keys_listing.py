@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import inventory as inv
 from ledgerloom.operators import listing as ls
 from ledgerloom.plans.oracle import with_views
@@ -115,6 +117,24 @@ def q_recent_challans(spark, d):
     return ls.recent_challans(fx.challans(), fx.customers(), 5)
 
 
+# Sign-in by an address written in another case; the given names are one word, so every
+# third user is called by their role as well.
+SIGN_IN = "USER7@Example.TEST"
+_CALLED = "CASE WHEN id % 3 = 0 THEN lower(role) || ' ' || name WHEN id % 11 = 1 THEN '' ELSE name END"
+
+
+@register("user_by_email", with_views(f"SELECT * FROM users WHERE lower(email) = lower('{SIGN_IN}')", "users"))
+def q_user_by_email(spark, d):
+    return ls.user_by_email(Fixture(spark, d).users(), SIGN_IN)
+
+
+@register("user_badges", with_views("""
+SELECT id, name, role, string_split(name, ' ')[1] AS first_name, left(name, 1) AS initial FROM called""", "users",
+                                    extra=[("called", f"SELECT id, {_CALLED} AS name, role FROM users")]))
+def q_user_badges(spark, d):
+    return ls.user_badges(Fixture(spark, d).users().withColumn("name", F.expr(_CALLED)))
+
+
 def _safe(expr: str) -> str:
     return (f"CASE WHEN regexp_matches(COALESCE(CAST({expr} AS VARCHAR), ''), '^[=+\\-@\\t\\r]') "
             f"THEN '''' || COALESCE(CAST({expr} AS VARCHAR), '') ELSE COALESCE(CAST({expr} AS VARCHAR), '') END")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from ledgerloom.operators import crm
+from ledgerloom.operators import crm, listing
 from ledgerloom.operators import quality as dq
 from tests.frames import QUERIES, USERS, ts
 
@@ -46,3 +46,10 @@ def test_orphans_by_text_ids(spark):
     notes, users = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([(1,), (3,)], "id bigint")
     got = dq.dq_orphans([("notification_reads", "notification_id", reads, notes), ("notification_reads", "user_id", reads, users)], "string")
     assert sorted(map(tuple, got.collect())) == [("notification_reads", "notification_id", "b", 2), ("notification_reads", "user_id", "2", 1)]
+
+
+def test_badges_of_awkward_names(spark):
+    rows = [(1, "Asha Rao"), (2, ""), (3, None), (4, " lead"), (5, "\u00e9lan x"), (6, "one")]
+    users = spark.createDataFrame([(i, n, None, "SALES") for i, n in rows], USERS)
+    got = {r.id: (r.first_name, r.initial) for r in listing.user_badges(users).collect()}
+    assert got == {1: ("Asha", "A"), 2: ("", ""), 3: (None, None), 4: ("", " "), 5: ("\u00e9lan", "\u00e9"), 6: ("one", "o")}
