@@ -21,7 +21,7 @@ the whole of a long text. A logistic link turns both ratios into a probability,
 fitted on the fifth of the learning rows that the class counts leave out.
 
 On the given tables the second ratio decides: held out on 26 MB, the whole-text
-ratio alone has an AUC of 0.757, the second alone 0.968, the score 0.974.
+ratio alone has an AUC of 0.757, the second alone about 0.97, as the score has.
 
 Counting is one map over the documents, pre-aggregated per task, and a
 groupBy of grams; the lower orders derive from the distinct grams with further
