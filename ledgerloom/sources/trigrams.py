@@ -4,7 +4,7 @@ Substring search ("contains", without regard to case and accents) has to look at
 text. The index holds for every three-character piece (gram) of the searched columns
 the keys of the rows that have it:
 
-* ``postings`` (gram, key), range-partitioned and sorted by both, so a gram is a few row
+* ``postings`` (gram, key), rebalanced and sorted by gram, so a gram is a few row
   groups found by their statistics, and a gram that a third of all rows share is
   spread over many files;
 * ``counts`` (gram, rows), to read the rarest grams of a term first.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,25 @@ _PLAIN_CHAR = re.compile(r"[\t\n\x0b\f\r -~]+")
 WORTH = 4
 
 
-def _grams(text: Column) -> Column:
-    plain = F.coalesce(F.lower(text), F.lit(""))
-    padded = F.concat(plain, F.lit(PAD * 2))
-    own = F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.when(~plain.rlike(_PLAIN), F.array(F.lit(ALWAYS))).when(F.length(plain) == 0, F.array().cast("array<string>")).otherwise(own)
+def postings(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(gram, key), each pair once per row: the padded texts of a row are laid end to
+    end, and a gram is taken at its first place. A row with a text that is not plain
+    has place 0 as well, for ``ALWAYS``."""
+    lowered = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in columns]
+    plain = [t.rlike(_PLAIN) for t in lowered]
+    own = F.concat(*(F.when(ok & (F.length(t) > 0), F.concat(t, F.lit(PAD * 2))).otherwise("") for t, ok in zip(lowered, plain, strict=True)))
+    first = F.when(reduce(lambda a, b: a & b, plain), 1).otherwise(0)
+    texts = rows.select(F.col(key).alias("key"), own.alias("text"), first.alias("first")).where("first <= length(text)")
+    placed = texts.select("key", "text", F.col("text").cast("binary").alias("bytes"), F.explode(F.expr("sequence(first, length(text))")).alias("at"))
+    gram = F.when(F.col("at") == 0, ALWAYS).otherwise(F.substring("bytes", F.col("at"), F.lit(3)).cast("string"))  # ASCII: a character is a byte
+    grams = placed.select(gram.alias("gram"), "key", "text", "at")
+    return grams.where((F.col("at") == 0) | (~F.startswith("gram", F.lit(PAD)) & (F.instr(F.col("text"), F.col("gram")) == F.col("at")))).select("gram", "key")
+
+
+def _order() -> Column:
+    """A gram as a number of the same order, which sorts faster than text."""
+    one, two, three = (F.ascii(F.substring("gram", k, 1)) for k in (1, 2, 3))
+    return F.shiftleft(one, 14) + F.shiftleft(two, 7) + three
 
 
 @dataclass(frozen=True)
@@ -62,9 +77,8 @@ class TrigramIndex:
 
     def build(self, rows: DataFrame, mode: str = "overwrite") -> None:
         """Index a table; ``mode="append"`` adds rows that it has not had before."""
-        grams = F.array_distinct(F.concat(*(_grams(F.col(c)) for c in self.columns)))
-        postings = rows.select(F.explode(grams).alias("gram"), F.col(self.key).alias("key"))
-        postings.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.mode(mode).parquet(f"{self.path}/postings")
+        found = postings(rows, self.key, self.columns).hint("rebalance", "gram")  # by ranges, all grams would be made a second time, for the sample
+        found.sortWithinPartitions(_order()).write.mode(mode).parquet(f"{self.path}/postings")
         counts = rows.sparkSession.read.parquet(f"{self.path}/postings").groupBy("gram").count()
         counts.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.path}/counts")
 

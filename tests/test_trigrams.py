@@ -55,3 +55,22 @@ def test_empty_table(spark, scratch):
     table.create(df)
     index.build(df)
     assert indexed_search(table, index, spark, "steel").collect() == [] and indexed_search(table, index, spark, "s").collect() == []
+
+
+def test_each_gram_once_and_made_once(spark, scratch):
+    """The pairs of a row are distinct, whatever its texts repeat, and building
+    evaluates each row's texts once (a sample for ranges would do it twice)."""
+    rows = [(1, "aaaa", "AAAA"), (2, "café", "ab"), (3, None, ""), (4, "a\x01b", None), (5, "ab", "b"), (6, "日", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    TrigramIndex(f"{scratch}/index", "id", ("name", "code")).build(df.mapInArrow(look, df.schema))
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{scratch}/index/postings").collect())
+    end = "\x01"
+    want = [("", 2), ("", 4), ("", 6), ("aaa", 1), ("aa" + end, 1), ("a" + end * 2, 1), ("ab" + end, 2), ("b" + end * 2, 2), ("ab" + end, 5), ("b" + end * 2, 5)]
+    assert got == sorted(want) and seen.value == len(rows)
