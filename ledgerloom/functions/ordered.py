@@ -22,6 +22,7 @@ tells them apart. ``bucket`` names a column that already cuts the rows so.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
 
 
 def nest_ordered(child: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
-                 payload: Sequence[str], name: str, chunk_size: int = 1000,
+                 payload: Sequence[ColumnOrName], name: str, chunk_size: int = 1000,
                  bucket: Column | None = None) -> DataFrame:
     """Children of each key as arrays of at most ``chunk_size`` ordered structs.
 
@@ -141,3 +142,24 @@ def nest_ordered(child: DataFrame, keys: Sequence[str], order: Sequence[ColumnOr
     chunked = pos.withColumn("chunk_no", F.floor((F.col("pos") - 1) / F.lit(chunk_size)).cast("int"))
     return chunked.groupBy(*keys, "chunk_no").agg(
         F.array_sort(F.collect_list(F.struct("pos", *payload))).alias(name))
+
+
+def nest_short(child: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[ColumnOrName],
+               name: str, chunk_size: int = 1000) -> DataFrame:
+    """``nest_ordered`` where most keys have few children: a count per key names those
+    with more than one chunk, which are ranged; all others are collected by one
+    shuffle and sorted in their array, and ``order`` is ascending columns."""
+    keys = list(keys)
+    of = [F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)]
+    long = written(child.groupBy(*keys).count().where(F.col("count") > chunk_size).select(*of), "long")
+    is_long = reduce(lambda a, b: a & b, (child[k].eqNullSafe(long[f"_l{i}"]) for i, k in enumerate(keys)))
+    few = child.join(long, is_long, "left_anti")
+    listed = few.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.struct(*order).alias("at"), F.struct(*payload).alias("of"))).alias("_rows"))
+    fields = few.select(F.struct(*payload).alias("of")).schema["of"].dataType.names
+    ranked = F.transform(F.array_sort("_rows"), lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias("pos"), *(x["of"][f].alias(f) for f in fields)))
+    chunks = listed.select(*keys, F.lit(0).alias("chunk_no"), ranked.alias(name))
+    if long.isEmpty():
+        return chunks
+    return chunks.unionByName(nest_ordered(child.join(long, is_long, "left_semi"), keys, order, payload, name, chunk_size))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DAY_BAR_FLOOR_BP, SELLER_BAR_FLOOR_BP
-from ledgerloom.functions.ordered import nest_ordered
+from ledgerloom.functions.ordered import nest_ordered, nest_short
 from ledgerloom.functions.text import check_days
 
 MONEY = "decimal(18,2)"
@@ -190,11 +190,11 @@ def challan_document(challans: DataFrame, items: DataFrame, customers: DataFrame
 
     Each item carries both the unit price and the line total (Q10).
     """
-    it = items.withColumn("line_total", (F.col("quantity") * F.col("unit_price_snapshot")).cast(MONEY))
-    nested = nest_ordered(it, ["challan_id"], ["product_name_snapshot", "sku_snapshot", "quantity", "line_no"],
-                          ["product_id", "product_name_snapshot", "sku_snapshot", "unit_price_snapshot",
-                           "quantity", "line_total"],
-                          "items", chunk_size)
+    line_total = (F.col("quantity") * F.col("unit_price_snapshot")).cast(MONEY).alias("line_total")
+    nested = nest_short(items, ["challan_id"], ["product_name_snapshot", "sku_snapshot", "quantity", "line_no"],
+                        ["product_id", "product_name_snapshot", "sku_snapshot", "unit_price_snapshot",
+                         "quantity", line_total],
+                        "items", chunk_size)
     head = challan_header(challans, customers, users).select(
         F.col("id").alias("challan_id"), "challan_number", "status", "created_at", "confirmed_at",
         "customer_id", "customer_name", "business_name", "created_by_name")

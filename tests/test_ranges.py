@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import statistics
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.ordered import RANGE, in_ranges, nest_ordered, positions, running_sum, running_sums
+from ledgerloom.functions import ordered
+from ledgerloom.functions.ordered import RANGE, in_ranges, nest_ordered, nest_short, positions, running_sum, running_sums
+from ledgerloom.plans import registry
+
+from .conftest import SF_SMALL
 
 
 def hot(spark, n=20_000):
@@ -68,3 +73,28 @@ def test_the_input_is_computed_once(spark):
 def test_empty(spark):
     assert positions(hot(spark, 0), ["k"], ["t", "id"]).collect() == []
     assert running_sum(hot(spark, 0), [], ["t", "id"], "v", "s").collect() == []
+
+
+def test_short_keys_are_not_ranged(spark, monkeypatch):
+    """Keys of one chunk take one shuffle; only longer ones are ranged, and the arrays are the same."""
+    df = spark.range(3000).selectExpr("CASE WHEN id < 900 THEN 0 WHEN id < 2900 THEN id % 400 + 1 WHEN id < 2910 THEN NULL ELSE -1 END AS k",
+                                      "CASE WHEN id % 4 > 0 THEN id % 5 END AS t", "id", "cast(id AS decimal(9,2)) AS v")
+    ranged = []
+    monkeypatch.setattr(ordered, "in_ranges", lambda rows, keys, order: ranged.append(rows.count()) or in_ranges(rows, keys, order))
+
+    def found(nest, rows, size):
+        out = nest(rows, ["k"], ["t", "id"], ["id", "v", (F.col("v") * 2).alias("w")], "xs", chunk_size=size)
+        return out.schema["xs"].dataType.simpleString(), sorted(out.collect(), key=str)
+
+    for size, long in ((100, 900), (50, 990), (5, 2990)):
+        want = found(nest_ordered, df, size)
+        ranged.clear()
+        assert found(nest_short, df, size)[0] == want[0] and found(nest_short, df, size)[1] == want[1]
+        assert ranged[0] <= (3000 if size == 5 else long)
+    ranged.clear()
+    assert found(nest_short, df, 1000) == found(nest_ordered, df, 1000) and ranged == [3000]
+
+
+def test_challan_documents_are_not_ranged(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "in_ranges", lambda *a: pytest.fail("short challans are ranged"))
+    assert registry.queries()["challan_document"](spark, SF_SMALL).count() > 0
