@@ -47,6 +47,19 @@ def _join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> D
     return left.join(r, cond, "inner").drop(*[f"_r{i}" for i in range(len(cols))])
 
 
+def _with_offsets(rows: DataFrame, offsets: DataFrame, keys: Sequence[str], names: Sequence[str], ranged: bool) -> DataFrame:
+    """Each row with the offsets of its (key, ``_bkt``). In ranges of the whole sort key
+    only the first key of a range has earlier rows, so at most one offset per range
+    is not 0: these are broadcast, and the rows stay where they are."""
+    if not ranged:
+        return _join_null_safe(rows, offsets, [*keys, "_bkt"])
+    cols = [*keys, "_bkt"]
+    some = offsets.where(reduce(lambda a, b: a | b, (F.col(n) != 0 for n in names)))
+    some = F.broadcast(some.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(cols)], *[F.col(n).alias(f"_s{n}") for n in names]))
+    same = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(some[f"_r{i}"]) for i, c in enumerate(cols)))
+    return rows.join(some, same, "left").select(*rows.columns, *(F.coalesce(f"_s{n}", F.lit(0)).alias(n) for n in names))
+
+
 RANGE = "_range"
 
 
@@ -89,15 +102,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName
     totals = b.groupBy(*keys, "_bkt").agg(F.sum(val).alias("_bsum"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bkt", F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_off"))
-    joined = _join_null_safe(b, offsets, [*keys, "_bkt"])
+    joined = _with_offsets(b, offsets, keys, ["_off"], bucket is None)
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     inner = F.coalesce(F.sum(val).over(w), F.lit(0))
     return joined.withColumn(out, F.col("_off") + inner).drop("_bkt", "_off")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
-                 values: dict[str, Column], bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
-    """Several cumulative sums (rows frame) over the same key and order in one pass."""
+                 values: dict[str, Column], bucket: Column | None = None, inclusive: bool = True, ranged: bool = False) -> DataFrame:
+    """Several cumulative sums (rows frame) over the same key and order in one pass;
+    ``ranged``: ``bucket`` is the ``RANGE`` of ``in_ranges`` for these keys and order."""
     keys = list(keys)
     order = [_c(o) for o in order]
     end = Window.currentRow if inclusive else -1
@@ -108,7 +122,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrNam
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bkt", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
                                              for o in values])
-    joined = _join_null_safe(b, offsets, [*keys, "_bkt"])
+    joined = _with_offsets(b, offsets, keys, [f"_o_{o}" for o in values], ranged or bucket is None)
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     return joined.select(*df.columns, *[(F.col(f"_o_{o}") + F.coalesce(F.sum(tmp[o]).over(w), F.lit(0))).alias(o)
                                         for o in values])
@@ -123,7 +137,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnOrName],
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = _join_null_safe(b, offsets, [*keys, "_bkt"])
+    joined = _with_offsets(b, offsets, keys, ["_off"], bucket is None)
     rn = F.row_number().over(Window.partitionBy(*keys, "_bkt").orderBy(*order))
     return joined.withColumn(out, F.col("_off") + rn).drop("_bkt", "_off")
 

@@ -35,6 +35,7 @@ from ledgerloom.functions.text import wall_time
 from ledgerloom.sources.scratch import written
 
 UNDECIDED, ACCEPTED, REJECTED = "U", "A", "R"
+ORDER = ["seq_ts", "seq_id", "request_id", "line_no"]
 
 
 def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
@@ -45,14 +46,19 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
     ``stock``: product_id, available. A request is made of demands or of supplies, not both.
     Returns (decisions: request_id, status, short_product_id; rounds used).
     """
+    rows, status, rounds = _decide(demands, stock)
+    return status.join(_first_short(rows, status), "request_id", "left"), rounds
+
+
+def _decide(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The lines in ranges, (request_id, status) written once, and the rounds used."""
     require_checkpoint_dir(demands.sparkSession)
     st = stock.select("product_id", F.col("available").cast("bigint").alias("available"))
-    order = ["seq_ts", "seq_id", "request_id", "line_no"]
     rows = (demands.join(st, "product_id", "left")
             .withColumn("available", F.coalesce(F.col("available"), F.lit(0)))
             .withColumn("is_supply", F.col("qty") < 0))
-    rows = in_ranges(rows, ["product_id"], order)  # cut once, for all rounds
-    line = [*order, "product_id", "qty", "available", RANGE]
+    rows = in_ranges(rows, ["product_id"], ORDER)  # cut once, for all rounds
+    line = [*ORDER, "product_id", "qty", "available", RANGE]
     state = F.when(F.col("is_supply"), F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED))
     work = rows.select(*line, F.lit(0).cast("bigint").alias("lo"), state.alias("status"))
     status = rows.where("is_supply").select("request_id", F.lit(ACCEPTED).alias("status")).distinct()
@@ -60,11 +66,12 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
     rounds = 0
     while undecided > 0:
         rounds += 1
-        before = running_sums(work, ["product_id"], order, {
+        before = running_sums(work, ["product_id"], ORDER, {
             "taken": F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0)),
             "asked": F.when(F.col("status") == UNDECIDED, F.col("qty")).otherwise(F.lit(0))},
-            bucket=F.col(RANGE), inclusive=False)
+            bucket=F.col(RANGE), inclusive=False, ranged=True)
         live = before.where(F.col("status") == UNDECIDED).select(*line, (F.col("lo") + F.col("taken")).alias("lo"), "asked")
+        live = written(live, "allocation-live")  # the verdicts and the lines need different columns: the sums would run twice
         verdict = live.groupBy("request_id").agg(
             F.min((F.col("available") - F.col("lo") - F.col("asked") >= F.col("qty")).cast("int")).alias("all_ok"),
             F.max((F.col("available") - F.col("lo") < F.col("qty")).cast("int")).alias("any_short"))
@@ -78,17 +85,21 @@ def allocate(demands: DataFrame, stock: DataFrame) -> tuple[DataFrame, int]:
             raise RuntimeError(f"allocation made no progress in round {rounds} ({left} lines undecided)")
         undecided = left
 
-    # The first short item of each rejected request (all earlier requests are decided: hi = lo).
-    r = rows.join(status, "request_id", "inner")
+    return rows, written(status, "allocation-status"), rounds
+
+
+def _first_short(rows: DataFrame, status: DataFrame) -> DataFrame:
+    """The first short item of each rejected request (all earlier requests are decided: hi = lo)."""
+    line = [*ORDER, "product_id", "qty", "available", "is_supply", RANGE]
+    r = rows.select(*line).join(status, "request_id", "inner")
     lo_q = F.when(F.col("status") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
-    final = running_sums(r, ["product_id"], order, {"lo": lo_q}, bucket=F.col(RANGE), inclusive=False)
-    short = (final.where((F.col("status") == REJECTED) & ~F.col("is_supply")
-                         & (F.col("available") - F.col("lo") < F.col("qty")))
-             .groupBy("request_id").agg(F.min_by("product_id", F.struct("line_no", "product_id"))
-                                        .alias("short_product_id"),
-                                        F.min_by(F.col("available") - F.col("lo"), F.struct("line_no", "product_id"))
-                                        .alias("short_available")))
-    return status.join(short, "request_id", "left"), rounds
+    final = running_sums(r, ["product_id"], ORDER, {"lo": lo_q}, bucket=F.col(RANGE), inclusive=False, ranged=True)
+    return (final.where((F.col("status") == REJECTED) & ~F.col("is_supply")
+                        & (F.col("available") - F.col("lo") < F.col("qty")))
+            .groupBy("request_id").agg(F.min_by("product_id", F.struct("line_no", "product_id"))
+                                       .alias("short_product_id"),
+                                       F.min_by(F.col("available") - F.col("lo"), F.struct("line_no", "product_id"))
+                                       .alias("short_available")))
 
 
 def confirm_drafts(challans: DataFrame, lines: DataFrame, stock: DataFrame, products: DataFrame,
@@ -105,34 +116,38 @@ def confirm_drafts(challans: DataFrame, lines: DataFrame, stock: DataFrame, prod
     # would find it no longer a draft).
     b = batch.groupBy("challan_id").agg(F.min("requested_at").alias("requested_at"))
     head = challans.select(F.col("id").alias("challan_id"), "status", "challan_number")
-    known = b.join(head, "challan_id", "left")
-    items = lines.groupBy("challan_id", "product_id").agg(
+    known = b.join(head.select("challan_id", "status"), "challan_id", "left")
+    asked = lines.join(b.select("challan_id"), "challan_id", "left_semi")
+    items = asked.groupBy("challan_id", "product_id").agg(
         F.sum("quantity").cast("bigint").alias("qty"), F.min("line_no").alias("line_no"))
-    pids = products.select(F.col("id").alias("product_id"), F.lit(True).alias("_exists"))
-    checked = items.join(pids, "product_id", "left")
+    pids = products.select(F.col("id").alias("product_id"), F.lit(True).alias("_exists")).distinct()
+    checked = written(items.join(pids, "product_id", "left"), "allocation-items")
+    items = checked.drop("_exists")
     flags = checked.groupBy("challan_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.max(F.when(F.col("_exists").isNull(), 1).otherwise(0)).alias("missing"),
         F.max(F.when(F.col("qty").isNull() | (F.col("qty") <= 0), 1).otherwise(0)).alias("bad_qty"))
     pre = known.join(flags, "challan_id", "left").select(
-        "challan_id", "requested_at", "challan_number",
+        "challan_id", "requested_at",
         F.when(F.col("status").isNull(), "not_found")
          .when(F.col("status") != "DRAFT", "conflict")
          .when((F.coalesce(F.col("n_items"), F.lit(0)) == 0) | (F.col("bad_qty") == 1), "invalid")
          .when(F.col("missing") == 1, "product_missing").alias("pre_outcome"))
+    pre = written(pre, "allocation-requests")
     eligible = pre.where(F.col("pre_outcome").isNull())
     demands = (items.join(eligible.select("challan_id", "requested_at"), "challan_id", "inner")
                .select(F.col("challan_id").alias("request_id"), F.col("requested_at").alias("seq_ts"),
                        F.col("challan_id").alias("seq_id"), "product_id", "qty", "line_no"))
-    decisions, _ = allocate(demands, stock)
-    d = decisions.select(F.col("request_id").alias("challan_id"), "status", "short_product_id", "short_available")
+    rows, status, _ = _decide(demands, stock)
+    d = status.join(_first_short(rows, status), "request_id", "left").withColumnRenamed("request_id", "challan_id")
     out = pre.join(d, "challan_id", "left").select(
         "challan_id",
         F.coalesce(F.col("pre_outcome"),
                    F.when(F.col("status") == ACCEPTED, "applied").otherwise("insufficient_stock")).alias("outcome"),
         "short_product_id", "short_available")
-    accepted = out.where(F.col("outcome") == "applied").select("challan_id")
-    moves = (items.join(accepted, "challan_id", "inner").join(b, "challan_id", "inner")
+    applied = status.where(F.col("status") == ACCEPTED).select(F.col("request_id").alias("challan_id"))
+    accepted = eligible.select("challan_id").join(applied, "challan_id", "left_semi")
+    moves = (items.join(accepted, "challan_id", "inner")
              .join(head.select("challan_id", "challan_number"), "challan_id", "inner")
              .select("product_id", F.col("qty").cast("int").alias("quantity_changed"),
                      F.lit("OUT").alias("movement_type"),

@@ -98,3 +98,16 @@ def test_short_keys_are_not_ranged(spark, monkeypatch):
 def test_challan_documents_are_not_ranged(spark, monkeypatch):
     monkeypatch.setattr(ordered, "in_ranges", lambda *a: pytest.fail("short challans are ranged"))
     assert registry.queries()["challan_document"](spark, SF_SMALL).count() > 0
+
+
+def test_offsets_do_not_move_the_rows(spark):
+    """The few offsets that are not 0 are broadcast, whatever the size limit of broadcasts."""
+    plan = positions(hot(spark, 3000), ["k"], ["t", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_movements_do_not_look_for_the_short_items(spark):
+    from ledgerloom.plans.keys_commands import confirm_drafts_fixture
+
+    plan = confirm_drafts_fixture(spark, SF_SMALL)["movements"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
