@@ -206,29 +206,25 @@ def cascade_delete_customers(customers: DataFrame, commands: DataFrame, challans
     challan foreign key has no delete action. Returns one row per command with
     the number of rows removed from each child table.
     """
-    cmd = commands.select("customer_id").distinct()
-    known = cmd.join(customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_known")),
-                     "customer_id", "left")
-    blocked = challans.select("customer_id").distinct().withColumn("_blocked", F.lit(True))
-    dec = known.join(blocked, "customer_id", "left").select(
-        "customer_id",
-        F.when(F.col("_known").isNull(), "not_found").when(F.col("_blocked"), "conflict")
-         .otherwise("applied").alias("outcome"))
-    gone = dec.where(F.col("outcome") == "applied").select("customer_id")
-
-    def removed(df: DataFrame, name: str) -> DataFrame:
-        return df.join(gone, "customer_id", "left_semi").groupBy("customer_id").agg(F.count(F.lit(1)).alias(name))
-
-    q_gone = queries.join(gone, "customer_id", "left_semi").select(F.col("id").alias("query_id"), "customer_id")
-    r_gone = replies.join(q_gone, "query_id", "inner").groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("replies_removed"))
-    out = dec
-    for part in (removed(follow_ups, "follow_ups_removed"), removed(queries, "queries_removed"), r_gone,
-                 removed(reviews, "reviews_removed")):
-        out = out.join(part, "customer_id", "left")
-    return out.select("customer_id", "outcome",
-                      *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in
-                        ["follow_ups_removed", "queries_removed", "replies_removed", "reviews_removed"]])
+    answered = replies.groupBy("query_id").agg(F.count(F.lit(1)).alias("replies_removed"))
+    replied = queries.select(F.col("id").alias("query_id"), "customer_id").join(answered, "query_id", "inner")
+    counted = ["follow_ups_removed", "queries_removed", "replies_removed", "reviews_removed"]
+
+    def marks(df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
+        return df.where(F.col("customer_id").isNotNull()).select("customer_id", (F.lit(1) if value is None else value).cast("bigint").alias(name))
+
+    # one aggregate over all tables: a chain of joins would hold a sort of every table in one task
+    facts = commands.select("customer_id", F.lit(1).cast("bigint").alias("_asked"))
+    for part in (marks(customers.select(F.col("id").alias("customer_id")), "_known"), marks(challans, "_blocked"),
+                 marks(follow_ups, counted[0]), marks(queries, counted[1]),
+                 marks(replied, counted[2], F.col(counted[2])), marks(reviews, counted[3])):
+        facts = facts.unionByName(part, allowMissingColumns=True)
+    per = facts.groupBy("customer_id").agg(*(F.sum(c).alias(c) for c in ["_asked", "_known", "_blocked", *counted]))
+    outcome = F.when(F.col("_known").isNull(), "not_found").when(F.col("_blocked").isNotNull(), "conflict").otherwise("applied")
+    dec = per.where(F.col("_asked").isNotNull()).withColumn("outcome", outcome)
+    rows = dec.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_known", F.lit(1)))))  # one per stored customer
+    return rows.select("customer_id", "outcome", *(
+        F.when(F.col("outcome") == "applied", F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias(c) for c in counted))
 
 
 def delete_products(items: DataFrame, deleted: DataFrame) -> DataFrame:
