@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.ordered import positions, running_sums
 from ledgerloom.functions.text import challan_number, wall_time
 from ledgerloom.operators import quality as dq
+from ledgerloom.sources.scratch import written
 
 
 def _ts(at: dt.datetime) -> Column:
@@ -250,7 +251,7 @@ def draft_challans(requests: DataFrame, lines: DataFrame, customers: DataFrame,
     cust = customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_cust"))
     lines = lines.join(requests.select("challan_id"), "challan_id", "left_semi")
     prod = products.select(F.col("id").alias("product_id"), "product_name", "sku", "unit_price")
-    li = lines.join(prod, "product_id", "left")
+    li = written(lines.join(prod, "product_id", "left"), "draft-lines")  # ends the stage: its sorts are not held with the next ones
     per = li.groupBy("challan_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.count_distinct("product_id").alias("n_products"),
@@ -264,6 +265,7 @@ def draft_challans(requests: DataFrame, lines: DataFrame, customers: DataFrame,
                .otherwise("applied"))
     h = head.select("challan_id", "customer_id", outcome.alias("outcome"),
                     F.when(outcome == "applied", F.col("total_quantity")).alias("total_quantity"))
+    h = written(h, "draft-heads")
     return h.join(li, "challan_id", "left").select(
         "challan_id", "customer_id", "line_no", "product_id", "quantity", "outcome", "total_quantity",
         F.when(F.col("outcome") == "applied", F.col("product_name")).alias("product_name_snapshot"),

@@ -332,3 +332,27 @@ def test_every_draft_request_has_an_outcome(spark):
     products = frame(spark, [(5, "p", "s", 1.0)], "id bigint, product_name string, sku string, unit_price double")
     got = {r.challan_id: (r.outcome, r.line_no) for r in cm.draft_challans(requests, lines, customers, products).collect()}
     assert got == {1: ("applied", 1), 2: ("invalid", None)}
+
+
+def test_commands_end_their_stages(spark):
+    """No stage holds the sorts of many joins: deletes are one aggregate, drafts read written parts."""
+    from ledgerloom.plans import registry
+
+    def joins(name):
+        return registry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    from .conftest import SF_SMALL
+    assert joins("cascade_delete_customers") <= 1 and joins("challan_item_snapshot") == 1
+
+
+def test_cascade_counts_per_stored_customer(spark):
+    none = spark.createDataFrame([], "customer_id bigint")
+    customers = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id bigint")
+    commands = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "customer_id bigint")
+    challans = spark.createDataFrame([(2,), (None,)], "customer_id bigint")
+    queries = spark.createDataFrame([(10, 1), (11, None)], "id bigint, customer_id bigint")
+    replies = spark.createDataFrame([(10,), (10,), (11,), (None,)], "query_id bigint")
+    got = cm.cascade_delete_customers(customers, commands, challans, challans, queries, replies, none).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        (1, "applied", 0, 1, 2, 0), (1, "applied", 0, 1, 2, 0), (2, "conflict", 0, 0, 0, 0),
+        (3, "not_found", 0, 0, 0, 0), (None, "not_found", 0, 0, 0, 0)], key=str)
