@@ -14,7 +14,9 @@ shingles are its runs of ``SHINGLE`` characters (a shorter line is one shingle).
    copies (variants are near their original), by an equi-join with an aggregate. Pairs are verified by the exact Jaccard of all their shingles.
    Lines of one bucket that are still in different components then meet each
    other, so no link between different lines of a bucket is lost, and lines
-   that are linked already are never paired.
+   that are linked already are never paired. Only pairs whose folds differ in
+   few enough bits are verified; a fold bounds the shingles in which two sets
+   differ from below, so this loses no pair.
 4. Distributed union-find over the verified links; of each component, and of
    all exact copies of a line, the first occurrence (document, then line
    number) stays.
@@ -43,6 +45,8 @@ ROWS, BANDS = 3, 8
 #: Minima of the sketch, and how many of them a pair must agree in.
 SKETCH, AGREE = 24, 11
 _WORDS = 1 << 16
+#: Words of 64 bits of a fold. With 32, pairs of 500 shingles below 0.77 are ruled out, of 2,000 below 0.7.
+FOLD = 32
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,18 +137,41 @@ def _texts(lines: DataFrame, concerned: DataFrame) -> DataFrame:
     return few.join(concerned, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
 
 
-def _sized(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``members`` that can have a link in these buckets, with the size of their
-    shingle set and how many of it any other member has too: an edit makes
-    shingles that are nowhere else, and a line with too many of them is alone."""
-    lines = members.select("a", "b").distinct()
-    sets = texts.join(lines, ["a", "b"], "left_semi").select("a", "b", F.expr(_shingles("units")).alias("s"))
-    single = sets.select(F.explode("s").alias("h"), F.col("a").bitwiseXOR(F.col("b")).alias("of")).groupBy("h").agg(
-        F.count("*").alias("n"), F.min("of").alias("of")).where("n = 1").groupBy("of").agg(F.count("*").alias("own"))
-    sizes = sets.select("a", "b", F.col("a").bitwiseXOR(F.col("b")).alias("of"), F.size("s").alias("size")).join(single, "of", "left")
-    sizes = sizes.select("a", "b", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
-    sizes = written(sizes.where(F.col("shared") >= SIMILARITY * F.col("size")), "lines-sizes")
-    return written(members.join(sizes, ["a", "b"]), "lines-sized")
+def folded(texts: DataFrame) -> DataFrame:
+    """(a, b, size, f0...): the size of every line's shingle set and its fold, in
+    which each shingle of the set flips one of 64 * FOLD bits."""
+    sets = texts.select("a", "b", F.expr(_shingles("units")).alias("s")).select("a", "b", F.explode("s").alias("h"))
+    at = sets.select("a", "b", F.expr(f"(h >> 6) & {FOLD - 1}").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    return at.groupBy("a", "b").agg(F.count("*").alias("size"), *(
+        F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"f{k}") for k in range(FOLD)))
+
+
+def _reach() -> Column:
+    """Whether two folded lines can have the similarity. A shingle of both sets
+    flips the same bit of both folds, so the folds differ in no more bits than
+    the sets in shingles: no pair that has the similarity is ruled out."""
+    total = F.col("size") + F.col("psize")
+    differing = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"pf{k}"))) for k in range(1, FOLD)),
+                    F.bit_count(F.col("f0").bitwiseXOR(F.col("pf0"))))
+    possible = lambda most: most >= SIMILARITY * (total - most)
+    return possible(F.least("size", "psize")) & possible((total - differing) / 2)
+
+
+def crossing(members: DataFrame) -> DataFrame:
+    """(a, b, pa, pb) of the members (key, a, b, s1, s2, component, home, size, fold)
+    that share a bucket, are in different components and can have the similarity.
+    ``home`` tells who is in the component of the bucket's pivot: those never meet
+    each other. Columns that cannot be null keep the condition small enough to
+    be compiled."""
+    solid = members.select("key", *(F.coalesce(c, F.lit(0).cast(members.schema[c].dataType)).alias(c)
+                                    for c in members.columns if c != "key"))
+    other = solid.withColumnsRenamed({c: f"p{c}" for c in solid.columns if c != "key"})
+    ordered = (F.col("a") < F.col("pa")) | (F.col("a") == F.col("pa")) & (F.col("b") < F.col("pb"))
+    met = solid.where("NOT home").join(other, "key").where(
+        (F.col("component") != F.col("pcomponent")) & (F.col("phome") | ordered) & _agree() & _reach())
+    one, two = F.struct("a", "b"), F.struct(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    met = met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct()
+    return met.select("one.a", "one.b", F.col("two.a").alias("pa"), F.col("two.b").alias("pb"))
 
 
 def similar_lines(lines: DataFrame) -> DataFrame:
@@ -167,17 +194,16 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     member = written(member, "lines-members")
     mixed = written(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                     .where("lo <> hi").select("key"), "lines-mixed")
-    left = _sized(member.join(mixed, "key", "left_semi"), texts)
-    right = left.withColumnsRenamed({c: f"p{c}" for c in ("a", "b", "s1", "s2", "node", "component", "size", "shared")})
-    most = F.least("shared", "pshared")  # shingles that the two can have in common
-    cross = left.join(right, "key").where((F.col("node") < F.col("pnode")) & (F.col("component") != F.col("pcomponent"))
-                                          & (most >= SIMILARITY * (F.col("size") + F.col("psize") - most)) & _agree())
-    cross = cross.select("a", "b", "pa", "pb").distinct()
-    cross = written(cross.join(star, ["a", "b", "pa", "pb"], "left_anti"), "lines-cross")
+    homes = pivots.join(mixed, "key", "left_semi").select("key", _name("pa", "pb").alias("node")).join(label, "node", "left").select(
+        "key", F.coalesce("component", "node").alias("of"))
+    left = member.join(homes, "key").select(
+        "key", "a", "b", "s1", "s2", F.xxhash64("component").alias("component"), (F.col("component") == F.col("of")).alias("home"))
+    folds = written(folded(texts.join(left.select("a", "b").distinct(), ["a", "b"], "left_semi")), "lines-folds")
+    cross = written(crossing(written(left.join(folds, ["a", "b"]), "lines-mixed")), "lines-cross")
     more = written(verified(cross, texts), "lines-edges")
     if more.isEmpty():
         return label
-    return components(edges.unionByName(more), "x", "y")
+    return components(label.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), "x", "y")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

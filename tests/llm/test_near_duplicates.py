@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import fuzzy_lines, simhash, substring_dedup
 from ledgerloom.llm.components import components
@@ -207,6 +208,72 @@ def test_lines_equal_brute_force(spark):
     assert extra == 0 and lost <= 0.01 * total, (lost, extra, total)
 
 
+def _variants(n, words, changed, seed):
+    """A line of random words and ``n`` variants of it with some words replaced."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    base = [word() for _ in range(words)]
+    lines = [" ".join(base)]
+    for _ in range(n):
+        line = list(base)
+        for i in rng.sample(range(words), changed):
+            line[i] = word()
+        lines.append(" ".join(line))
+    return lines
+
+
+def test_variants_below_the_similarity_are_not_all_paired(spark, monkeypatch):
+    """Every two variants share buckets and pass the sketch, none is linked."""
+    lines = _variants(150, 80, 7, 5)
+    sets = [_shingles(x) for x in lines]
+    assert max(len(s & t) / len(s | t) for i, s in enumerate(sets) for t in sets[:i]) < 0.8
+    verified, pairs = fuzzy_lines.verified, []
+
+    def counted(found, texts):
+        pairs.append(found.count())
+        return verified(found, texts)
+
+    monkeypatch.setattr(fuzzy_lines, "verified", counted)
+    docs = spark.createDataFrame([*enumerate(lines)], "doc_id long, text string")
+    assert fuzzy_lines.drop_lines(docs).where("text = ''").count() == 0
+    assert sum(pairs) <= 6 * len(lines), pairs
+
+
+def test_links_between_variants_of_an_unlinked_line(spark):
+    """Each variant is far from the line with most copies, near one other variant;
+    nulls, repeated shingles and short lines beside them."""
+    lines = _variants(60, 80, 9, 6)
+    docs = [(i, lines[0]) for i in range(5)] + [(10 + i, x) for i, x in enumerate(lines[1:])]
+    docs += [(100 + i, x + " end") for i, x in enumerate(lines[1:])]
+    docs += [(300 + i, "ab " * (200 + 40 * i)) for i in range(6)] + [(400, "short"), (401, "short."), (402, None), (None, lines[1])]
+    want = _removed_lines([d for d in docs if d[0] is not None])
+    got = fuzzy_lines.drop_lines(spark.createDataFrame(docs, "doc_id long, text string"), removed="removed").collect()
+    text = {i: t for i, t in docs if i is not None}
+    assert {r.doc_id: r.removed for r in got if r.doc_id is not None and r.text is not None} == {
+        i: want(i, t) for i, t in text.items() if t is not None}
+    assert sum(want(100 + i, x + " end") == [0] for i, x in enumerate(lines[1:])) == 60
+
+
+def test_folds_rule_out_no_similar_pair(spark):
+    """Pairs around the similarity, from one shingle to thousands."""
+    rng, pairs = random.Random(8), []
+    for _ in range(400):
+        x = "".join(rng.choices("abcde ", k=rng.choice([1, 9, 10, 11, 30, 100, 500, 3000])))
+        y = list(x)
+        for _ in range(rng.randrange(1 + len(x) // 60 + 1)):
+            y[rng.randrange(len(y))] = rng.choice("ABC")
+        pairs.append((x, "".join(y[rng.randrange(2):])))
+    near = [len(s & t) >= 0.8 * len(s | t) for s, t in ((_shingles(x), _shingles(y)) for x, y in pairs)]
+    assert 50 < sum(near) < 350
+    rows = spark.createDataFrame([(2 * i + k, 0, line) for i, p in enumerate(pairs) for k, line in enumerate(p)], "a long, b long, line string")
+    folds = fuzzy_lines.folded(rows.select("a", "b", fuzzy_lines._units(F.col("line")).alias("units")))
+    other = folds.withColumnsRenamed({c: f"p{c}" for c in folds.columns})
+    met = folds.join(other, F.col("pa") == F.col("a") + 1).where("a % 2 = 0").select("a", "size", fuzzy_lines._reach().alias("reach")).collect()
+    assert len(met) == len(pairs)
+    assert all(r.reach for r in met if near[r.a // 2]) and not all(r.reach for r in met)
+    assert all(r["size"] == len(_shingles(pairs[r.a // 2][0])) for r in met)
+
+
 def test_lines_of_awkward_documents(spark):
     out = fuzzy_lines.drop_lines(frames.clashing(spark), removed="n")
     assert out.columns == [*frames.clashing(spark).columns, "n"]
