@@ -74,8 +74,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     grows with its copies, s1 and s2 are its sketch."""
     units = lines.select("a", "b", _units(F.col("line")).alias("units"))
     at = units.select("a", "b", "units", F.explode(F.expr(_starts("units"))).alias("p"))
-    shingle = F.expr(f"substring(units, 2 * p - 1, {2 * SHINGLE})")
-    least = at.select("a", "b", "p", F.hash(shingle).alias("h")).groupBy("a", "b").agg(
+    least = at.select("a", "b", "p", F.hash(F.expr(_shingle("units", "p"))).alias("h")).groupBy("a", "b").agg(
         F.count_if(F.col("p") == 1).alias("copies"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_flips())))
     half = SKETCH // 2
     sketch = [F.lit(0).cast("long")] * 2
@@ -98,23 +97,32 @@ def _agree() -> Column:
 
 
 def _starts(line: str) -> str:
-    """The code units at which a shingle starts, from 1."""
-    return f"sequence(1, greatest(length({line}) div 2 - {SHINGLE - 1}, 1))"
+    """The bytes at which a shingle starts, from 1."""
+    return f"sequence(1, greatest(length({line}) - {2 * SHINGLE - 1}, 1), 2)"
+
+
+def _shingle(line: str, start: str) -> str:
+    return f"substring({line}, {start}, {2 * SHINGLE})"
 
 
 def _shingles(line: str) -> str:
-    return (f"array_distinct(transform({_starts(line)}, "
-            f"p -> xxhash64(substring({line}, 2 * p - 1, {2 * SHINGLE}))))")
+    """The shingle set of a line, as hashes. The outer lambda holds the bytes of
+    the line; a column named inside the inner one would be copied for each shingle."""
+    each = f"transform({_starts('u')}, p -> xxhash64({_shingle('u', 'p')}))"
+    return f"array_distinct(transform(array({line}), u -> {each})[0])"
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (a, b, pa, pb) whose shingle sets have at least the
-    similarity, as edges (x, y) of line names."""
+    similarity, as edges (x, y) of line names. The sizes pass a generator: a
+    filter on plain columns would be moved into the join, where the sets are made
+    anew for each mention."""
     other = texts.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("units").alias("pivot"))
     sets = pairs.join(texts, ["a", "b"]).join(other, ["pa", "pb"]).select(
         "a", "b", "pa", "pb", F.expr(_shingles("units")).alias("s"), F.expr(_shingles("pivot")).alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    return sets.where(both >= SIMILARITY * (F.size("s") + F.size("t") - both)).select(
+    sizes = F.struct(F.size(F.array_intersect("s", "t")).alias("both"), (F.size("s") + F.size("t")).alias("total"))
+    met = sets.select("a", "b", "pa", "pb", F.explode_outer(F.array(sizes)).alias("sizes")).select("*", "sizes.*")
+    return met.where(F.col("both") >= SIMILARITY * (F.col("total") - F.col("both"))).select(
         _name("a", "b").alias("x"), _name("pa", "pb").alias("y"))
 
 
@@ -140,10 +148,12 @@ def _texts(lines: DataFrame, concerned: DataFrame) -> DataFrame:
 def folded(texts: DataFrame) -> DataFrame:
     """(a, b, size, f0...): the size of every line's shingle set and its fold, in
     which each shingle of the set flips one of 64 * FOLD bits."""
-    sets = texts.select("a", "b", F.expr(_shingles("units")).alias("s")).select("a", "b", F.explode("s").alias("h"))
-    at = sets.select("a", "b", F.expr(f"(h >> 6) & {FOLD - 1}").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    return at.groupBy("a", "b").agg(F.count("*").alias("size"), *(
-        F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"f{k}") for k in range(FOLD)))
+    sets = texts.select("a", "b", F.expr(_shingles("units")).alias("s"))
+    sets = sets.select("a", "b", F.explode_outer("s").alias("h"))  # not explode: it would make the sets once more, for a filter
+    words = sets.groupBy("a", "b", F.expr(f"cast((h >> 6) & {FOLD - 1} as int)").alias("word")).agg(
+        F.count("*").alias("size"), F.bit_xor(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    return words.groupBy("a", "b").agg(F.sum("size").alias("size"), *(
+        F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"f{k}") for k in range(FOLD)))
 
 
 def _reach() -> Column:
